@@ -222,7 +222,9 @@ def regression_metrics(df: DataFrame, pairs: dict[str, tuple[Column, Column]], v
     parts, errors = [], []
     for i, (p, t) in enumerate(pairs.values()):
         parts += [F.avg((p - t) * (p - t)).alias(f"_sq{i}"), F.avg(F.abs(p - t)).alias(f"_ab{i}")]
-        parts += [F.corr(p, t).alias(f"_r{i}")]
+        # Pearson from its parts: undefined, not an error, where either side is constant.
+        spread = F.stddev_pop(p) * F.stddev_pop(t)
+        parts += [F.when(spread > 0, F.covar_pop(p, t) / spread).alias(f"_r{i}")]
         errors.append(i)
     wide = kept.agg(F.count(F.lit(1)).alias("n_frames"), *parts)
     k = F.lit(float(len(errors)))

@@ -185,14 +185,14 @@ def lag_products(
     stop = F.least((F.col("block") + 1) * block - F.col("first"), F.size("_a")).cast("int")
     own = F.slice("_b", start + 1, stop - start)
     spread = blocks.select(
-        *keys, "_a", own.alias("_b"), start.alias("_o"), F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
+        *keys, "_a", own.alias("_b"), start.alias("_o"), F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("_l")
     )
     product = F.aggregate(
-        F.transform("_b", lambda v, j: v * F.coalesce(F.get("_a", F.col("_o") + j + F.col("lag")), F.lit(0.0))),
+        F.transform("_b", lambda v, j: v * F.coalesce(F.get("_a", F.col("_o") + j + F.col("_l")), F.lit(0.0))),
         F.lit(0.0),
         lambda s, v: s + v,
     )
-    return spread.groupBy(*keys, F.col("lag").cast("long").alias("lag")).agg(F.sum(product).alias("total"))
+    return spread.groupBy(*keys, F.col("_l").cast("long").alias("lag")).agg(F.sum(product).alias("total"))
 
 
 def best_lag(products: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1 +1,282 @@
-"""placeholder"""
+"""Queries on masks: thresholds, regions, parameters, scores, PCA."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vocalgrid import fixed
+from vocalgrid.functions import columns as C
+from vocalgrid.functions import kernels
+from vocalgrid.operators import frames, geometry, pca, scores, segmentation, series
+from vocalgrid.plans import binding as B
+from vocalgrid.plans.catalog import d6, query
+from vocalgrid.plans.frame_queries import mirrored  # noqa: F401
+from vocalgrid.session import new_location
+
+S = B.SIDE
+KEY = ["utt", "frame_id"]
+
+
+def rounded(df: DataFrame, names) -> DataFrame:
+    return df.select(*[C.r6(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+# Geometric parameters ---------------------------------------------------------------------------
+
+# One row per frame: each parameter straight from its definition.
+GEOMETRY_SQL = f"""{B.MASK_SQL},
+p20 AS (SELECT frame_id, quantile_cont(y, 0.2) AS cut FROM mask WHERE cls = 1 GROUP BY frame_id),
+dorsum AS (SELECT frame_id, avg(y) AS d FROM mask JOIN p20 USING (frame_id) WHERE cls = 1 AND y <= cut GROUP BY frame_id),
+rows AS (SELECT frame_id, y, count(*) AS n FROM mask WHERE cls > 0 GROUP BY frame_id, y),
+narrow AS (SELECT frame_id, min(n) AS n, arg_min(y, n * 1000 + y) AS y FROM rows GROUP BY frame_id),
+per AS (SELECT utt, frame_id, count(*) FILTER (cls = 1) AS a1, avg(x) FILTER (cls = 1) AS x1, avg(y) FILTER (cls = 1) AS y1,
+    min(y) FILTER (cls = 1) AS t1, max(x) FILTER (cls = 1) - min(x) FILTER (cls = 1) AS w1,
+    count(*) FILTER (cls = 2) AS a2, avg(y) FILTER (cls = 2) AS y2, max(y) FILTER (cls = 2) - min(y) FILTER (cls = 2) AS o2,
+    count(*) FILTER (cls = 3) AS a3, avg(y) FILTER (cls = 3) AS y3, max(y) FILTER (cls = 3) - min(y) FILTER (cls = 3) AS o3
+  FROM mask GROUP BY utt, frame_id),
+geo AS (SELECT utt, frame_id, a1 / 64 AS tongue_area, coalesce(x1 / 8, 0) AS tongue_centroid_x, coalesce(y1 / 8, 0) AS tongue_centroid_y,
+    coalesce(t1 / 8, 0) AS tongue_tip_y, coalesce(d / 8, 0) AS tongue_dorsum_height, coalesce(w1 / 8, 0) AS tongue_width,
+    a2 / 64 AS jaw_area, coalesce(y2 / 8, 0) AS jaw_centroid_y, coalesce(o2 / 8, 0) AS jaw_opening,
+    a3 / 64 AS lip_area, coalesce(y3 / 8, 0) AS lip_centroid_y, coalesce(o3 / 8, 0) AS lip_aperture,
+    coalesce(n / 8, 0) AS constriction_degree, coalesce(y / 8, 0) AS constriction_location_y
+  FROM per LEFT JOIN dorsum USING (frame_id) LEFT JOIN narrow USING (frame_id))"""
+
+
+def geometry_columns_sql(prefix: str = "") -> str:
+    return ", ".join(f"{d6(n)} AS {n}" for n in fixed.GEOMETRIC_FEATURES if n.startswith(prefix))
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.geometric_features(B.masks(spark, sf_dir), KEY, "mask", S, S)
+
+
+@query("geometric_features", f"WITH {GEOMETRY_SQL} SELECT utt, frame_id, {geometry_columns_sql()} FROM geo")
+def geometric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features(spark, sf_dir), fixed.GEOMETRIC_FEATURES)
+
+
+@query("geometric_means", f"WITH {GEOMETRY_SQL} SELECT utt, count(*) AS n_frames, " + ", ".join(f"{d6(f'avg({n})')} AS {n}" for n in fixed.GEOMETRIC_FEATURES) + " FROM geo GROUP BY utt")
+def geometric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = [F.avg(n).alias(n) for n in fixed.GEOMETRIC_FEATURES]
+    out = features(spark, sf_dir).groupBy("utt").agg(F.count(F.lit(1)).alias("n_frames"), *means)
+    return rounded(out, fixed.GEOMETRIC_FEATURES)
+
+
+def _group_query(name: str, prefix: str) -> None:
+    @query(name, f"WITH {GEOMETRY_SQL} SELECT utt, frame_id, {geometry_columns_sql(prefix)} FROM geo")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(geometry.feature_group(features(spark, sf_dir), KEY, prefix), fixed.GEOMETRIC_FEATURES)
+
+
+for _name, _prefix in (("tongue_features", "tongue"), ("jaw_features", "jaw"), ("lip_features", "lip"), ("constriction", "constriction")):
+    _group_query(_name, _prefix)
+
+
+# Thresholds -------------------------------------------------------------------------------------
+
+
+def histogram_sql(source: str, bins: int) -> str:
+    """hist(frame_id, lo, hi, bin, c) and otsu(frame_id, threshold) of pixels (frame_id, v)."""
+    return f"""ends AS (SELECT frame_id, min(v) AS lo, max(v) AS hi FROM {source} GROUP BY frame_id),
+hist AS (SELECT frame_id, lo, hi, CASE WHEN hi > lo THEN CAST(least(floor((v - lo) / (hi - lo) * {bins}), {bins - 1}) AS BIGINT) ELSE 0 END AS bin, count(*)::DOUBLE AS c
+  FROM {source} JOIN ends USING (frame_id) GROUP BY ALL),
+sums AS (SELECT frame_id, lo, hi, bin, sum(c) OVER b AS w1, sum(c * bin) OVER b AS s1, sum(c) OVER f - sum(c) OVER b AS w2,
+    sum(c * bin) OVER f - sum(c * bin) OVER b AS s2
+  FROM hist WINDOW f AS (PARTITION BY frame_id), b AS (PARTITION BY frame_id ORDER BY bin)),
+best AS (SELECT frame_id, lo, hi, bin, row_number() OVER (PARTITION BY frame_id
+    ORDER BY CASE WHEN w2 > 0 THEN (s1 * w2 - s2 * w1) ** 2 / (w1 * w2) ELSE -1 END DESC, bin) AS r FROM sums),
+otsu AS (SELECT frame_id, CASE WHEN hi > lo THEN lo + (bin + 0.5::DOUBLE) * (hi - lo) / {bins} ELSE 0.5 END AS threshold FROM best WHERE r = 1)"""
+
+
+@query("otsu_threshold", f"WITH {B.PIXELS_SQL}, {histogram_sql('px', 256)} SELECT utt, frame_id, {d6('threshold')} AS threshold FROM frames JOIN otsu USING (frame_id)")
+def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(segmentation.otsu_threshold(B.frames(spark, sf_dir), KEY, "pixels", 256), ["threshold"])
+
+
+def folded(place: str, size: int) -> str:
+    """SQL: index reflected at the ends with the edge repeated."""
+    turn = f"((({place}) % {2 * size} + {2 * size}) % {2 * size})"
+    return f"CASE WHEN {turn} < {size} THEN {turn} ELSE {2 * size - 1} - {turn} END"
+
+
+def _weights() -> str:
+    rows = ", ".join(f"({i - 4}, {float(w)!r}::DOUBLE)" for i, w in enumerate(kernels.gaussian(4, 1.0)))
+    return f"g(k, w) AS (VALUES {rows})"
+
+
+# The stand-in pixels lie in about -0.6..0.6, far below the 1 that would rescale a frame.
+SMOOTH_SQL = f"""{B.PIXELS_SQL}, {_weights()},
+across AS (SELECT p.utt, p.frame_id, p.y, p.x, sum(g.w * q.v) AS v FROM px p, g JOIN px q
+  ON q.frame_id = p.frame_id AND q.y = p.y AND q.x = {folded('p.x + g.k', S)} GROUP BY ALL),
+smooth AS (SELECT p.utt, p.frame_id, p.y, p.x, sum(g.w * q.v) AS v FROM across p, g JOIN across q
+  ON q.frame_id = p.frame_id AND q.x = p.x AND q.y = {folded('p.y + g.k', S)} GROUP BY ALL)"""
+TISSUE_SQL = f"""{SMOOTH_SQL}, {histogram_sql('smooth', 256)},
+tissue AS (SELECT utt, frame_id, y, x, CASE WHEN v > threshold THEN 1 ELSE 0 END AS tissue, threshold FROM smooth JOIN otsu USING (frame_id))"""
+
+
+def mask_pixels(df: DataFrame, column: str, keys: list[str] = KEY) -> DataFrame:
+    rows = frames.pixel_rows(df, keys, column, S, column)
+    return rows.withColumn(column, F.col(column).cast("long"))
+
+
+@query("tissue_mask", f"WITH {TISSUE_SQL} SELECT utt, frame_id, {d6('threshold')} AS threshold, y, x, CAST(tissue AS BIGINT) AS tissue FROM tissue")
+def tissue_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = segmentation.tissue_mask(B.frames(spark, sf_dir), "pixels", S, S)
+    return rounded(mask_pixels(held, "tissue", [*KEY, "threshold"]), ["threshold"])
+
+
+@query("tissue_mask_min_area")
+def tissue_mask_min_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = segmentation.tissue_mask(B.frames(spark, sf_dir), "pixels", S, S, sigma=0.0, threshold=0.05, min_area=4)
+    return mask_pixels(held, "tissue")
+
+
+OTSU_BINS = 16
+
+
+@query("multi_otsu", f"""WITH {B.PIXELS_SQL}, {histogram_sql('px', OTSU_BINS)},
+  grid AS (SELECT f.frame_id, b.bin, coalesce(h.c, 0) AS c FROM frames f, (SELECT unnest(range(0, {OTSU_BINS})) AS bin) b
+    LEFT JOIN hist h ON h.frame_id = f.frame_id AND h.bin = b.bin),
+  cum AS (SELECT frame_id, bin, sum(c) OVER w AS n, sum(c * bin) OVER w AS s FROM grid WINDOW w AS (PARTITION BY frame_id ORDER BY bin)),
+  tot AS (SELECT frame_id, n, s FROM cum WHERE bin = {OTSU_BINS - 1}),
+  pairs AS (SELECT a.frame_id, a.bin AS b1, b.bin AS b2,
+      round(a.s * a.s / a.n + round((b.s - a.s) ** 2 / (b.n - a.n) + (t.s - b.s) ** 2 / (t.n - b.n), 9), 9) AS v
+    FROM cum a JOIN cum b ON b.frame_id = a.frame_id AND b.bin > a.bin JOIN tot t ON t.frame_id = a.frame_id
+    WHERE a.n > 0 AND b.n > a.n AND t.n > b.n),
+  pick AS (SELECT frame_id, b1, b2 FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY v DESC, b1, b2) AS r FROM pairs) WHERE r = 1),
+  thr AS (SELECT frame_id, lo + (b1 + 0.5::DOUBLE) * (hi - lo) / {OTSU_BINS} AS t1, lo + (b2 + 0.5::DOUBLE) * (hi - lo) / {OTSU_BINS} AS t2 FROM pick JOIN ends USING (frame_id))
+  SELECT utt, frame_id, {d6('t1')} AS t1, {d6('t2')} AS t2, y, x, CAST((v >= t1)::INT + (v >= t2)::INT AS BIGINT) AS classes FROM px JOIN thr USING (frame_id)""")
+def multi_otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = segmentation.multi_otsu(B.frames(spark, sf_dir), "pixels", S, S, 3, OTSU_BINS, sigma=0.0)
+    held = held.withColumn("t1", F.col("thresholds")[0]).withColumn("t2", F.col("thresholds")[1])
+    return rounded(mask_pixels(held, "classes", [*KEY, "t1", "t2"]), ["t1", "t2"])
+
+
+@query("multi_otsu_four")
+def multi_otsu_four(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_pixels(segmentation.multi_otsu(B.frames(spark, sf_dir), "pixels", S, S, 4, 64), "classes")
+
+
+# Regions ----------------------------------------------------------------------------------------
+
+
+def binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = B.frames(spark, sf_dir)
+    return df.withColumn("m", F.transform("pixels", lambda v: (v >= 0.02).cast("int")))
+
+
+# Labels spread by a recursive walk over neighbouring pixels; a region's name is its least pixel.
+REGION_SQL = f"""{B.PIXELS_SQL}, on_px AS (SELECT utt, frame_id, y, x, y * {S} + x + 1 AS id FROM px WHERE v >= 0.02),
+walk AS (SELECT frame_id, id AS root, y, x FROM on_px
+  UNION SELECT w.frame_id, w.root, p.y, p.x FROM walk w JOIN on_px p ON p.frame_id = w.frame_id AND abs(p.y - w.y) <= 1 AND abs(p.x - w.x) <= 1 AND p.id > w.root),
+names AS (SELECT frame_id, y, x, min(root) AS region FROM (
+    SELECT frame_id, y, x, root FROM walk) GROUP BY frame_id, y, x)"""
+
+
+@query("region_label")
+def region_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = binary(spark, sf_dir)
+    held = held.withColumn("region", segmentation.region_label(S, S, 8)(F.col("m")))
+    held = held.withColumn("big", segmentation.drop_small(S, S, 5)(F.col("m")))
+    held = held.withColumn("largest", segmentation.largest_region(S, S, 8)(F.col("m")))
+    zipped = held.withColumn("all", F.arrays_zip("region", "big", "largest"))
+    rows = frames.pixel_rows(zipped, KEY, "all", S, "a")
+    return rows.select(*KEY, "y", "x", *[F.col(f"a.{n}").cast("long").alias(n) for n in ("region", "big", "largest")])
+
+
+@query("vocal_tract_mask")
+def vocal_tract_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = segmentation.tissue_mask(B.frames(spark, sf_dir), "pixels", S, S)
+    return mask_pixels(held.withColumn("tract", segmentation.vocal_tract_mask(S, S)(F.col("tissue"))), "tract")
+
+
+@query("label_rules", f"""WITH {TISSUE_SQL}
+  SELECT utt, frame_id, y, x, CAST(CASE WHEN tissue = 0 THEN 0 WHEN x < 1 OR x >= 6 THEN 3
+    WHEN y >= 1 AND y < 7 AND x >= 1 AND x < 7 THEN CASE WHEN y >= 3 THEN 1 ELSE 2 END ELSE 0 END AS BIGINT) AS label FROM tissue""")
+def label_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = segmentation.tissue_mask(B.frames(spark, sf_dir), "pixels", S, S)
+    everywhere = F.transform("tissue", lambda t: F.lit(1))
+    held = held.withColumn("tract", everywhere)
+    return mask_pixels(held.withColumn("label", segmentation.label_rules(F.col("tissue"), F.col("tract"), S, S)), "label")
+
+
+# Scores: the prediction for a frame is the next frame's mask --------------------------------------
+
+
+def mask_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = B.indexed_frames(spark, sf_dir).withColumn("target", C.digitize_frame(F.col("pixels"), B.MASK_THRESHOLDS))
+    narrow = df.select("utt", "frame_idx", "target")
+    return series.with_next(narrow, ["utt"], "frame_idx", {"target": "predicted"}, block=frames.BLOCK).where("predicted IS NOT NULL")
+
+
+DICE_SQL = f"""{B.MASK_SQL}, pair AS (SELECT a.utt, a.frame_idx, a.cls AS t, b.cls AS p FROM mask a JOIN mask b
+    ON b.utt = a.utt AND b.frame_idx = a.frame_idx + 1 AND b.y = a.y AND b.x = a.x),
+cs AS (SELECT unnest(range(0, 5)) AS cls),
+n AS (SELECT utt, frame_idx, cs.cls, count(*) FILTER (p = cs.cls AND t = cs.cls) AS i, count(*) FILTER (p = cs.cls) + count(*) FILTER (t = cs.cls) AS u,
+    avg(CASE WHEN p = t THEN 1 ELSE 0 END) AS acc FROM pair, cs GROUP BY utt, frame_idx, cs.cls),
+dice AS (SELECT utt, frame_idx, cls, (2 * i + 1e-7) / (u + 1e-7) AS dice, (i + 1e-7) / (u - i + 1e-7) AS iou, acc FROM n)"""
+
+
+@query("dice_iou", f"""WITH {DICE_SQL} SELECT utt, CAST(frame_idx AS BIGINT) AS frame_idx, CAST(cls AS BIGINT) AS cls, {d6('dice')} AS dice, {d6('iou')} AS iou, {d6('acc')} AS pixel_accuracy FROM dice""")
+def dice_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scores.dice_iou(mask_pairs(spark, sf_dir), ["utt", "frame_idx"], "predicted", "target", 5)
+    return rounded(out, ["dice", "iou", "pixel_accuracy"])
+
+
+@query("macro_eval", f"""WITH {DICE_SQL}, s AS (SELECT utt, frame_idx, avg(dice) AS d, avg(iou) AS i, avg(acc) AS a FROM dice GROUP BY ALL)
+  SELECT CAST(cls AS BIGINT) AS cls, {d6('avg(dice)')} AS dice, {d6('avg(iou)')} AS iou, CAST(NULL AS DOUBLE) AS pixel_accuracy FROM dice GROUP BY cls
+  UNION ALL SELECT NULL, {d6('avg(d)')}, {d6('avg(i)')}, {d6('avg(a)')} FROM s""")
+def macro_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["utt", "frame_idx"]
+    per = scores.dice_iou(mask_pairs(spark, sf_dir), keys, "predicted", "target", 5)
+    return rounded(scores.macro_eval(per, keys), ["dice", "iou", "pixel_accuracy"])
+
+
+# PCA --------------------------------------------------------------------------------------------
+
+COMPONENTS = 10
+
+
+def fitted(spark: SparkSession, sf_dir: str, whiten: bool = False) -> tuple[DataFrame, pca.MaskPCA]:
+    masks = B.masks(spark, sf_dir)
+    return masks, pca.fit(masks, "mask", S, S, COMPONENTS, whiten)
+
+
+@query("pca_fit")
+def pca_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, model = fitted(spark, sf_dir)
+    rows = [(c, p, round(float(v), 6)) for c, row in enumerate(model.components) for p, v in enumerate(row)]
+    return spark.createDataFrame(rows, "component long, pixel long, loading double")
+
+
+@query("pca_transform")
+def pca_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks, model = fitted(spark, sf_dir, whiten=True)
+    scored = masks.select(*KEY, F.posexplode(pca.transform(model, F.col("mask"))).alias("component", "score"))
+    return rounded(scored.withColumn("component", F.col("component").cast("long")), ["score"])
+
+
+@query("pca_inverse")
+def pca_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks, model = fitted(spark, sf_dir)
+    scored = masks.withColumn("scores", pca.transform(model, F.col("mask")))
+    return mask_pixels(scored.withColumn("rebuilt", pca.inverse(model, F.col("scores"))), "rebuilt")
+
+
+@query("pca_model_io")
+def pca_model_io(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks, model = fitted(spark, sf_dir)
+    where = new_location(spark, "pca")
+    pca.save(spark, model, where)
+    again = pca.load(spark, where)
+    gap = F.zip_with(
+        pca.transform(model, F.col("mask")), pca.transform(again, F.col("mask")), lambda a, b: F.abs(a - b)
+    )
+    return rounded(masks.select(*KEY, F.array_max(gap).alias("gap")), ["gap"])
+
+
+@query("explained_variance")
+def explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, model = fitted(spark, sf_dir)
+    return rounded(pca.explained_variance(spark, model), ["share"])

@@ -1 +1,204 @@
-"""placeholder"""
+"""Queries that run the batch jobs and the streaming report."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vocalgrid import fixed, scale
+from vocalgrid.functions import columns as C
+from vocalgrid.functions import kernels
+from vocalgrid.operators import frames, jobs, ordering, scores, segmentation, series, summaries
+from vocalgrid.plans import binding as B
+from vocalgrid.plans.catalog import d6, query
+from vocalgrid.plans.mask_queries import GEOMETRY_SQL, PSEUDO_SQL, S, geometry_columns_sql, mask_pixels, rounded
+from vocalgrid.plans.signal_queries import hilbert_sql, interpolate_sql, minmax_sql, smooth_sql, zscore_sql
+from vocalgrid.plans.table_queries import (
+    FEATURES_SQL,
+    MISMATCH_SQL,
+    SUBJECT_SPLIT_SQL,
+    customer_split,
+    order_features,
+)
+from vocalgrid.session import new_location
+from vocalgrid.sources import stores
+from vocalgrid.streaming.progress import run_progress
+
+UTT = ["utt"]
+AUDIO_FPS, AUDIO_RATE, SMOOTH_MS, MAX_LAG = 10.0, 13.0, 50.0, 256
+
+
+# Alignment: label n's frames are the images of user n's samples -----------------------------------
+
+
+def align_sql(pixels: str) -> str:
+    """aligned: offset and correlation per utterance, from a table (utt, frame_idx, y, x, v)."""
+    frame_weights = series.gaussian_weights(SMOOTH_MS / 1000 * AUDIO_FPS)
+    sample_weights = series.gaussian_weights(SMOOTH_MS / 1000 * AUDIO_RATE)
+    return f"""diff AS (SELECT utt, frame_idx AS i, abs(v - lag(v) OVER (PARTITION BY utt, y, x ORDER BY frame_idx)) AS d FROM {pixels}),
+moved AS (SELECT utt, i, coalesce(sum(d), 0) AS v FROM diff GROUP BY utt, i),
+{smooth_sql('moved', 'moved_s', frame_weights)}, {minmax_sql('moved_s', 'energy0')},
+energy AS (SELECT utt, i, i / {AUDIO_FPS!r}::DOUBLE AS t, v FROM energy0),
+{B.SIGNAL_SQL}, heard AS (SELECT utt, frame_idx AS i, value AS v FROM signal WHERE utt IN (SELECT utt FROM energy)),
+lens AS (SELECT utt, f.n AS n_frames, a.n AS n_samples, CAST(ceil(greatest(f.n / {AUDIO_FPS!r}::DOUBLE, a.n / {AUDIO_RATE!r}::DOUBLE) * {AUDIO_RATE!r}::DOUBLE) AS BIGINT) AS m
+  FROM (SELECT utt, count(*) AS n FROM energy GROUP BY utt) f JOIN (SELECT utt, count(*) AS n FROM heard GROUP BY utt) a USING (utt)),
+{interpolate_sql('energy', 'clocked', 'lens', AUDIO_RATE, 'zero')}, {zscore_sql('clocked', 'zm')},
+{hilbert_sql('heard', 'mag')}, {smooth_sql('mag', 'mag_s', sample_weights)}, {minmax_sql('mag_s', 'env')}, {zscore_sql('env', 'za')},
+pad AS (SELECT coalesce(zm.utt, za.utt) AS utt, coalesce(zm.i, za.i) AS i, coalesce(zm.v, 0) AS m, coalesce(za.v, 0) AS a
+  FROM zm FULL JOIN za ON zm.utt = za.utt AND zm.i = za.i),
+padn AS (SELECT utt, count(*) AS n FROM pad GROUP BY utt),
+lags AS (SELECT utt, n, unnest(range(-(n // 2), n - n // 2)) AS lag FROM padn),
+cc AS (SELECT l.utt, l.n, l.lag, sum(coalesce(q.a, 0) * p.m) AS total FROM lags l JOIN pad p ON p.utt = l.utt
+  LEFT JOIN pad q ON q.utt = p.utt AND q.i = p.i + l.lag WHERE l.lag BETWEEN -{MAX_LAG} AND {MAX_LAG} GROUP BY l.utt, l.n, l.lag),
+aligned AS (SELECT utt, lag AS offset_samples, lag / {AUDIO_RATE!r}::DOUBLE AS offset_seconds, total / n AS correlation, n_frames, n_samples
+  FROM (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY total DESC, lag) AS r FROM cc) JOIN lens USING (utt) WHERE r = 1)"""
+
+
+def images_and_audio(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    images = B.indexed_frames(spark, sf_dir).select("utt", "frame_idx", "pixels")
+    return images, B.samples(spark, sf_dir)
+
+
+@query("align", f"""WITH {B.PIXELS_SQL}, {align_sql('px')}
+  SELECT utt, n_frames, n_samples, CAST(offset_samples AS BIGINT) AS offset_samples, {d6('offset_seconds')} AS offset_seconds, {d6('correlation')} AS correlation FROM aligned""")
+def align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images, audio = images_and_audio(spark, sf_dir)
+    out = jobs.align(images, audio, UTT, "frame_idx", "pixels", "value", AUDIO_FPS, AUDIO_RATE, SMOOTH_MS, MAX_LAG)
+    return rounded(out, ["offset_seconds", "correlation"])
+
+
+@query("aligned_audio", f"""WITH {B.PIXELS_SQL}, {align_sql('px')},
+  plan AS (SELECT utt, offset_samples AS o, CAST(floor(n_frames / {AUDIO_FPS!r}::DOUBLE * {AUDIO_RATE!r}::DOUBLE) AS BIGINT) AS len FROM aligned),
+  g AS (SELECT utt, o, unnest(range(0, len)) AS i FROM plan)
+  SELECT g.utt, CAST(g.i AS BIGINT) AS frame_idx, coalesce(h.v, 0) AS value FROM g LEFT JOIN heard h ON h.utt = g.utt AND h.i = g.i + g.o""")
+def aligned_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images, audio = images_and_audio(spark, sf_dir)
+    found = jobs.align(images, audio, UTT, "frame_idx", "pixels", "value", AUDIO_FPS, AUDIO_RATE, SMOOTH_MS, MAX_LAG)
+    return jobs.aligned_audio(audio, found, UTT, "frame_idx", "value", AUDIO_FPS, AUDIO_RATE)
+
+
+def _blur_sql() -> str:
+    from vocalgrid.plans.frame_queries import _weights_sql, mirrored
+
+    return f"""{_weights_sql('g', kernels.gaussian(3, 1.0))},
+across AS (SELECT p.utt, p.frame_idx, p.y, p.x, sum(g.w * q.v) AS v FROM px p, g JOIN px q
+  ON q.frame_id = p.frame_id AND q.y = p.y AND q.x = {mirrored('p.x + g.k', S)} GROUP BY ALL),
+blurred AS (SELECT p.utt, p.frame_idx, p.y, p.x, sum(g.w * q.v) AS v FROM across p, g JOIN across q
+  ON q.utt = p.utt AND q.frame_idx = p.frame_idx AND q.x = p.x AND q.y = {mirrored('p.y + g.k', S)} GROUP BY ALL),
+near AS (SELECT utt, frame_idx, y, x, v, coalesce(lag(v) OVER w, v) AS a, coalesce(lead(v) OVER w, v) AS b, count(*) OVER (PARTITION BY utt, y, x) AS n
+  FROM blurred WINDOW w AS (PARTITION BY utt, y, x ORDER BY frame_idx)),
+clean AS (SELECT utt, frame_idx, y, x, CASE WHEN n < 3 THEN v ELSE list_sort([a, v, b])[2] END AS v FROM near)"""
+
+
+@query("preprocess_job", f"""WITH {B.PIXELS_SQL}, {_blur_sql()}, {align_sql('clean')},
+  judged AS (SELECT *, n_frames / 83.28::DOUBLE * 0.5 AS half FROM aligned),
+  every AS (SELECT utt, count(DISTINCT frame_idx) AS n FROM px GROUP BY utt)
+  SELECT e.utt, j.n_frames, j.n_samples, CAST(offset_samples AS BIGINT) AS offset_samples, {d6('offset_seconds')} AS offset_seconds, {d6('correlation')} AS correlation,
+    correlation >= 0.3 AND abs(offset_seconds) <= half AS is_valid,
+    CASE WHEN correlation < 0.3 THEN 'Low correlation: ' || printf('%.3f', correlation) || ' < 0.3'
+      WHEN abs(offset_seconds) > half THEN 'Large offset: ' || printf('%.2f', abs(offset_seconds)) || 's (>' || printf('%.2f', half) || 's)'
+      WHEN correlation IS NOT NULL THEN 'Valid alignment: correlation=' || printf('%.3f', correlation) END AS message,
+    CASE WHEN correlation IS NOT NULL THEN {B.TIER_SQL} END AS tier, CASE WHEN correlation IS NULL THEN 'no audio' END AS error
+  FROM every e LEFT JOIN judged j USING (utt)""")
+def preprocess_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images, audio = images_and_audio(spark, sf_dir)
+    out = jobs.preprocess(images, audio, UTT, "frame_idx", "pixels", "value", S, S, AUDIO_FPS, AUDIO_RATE, SMOOTH_MS, MAX_LAG)
+    return rounded(out, ["offset_seconds", "correlation"])
+
+
+@query("failure_ledger", """WITH s AS (SELECT user_id AS utt, count(*) AS n, bool_or(event_id % 997 = 0) AS bad,
+    min(try_cast(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY user_id)
+  SELECT utt, n, CASE WHEN n < 60 THEN 'too short' WHEN bad THEN 'not finite' WHEN k IS NULL OR k > 2 THEN 'bad metadata' END AS error FROM s""")
+def failure_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    events = B.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("utt")).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.col("event_id") % 997 == 0).alias("bad"), F.min(k).alias("k")
+    )
+    checks = {
+        "too short": F.col("n") < 60,
+        "not finite": F.col("bad"),
+        "bad metadata": F.col("k").isNull() | (F.col("k") > 2),
+    }
+    return jobs.failure_ledger(events, checks).select("utt", "n", "error")
+
+
+@query("parameter_job", f"WITH {GEOMETRY_SQL} SELECT utt, frame_id, {geometry_columns_sql()}, CAST(10 AS BIGINT) AS n_components FROM geo")
+def parameter_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both kinds, stored by kind and read back."""
+    both = jobs.parameters(B.masks(spark, sf_dir), ["utt", "frame_id"], "mask", S, S, "both", 10)
+    where = new_location(spark, "parameters")
+    stores.write_features(both.drop("pca"), where, "geometric", "utt", ["frame_id"])
+    stores.write_features(both.select("utt", "frame_id", "pca"), where, "pca", "utt", ["frame_id"])
+    geometric = stores.read_features(spark, where, "geometric")
+    components = stores.read_features(spark, where, "pca").select("utt", "frame_id", F.size("pca").cast("long").alias("n_components"))
+    joined = geometric.join(components, ["utt", "frame_id"]).withColumn("utt", F.col("utt").cast("long"))
+    return rounded(joined, fixed.GEOMETRIC_FEATURES)
+
+
+@query("training_table_job", f"""WITH {FEATURES_SQL}, {B.PARAMETERS_SQL}, {MISMATCH_SQL}, {SUBJECT_SPLIT_SQL},
+  t AS (SELECT utt, frame_idx, feature, l_quantity, l_extendedprice, split, count(*) OVER (PARTITION BY utt) AS n
+    FROM features JOIN parameters USING (utt, frame_idx) JOIN orders ON o_orderkey = utt JOIN splits ON subject = o_custkey
+    WHERE utt NOT IN (SELECT utt FROM mismatch)),
+  st AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS sp FROM t WHERE split = 'train')
+  SELECT utt, CAST(frame_idx AS BIGINT) AS frame_idx, split, {d6('feature')} AS feature, {d6('(l_quantity - mq) / sq')} AS l_quantity_z,
+    {d6('(l_extendedprice - mp) / sp')} AS l_extendedprice_z, utt || '_seq' || (frame_idx // 2) AS sequence
+  FROM t, st WHERE frame_idx // 2 < n // 2""")
+def training_table_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = B.parameters(spark, sf_dir).select("utt", "frame_idx", "l_quantity", "l_extendedprice")
+    utts = B.scores(spark, sf_dir).select("utt", "subject").join(customer_split(spark, sf_dir), "subject")
+    out = jobs.training_table(
+        order_features(spark, sf_dir), params, utts, ["l_quantity", "l_extendedprice"], length=2
+    )
+    kept = out.select("utt", "frame_idx", "split", "feature", "l_quantity_z", "l_extendedprice_z", "sequence")
+    return rounded(kept, ["feature", "l_quantity_z", "l_extendedprice_z"])
+
+
+# Pseudo labels: ten frames of each subject's best utterance -----------------------------------------
+
+
+@query("pseudo_label_job", f"""WITH {PSEUDO_SQL}
+  SELECT utt, frame_id, sample, {d6('threshold')} AS threshold, y, x, CAST(label AS BIGINT) AS label FROM pseudo""")
+def pseudo_label_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = B.indexed_frames(spark, sf_dir)
+    utts = df.groupBy("utt").agg(F.count(F.lit(1)).alias("n"), F.avg(F.get("pixels", 0)).alias("correlation"))
+    utts = utts.withColumn("subject", F.floor(F.col("utt") / 2).cast("long"))
+    best = ordering.best_per_subject(utts, "subject", "utt", "correlation")
+    picks = series.linspace_positions(best, "n", 10).select("utt", "frame_idx", F.col("sample").cast("long").alias("sample"))
+    chosen = picks.join(df, ["utt", "frame_idx"])
+    labelled = segmentation.pseudo_labels(chosen, "pixels", S, S, "combined")
+    return rounded(mask_pixels(labelled, "label", ["utt", "frame_id", "sample", "threshold"]), ["threshold"])
+
+
+# Logs and streams -------------------------------------------------------------------------------
+
+
+@query("metrics_csv", f"""WITH l AS (SELECT CAST(c_custkey AS INTEGER) AS step, CAST(c_nationkey AS INTEGER) AS epoch, c_acctbal / 1e4 AS v, c_custkey % 2 = 0 AS is_train FROM customer)
+  SELECT epoch, 'train/loss' AS metric, {d6('v')} AS value FROM l WHERE is_train UNION ALL SELECT epoch, 'val/loss', {d6('v')} FROM l WHERE NOT is_train""")
+def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sparse log written as CSV, read with its declared schema and unpivoted."""
+    from vocalgrid.operators.selection import notna_series
+
+    value = F.col("c_acctbal") / 1e4
+    even = F.col("c_custkey") % 2 == 0
+    none = F.lit(None).cast("double")
+    log = B.table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("int").alias("epoch"), none.alias("lr-AdamW"), F.col("c_custkey").cast("int").alias("step"),
+        none.alias("train/acc"), none.alias("train/dice"), none.alias("train/iou"), F.when(even, value).alias("train/loss"),
+        none.alias("val/acc"), none.alias("val/dice"), none.alias("val/iou"), F.when(~even, value).alias("val/loss"),
+    )
+    where = new_location(spark, "metrics")
+    stores.write_metrics(log, where)
+    back = stores.read_metrics(spark, where)
+    return rounded(notna_series(back, "epoch", ["train/loss", "val/loss"]), ["value"])
+
+
+@query("progress_stream", f"""WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS d, count(*) AS expected, count(*) FILTER (event_type <> 'error') AS done FROM events GROUP BY 1)
+  SELECT strftime(d, '%Y-%m-%d') AS day, expected, done, {d6('done / expected * 100')} AS percent, {d6('(expected - done) * 3.5::DOUBLE / 60')} AS eta_minutes FROM w""")
+def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = B.table(spark, sf_dir, "events").schema
+    out = run_progress(
+        spark, sf_dir, schema, "ts", "1 day", "7 days",
+        (F.col("event_type") != "error").cast("long"), F.lit(1), pattern="events.parquet",
+    )
+    named = out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start")
+    return rounded(named, ["percent", "eta_minutes"])

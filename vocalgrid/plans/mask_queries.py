@@ -126,12 +126,6 @@ def tissue_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mask_pixels(held, "tissue", [*KEY, "threshold"]), ["threshold"])
 
 
-@query("tissue_mask_min_area")
-def tissue_mask_min_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = segmentation.tissue_mask(B.frames(spark, sf_dir), "pixels", S, S, sigma=0.0, threshold=0.05, min_area=4)
-    return mask_pixels(held, "tissue")
-
-
 OTSU_BINS = 16
 
 
@@ -153,9 +147,24 @@ def multi_otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mask_pixels(held, "classes", [*KEY, "t1", "t2"]), ["t1", "t2"])
 
 
-@query("multi_otsu_four")
+FOUR_BINS = 32
+
+
+@query("multi_otsu_four", f"""WITH {B.PIXELS_SQL}, {histogram_sql('px', FOUR_BINS)},
+  grid AS (SELECT f.frame_id, b.bin, coalesce(h.c, 0) AS c FROM frames f, (SELECT unnest(range(0, {FOUR_BINS})) AS bin) b
+    LEFT JOIN hist h ON h.frame_id = f.frame_id AND h.bin = b.bin),
+  cum AS (SELECT frame_id, bin, sum(c) OVER w AS n, sum(c * bin) OVER w AS s FROM grid WINDOW w AS (PARTITION BY frame_id ORDER BY bin)),
+  tot AS (SELECT frame_id, n, s FROM cum WHERE bin = {FOUR_BINS - 1}),
+  sets AS (SELECT a.frame_id, a.bin AS b1, b.bin AS b2, c.bin AS b3, round(a.s * a.s / a.n + round((b.s - a.s) ** 2 / (b.n - a.n)
+        + round((c.s - b.s) ** 2 / (c.n - b.n) + (t.s - c.s) ** 2 / (t.n - c.n), 9), 9), 9) AS v
+    FROM cum a JOIN cum b ON b.frame_id = a.frame_id AND b.bin > a.bin JOIN cum c ON c.frame_id = a.frame_id AND c.bin > b.bin
+    JOIN tot t ON t.frame_id = a.frame_id WHERE a.n > 0 AND b.n > a.n AND c.n > b.n AND t.n > c.n),
+  pick AS (SELECT frame_id, b1, b2, b3 FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY v DESC, b1, b2, b3) AS r FROM sets) WHERE r = 1),
+  thr AS (SELECT frame_id, list_transform([b1, b2, b3], lambda b: lo + (b + 0.5::DOUBLE) * (hi - lo) / {FOUR_BINS}) AS t FROM pick JOIN ends USING (frame_id))
+  SELECT utt, frame_id, y, x, CAST((v >= t[1])::INT + (v >= t[2])::INT + (v >= t[3])::INT AS BIGINT) AS classes FROM px JOIN thr USING (frame_id)""")
 def multi_otsu_four(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mask_pixels(segmentation.multi_otsu(B.frames(spark, sf_dir), "pixels", S, S, 4, 64), "classes")
+    held = segmentation.multi_otsu(B.frames(spark, sf_dir), "pixels", S, S, 4, FOUR_BINS, sigma=0.0)
+    return mask_pixels(held, "classes")
 
 
 # Regions ----------------------------------------------------------------------------------------
@@ -166,15 +175,64 @@ def binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("m", F.transform("pixels", lambda v: (v >= 0.02).cast("int")))
 
 
-# Labels spread by a recursive walk over neighbouring pixels; a region's name is its least pixel.
-REGION_SQL = f"""{B.PIXELS_SQL}, on_px AS (SELECT utt, frame_id, y, x, y * {S} + x + 1 AS id FROM px WHERE v >= 0.02),
-walk AS (SELECT frame_id, id AS root, y, x FROM on_px
-  UNION SELECT w.frame_id, w.root, p.y, p.x FROM walk w JOIN on_px p ON p.frame_id = w.frame_id AND abs(p.y - w.y) <= 1 AND abs(p.x - w.x) <= 1 AND p.id > w.root),
-names AS (SELECT frame_id, y, x, min(root) AS region FROM (
-    SELECT frame_id, y, x, root FROM walk) GROUP BY frame_id, y, x)"""
+def region_sql(source: str, condition: str, out: str, connectivity: int) -> str:
+    """{out}(utt, frame_id, y, x, region): a walk over neighbouring pixels; the least pixel names it."""
+    near = "abs(p.y - w.y) <= 1 AND abs(p.x - w.x) <= 1" if connectivity == 8 else "abs(p.y - w.y) + abs(p.x - w.x) <= 1"
+    return f"""{out}_px AS (SELECT utt, frame_id, y, x, y * 1000 + x AS id FROM {source} WHERE {condition}),
+{out}_walk AS (SELECT frame_id, id AS root, y, x FROM {out}_px
+  UNION SELECT w.frame_id, w.root, p.y, p.x FROM {out}_walk w JOIN {out}_px p ON p.frame_id = w.frame_id AND {near} AND p.id > w.root),
+{out} AS (SELECT p.utt, p.frame_id, p.y, p.x, r.region FROM {out}_px p
+  JOIN (SELECT frame_id, y, x, min(root) AS region FROM {out}_walk GROUP BY frame_id, y, x) r USING (frame_id, y, x))"""
+
+
+def largest_sql(regions: str, out: str) -> str:
+    return f"""{out} AS (SELECT frame_id, region FROM (SELECT frame_id, region, row_number() OVER (PARTITION BY frame_id ORDER BY count(*) DESC, region) AS r
+  FROM {regions} GROUP BY frame_id, region) WHERE r = 1)"""
+
+
+# tract(utt, frame_id, y, x, tissue, threshold, tract): background not reached from outside is
+# filled, then grown and shrunk by a disk of radius 3, then the largest region is kept.
+TRACT_SQL = f"""{TISSUE_SQL},
+ring AS (SELECT f.utt, f.frame_id, a.i // {S + 2} - 1 AS y, a.i % {S + 2} - 1 AS x FROM (SELECT DISTINCT utt, frame_id FROM frames) f, (SELECT unnest(range(0, {(S + 2) ** 2})) AS i) a),
+back AS (SELECT r.utt, r.frame_id, r.y, r.x FROM ring r LEFT JOIN tissue t USING (frame_id, y, x) WHERE coalesce(t.tissue, 0) = 0),
+outer_walk AS (SELECT frame_id, y, x FROM back WHERE y = -1 AND x = -1
+  UNION SELECT b.frame_id, b.y, b.x FROM outer_walk w JOIN back b ON b.frame_id = w.frame_id AND abs(b.y - w.y) + abs(b.x - w.x) = 1),
+filled AS (SELECT t.utt, t.frame_id, t.y, t.x FROM tissue t LEFT JOIN outer_walk o USING (frame_id, y, x) WHERE o.frame_id IS NULL),
+grown AS (SELECT DISTINCT t.utt, t.frame_id, t.y, t.x FROM tissue t JOIN filled f ON f.frame_id = t.frame_id AND (f.y - t.y) ** 2 + (f.x - t.x) ** 2 <= 9),
+closed AS (SELECT t.utt, t.frame_id, t.y, t.x FROM tissue t LEFT JOIN (SELECT DISTINCT c.frame_id, c.y, c.x FROM tissue c
+    JOIN (SELECT a.frame_id, a.y, a.x FROM tissue a ANTI JOIN grown g USING (frame_id, y, x)) o
+    ON o.frame_id = c.frame_id AND (o.y - c.y) ** 2 + (o.x - c.x) ** 2 <= 9) lost USING (frame_id, y, x) WHERE lost.frame_id IS NULL),
+{region_sql('closed', 'true', 'tr', 8)}, {largest_sql('tr', 'tr_best')},
+tract AS (SELECT t.*, CASE WHEN b.frame_id IS NULL OR r.region = b.region THEN 1 ELSE 0 END AS tract
+  FROM tissue t LEFT JOIN tr_best b USING (frame_id) LEFT JOIN tr r ON r.frame_id = t.frame_id AND r.y = t.y AND r.x = t.x)"""
+
+RULE_SQL = """CASE WHEN tissue = 0 OR tract = 0 THEN 0 WHEN x < 1 OR x >= 6 THEN 3
+    WHEN y >= 1 AND y < 7 AND x >= 1 AND x < 7 THEN CASE WHEN y >= 3 THEN 1 ELSE 2 END ELSE 0 END"""
+
+# Frames of the best utterance of each subject (two utterances each), ten spread evenly.
+PSEUDO_SQL = f"""RECURSIVE {TRACT_SQL},
+utts AS (SELECT utt, utt // 2 AS subject, count(*) AS n, avg(pixels[1]) AS correlation FROM frames GROUP BY utt),
+chosen AS (SELECT utt, n FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY correlation DESC, utt) AS r FROM utts) WHERE r = 1),
+picks AS (SELECT utt, sample, sample * (n - 1) // 9 AS frame_idx FROM (SELECT utt, n, unnest(range(0, 10)) AS sample FROM chosen)),
+pseudo AS (SELECT k.utt, f.frame_id, k.sample, t.threshold, t.y, t.x, {RULE_SQL} AS label
+  FROM picks k JOIN frames f USING (utt, frame_idx) JOIN tract t ON t.frame_id = f.frame_id)"""
+
+
+@query("tissue_mask_min_area", f"""WITH RECURSIVE {B.PIXELS_SQL}, {region_sql('px', 'v > 0.05', 'r4', 4)},
+  sizes AS (SELECT frame_id, region, count(*) AS n FROM r4 GROUP BY frame_id, region)
+  SELECT p.utt, p.frame_id, p.y, p.x, CAST(coalesce(s.n >= 4, false) AS BIGINT) AS tissue
+  FROM px p LEFT JOIN r4 USING (frame_id, y, x) LEFT JOIN sizes s ON s.frame_id = p.frame_id AND s.region = r4.region""")
+def tissue_mask_min_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = segmentation.tissue_mask(B.frames(spark, sf_dir), "pixels", S, S, sigma=0.0, threshold=0.05, min_area=4)
+    return mask_pixels(held, "tissue")
 
 
-@query("region_label")
+@query("region_label", f"""WITH RECURSIVE {B.PIXELS_SQL}, {region_sql('px', 'v >= 0.02', 'r8', 8)}, {region_sql('px', 'v >= 0.02', 'r4', 4)}, {largest_sql('r8', 'best')},
+  sizes AS (SELECT frame_id, region, count(*) AS n FROM r4 GROUP BY frame_id, region)
+  SELECT p.utt, p.frame_id, p.y, p.x, CAST(coalesce(r8.region // 1000 * {S} + r8.region % 1000 + 1, 0) AS BIGINT) AS region,
+    CAST(coalesce(s.n >= 5, false) AS BIGINT) AS big, CAST(coalesce(r8.region = best.region, false) AS BIGINT) AS largest
+  FROM px p LEFT JOIN r8 USING (frame_id, y, x) LEFT JOIN r4 USING (frame_id, y, x)
+  LEFT JOIN sizes s ON s.frame_id = p.frame_id AND s.region = r4.region LEFT JOIN best ON best.frame_id = p.frame_id""")
 def region_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = binary(spark, sf_dir)
     held = held.withColumn("region", segmentation.region_label(S, S, 8)(F.col("m")))
@@ -185,7 +243,7 @@ def region_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*KEY, "y", "x", *[F.col(f"a.{n}").cast("long").alias(n) for n in ("region", "big", "largest")])
 
 
-@query("vocal_tract_mask")
+@query("vocal_tract_mask", f"WITH RECURSIVE {TRACT_SQL} SELECT utt, frame_id, y, x, CAST(tract AS BIGINT) AS tract FROM tract")
 def vocal_tract_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = segmentation.tissue_mask(B.frames(spark, sf_dir), "pixels", S, S)
     return mask_pixels(held.withColumn("tract", segmentation.vocal_tract_mask(S, S)(F.col("tissue"))), "tract")

@@ -39,8 +39,8 @@ def write_features(df: DataFrame, path: str, kind: str, subject: str, order: Seq
 
 
 def read_features(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """One kind: other folders are pruned."""
-    return spark.read.parquet(path).where(F.col("kind") == kind).drop("kind")
+    """One kind with the columns its own files have; other folders are not listed at all."""
+    return spark.read.option("basePath", path).parquet(f"{path}/kind={kind}").drop("kind")
 
 
 def write_split_lists(splits: DataFrame, path: str, name: str) -> None:

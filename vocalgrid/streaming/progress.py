@@ -33,6 +33,7 @@ def run_progress(
     by: Sequence[str] = (),
     source_format: str = "parquet",
     max_files: int | None = None,
+    pattern: str = "*",
 ) -> DataFrame:
     """Work through all files there are and return the report of the last trigger.
 
@@ -40,7 +41,7 @@ def run_progress(
     latest row counts. State and reports live in the shared folder, so a lost executor or driver
     resumes from there.
     """
-    reader = spark.readStream.format(source_format).schema(schema)
+    reader = spark.readStream.format(source_format).schema(schema).option("pathGlobFilter", pattern)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     report = windowed_progress(reader.load(path), ts, width, delay, done, expected, by)

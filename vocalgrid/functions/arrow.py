@@ -1,4 +1,9 @@
-"""Arrow batch kernels: numpy on whole batches of equally long arrays, one call per batch."""
+"""Arrow batch kernels: numpy on whole batches of equally long frames, one call per batch.
+
+A frame column is an ARRAY of numbers or, more compactly, a BINARY with one byte per pixel. Spark
+hands arrays to Python workers element by element but binaries by block copy, so stored masks are
+best kept packed (``pack``); every kernel takes both forms.
+"""
 
 from __future__ import annotations
 
@@ -9,31 +14,60 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
+# Values worked on at a time: a slice of this size and its temporaries stay in the CPU caches.
+SLICE = 1 << 19
+_DTYPES = {"double": np.float64, "int": np.int32, "boolean": np.bool_, "bytes": np.uint8}
+
+
+def _rows(values: pa.Array) -> np.ndarray:
+    """Arrow list or binary array without nulls to (rows, width)."""
+    if pa.types.is_binary(values.type):
+        offsets = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1]
+        flat = np.frombuffer(values.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    else:
+        flat = np.asarray(values.flatten().to_numpy(zero_copy_only=False))
+    if values.null_count or flat.size % len(values):
+        raise ValueError("frames of one batch must be set and equally long")
+    return flat.reshape(len(values), -1)
+
 
 def batch_kernel(fn: Callable[[np.ndarray], np.ndarray], element: str = "double") -> Callable[[Column], Column]:
-    """Column function applying ``fn`` (rows, width) -> (rows, other width) to an array column.
+    """Column function applying ``fn`` (rows, width) -> (rows, other width) to a frame column.
 
-    All arrays of a batch must have the same length and hold no nulls. Values stay in Arrow buffers.
+    ``element`` names the result: ARRAY of double, int or boolean, or packed ``bytes``.
     """
-    dtype = {"double": np.float64, "int": np.int32, "boolean": np.bool_}[element]
+    dtype = _DTYPES[element]
+    packed = element == "bytes"
 
-    @arrow_udf(f"array<{element}>")
+    @arrow_udf("binary" if packed else f"array<{element}>")
     def run(values: pa.Array) -> pa.Array:
-        rows = len(values)
-        if rows == 0:
-            return pa.array([], type=pa.list_(pa.from_numpy_dtype(dtype)))
-        flat = values.flatten()
-        if len(flat) % rows:
-            raise ValueError("arrays of one batch differ in length")
-        block = np.asarray(flat.to_numpy(zero_copy_only=False)).reshape(rows, -1)
-        out = np.ascontiguousarray(fn(block), dtype=dtype)
-        offsets = np.arange(rows + 1, dtype=np.int32) * out.shape[1]
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+        if len(values) == 0:
+            return pa.array([], type=pa.binary() if packed else pa.list_(pa.from_numpy_dtype(dtype)))
+        rows = _rows(values)
+        step = max(SLICE // max(rows.shape[1], 1), 1)
+        parts = [np.asarray(fn(rows[i : i + step]), dtype=dtype) for i in range(0, len(rows), step)]
+        out = np.concatenate(parts)
+        offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * out.shape[1])
+        if packed:
+            return pa.Array.from_buffers(
+                pa.binary(), len(rows), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(out))]
+            )
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
     return run
 
 
+def pack() -> Callable[[Column], Column]:
+    """Small non-negative integers of a frame as one byte each."""
+    return batch_kernel(lambda rows: rows, "bytes")
+
+
+def unpack() -> Callable[[Column], Column]:
+    """A packed frame as ARRAY<INT>."""
+    return batch_kernel(lambda rows: rows, "int")
+
+
 def project(matrix: np.ndarray) -> Callable[[Column], Column]:
-    """array -> matrix @ array."""
+    """frame -> matrix @ frame."""
     turned = np.asarray(matrix, dtype=np.float64).T.copy()
     return batch_kernel(lambda rows: rows @ turned)

@@ -233,3 +233,49 @@ def analytic_magnitude(values: np.ndarray) -> np.ndarray:
     if n % 2 == 0:
         gain[n // 2] = 1.0
     return np.abs(np.fft.ifft(np.fft.fft(values) * gain))
+
+
+# Mask geometry: everything follows from how many pixels of a class each row and column holds ------
+
+
+def _mean_place(counts: np.ndarray, size: int) -> np.ndarray:
+    """Mean index weighted by counts (batch, size), as a share of the size; 0 without pixels."""
+    n = counts.sum(axis=1)
+    return (counts @ np.arange(size)) / np.maximum(n, 1) / size
+
+
+def _extent(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First occupied index and last minus first, as shares of the size; 0 without pixels."""
+    held = counts > 0
+    first = held.argmax(axis=1)
+    last = size - 1 - held[:, ::-1].argmax(axis=1)
+    some = held.any(axis=1)
+    return np.where(some, first, 0) / size, np.where(some, last - first, 0) / size
+
+
+def mask_geometry(masks: np.ndarray, tongue: int, jaw: int, lips: int) -> np.ndarray:
+    """The 14 parameters (batch, 14) of masks (batch, height, width)."""
+    b, h, w = masks.shape
+    is_tongue = masks == tongue
+    t_rows, t_cols = is_tongue.sum(axis=2), is_tongue.sum(axis=1)
+    j_rows, l_rows, any_rows = ((m.sum(axis=2)) for m in (masks == jaw, masks == lips, masks > 0))
+    n = t_rows.sum(axis=1)
+    # Rows that begin at or before rank floor(0.2 (n - 1)) hold the points up to the 20th percentile.
+    before = t_rows.cumsum(axis=1) - t_rows
+    top = np.where(before <= np.floor(0.2 * (n - 1))[:, None], t_rows, 0)
+    tip, _ = _extent(t_rows, h)
+    _, width = _extent(t_cols, w)
+    _, opening = _extent(j_rows, h)
+    _, aperture = _extent(l_rows, h)
+    occupied = np.where(any_rows > 0, any_rows, w + 1)
+    narrow = occupied.argmin(axis=1)
+    some = any_rows.any(axis=1)
+    return np.stack(
+        [
+            n / (h * w), _mean_place(t_cols, w), _mean_place(t_rows, h), tip, _mean_place(top, h), width,
+            j_rows.sum(axis=1) / (h * w), _mean_place(j_rows, h), opening,
+            l_rows.sum(axis=1) / (h * w), _mean_place(l_rows, h), aperture,
+            np.where(some, occupied[np.arange(b), narrow], 0) / w, np.where(some, narrow, 0) / h,
+        ],
+        axis=1,
+    )

@@ -56,6 +56,12 @@ def geometric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features(spark, sf_dir), fixed.GEOMETRIC_FEATURES)
 
 
+@query("geometric_features_sql", f"WITH {GEOMETRY_SQL} SELECT utt, frame_id, {geometry_columns_sql()} FROM geo")
+def geometric_features_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = geometry.geometric_features_sql(B.masks(spark, sf_dir), KEY, "mask", S, S)
+    return rounded(out, fixed.GEOMETRIC_FEATURES)
+
+
 @query("geometric_means", f"WITH {GEOMETRY_SQL} SELECT utt, count(*) AS n_frames, " + ", ".join(f"{d6(f'avg({n})')} AS {n}" for n in fixed.GEOMETRIC_FEATURES) + " FROM geo GROUP BY utt")
 def geometric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = [F.avg(n).alias(n) for n in fixed.GEOMETRIC_FEATURES]

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,6 +135,15 @@ def draw(seed: int, *parts: Column) -> Column:
 # Frames as flat row-major arrays ----------------------------------------------------------------
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often a lambda in the body uses it.
+
+    Bodies must use bound values only: a Python kernel's result that the optimizer moves into a
+    lambda could no longer be taken out for the Python workers.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
@@ -147,9 +155,15 @@ def count_value(values: Column, value: int) -> Column:
 
 def normalize_array(pixels: Column, low: float = 0.0, high: float = 1.0) -> Column:
     """Min-max scaling to [low, high]; a constant frame becomes the midpoint."""
-    least, most = F.array_min(pixels), F.array_max(pixels)
-    scaled = F.transform(pixels, lambda v: (v - least) / (most - least) * F.lit(high - low) + F.lit(low))
-    return F.when(most == least, F.transform(pixels, lambda v: F.lit((low + high) / 2))).otherwise(scaled)
+
+
+    def scale(b: Column) -> Column:
+        span = b["most"] - b["least"]
+        scaled = F.transform(b["px"], lambda v: (v - b["least"]) / span * F.lit(high - low) + F.lit(low))
+        return F.when(span == 0, F.transform(b["px"], lambda v: F.lit((low + high) / 2))).otherwise(scaled)
+
+    ends = F.struct(pixels.alias("px"), F.array_min(pixels).alias("least"), F.array_max(pixels).alias("most"))
+    return bind(ends, scale)
 
 
 def frame_zscore(pixels: Column) -> Column:
@@ -164,13 +178,9 @@ def frame_zscore(pixels: Column) -> Column:
             F.sqrt(F.greatest(m["q"] / n - (m["s"] / n) * (m["s"] / n), F.lit(0.0))).alias("std"),
         ),
     )
-    # A one-element array makes the moments a bound variable instead of a repeated expression.
-    return F.flatten(
-        F.transform(
-            F.array(moments),
-            lambda m: F.transform(pixels, lambda v: (v - m["mean"]) / (m["std"] + F.lit(fixed.SCALE_EPSILON))),
-        )
-    )
+    held = F.struct(pixels.alias("px"), moments.alias("m"))
+    eps = F.lit(fixed.SCALE_EPSILON)
+    return bind(held, lambda h: F.transform(h["px"], lambda v: (v - h["m"]["mean"]) / (h["m"]["std"] + eps)))
 
 
 def pad_frame(pixels: Column, height: int, width: int, target: int, fill: float = 0.0) -> Column:
@@ -179,9 +189,12 @@ def pad_frame(pixels: Column, height: int, width: int, target: int, fill: float
     blank = F.array_repeat(F.lit(fill), target)
     side = F.array_repeat(F.lit(fill), left)
     other = F.array_repeat(F.lit(fill), target - width - left)
-    rows = F.transform(
-        F.sequence(F.lit(0), F.lit(height - 1)),
-        lambda y: F.concat(side, F.slice(pixels, y * width + 1, width), other),
+    rows = bind(
+        pixels,
+        lambda px: F.transform(
+            F.sequence(F.lit(0), F.lit(height - 1)),
+            lambda y: F.concat(side, F.slice(px, y * width + 1, width), other),
+        ),
     )
     above = F.array_repeat(blank, top)
     below = F.array_repeat(blank, target - height - top)
@@ -190,8 +203,9 @@ def pad_frame(pixels: Column, height: int, width: int, target: int, fill: float
 
 def crop(pixels: Column, width: int, y1: int, y2: int, x1: int, x2: int) -> Column:
     """Rows y1..y2-1 and columns x1..x2-1 of a frame."""
-    rows = F.transform(
-        F.sequence(F.lit(y1), F.lit(y2 - 1)), lambda y: F.slice(pixels, y * width + F.lit(x1 + 1), x2 - x1)
+    lines = F.sequence(F.lit(y1), F.lit(y2 - 1))
+    rows = bind(
+        pixels, lambda px: F.transform(lines, lambda y: F.slice(px, y * width + F.lit(x1 + 1), x2 - x1))
     )
     return F.flatten(rows)
 
@@ -225,47 +239,17 @@ def digitize_by(value: Column, thresholds: Column) -> Column:
 
 def flip_frame(pixels: Column, height: int, width: int) -> Column:
     """Mirror every row."""
-    rows = F.transform(
-        F.sequence(F.lit(0), F.lit(height - 1)), lambda y: F.reverse(F.slice(pixels, y * width + 1, width))
-    )
+    lines = F.sequence(F.lit(0), F.lit(height - 1))
+    rows = bind(pixels, lambda px: F.transform(lines, lambda y: F.reverse(F.slice(px, y * width + 1, width))))
     return F.flatten(rows)
 
 
 def adjust_brightness(pixels: Column, factor: Column) -> Column:
-    return F.transform(pixels, lambda v: clip01(v * factor))
+    held = F.struct(pixels.alias("px"), factor.alias("f"))
+    return bind(held, lambda h: F.transform(h["px"], lambda v: clip01(v * h["f"])))
 
 
 def adjust_contrast(pixels: Column, factor: Column) -> Column:
     mean = array_sum(pixels) / F.size(pixels)
-    return F.flatten(
-        F.transform(F.array(mean), lambda m: F.transform(pixels, lambda v: clip01((v - m) * factor + m)))
-    )
-
-
-def rotate_frame(pixels: Column, height: int, width: int, degrees: Column) -> Column:
-    """Rotation about the centre, bilinear, zero outside; pixel centres sit at half positions."""
-    angle = degrees * F.lit(math.pi / 180.0)
-    turn = F.array(F.struct(F.cos(angle).alias("c"), F.sin(angle).alias("s")))
-
-    def value_at(y: Column, x: Column) -> Column:
-        inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)
-        return F.when(inside, F.get(pixels, (y * width + x).cast("int"))).otherwise(F.lit(0.0))
-
-    def sample(p: Column) -> Column:
-        ix, iy = p["x"], p["y"]
-        x0, y0 = F.floor(ix), F.floor(iy)
-        fx, fy = ix - x0, iy - y0
-        top = value_at(y0, x0) * (1 - fx) + value_at(y0, x0 + 1) * fx
-        low = value_at(y0 + 1, x0) * (1 - fx) + value_at(y0 + 1, x0 + 1) * fx
-        return top * (1 - fy) + low * fy
-
-    def source(t: Column, i: Column) -> Column:
-        u = (2 * (i % width) + 1) / F.lit(float(width)) - 1
-        v = (2 * F.floor(i / width) + 1) / F.lit(float(height)) - 1
-        x = ((t["c"] * u - t["s"] * v + 1) * width - 1) / 2
-        y = ((t["s"] * u + t["c"] * v + 1) * height - 1) / 2
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    cells = F.sequence(F.lit(0), F.lit(height * width - 1))
-    places = F.flatten(F.transform(turn, lambda t: F.transform(cells, lambda i: source(t, i))))
-    return F.transform(places, sample)
+    held = F.struct(pixels.alias("px"), mean.alias("m"), factor.alias("f"))
+    return bind(held, lambda h: F.transform(h["px"], lambda v: clip01((v - h["m"]) * h["f"] + h["m"])))

@@ -33,6 +33,26 @@ def smooth_frames(frames: np.ndarray, left: np.ndarray, right: np.ndarray) -> np
     return np.einsum("ij,bjk,lk->bil", left, frames, right, optimize=True)
 
 
+def rotate_frames(frames: np.ndarray, degrees: np.ndarray) -> np.ndarray:
+    """Each frame turned about its centre, bilinear, zero outside; pixel centres at half positions."""
+    b, h, w = frames.shape
+    angle = np.deg2rad(degrees)[:, None, None]
+    v, u = np.meshgrid((2 * np.arange(h) + 1) / h - 1, (2 * np.arange(w) + 1) / w - 1, indexing="ij")
+    x = ((np.cos(angle) * u - np.sin(angle) * v + 1) * w - 1) / 2
+    y = ((np.sin(angle) * u + np.cos(angle) * v + 1) * h - 1) / 2
+    x0, y0 = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
+    fx, fy = x - x0, y - y0
+    frame = np.arange(b)[:, None, None]
+
+    def at(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        inside = (row >= 0) & (row < h) & (col >= 0) & (col < w)
+        return np.where(inside, frames[frame, np.clip(row, 0, h - 1), np.clip(col, 0, w - 1)], 0.0)
+
+    top = at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx
+    low = at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx
+    return top * (1 - fy) + low * fy
+
+
 # Thresholds -------------------------------------------------------------------------------------
 
 

@@ -85,13 +85,13 @@ def spatial_gaussian(height: int, width: int, sigma: float) -> Callable[[Column]
     )
 
 
-def smoothing_2d(height: int, width: int, sigma: float) -> Callable[[Column], Column]:
-    """Gaussian with radius int(4 sigma + 0.5) in both directions, edge pixels repeated."""
+def smoothing_kernel(height: int, width: int, sigma: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Kernel: Gaussian with radius int(4 sigma + 0.5) both ways, edges repeated; none for sigma 0."""
+    if sigma <= 0:
+        return lambda rows: rows
     weights = kernels.gaussian(int(4 * sigma + 0.5), sigma)
     left, right = (kernels.mirror_matrix(n, weights, repeat_edge=True) for n in (height, width))
-    return batch_kernel(
-        lambda rows: kernels.smooth_frames(rows.reshape(-1, height, width), left, right).reshape(len(rows), -1)
-    )
+    return lambda rows: kernels.smooth_frames(rows.reshape(-1, height, width), left, right).reshape(len(rows), -1)
 
 
 def denoise(
@@ -102,6 +102,26 @@ def denoise(
     return temporal_median(df.withColumn(pixels, blur(F.col(pixels))), keys, idx, pixels, window)
 
 
+def turn_pair(height: int, width: int) -> Callable[[Column], Column]:
+    """(flip, degrees, image, mask) as one array to (image, mask), mirrored if flip is 1, then turned.
+
+    Mask values are truncated to classes; with 0 degrees nothing is turned.
+    """
+
+    def run(rows: np.ndarray) -> np.ndarray:
+        flip, degrees = rows[:, 0] == 1, rows[:, 1]
+        pairs = rows[:, 2:].reshape(len(rows), 2, height, width).copy()
+        pairs[flip] = pairs[flip][..., ::-1]
+        moved = degrees != 0
+        for part in (0, 1):
+            pairs[moved, part] = kernels.rotate_frames(pairs[moved, part], degrees[moved])
+        # Sums of shares of whole classes: what rounding took off an exact class is given back.
+        pairs[moved, 1] = np.floor(pairs[moved, 1] + 1e-9)
+        return pairs.reshape(len(rows), -1)
+
+    return batch_kernel(run)
+
+
 def augment(
     df: DataFrame, key: Sequence[str], image: str, mask: str, height: int, width: int, seed: int = 42, rotate: bool = True
 ) -> DataFrame:
@@ -113,25 +133,24 @@ def augment(
     parts = [F.col(k) for k in key]
     u = lambda step: C.draw(seed, *parts, F.lit(step))
     img, msk = F.col(image), F.col(mask)
-    out = df.withColumn("_flip", u("flip") > 0.5)
-    out = out.withColumn(image, F.when(F.col("_flip"), C.flip_frame(img, height, width)).otherwise(img))
-    out = out.withColumn(mask, F.when(F.col("_flip"), C.flip_frame(msk, height, width)).otherwise(msk))
+    flip = u("flip") > 0.5
     if rotate:
-        degrees = F.when(u("rotate") > 0.5, (u("angle") - 0.5) * 20)
-        out = out.withColumn("_deg", degrees)
-        turned = C.rotate_frame(img, height, width, F.col("_deg"))
-        turned_mask = F.transform(
-            C.rotate_frame(F.transform(msk, lambda v: v.cast("double")), height, width, F.col("_deg")),
-            lambda v: F.floor(v).cast("int"),
-        )
-        out = out.withColumn(image, F.when(F.col("_deg").isNull(), img).otherwise(turned))
-        out = out.withColumn(mask, F.when(F.col("_deg").isNull(), msk).otherwise(turned_mask))
-        out = out.drop("_deg")
+        degrees = F.when(u("rotate") > 0.5, (u("angle") - 0.5) * 20).otherwise(0.0)
+        size = height * width
+        moves = F.array(flip.cast("double"), degrees)
+        both = F.concat(moves, img, F.transform(msk, lambda v: v.cast("double")))
+        out = df.withColumn("_both", turn_pair(height, width)(both))
+        out = out.withColumn(image, F.slice("_both", 1, size))
+        out = out.withColumn(mask, F.transform(F.slice("_both", size + 1, size), lambda v: v.cast("int"))).drop("_both")
+    else:
+        out = df.withColumn("_flip", flip)
+        out = out.withColumn(image, F.when(F.col("_flip"), C.flip_frame(img, height, width)).otherwise(img))
+        out = out.withColumn(mask, F.when(F.col("_flip"), C.flip_frame(msk, height, width)).otherwise(msk)).drop("_flip")
     bright = F.lit(0.8) + u("brightness_factor") * 0.4
     out = out.withColumn(image, F.when(u("brightness") > 0.5, C.adjust_brightness(img, bright)).otherwise(img))
     contrast = F.lit(0.8) + u("contrast_factor") * 0.4
     out = out.withColumn(image, F.when(u("contrast") > 0.5, C.adjust_contrast(img, contrast)).otherwise(img))
-    return out.drop("_flip")
+    return out
 
 
 def class_distribution(df: DataFrame, keys: Sequence[str], mask: str, n_classes: int) -> DataFrame:

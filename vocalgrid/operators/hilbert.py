@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocalgrid import scale
+from vocalgrid.functions.arrow import series_kernel
 from vocalgrid.functions.kernels import analytic_magnitude
 
 
@@ -36,14 +37,11 @@ def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
 
 
 def _in_one_task(df: DataFrame, keys: Sequence[str], idx: str, out: str) -> DataFrame:
-    names = list(keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(idx)
-        ordered[out] = analytic_magnitude(ordered["_x"].to_numpy())
-        return ordered[[*names, idx, out]]
-
-    return df.groupBy(*keys).applyInPandas(run, f"{_key_schema(df, keys)}, `{idx}` long, `{out}` double")
+    """Each series as one array of at most the group limit, transformed by an Arrow kernel."""
+    rows = F.array_sort(F.collect_list(F.struct(idx, "_x")))
+    held = df.groupBy(*keys).agg(rows.alias("_rows"))
+    whole = held.select(*keys, series_kernel(analytic_magnitude)(F.col("_rows._x")).alias("_m"))
+    return whole.select(*keys, F.posexplode("_m").alias(idx, out)).withColumn(idx, F.col(idx).cast("long"))
 
 
 def _grid(n: int) -> tuple[int, int]:

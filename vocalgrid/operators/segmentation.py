@@ -3,23 +3,16 @@ pixels, except ``otsu_threshold`` which folds them to histograms first."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocalgrid import fixed
-from vocalgrid.functions import columns as C
 from vocalgrid.functions import kernels
 from vocalgrid.functions.arrow import batch_kernel
-from vocalgrid.operators.frames import smoothing_2d
-
-
-def unit_range(pixels: Column) -> Column:
-    """Divide by the maximum where it exceeds 1."""
-    most = F.array_max(pixels)
-    return F.when(most > 1.0, F.transform(pixels, lambda v: v / most)).otherwise(pixels)
+from vocalgrid.operators.frames import smoothing_kernel
 
 
 def otsu_threshold(df: DataFrame, keys: Sequence[str], pixels: str, bins: int = 256) -> DataFrame:
@@ -53,6 +46,16 @@ def otsu_threshold(df: DataFrame, keys: Sequence[str], pixels: str, bins: int =
     return best.select(*keys, F.when(F.col("hi") > F.col("lo"), centre).otherwise(0.5).alias("threshold"))
 
 
+def _smoothed(height: int, width: int, sigma: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Kernel: divide by the maximum where it exceeds 1, then smooth."""
+    blur = smoothing_kernel(height, width, sigma)
+
+    def run(rows: np.ndarray) -> np.ndarray:
+        return blur(rows / np.maximum(rows.max(axis=1, keepdims=True), 1.0))
+
+    return run
+
+
 def tissue_mask(
     df: DataFrame,
     pixels: str,
@@ -65,30 +68,36 @@ def tissue_mask(
     out: str = "tissue",
 ) -> DataFrame:
     """Add the threshold and the mask (0/1) of pixels above it after smoothing; small regions dropped."""
-    frame = unit_range(F.col(pixels))
-    smooth = smoothing_2d(height, width, sigma)(frame) if sigma > 0 else frame
-    held = df.withColumn("_smooth", smooth)
-    if threshold is None:
-        otsu = batch_kernel(lambda rows: kernels.otsu_thresholds(rows, bins)[:, None])
-        held = held.withColumn("threshold", otsu(F.col("_smooth"))[0])
-    else:
-        held = held.withColumn("threshold", F.lit(float(threshold)))
-    mask = F.transform("_smooth", lambda v: (v > F.col("threshold")).cast("int"))
-    if min_area > 0:
-        mask = drop_small(height, width, min_area)(mask)
-    return held.withColumn(out, mask).drop("_smooth")
+    smooth = _smoothed(height, width, sigma)
+
+    def run(rows: np.ndarray) -> np.ndarray:
+        values = smooth(rows)
+        limit = kernels.otsu_thresholds(values, bins) if threshold is None else np.full(len(rows), float(threshold))
+        mask = values > limit[:, None]
+        if min_area > 0:
+            mask = kernels.drop_small(mask.reshape(-1, height, width), min_area).reshape(len(rows), -1)
+        return np.concatenate([limit[:, None], mask], axis=1)
+
+    # One kernel call gives both: the threshold leads the mask.
+    held = df.withColumn("_t", batch_kernel(run)(F.col(pixels)))
+    mask = F.transform(F.slice("_t", 2, height * width), lambda v: v.cast("int"))
+    return held.withColumn("threshold", F.col("_t")[0]).withColumn(out, mask).drop("_t")
 
 
 def multi_otsu(
     df: DataFrame, pixels: str, height: int, width: int, classes: int = 3, bins: int = 256, sigma: float = 1.0
 ) -> DataFrame:
     """Add the thresholds of ``classes`` intensity classes and the class of every pixel."""
-    frame = unit_range(F.col(pixels))
-    smooth = smoothing_2d(height, width, sigma)(frame) if sigma > 0 else frame
-    find = batch_kernel(lambda rows: kernels.multi_otsu_thresholds(rows, classes, bins))
-    held = df.withColumn("_smooth", smooth).withColumn("thresholds", find(F.col("_smooth")))
-    classed = F.transform("_smooth", lambda v: C.digitize_by(v, F.col("thresholds")))
-    return held.withColumn("classes", classed).drop("_smooth")
+    smooth = _smoothed(height, width, sigma)
+
+    def run(rows: np.ndarray) -> np.ndarray:
+        values = smooth(rows)
+        limits = kernels.multi_otsu_thresholds(values, classes, bins)
+        return np.concatenate([limits, (values[:, :, None] >= limits[:, None, :]).sum(axis=2)], axis=1)
+
+    held = df.withColumn("_t", batch_kernel(run)(F.col(pixels)))
+    classed = F.transform(F.slice("_t", classes, height * width), lambda v: v.cast("int"))
+    return held.withColumn("thresholds", F.slice("_t", 1, classes - 1)).withColumn("classes", classed).drop("_t")
 
 
 def _on_masks(fn, height: int, width: int):
@@ -128,9 +137,8 @@ def label_rules(tissue: Column, tract: Column, height: int, width: int) -> Colum
     top, left = int(height * 0.2), int(width * 0.2)
     low_from, right_from = int(height * 0.4), int(width * 0.8)
 
-    def rule(t: Column, i: Column) -> Column:
+    def rule(inside: Column, i: Column) -> Column:
         y, x = F.floor(i / width), i % width
-        inside = (t != 0) & (F.get(tract, i) != 0)
         central = (y >= top) & (y < height - top) & (x >= left) & (x < width - left)
         return (
             F.when(~inside, fixed.BACKGROUND)
@@ -140,7 +148,7 @@ def label_rules(tissue: Column, tract: Column, height: int, width: int) -> Colum
             .otherwise(fixed.BACKGROUND)
         )
 
-    return F.transform(tissue, rule)
+    return F.transform(F.zip_with(tissue, tract, lambda t, v: (t != 0) & (v != 0)), rule)
 
 
 def pseudo_labels(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vocalgrid import fixed, scale
 from vocalgrid.functions import columns as C
 from vocalgrid.operators import frames, geometry, hilbert, ordering, pca, selection, series, summaries
+from vocalgrid.session import pinned
 
 
 def failure_ledger(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -30,8 +31,9 @@ def audio_envelope(
     df: DataFrame, keys: Sequence[str], idx: str, value: str, smooth_ms: float, rate: float, out: str = "envelope"
 ) -> DataFrame:
     """Magnitude of the analytic signal, smoothed and scaled to 0..1 per utterance."""
-    raw = hilbert.magnitude(df, keys, idx, value, out="_mag")
-    smooth = series.gaussian_smooth(raw, keys, idx, "_mag", smooth_ms, rate, out="_mag")
+    # Both later steps read their input twice (for group sizes, for group ends), so it is pinned.
+    raw = pinned(hilbert.magnitude(df, keys, idx, value, out="_mag"))
+    smooth = pinned(series.gaussian_smooth(raw, keys, idx, "_mag", smooth_ms, rate, out="_mag"))
     return series.group_minmax(smooth, keys, idx, "_mag", out=out).drop("_mag")
 
 
@@ -39,8 +41,9 @@ def motion_signal(
     df: DataFrame, keys: Sequence[str], idx: str, pixels: str, smooth_ms: float, fps: float, out: str = "energy"
 ) -> DataFrame:
     """Summed frame difference, smoothed and scaled to 0..1 per utterance."""
-    raw = frames.motion_energy(df, keys, idx, pixels, "l1", out="_e")
-    smooth = series.gaussian_smooth(raw, keys, idx, "_e", smooth_ms, fps, out="_e")
+    # One number per frame is kept; the pixels are read once.
+    raw = pinned(frames.motion_energy(df, keys, idx, pixels, "l1", out="_e"))
+    smooth = pinned(series.gaussian_smooth(raw, keys, idx, "_e", smooth_ms, fps, out="_e"))
     return series.group_minmax(smooth, keys, idx, "_e", out=out).drop("_e")
 
 
@@ -64,21 +67,27 @@ def align(
     on = list(keys)
     both = scale.group_size(images, on, "n_frames").join(scale.group_size(audio, on, "n_samples"), on)
     seconds = F.greatest(F.col("n_frames") / F.lit(float(fps)), F.col("n_samples") / F.lit(float(rate)))
-    plan = both.withColumn("n_targets", F.ceil(seconds * F.lit(float(rate))).cast("long"))
-    motion = motion_signal(images, on, idx, pixels, smooth_ms, fps)
+    n_targets = F.ceil(seconds * F.lit(float(rate))).cast("long")
+    # One row per utterance; N is the length both series are padded to.
+    plan = pinned(
+        both.withColumn("n_targets", n_targets).withColumn("length", F.greatest("n_targets", "n_samples"))
+    )
+    motion = motion_signal(images.join(plan.select(*on), on, "left_semi"), on, idx, pixels, smooth_ms, fps)
     timed = motion.withColumn("_time", F.col(idx) / F.lit(float(fps)))
-    clocked = series.interpolate(timed, on, idx, "_time", ["energy"], plan, rate, mode="zero", out_idx="sample")
+    clocked = pinned(
+        series.interpolate(timed, on, idx, "_time", ["energy"], plan, rate, mode="zero", out_idx="sample")
+    )
     m = series.group_zscore(clocked, on, "sample", "energy", out="m").select(*on, "sample", "m")
-    envelope = audio_envelope(audio.join(plan.select(*on), on, "left_semi"), on, idx, value, smooth_ms, rate)
-    a = series.group_zscore(envelope.withColumnRenamed(idx, "sample"), on, "sample", "envelope", out="a")
+    heard = audio.join(plan.select(*on), on, "left_semi")
+    envelope = pinned(audio_envelope(heard, on, idx, value, smooth_ms, rate).withColumnRenamed(idx, "sample"))
+    a = series.group_zscore(envelope, on, "sample", "envelope", out="a")
     padded = m.join(a.select(*on, "sample", "a"), [*on, "sample"], "full")
     padded = padded.select(*on, "sample", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("m", F.lit(0.0)).alias("m"))
     products = series.lag_products(padded, on, "sample", "a", "m", max_lag)
-    length = scale.group_size(padded, on, "length")
     # Lags run from -floor(N/2) to N-1-floor(N/2), as a centred correlation of N samples has them.
     half = F.floor(F.col("length") / 2)
-    centred = products.join(length, on).where((F.col("lag") >= -half) & (F.col("lag") <= F.col("length") - 1 - half))
-    best = series.best_lag(centred, on).join(length, on).join(both, on)
+    centred = products.join(plan, on).where((F.col("lag") >= -half) & (F.col("lag") <= F.col("length") - 1 - half))
+    best = series.best_lag(centred, on).join(plan, on)
     return best.select(
         *on,
         "n_frames",
@@ -132,7 +141,9 @@ def preprocess(
     )
     good = succeeded(ledger).select(*on)
     clean = frames.denoise(images.join(good, on, "left_semi"), on, idx, pixels, height, width)
-    found = align(clean, audio.join(good, on, "left_semi"), on, idx, pixels, value, fps, rate, smooth_ms, max_lag)
+    found = pinned(
+        align(clean, audio.join(good, on, "left_semi"), on, idx, pixels, value, fps, rate, smooth_ms, max_lag)
+    )
     judged = selection.validate_alignment(found, minimum)
     tiered = judged.withColumn("tier", C.quality_tier(F.col("correlation")))
     missing = failed(ledger).select(*on, "error")
@@ -170,7 +181,8 @@ def training_table(
     each split its own. ``splits`` holds (utt, split).
     """
     joined = selection.feature_param_join(features, params, utt, idx)
-    held = scale.attach(joined, splits.select(utt, "split"), [utt], [idx])
+    # Statistics, scaling and sequence counts each read the joined table: it is joined once.
+    held = pinned(scale.attach(joined, splits.select(utt, "split"), [utt], [idx]))
     if stats_from == "train":
         stats = summaries.norm_stats(held.where(F.col("split") == "train"), param_names)
         scaled = summaries.standardize(held, stats, param_names)

@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalgrid.functions.arrow import project
+from vocalgrid.functions.arrow import batch_kernel, project
 
 
 @dataclass
@@ -63,12 +63,15 @@ def transform(model: MaskPCA, mask: Column) -> Column:
     """Component scores of a mask column: centred, projected, optionally whitened."""
     matrix = model.components / _scale(model)[:, None]
     shift = matrix @ model.mean
-    raw = project(matrix)(mask.cast("array<double>"))
-    checked = F.when(
-        F.size(mask) == model.height * model.width, raw
-    ).otherwise(F.raise_error(F.lit(f"masks must hold {model.height} x {model.width} pixels")))
-    held = F.array(*[F.lit(float(v)) for v in shift])
-    return F.zip_with(checked, held, lambda a, b: a - b)
+    pixels, turned = model.height * model.width, matrix.T.copy()
+    shape = f"masks must hold {model.height} x {model.width} pixels"
+
+    def run(rows: np.ndarray) -> np.ndarray:
+        if rows.shape[1] != pixels:
+            raise ValueError(shape)
+        return rows @ turned - shift
+
+    return batch_kernel(run)(mask)
 
 
 def inverse(model: MaskPCA, scores: Column) -> Column:

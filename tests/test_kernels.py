@@ -141,3 +141,20 @@ def test_geometry_equals_definition():
         rows = np.where(widths > 0)[0]
         want += [widths[rows].min() / 12, rows[widths[rows].argmin()] / 10] if len(rows) else [0.0, 0.0]
         assert np.allclose(g, want)
+
+
+@pytest.mark.parametrize("taps", [5, 301])
+def test_sliding_dot_both_ways(taps):
+    rng = np.random.default_rng(6)
+    rows, w = rng.normal(size=(3, 700)), rng.normal(size=taps)
+    want = np.stack([np.correlate(r, w, "valid") for r in rows])
+    assert np.allclose(kernels.sliding_dot(rows, w), want)
+
+
+@pytest.mark.parametrize("lag", [4, 90])
+def test_block_correlation_both_ways(lag):
+    rng = np.random.default_rng(7)
+    rows = rng.normal(size=(3, 2 * (200 + 2 * lag)))
+    a, b = np.split(rows, 2, axis=1)
+    want = np.stack([np.correlate(x, y[lag:-lag], "valid") for x, y in zip(a, b)])
+    assert np.allclose(kernels.block_correlation(rows, lag), want)

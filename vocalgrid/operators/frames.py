@@ -43,14 +43,20 @@ def motion_energy(
     frame = F.col(pixels) if roi is None else C.crop(F.col(pixels), width, *roi)
     narrow = df.select(*keys, idx, frame.alias("_p"))
     pairs = series.with_previous(narrow, keys, idx, {"_p": "_q"}, block=BLOCK)
-    if kind == "l1":
-        total = C.array_sum(F.zip_with("_p", "_q", lambda a, b: F.abs(a - b)))
-        return pairs.select(*keys, idx, F.coalesce(total, F.lit(0.0)).alias(out))
     if kind == "rms":
-        total = C.array_sum(F.zip_with("_p", "_q", lambda a, b: (a - b) * (a - b)))
-        later = pairs.where(F.col("_q").isNotNull())
-        return later.select(*keys, idx, F.sqrt(total / F.size("_p")).alias(out))
-    raise ValueError(f"unknown kind {kind}")
+        pairs = pairs.where(F.col("_q").isNotNull())
+    elif kind != "l1":
+        raise ValueError(f"unknown kind {kind}")
+
+    def change(rows: np.ndarray) -> np.ndarray:
+        now, before = np.split(rows, 2, axis=1)
+        diff = now - before
+        total = np.abs(diff).sum(axis=1) if kind == "l1" else np.sqrt((diff * diff).mean(axis=1))
+        return total[:, None]
+
+    # The first frame is set against itself.
+    energy = batch_kernel(change)(F.concat("_p", F.coalesce("_q", "_p")))
+    return pairs.select(*keys, idx, energy[0].alias(out))
 
 
 def temporal_median(df: DataFrame, keys: Sequence[str], idx: str, pixels: str, window: int = 3) -> DataFrame:

@@ -27,6 +27,11 @@ def failed(ledger: DataFrame) -> DataFrame:
     return ledger.where(F.col("error").isNotNull())
 
 
+def _having(df: DataFrame, utterances: DataFrame, keys: list[str], idx: str) -> DataFrame:
+    """Rows of the listed utterances; a long utterance is spread over the partitions."""
+    return scale.attach(df, utterances.select(*keys), keys, [idx], "left_semi")
+
+
 def audio_envelope(
     df: DataFrame, keys: Sequence[str], idx: str, value: str, smooth_ms: float, rate: float, out: str = "envelope"
 ) -> DataFrame:
@@ -72,13 +77,13 @@ def align(
     plan = pinned(
         both.withColumn("n_targets", n_targets).withColumn("length", F.greatest("n_targets", "n_samples"))
     )
-    motion = motion_signal(images.join(plan.select(*on), on, "left_semi"), on, idx, pixels, smooth_ms, fps)
+    motion = motion_signal(_having(images, plan, on, idx), on, idx, pixels, smooth_ms, fps)
     timed = motion.withColumn("_time", F.col(idx) / F.lit(float(fps)))
     clocked = pinned(
         series.interpolate(timed, on, idx, "_time", ["energy"], plan, rate, mode="zero", out_idx="sample")
     )
     m = series.group_zscore(clocked, on, "sample", "energy", out="m").select(*on, "sample", "m")
-    heard = audio.join(plan.select(*on), on, "left_semi")
+    heard = _having(audio, plan, on, idx)
     envelope = pinned(audio_envelope(heard, on, idx, value, smooth_ms, rate).withColumnRenamed(idx, "sample"))
     a = series.group_zscore(envelope, on, "sample", "envelope", out="a")
     padded = m.join(a.select(*on, "sample", "a"), [*on, "sample"], "full")
@@ -140,9 +145,9 @@ def preprocess(
         },
     )
     good = succeeded(ledger).select(*on)
-    clean = frames.denoise(images.join(good, on, "left_semi"), on, idx, pixels, height, width)
+    clean = frames.denoise(_having(images, good, on, idx), on, idx, pixels, height, width)
     found = pinned(
-        align(clean, audio.join(good, on, "left_semi"), on, idx, pixels, value, fps, rate, smooth_ms, max_lag)
+        align(clean, _having(audio, good, on, idx), on, idx, pixels, value, fps, rate, smooth_ms, max_lag)
     )
     judged = selection.validate_alignment(found, minimum)
     tiered = judged.withColumn("tier", C.quality_tier(F.col("correlation")))

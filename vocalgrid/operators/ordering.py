@@ -60,7 +60,7 @@ def ecdf(df: DataFrame, value: str, tie: str) -> DataFrame:
 def first_subjects(df: DataFrame, subject: str, m: int) -> DataFrame:
     """Rows of the first m subjects in name order."""
     first = df.select(subject).distinct().orderBy(subject).limit(m)
-    return df.join(first, subject, "left_semi")
+    return df.join(F.broadcast(first) if m <= 10_000 else first, subject, "left_semi")
 
 
 def shard_assign(df: DataFrame, order: Sequence[str], shards: int) -> DataFrame:

@@ -96,9 +96,9 @@ def feature_param_join(features: DataFrame, params: DataFrame, utt: str = "utt",
     return marked.where(F.col("_wrong").isNull()).drop("_wrong")
 
 
-def split_membership(df: DataFrame, splits: DataFrame, split: str, key: str) -> DataFrame:
-    """Rows whose key is named in one split."""
-    return df.join(splits.where(F.col("split") == split).select(key), key, "left_semi")
+def split_membership(df: DataFrame, splits: DataFrame, split: str, key: str, spread_on: Sequence[str]) -> DataFrame:
+    """Rows whose key is named in one split; the rows of a large key are spread by ``spread_on``."""
+    return scale.attach(df, splits.where(F.col("split") == split).select(key), [key], spread_on, "left_semi")
 
 
 def label_frame_join(labels: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:

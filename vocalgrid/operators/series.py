@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from vocalgrid import scale
 from vocalgrid.fixed import POWER_FLOOR, SCALE_EPSILON, TOP_DB
+from vocalgrid.functions import kernels
+from vocalgrid.functions.arrow import batch_kernel
 
 BLOCK = 1024
 
@@ -48,18 +51,14 @@ def weighted_neighbours(
     real = (F.col("pos") >= 0) & (F.col("pos") < F.col("n"))
     keep = scale.in_own_block("pos", block) & real
     blocks = scale.halo_blocks(ends, keys, "pos", ["_x", "n"], block, radius, radius, keep=keep)
-    blocks = blocks.withColumn("_n", F.col("n")[0])
-    low = F.greatest(F.col("block") * block, F.lit(0))
-    high = F.least((F.col("block") + 1) * block, F.col("_n")) - 1
-    kernel = F.array(*[F.lit(float(w)) for w in weights])
-
-    def at(p: Column) -> Column:
-        part = F.slice("_x", (p - F.col("first") - radius + 1).cast("int"), len(weights))
-        dot = F.aggregate(F.zip_with(part, kernel, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        return F.struct(p.alias("_p"), dot.alias("_y"))
-
-    sums = blocks.select(*keys, F.explode(F.transform(F.sequence(low, high), at)).alias("_s"))
-    return sums.select(*keys, F.col("_s._p").alias(idx), F.col("_s._y").alias(out))
+    # Reflection gives every block its full halo on the left; the last one is filled up on the right.
+    width = block + 2 * radius
+    filled = F.concat("_x", F.array_repeat(F.lit(0.0), width - F.size("_x")))
+    sums = batch_kernel(lambda rows: kernels.sliding_dot(rows, np.array(weights)))(filled)
+    wanted = F.least(F.lit(block), F.col("n")[0] - F.col("block") * block).cast("int")
+    held = blocks.select(*keys, "block", wanted.alias("_m"), sums.alias("_s"))
+    rows = held.select(*keys, "block", F.posexplode(F.slice("_s", F.lit(1), F.col("_m"))).alias("_j", out))
+    return rows.select(*keys, (F.col("block") * block + F.col("_j")).cast("long").alias(idx), out)
 
 
 def gaussian_smooth(
@@ -181,18 +180,18 @@ def lag_products(
     """
     narrow = df.select(*keys, idx, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
     blocks = scale.halo_blocks(narrow, keys, idx, ["_a", "_b"], block, max_lag, max_lag)
-    start = (F.greatest(F.col("block") * block, F.col("first")) - F.col("first")).cast("int")
-    stop = F.least((F.col("block") + 1) * block - F.col("first"), F.size("_a")).cast("int")
-    own = F.slice("_b", start + 1, stop - start)
-    spread = blocks.select(
-        *keys, "_a", own.alias("_b"), start.alias("_o"), F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("_l")
-    )
-    product = F.aggregate(
-        F.transform("_b", lambda v, j: v * F.coalesce(F.get("_a", F.col("_o") + j + F.col("_l")), F.lit(0.0))),
-        F.lit(0.0),
-        lambda s, v: s + v,
-    )
-    return spread.groupBy(*keys, F.col("_l").cast("long").alias("lag")).agg(F.sum(product).alias("total"))
+    width = block + 2 * max_lag
+    lead = (F.col("first") - (F.col("block") * block - max_lag)).cast("int")
+
+    def filled(name: str) -> Column:
+        rest = (F.lit(width) - F.size(name) - lead).cast("int")
+        return F.concat(F.array_repeat(F.lit(0.0), lead), name, F.array_repeat(F.lit(0.0), rest))
+
+    both = F.concat(filled("_a"), filled("_b"))
+    products = batch_kernel(lambda rows: kernels.block_correlation(rows, max_lag))(both)
+    partial = blocks.select(*keys, products.alias("_p"))
+    rows = partial.select(*keys, F.posexplode("_p").alias("_l", "_v"))
+    return rows.groupBy(*keys, (F.col("_l") - max_lag).cast("long").alias("lag")).agg(F.sum("_v").alias("total"))
 
 
 def best_lag(products: DataFrame, keys: Sequence[str]) -> DataFrame:

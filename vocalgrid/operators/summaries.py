@@ -179,7 +179,8 @@ def norm_stats(df: DataFrame, params: Sequence[str]) -> DataFrame:
 def norm_stats_sampled(df: DataFrame, utt: str, params: Sequence[str], sequences: int = 100) -> DataFrame:
     """The same from the first sequences in name order (at most ``sequences``)."""
     first = df.select(utt).distinct().orderBy(utt).limit(sequences)
-    return norm_stats(df.join(first, utt, "left_semi"), params)
+    small = F.broadcast(first) if sequences <= 10_000 else first
+    return norm_stats(df.join(small, utt, "left_semi"), params)
 
 
 def standardize(df: DataFrame, stats: DataFrame, params: Sequence[str], suffix: str = "_z") -> DataFrame:

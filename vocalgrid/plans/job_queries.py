@@ -17,8 +17,8 @@ from vocalgrid.plans.table_queries import (
     FEATURES_SQL,
     MISMATCH_SQL,
     SUBJECT_SPLIT_SQL,
-    customer_split,
     order_features,
+    split_utterances,
 )
 from vocalgrid.session import new_location
 from vocalgrid.sources import stores
@@ -145,7 +145,7 @@ def parameter_job(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM t, st WHERE frame_idx // 2 < n // 2""")
 def training_table_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = B.parameters(spark, sf_dir).select("utt", "frame_idx", "l_quantity", "l_extendedprice")
-    utts = B.scores(spark, sf_dir).select("utt", "subject").join(customer_split(spark, sf_dir), "subject")
+    utts = split_utterances(spark, sf_dir)
     out = jobs.training_table(
         order_features(spark, sf_dir), params, utts, ["l_quantity", "l_extendedprice"], length=2
     )

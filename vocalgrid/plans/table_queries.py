@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocalgrid import scale
 from vocalgrid.functions import columns as C
 from vocalgrid.operators import ordering, selection, summaries
 from vocalgrid.plans import binding as B
@@ -303,18 +304,23 @@ def customer_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.subject_split(customers, "subject")
 
 
+def split_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every utterance with the split of its subject."""
+    utts = B.scores(spark, sf_dir).select("utt", "subject")
+    return scale.attach(utts, customer_split(spark, sf_dir), ["subject"], ["utt"])
+
+
 @query("subject_split", f"""WITH {SUBJECT_SPLIT_SQL}
   SELECT o_orderkey AS utt, subject, split FROM splits JOIN orders ON o_custkey = subject""")
 def subject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    utts = B.scores(spark, sf_dir).select("utt", "subject")
-    return utts.join(customer_split(spark, sf_dir), "subject")
+    return split_utterances(spark, sf_dir)
 
 
 @query("split_membership", f"""WITH {SUBJECT_SPLIT_SQL}
   SELECT o_orderkey AS utt, o_custkey AS subject FROM orders WHERE o_custkey IN (SELECT subject FROM splits WHERE split = 'val')""")
 def split_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     utts = B.scores(spark, sf_dir).select("utt", "subject")
-    return selection.split_membership(utts, customer_split(spark, sf_dir), "val", "subject")
+    return selection.split_membership(utts, customer_split(spark, sf_dir), "val", "subject", ["utt"])
 
 
 @query("label_dir_split", """WITH placed AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('42:' || c_custkey), c_custkey) - 1 AS pos,
@@ -338,7 +344,7 @@ def ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT count(*) AS n_leaks FROM (SELECT o_custkey FROM orders JOIN splits ON o_custkey = subject
     GROUP BY o_custkey HAVING count(DISTINCT split) > 1)""")
 def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    utts = B.scores(spark, sf_dir).select("subject").join(customer_split(spark, sf_dir), "subject")
+    utts = split_utterances(spark, sf_dir)
     return ordering.split_leaks(utts, "subject").agg(F.count(F.lit(1)).alias("n_leaks"))
 
 
@@ -348,7 +354,7 @@ def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(sum(s) OVER () AS BIGINT) AS total_subjects, CAST(sum(u) OVER () AS BIGINT) AS total_utterances,
     CAST(CASE split WHEN 'train' THEN 0.7 ELSE 0.15 END AS DOUBLE) AS asked_ratio, {d6('s / sum(s) OVER ()')} AS actual_ratio FROM per""")
 def split_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    utts = B.scores(spark, sf_dir).select("utt", "subject").join(customer_split(spark, sf_dir), "subject")
+    utts = split_utterances(spark, sf_dir)
     info = summaries.split_info(utts, "subject", "utt", {"train": 0.7, "val": 0.15, "test": 0.15})
     return info.withColumn("actual_ratio", C.r6(F.col("actual_ratio")))
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType
 
 from vocalgrid.session import pinned
 
@@ -22,8 +23,10 @@ SALTS = 16
 
 
 def max_group_rows(df: DataFrame) -> int:
-    """Most rows one task may sort as a single group."""
-    return int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
+    """Most rows one task may sort as a single group; a hundredth where rows carry whole frames."""
+    limit = int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
+    wide = any(isinstance(f.dataType, (ArrayType, BinaryType)) for f in df.schema)
+    return limit // 100 if wide else limit
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vocalgrid import fixed
+from vocalgrid import fixed, scale
 from vocalgrid.functions import columns as C
 from vocalgrid.functions.arrow import pack, unpack
 from vocalgrid.operators import audio, frames, geometry, jobs, ordering, pca, scores, segmentation, selection, summaries
@@ -142,6 +142,9 @@ def test_spectrum_equals_numpy_over_blocks(spark):
         want = [np.abs(np.fft.rfft(padded[t * 40 : t * 40 + 64] * window)) ** 2 for t in range(1 + n // 40)]
         assert [r["frame"] for r in rows] == list(range(1 + n // 40))
         assert np.allclose([r["spectrum"] for r in rows], want)
+        blocks = scale.to_blocks(df, ["utt"], "i", "v", audio.FRAMES_PER_BLOCK * 40)
+        again = audio.frame_spectrum(blocks, ["utt"], "i", "v", n_fft=64, hop=40).orderBy("frame").collect()
+        assert np.allclose([r["spectrum"] for r in again], want)
 
 
 def align_by_numpy(energy, sound):

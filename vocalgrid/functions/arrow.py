@@ -16,7 +16,7 @@ from pyspark.sql.functions import arrow_udf
 
 # Values worked on at a time: a slice of this size and its temporaries stay in the CPU caches.
 SLICE = 1 << 19
-_DTYPES = {"double": np.float64, "int": np.int32, "boolean": np.bool_, "bytes": np.uint8}
+_DTYPES = {"double": np.float64, "int": np.int32, "boolean": np.bool_, "bytes": np.uint8, "rows": np.float64}
 
 
 def _rows(values: pa.Array) -> np.ndarray:
@@ -34,15 +34,17 @@ def _rows(values: pa.Array) -> np.ndarray:
 def batch_kernel(fn: Callable[[np.ndarray], np.ndarray], element: str = "double") -> Callable[[Column], Column]:
     """Column function applying ``fn`` (rows, width) -> (rows, other width) to a frame column.
 
-    ``element`` names the result: ARRAY of double, int or boolean, or packed ``bytes``.
+    ``element`` names the result: ARRAY of double, int or boolean, packed ``bytes``, or ``rows`` for
+    ARRAY<ARRAY<DOUBLE>> from a three-dimensional result.
     """
     dtype = _DTYPES[element]
-    packed = element == "bytes"
+    packed, nested = element == "bytes", element == "rows"
 
-    @arrow_udf("binary" if packed else f"array<{element}>")
+    @arrow_udf("binary" if packed else "array<array<double>>" if nested else f"array<{element}>")
     def run(values: pa.Array) -> pa.Array:
         if len(values) == 0:
-            return pa.array([], type=pa.binary() if packed else pa.list_(pa.from_numpy_dtype(dtype)))
+            plain = pa.list_(pa.from_numpy_dtype(dtype))
+            return pa.array([], type=pa.binary() if packed else pa.list_(plain) if nested else plain)
         rows = _rows(values)
         step = max(SLICE // max(rows.shape[1], 1), 1)
         parts = [np.asarray(fn(rows[i : i + step]), dtype=dtype) for i in range(0, len(rows), step)]
@@ -52,7 +54,11 @@ def batch_kernel(fn: Callable[[np.ndarray], np.ndarray], element: str = "double"
             return pa.Array.from_buffers(
                 pa.binary(), len(rows), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(out))]
             )
-        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+        flat = pa.array(out.ravel())
+        if nested:
+            inner = np.arange(out.shape[0] * out.shape[1] + 1, dtype=np.int32) * out.shape[2]
+            flat = pa.ListArray.from_arrays(pa.array(inner), flat)
+        return pa.ListArray.from_arrays(offsets, flat)
 
     return run
 

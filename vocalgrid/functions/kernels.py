@@ -262,7 +262,7 @@ def dct_matrix(n_out: int, n_in: int) -> np.ndarray:
 
 
 def spectrum_rows(n_fft: int, hop: int, frames: int, power: float, filters: np.ndarray | None = None):
-    """Kernel: padded sample rows -> |rfft|**power of each windowed frame, flattened per row."""
+    """Kernel: padded sample rows -> |rfft|**power of each windowed frame (rows, frames, bands)."""
     window = hann(n_fft)
     turned = None if filters is None else filters.T.copy()
 
@@ -271,7 +271,7 @@ def spectrum_rows(n_fft: int, hop: int, frames: int, power: float, filters: np.n
         energy = np.abs(np.fft.rfft(cut * window, axis=2)) ** power
         if turned is not None:
             energy = energy @ turned
-        return energy.reshape(len(rows), -1)
+        return energy
 
     return run
 

@@ -12,12 +12,14 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from vocalgrid import scale
 from vocalgrid.fixed import POWER_FLOOR, TOP_DB
 from vocalgrid.functions import kernels
 from vocalgrid.functions.arrow import batch_kernel, project
 from vocalgrid.operators import series
+from vocalgrid.session import pinned
 
 FRAMES_PER_BLOCK = 64
 
@@ -35,31 +37,35 @@ def frame_spectrum(
 ) -> DataFrame:
     """|FFT|**power of centred, zero-padded, Hann-windowed frames; 1 + n // hop frames per series.
 
-    With ``filters`` (rows of weights over the bins) their weighted sums are returned instead.
+    With ``filters`` (rows of weights over the bins) their weighted sums are returned instead. The
+    value column holds one sample per row, or, far cheaper, blocks of ``FRAMES_PER_BLOCK * hop``
+    samples with ``idx`` counting the blocks (``scale.to_blocks``).
     """
     half, span = n_fft // 2, FRAMES_PER_BLOCK * hop
-    sized = scale.with_group_size(df.select(*keys, idx, F.col(value).cast("double").alias("_x")), keys, [idx])
-    # A series of exactly b * span samples has one more frame, centred behind its last sample.
-    behind = (F.col(idx) == F.col("n") - 1) & (F.col("block") * span == F.col("n"))
-    keep = scale.in_own_block(idx, span) | behind
     after = n_fft - half
-    blocks = scale.halo_blocks(sized, keys, idx, ["_x", "n"], span, half, after, keep=keep)
+    if max(half, after) > span:
+        raise ValueError("frames must not be longer than a block of samples")
+    if isinstance(df.schema[value].dataType, ArrayType):
+        blocks = df.select(*keys, idx, F.col(value).cast("array<double>").alias("_x"))
+        sizes = df.groupBy(*keys).agg(F.sum(F.size(value)).alias("n"))
+    else:
+        sizes = scale.group_size(df, keys)
+        blocks = scale.to_blocks(df.select(*keys, idx, F.col(value).cast("double").alias("_x")), keys, idx, "_x", span)
+    joined = scale.attach(scale.block_neighbours(blocks, keys, idx, "_x", half, after), sizes, keys, [idx])
+    # A series of exactly b * span samples has one more frame, centred behind its last sample.
+    joined = joined.where(F.col("_x").isNotNull() | (F.col(idx) * span == F.col("n")))
     width = (FRAMES_PER_BLOCK - 1) * hop + n_fft
-    lead = (F.col("first") - (F.col("block") * span - half)).cast("int")
     zero = F.lit(0.0)
-    # Samples beyond the last frame's window are cut, missing ones are zero.
-    filled = F.concat(F.array_repeat(zero, lead), "_x")
-    padded = F.slice(
-        F.concat(filled, F.array_repeat(zero, F.greatest(F.lit(width) - F.size(filled), F.lit(0)))), 1, width
-    )
-    bands = n_fft // 2 + 1 if filters is None else len(filters)
-    kernel = batch_kernel(kernels.spectrum_rows(n_fft, hop, FRAMES_PER_BLOCK, power, filters))
-    held = blocks.select(*keys, "block", F.col("n")[0].alias("n"), kernel(padded).alias("_e"))
-    first = F.col("block") * FRAMES_PER_BLOCK
-    last = F.least(first + FRAMES_PER_BLOCK - 1, F.floor(F.col("n") / hop))
-    framed = held.withColumn("frame", F.explode(F.sequence(first, last)))
-    row = F.slice("_e", ((F.col("frame") - first) * bands + 1).cast("int"), bands)
-    return framed.select(*keys, F.col("frame").cast("long").alias("frame"), row.alias(out))
+    none = F.array().cast("array<double>")
+    head, own, tail = (F.coalesce(F.col(c), none) for c in ("_head", "_x", "_tail"))
+    # Missing samples are zero; samples beyond the last frame's window are cut.
+    filled = F.concat(F.array_repeat(zero, half - F.size(head)), head, own, tail)
+    padded = F.slice(F.concat(filled, F.array_repeat(zero, F.greatest(width - F.size(filled), F.lit(0)))), 1, width)
+    kernel = batch_kernel(kernels.spectrum_rows(n_fft, hop, FRAMES_PER_BLOCK, power, filters), "rows")
+    held = joined.select(*keys, (F.col(idx) * FRAMES_PER_BLOCK).alias("_f"), "n", kernel(padded).alias("_e"))
+    framed = held.select(*keys, "_f", "n", F.posexplode("_e").alias("_j", out))
+    framed = framed.withColumn("frame", (F.col("_f") + F.col("_j")).cast("long"))
+    return framed.where(F.col("frame") <= F.floor(F.col("n") / hop)).select(*keys, "frame", out)
 
 
 def mel_spectrum(
@@ -105,7 +111,8 @@ def mel_features(
     power: float = 2.0,
 ) -> DataFrame:
     """Mel bands in dB below the utterance's peak, on the frame clock; targets: keys, n_frames."""
-    mel = mel_spectrum(df, keys, idx, value, rate, n_mels, n_fft, hop, low, high, power)
+    # Pinned, because the peak and the levels both read it.
+    mel = pinned(mel_spectrum(df, keys, idx, value, rate, n_mels, n_fft, hop, low, high, power))
     peak = mel.groupBy(*keys).agg(F.max(F.array_max("mel")).alias("_peak"))
     held = scale.attach(mel, peak, keys, ["frame"])
     level = F.transform("mel", lambda p: F.greatest(series.power_to_db(p, F.col("_peak")), F.lit(-TOP_DB)))
@@ -130,7 +137,7 @@ def mfcc_features(
     """Cepstral coefficients of the mel bands in dB (reference 1, top 80 dB), on the frame clock."""
     mel = mel_spectrum(df, keys, idx, value, rate, n_mels, n_fft, hop, low, high)
     level = F.transform("mel", lambda p: 10 * F.log10(F.greatest(p, F.lit(POWER_FLOOR))))
-    held = mel.select(*keys, "frame", level.alias("mel"))
+    held = pinned(mel.select(*keys, "frame", level.alias("mel")))
     peak = held.groupBy(*keys).agg((F.max(F.array_max("mel")) - TOP_DB).alias("_floor"))
     held = scale.attach(held, peak, keys, ["frame"])
     clipped = F.transform("mel", lambda v: F.greatest(v, F.col("_floor")))
@@ -156,8 +163,10 @@ def noise_subtract(
     the first quarter of the series, whichever ends first. Series under ``least_seconds`` are left
     out; ``failure_ledger`` reports them.
     """
-    sizes = scale.group_size(df, keys, "n").where(F.col("n") >= F.lit(rate * least_seconds))
-    spectra = frame_spectrum(df, keys, idx, value, n_fft, hop)
+    in_blocks = isinstance(df.schema[value].dataType, ArrayType)
+    size = F.sum(F.size(value)) if in_blocks else F.count(F.lit(1))
+    sizes = df.groupBy(*keys).agg(size.alias("n")).where(F.col("n") >= F.lit(rate * least_seconds))
+    spectra = pinned(frame_spectrum(df, keys, idx, value, n_fft, hop))
     noise_end = F.least(F.lit(int(noise_seconds * rate)), F.floor(F.col("n") / 4))
     held = scale.attach(spectra, sizes.select(*keys, noise_end.alias("_end")), keys, ["frame"])
     # The first frame always counts, so even a very short profile is defined.

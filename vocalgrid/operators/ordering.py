@@ -52,9 +52,9 @@ def tier_representatives(df: DataFrame, utt: str, correlation: str) -> DataFrame
 
 def ecdf(df: DataFrame, value: str, tie: str) -> DataFrame:
     """Each value with its rank share i / n * 100 in ascending order."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    placed = scale.with_position(df.select(tie, value), [], [F.col(value), F.col(tie)], "_pos")
-    return placed.select(tie, value, ((F.col("_pos") + 1) / n * 100).alias("percent"))
+    n = df.count()
+    placed = scale.with_position(df.select(tie, value), [], [F.col(value), F.col(tie)], "_pos", largest=n)
+    return placed.select(tie, value, ((F.col("_pos") + 1) / F.lit(n) * 100).alias("percent"))
 
 
 def first_subjects(df: DataFrame, subject: str, m: int) -> DataFrame:
@@ -65,8 +65,8 @@ def first_subjects(df: DataFrame, subject: str, m: int) -> DataFrame:
 
 def shard_assign(df: DataFrame, order: Sequence[str], shards: int) -> DataFrame:
     """Contiguous shards in the given order; the first n mod shards of them hold one row more."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    placed = scale.with_position(df, [], list(order), "position").withColumn("_n", n)
+    n = df.count()
+    placed = scale.with_position(df, [], list(order), "position", largest=n).withColumn("_n", F.lit(n))
     base, rest = F.floor(F.col("_n") / shards), F.col("_n") % shards
     edge = rest * (base + 1)
     shard = F.when(F.col("position") < edge, F.floor(F.col("position") / (base + 1))).otherwise(
@@ -106,9 +106,9 @@ def sequence_chunks(
     )
 
 
-def _cut(df: DataFrame, n: Column, first: tuple[str, Column], second: tuple[str, Column], last: str) -> DataFrame:
+def _cut(df: DataFrame, n: int, first: tuple[str, Column], second: tuple[str, Column], last: str) -> DataFrame:
     """Name the split of each position from the sizes of the first two parts."""
-    held = df.withColumn("_n", n)
+    held = df.withColumn("_n", F.lit(n))
     split = (
         F.when(F.col("_pos") < first[1], first[0])
         .when(F.col("_pos") < first[1] + second[1], second[0])
@@ -127,8 +127,8 @@ def subject_split(
     if abs(train + val + test - 1.0) > 1e-6:
         raise ValueError("ratios must sum to 1")
     subjects = df.select(subject).distinct()
-    n = subjects.agg(F.count(F.lit(1))).scalar()
-    placed = scale.with_position(subjects, [], [C.draw_text(seed, F.col(subject)), F.col(subject)], "_pos")
+    n = subjects.count()
+    placed = scale.with_position(subjects, [], [C.draw_text(seed, F.col(subject)), F.col(subject)], "_pos", largest=n)
     size = lambda ratio: F.floor(F.col("_n") * F.lit(ratio))
     return _cut(placed, n, ("train", size(train)), ("val", size(val)), "test")
 
@@ -136,8 +136,8 @@ def subject_split(
 def label_dir_split(df: DataFrame, name: str, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
     """Test int(n * test), validation int(n * val), train the rest, in the order train, val, test."""
     names = df.select(name).distinct()
-    n = names.agg(F.count(F.lit(1))).scalar()
-    placed = scale.with_position(names, [], [C.draw_text(seed, F.col(name)), F.col(name)], "_pos")
+    n = names.count()
+    placed = scale.with_position(names, [], [C.draw_text(seed, F.col(name)), F.col(name)], "_pos", largest=n)
     n_val, n_test = F.floor(F.col("_n") * F.lit(val)), F.floor(F.col("_n") * F.lit(test))
     return _cut(placed, n, ("train", F.col("_n") - n_val - n_test), ("val", n_val), "test")
 
@@ -145,8 +145,8 @@ def label_dir_split(df: DataFrame, name: str, val: float = 0.15, test: float = 0
 def ordered_split(df: DataFrame, name: str, first: float = 0.8, second: float = 0.9) -> DataFrame:
     """Sorted names cut at int(0.8 n) and int(0.9 n)."""
     names = df.select(name).distinct()
-    n = names.agg(F.count(F.lit(1))).scalar()
-    placed = scale.with_position(names, [], [F.col(name)], "_pos")
+    n = names.count()
+    placed = scale.with_position(names, [], [F.col(name)], "_pos", largest=n)
     a, b = F.floor(F.col("_n") * F.lit(first)), F.floor(F.col("_n") * F.lit(second))
     return _cut(placed, n, ("train", a), ("val", b - a), "test")
 

@@ -47,16 +47,17 @@ def with_position(
     order: Sequence[str | Column],
     name: str = "frame_idx",
     group_limit: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its group. ``order`` must be unique inside a group.
 
-    The biggest group is measured first. If a task can hold it, a plain window is used. Otherwise
+    The biggest group is measured first, unless the caller knows it (``largest``). If a task can hold it, a plain window is used. Otherwise
     the rows are range-partitioned on keys and order (which splits any group, however large), and
     each partition adds the group's row count in the partitions before it.
     """
     limit = max_group_rows(df) if group_limit is None else group_limit
     columns = _as_columns(order)
-    if largest_group(df, keys) <= limit:
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         return df.withColumn(name, (F.row_number().over(window.orderBy(*columns)) - 1).cast("long"))
     return _position_by_range(df, list(keys), columns, name)
@@ -157,6 +158,42 @@ def halo_blocks(
     )
 
 
+def to_blocks(df: DataFrame, keys: Sequence[str], idx: str, value: str, block: int) -> DataFrame:
+    """Rows of a series to one array per (keys, block) of ``block`` values, the last one shorter.
+
+    Later steps then move arrays instead of rows. ``idx`` becomes the block's number.
+    """
+    placed = df.select(*keys, F.floor(F.col(idx) / block).cast("long").alias("_b"), F.struct(idx, value).alias("_r"))
+    gathered = placed.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list("_r")).alias("_r"))
+    return gathered.select(*keys, F.col("_b").alias(idx), F.col(f"_r.{value}").alias(value))
+
+
+def block_neighbours(
+    blocks: DataFrame, keys: Sequence[str], idx: str, value: str, before: int, after: int
+) -> DataFrame:
+    """Give each block the last ``before`` values of the one ahead and the first ``after`` of the next.
+
+    Adds ``_head`` and ``_tail`` (null at the ends). Only these ends are copied; a block that exists
+    merely as a neighbour has a null ``value``.
+    """
+    size = F.size(value)
+    part = "part"
+    own = F.struct(F.col(idx).alias("b"), F.lit(0).alias(part), F.col(value).alias("v"))
+    head = F.struct(
+        (F.col(idx) + 1).alias("b"), F.lit(1).alias(part),
+        F.slice(value, F.greatest(size - before + 1, F.lit(1)), F.lit(before)).alias("v"),
+    )
+    tail = F.struct((F.col(idx) - 1).alias("b"), F.lit(2).alias(part), F.slice(value, 1, after).alias("v"))
+    pieces = blocks.select(*keys, F.explode(F.array(own, head, tail)).alias("_p"))
+
+    def pick(which: int) -> Column:
+        return F.first(F.when(F.col("_p.part") == which, F.col("_p.v")), ignorenulls=True)
+
+    return pieces.groupBy(*keys, F.col("_p.b").alias(idx)).agg(
+        pick(0).alias(value), pick(1).alias("_head"), pick(2).alias("_tail")
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -11,7 +11,6 @@ from vocalgrid.functions import kernels
 from vocalgrid.operators import frames, geometry, pca, scores, segmentation, series
 from vocalgrid.plans import binding as B
 from vocalgrid.plans.catalog import d6, query
-from vocalgrid.plans.frame_queries import mirrored  # noqa: F401
 from vocalgrid.session import new_location
 
 S = B.SIDE

@@ -59,9 +59,6 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(C.file_name(F.col("path")).alias("file"), "length")
 
 
-MANIFEST_FIELDS = """utt AS utterance_name, correlation >= 0.3 AS alignment_valid, """
-
-
 @query("manifest_explode", f"""WITH {B.SCORES_SQL}
   SELECT CAST(subject AS VARCHAR) AS subject_id, CAST(utt AS VARCHAR) AS utterance_name,
          correlation >= 0.3 AS alignment_valid, {d6('correlation')} AS correlation
@@ -593,9 +590,6 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("l_orderkey", "l_linenumber", *[C.r6(F.col(c)).alias(c) for c in made])
 
 
-PAIRS_SQL = """CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END"""
-
-
 def param_pairs() -> dict[str, tuple[Column, Column]]:
     q, p = F.col("l_quantity"), F.col("l_extendedprice") / 1000
     return {"quantity": (q * (1 + F.col("l_discount")), q), "price": (p * (1 - F.col("l_tax")), p), "flat": (q * 0 + 2, q * 0 + 1)}

@@ -41,15 +41,15 @@ WITH numbered AS (
 ), cut AS (
   SELECT side, s.conv_id, n, k, role, {_TURN} AS made, {_HEAD} AS head FROM sides s JOIN common USING (conv_id)
 ), laid AS (
-  SELECT *, coalesce(sum(length(made)) OVER (PARTITION BY side, conv_id, n > k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM cut
+  SELECT *, coalesce(sum(length(made)) OVER (PARTITION BY side, conv_id, n > k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM cut
 )
 SELECT conv_id, CAST(min(k) AS BIGINT) AS n_prompt_turns,
   coalesce(string_agg(made, '' ORDER BY n) FILTER (side = 'c' AND n <= k), '') AS prompt,
   coalesce(string_agg(made, '' ORDER BY n) FILTER (side = 'c' AND n > k), '') AS chosen,
   coalesce(string_agg(made, '' ORDER BY n) FILTER (side = 'r' AND n > k), '') AS rejected,
-  coalesce(string_agg(CAST(CAST(at + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at + length(made) - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY n)
+  coalesce(string_agg(CAST(CAST(begins + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begins + length(made) - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY n)
     FILTER (side = 'c' AND n > k AND role = 'assistant'), '') AS chosen_mask,
-  coalesce(string_agg(CAST(CAST(at + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at + length(made) - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY n)
+  coalesce(string_agg(CAST(CAST(begins + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begins + length(made) - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY n)
     FILTER (side = 'r' AND n > k AND role = 'assistant'), '') AS rejected_mask
 FROM laid GROUP BY conv_id
 """

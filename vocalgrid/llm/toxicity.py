@@ -7,7 +7,7 @@ scored, and the text's score is the highest.
 
 Training: at most ``PER_CLASS`` labelled documents of each class, of at most ``TRAIN_CHARS`` characters, chosen by the hash of
 their id among rows whose crc32(doc_id) mod 5 is not 0: a bounded sample, fitted on the driver. A document's label
-holds for some window only, so the windows with the highest scores of the last epoch learn it. Labels, language,
+holds for some window only, so the windows that score highest, looked up anew after some epochs, learn it. Labels, language,
 source and id are no inputs.
 
 Defined cases: null and empty texts are one empty window, scored by the bias alone; documents with differing labels and
@@ -34,7 +34,9 @@ HIDDEN = 8
 WORDS, TRIGRAMS, HEADS = 1 << 14, 1 << 13, 1 << 13
 WORD_DIM, TRIGRAM_DIM, HEAD_DIM = 8, 12, 6
 HEAD_BYTES = 5
-EPOCHS = 24
+EPOCHS = 20
+# Epochs before which the best windows are looked up anew.
+RANKED = (1, 3, 6, 10, 14)
 BATCH = 64
 
 _SEPARATORS = np.ones(256, dtype=bool)
@@ -198,14 +200,15 @@ class Network:
         step = 0
         first = np.searchsorted(f.text, np.arange(len(texts) + 1))
         for epoch in range(EPOCHS):
-            score = self.logits(f) if epoch else r.standard_normal(len(f.start))
+            if epoch in (0, *RANKED):
+                score = self.logits(f) if epoch else r.standard_normal(len(f.start))
             best = np.array([first[i] + np.argmax(score[first[i] : first[i + 1]]) for i in range(len(texts))])
             other = first[:-1] + (r.random(len(texts)) * np.diff(first)).astype(np.int64)
             # A clean text has only clean windows; of a toxic one only the best is taken at its word.
             chosen = np.concatenate([best, other[labels == 0]])
             target = labels[f.text[chosen]]
             order = r.permutation(len(chosen))
-            rate = 0.01 if epoch < EPOCHS * 2 // 3 else 0.003
+            rate = 0.01 if epoch < EPOCHS // 2 else 0.003 if epoch < EPOCHS * 3 // 4 else 0.001
             for k in range(0, len(order), BATCH):
                 part = order[k : k + BATCH]
                 g, step = self.gradients(f, chosen[part], target[part]), step + 1

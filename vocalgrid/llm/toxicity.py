@@ -94,20 +94,16 @@ class Network:
         }
         self.trained = False
 
-    def inputs(self, f: Features, words: np.ndarray | None = None):
-        """Input vectors of all words, or of some."""
-        p = self.p
-        if words is None:
-            rows, tri, lengths = slice(None), f.trigram, f.lengths
-        else:
-            rows, lengths = words, f.lengths[words]
-            tri = f.trigram[np.repeat(f.first_byte[:-1][words] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+    def inputs(self, f: Features, words: np.ndarray):
+        """Input vectors of some words."""
+        p, lengths = self.p, f.lengths[words]
+        tri = f.trigram[np.repeat(f.first_byte[:-1][words] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
         firsts = np.cumsum(lengths) - lengths
         x = np.empty((len(lengths), WORD_DIM + TRIGRAM_DIM + HEAD_DIM), np.float32)
         if len(lengths):
-            x[:, :WORD_DIM] = p["word"][f.word[rows]]
+            x[:, :WORD_DIM] = p["word"][f.word[words]]
             x[:, WORD_DIM : WORD_DIM + TRIGRAM_DIM] = np.add.reduceat(p["trigram"][tri], firsts, axis=0) / lengths[:, None]
-            x[:, WORD_DIM + TRIGRAM_DIM :] = p["head"][f.head[rows]]
+            x[:, WORD_DIM + TRIGRAM_DIM :] = p["head"][f.head[words]]
         return x, tri, lengths
 
     def forward(self, gates: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -137,14 +133,15 @@ class Network:
         return (logit, both, tanh, weight, pooled, kept) if keep else logit
 
     def logits(self, f: Features, chunk: int = 2048) -> np.ndarray:
-        """Logit of every window."""
-        x, _, _ = self.inputs(f)
-        gates = np.concatenate([x @ self.p["w"] + self.p["b"], np.zeros((1, 6 * HIDDEN), np.float32)])
+        """Logit of every window, some windows and the words under them at a time."""
         out = np.empty(len(f.start), np.float32)
         for k in range(0, len(out), chunk):
             start, length = f.start[k : k + chunk], f.length[k : k + chunk]
+            low, high = int(start[0]), int((start + length).max())
+            x, _, _ = self.inputs(f, np.arange(low, max(high, low)))
+            gates = np.concatenate([x @ self.p["w"] + self.p["b"], np.zeros((1, 6 * HIDDEN), np.float32)])
             mask = (np.arange(WINDOW) < length[:, None]).astype(np.float32)
-            at = np.where(mask > 0, start[:, None] + np.arange(WINDOW), f.n_words)
+            at = np.where(mask > 0, start[:, None] - low + np.arange(WINDOW), len(x))
             out[k : k + chunk] = self.forward(gates, at, mask)
         return out
 

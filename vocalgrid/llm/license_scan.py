@@ -12,14 +12,13 @@ The templates are a fixed list, so their broadcast is bounded by the code.
 
 from __future__ import annotations
 
-import re
+import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocalgrid.llm.common import row_key
-from vocalgrid.llm.words import WORD_CHARS, windows, word_hashes
-from vocalgrid.session import pinned
+from vocalgrid.llm.words import let, windows, word_hashes, words
 
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -78,29 +77,34 @@ def spans(docs: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     )
 
 
-def _phrase(words: str) -> str:
-    between = WORD_CHARS.replace("[^", "[") + "+"
-    return f"(?<!{WORD_CHARS})" + between.join(re.escape(w) for w in words.split()) + f"(?!{WORD_CHARS})"
+def base_columns(text: Column) -> Column:
+    """Struct of ``n_words`` and, per base phrase, the places where its words stand consecutively."""
 
+    def of(w: Column) -> Column:
+        def places(phrase: str) -> Column:
+            parts = phrase.split()
+            at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: functools.reduce(
+                lambda a, b: a & b, [F.coalesce(F.get(w, i + F.lit(k)) == part, F.lit(False)) for k, part in enumerate(parts)]))
+            return at
 
-def base_columns(text: Column) -> dict[str, Column]:
-    """Counts, first and last place, and labels of the base phrases; only A-Z is folded ((?i) without Unicode case)."""
-    whole = F.coalesce(text, F.lit(""))
-    either = "(?i)(?:" + "|".join(_phrase(p) for p in BASE) + ")"
-    found = F.regexp_like(whole, F.lit(either))
-    counts = {label: F.when(found, F.regexp_count(whole, F.lit("(?i)" + _phrase(p)))).otherwise(0) for p, label in BASE.items()}
-    n_words = lambda t: F.regexp_count(t, F.lit(WORD_CHARS + "+")).cast("long")
-    first = F.when(found, n_words(F.regexp_extract(whole, "(?s)^(.*?)" + either, 1)))
-    last = F.when(found, n_words(F.regexp_extract(whole, "(?s)^(.*)" + either, 1)))
-    labels = F.array_compact(F.array(*[F.when(c > 0, F.lit(label)) for label, c in counts.items()]))
-    total = sum(counts.values(), F.lit(0))
-    return {"n_words": n_words(whole), "n_base": total.cast("long"), "first_word": first, "last_word": last, "base_list": labels}
+        def found(joined: Column) -> Column:
+            # Words hold no space, so the joined text holds a phrase just where its words stand consecutively.
+            none = F.array().cast("array<int>")
+            return F.struct(F.size(w).cast("long").alias("n_words"), *[
+                F.when(F.contains(joined, F.lit(f" {p} ")), places(p)).otherwise(none).alias(f"p{k}") for k, p in enumerate(BASE)])
+
+        return let(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")), found)
+
+    return let(words(text), of)
 
 
 def license_report(docs: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
     """One row per document: base counts and places, base labels, all labels and a score."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", row_key("doc_id", "text"))
-    base = rows.select("row_key", "doc_id", *[c.alias(n) for n, c in base_columns(F.col("text")).items()])
+    base = rows.select("row_key", "doc_id", base_columns(F.col("text")).alias("b")).select(
+        "row_key", "doc_id", "b.n_words", F.concat(*[f"b.p{k}" for k in range(len(BASE))]).alias("places"),
+        F.array_compact(F.array(*[F.when(F.size(f"b.p{k}") > 0, F.lit(label)) for k, label in enumerate(BASE.values())])).alias("base_list"),
+    ).select("*", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"))
     per_doc = spans(rows.select("row_key", "text"), min_cover).groupBy("row_key").agg(
         F.collect_set("label").alias("method_list"), F.max("cover").alias("cover"), F.count(F.lit(1)).alias("n_spans")
     )

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 # A word is a run of digits, a-z and characters beyond ASCII, after lower-casing A-Z. Separators as in the contract.
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
-# The same words on texts as they stand, upper case included.
-WORD_CHARS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -65,7 +65,7 @@ class Features:
             before[self.first_byte[:-1]] = 0
             after[self.first_byte[1:] - 1] = 0
         grams = (before * np.uint32(65599) + inside) * np.uint32(65599) + after
-        self.trigram = ((grams * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int64)
+        self.trigram = ((grams * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.uint16)
         self.lengths = lengths
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((inside.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(inside)), dtype=np.uint64)])
         cut = self.first_byte[:-1] + np.minimum(lengths, HEAD_BYTES)
@@ -79,6 +79,28 @@ class Features:
         self.length = np.clip(words.first[1:][self.text] - self.start, 0, WINDOW)
         self.n_words = n
 
+    @classmethod
+    def of(cls, texts: list[str], step: int = 1 << 18) -> Features:
+        """Features of lowered texts, made in bounded parts: only the hashed inputs of all of them are held."""
+        parts, held, size = [], [], 0
+        for k, text in enumerate(texts):
+            held.append(text.encode())
+            size += len(held[-1])
+            if size >= step or k + 1 == len(texts):
+                parts.append(cls(np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(d) for d in held])))
+                parts[-1].texts = len(held)
+                held, size = [], 0
+        first = parts[0]
+        texts_before = np.cumsum([0, *[p.texts for p in parts]])
+        words_before = np.cumsum([0, *[p.n_words for p in parts]])
+        first.text = np.concatenate([p.text + t for p, t in zip(parts, texts_before)])
+        first.start = np.concatenate([p.start + w for p, w in zip(parts, words_before)])
+        for name in ("word", "head", "trigram", "lengths", "length"):
+            setattr(first, name, np.concatenate([getattr(p, name) for p in parts]))
+        first.first_byte = np.concatenate([[0], np.cumsum(first.lengths)])
+        first.n_words = int(words_before[-1])
+        return first
+
 
 class Network:
     def __init__(self, seed: int = 5) -> None:
@@ -191,8 +213,7 @@ class Network:
     def fit(self, texts: list[str], labels: np.ndarray, seed: int = 5) -> None:
         """Adam over windows; each epoch takes a text's best windows by the current scores, and one at random."""
         r = np.random.default_rng(seed)
-        data = [t.lower().encode() for t in texts]
-        f = Features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data]))
+        f = Features.of([t.lower() for t in texts])
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step = 0
         first = np.searchsorted(f.text, np.arange(len(texts) + 1))

@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vocalgrid.llm import decontaminate, jaccard_join, piece_codec, quality, toxicity
-from vocalgrid.llm.common import table
+from vocalgrid.llm.common import bounded_batches, table
 from vocalgrid.llm.vocabulary import vocabulary
 from vocalgrid.session import new_location
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: rejected documents go; lines above the limit go from the others."""
+    bounded_batches(spark)
     return quality.quality_filtered(docs)
 
 
@@ -27,6 +28,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: one document of each class stays."""
+    bounded_batches(spark)
     return jaccard_join.deduplicated(docs)
 
 
@@ -37,6 +39,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: the piece ids of every document that is left."""
+    bounded_batches(spark)
     return piece_codec.encoded(docs, vocabulary("piece_bpe_32k.model"))
 
 

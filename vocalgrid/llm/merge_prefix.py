@@ -9,6 +9,8 @@ substrings; admissibility undoes the merges of both pieces from the latest on.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from vocalgrid.llm.textkit import BASE, mix, powers
@@ -123,27 +125,61 @@ class MergeTable:
             count[r, end] = count[r, starts[c]] + 1
         return count, last, back
 
-    def run(self, words: list, to_symbols) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(counts, last pieces, backpointers) of each word; words of one length advance together in bounded groups."""
-        rows = [to_symbols(w) for w in words]
+    def grouped(self, encoded: list[bytes], dtype) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+        """(places in ``encoded``, counts, last pieces, backpointers) of words given as packed symbols of ``dtype``.
+
+        Words of one length advance together, in groups of bounded size.
+        """
         by_length: dict[int, list[int]] = {}
-        for i, row in enumerate(rows):
-            by_length.setdefault(len(row), []).append(i)
-        out: list = [None] * len(words)
-        for length, members in by_length.items():
+        for i, word in enumerate(encoded):
+            by_length.setdefault(len(word), []).append(i)
+        for size, members in by_length.items():
+            length = size // np.dtype(dtype).itemsize
             step = max(CELLS // max(length * min(length, self.longest), 1), 1)
             for k in range(0, len(members), step):
                 part = members[k : k + step]
-                count, last, back = self.prefixes(np.array([rows[i] for i in part], dtype=np.int64).reshape(len(part), length))
-                for m, i in enumerate(part):
-                    out[i] = (count[m], last[m], back[m])
-        return out
-
-
-def pieces_of(last: np.ndarray, back: np.ndarray) -> list[int]:
-    """The pieces of the whole word, by the backpointers."""
-    at, found = len(last) - 1, []
-    while at > 0:
-        found.append(int(last[at]))
-        at -= int(back[at])
-    return found[::-1]
+                rows = np.frombuffer(b"".join([encoded[i] for i in part]), dtype=dtype).reshape(len(part), length).astype(np.int64)
+                yield part, *self.prefixes(rows)
+
+
+def paths(last: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of whole words by their backpointers, aligned at the right end, and their number."""
+    n, length = last.shape[0], last.shape[1] - 1
+    rows, at = np.arange(n), np.full(n, length)
+    columns, number = [], np.zeros(n, dtype=np.int64)
+    while (at > 0).any():
+        going = at > 0
+        columns.append(last[rows, at])
+        number += going
+        at = np.where(going, at - back[rows, at], 0)
+    return (np.stack(columns[::-1], axis=1) if columns else np.zeros((n, 0), dtype=np.int64)), number
+
+
+class Known(dict):
+    """Results of words met before, in two generations: what is asked for again moves on, the rest is dropped when full."""
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.size, self.old = limit, 0, {}
+
+    def unknown(self, words) -> list:
+        new = []
+        for w in set(words):
+            if w not in self:
+                held = self.old.get(w)
+                if held is None:
+                    new.append(w)
+                else:
+                    self.add(w, held)
+        return new
+
+    def add(self, word, value) -> None:
+        self[word] = value
+        self.size += 240 + 2 * len(word) + len(value)
+
+    def turn(self) -> None:
+        """To be called between texts: the words of one batch all stay until then."""
+        if self.size > self.limit // 2:
+            self.old = dict(self)
+            self.clear()
+            self.size = 0

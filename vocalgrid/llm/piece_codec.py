@@ -16,7 +16,9 @@ text decode to U+FFFD each; rows are independent of each other and of other colu
 
 from __future__ import annotations
 
+import codecs
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -27,12 +29,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalgrid.llm.merge_prefix import MergeTable, pieces_of
+from vocalgrid.llm.merge_prefix import Known, MergeTable, paths
 
 MARK = "▁"
-KNOWN_BYTES = 120_000_000
+KNOWN_BYTES = 64_000_000
 STEP = 256
-_WORD = regex.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+# Marks that may end a word early, where no piece holds a letter followed by them.
+STOPS = ".,;:!?|%*&$#"
 
 
 def _merge(symbols: list[int], best: dict[tuple[int, int], tuple[int, int]]) -> tuple[list[int], tuple[int, int] | None]:
@@ -68,7 +71,12 @@ class PieceCodec:
         self.names = [model.id_to_piece(i) for i in range(size)]
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(size)]
         self.bytes = {int(self.names[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        byte_of = {i: b for b, i in self.bytes.items()}
+        self.parts = [bytes([byte_of[i]]) if i in byte_of else b"" if special[i] else self.names[i].encode() for i in range(size)]
+        stops = "".join(c for c in STOPS if not regex.search(rf"\p{{L}}{regex.escape(c)}", "\n".join(self.names)))
+        early = rf"{MARK}*+\p{{L}}++(?=[{regex.escape(stops)}])|" if stops else ""
+        # No piece crosses from a character to a later word mark, or a newline, so neither does the best path.
+        self.word = regex.compile(rf"{early}{MARK}*[^{MARK}\n]+|{MARK}+|\n")
         own = [i for i in range(size) if not special[i] and not model.is_byte(i)]
         at = {self.names[i]: k for k, i in enumerate(own)}
         order = sorted(range(len(own)), key=lambda k: (-model.get_score(own[k]), k))
@@ -92,73 +100,60 @@ class PieceCodec:
                 (left[k], right[k]), rank[k] = parts, int(rank_of[k])
         self.ids = np.array(own, dtype=np.int64)
         self.table = MergeTable([[ord(c) for c in self.names[i]] for i in own], left, right, rank, {p: r for p, (r, _) in best.items()}, usable)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.size = 0
+        # Ids of known words as packed 32-bit numbers.
+        self.known = Known(KNOWN_BYTES)
 
     def words(self, text: str) -> list[str]:
-        return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+        return self.word.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def _ids(self, word: str, last: np.ndarray, back: np.ndarray) -> tuple[int, ...]:
+    def _with_bytes(self, word: str, pieces: list[int]) -> bytes:
+        """Ids where some characters have no piece: those become the pieces of their bytes."""
         found, at = [], 0
-        for piece in pieces_of(last, back):
+        for piece in pieces:
             if piece == self.table.unknown:
                 found.extend(self.bytes[b] for b in word[at].encode())
                 at += 1
             else:
                 found.append(int(self.ids[piece]))
                 at += len(self.names[found[-1]])
-        return tuple(found)
+        return array("i", found).tobytes()
 
     def learn(self, words) -> None:
-        new = [w for w in set(words) if w not in self.known]
-        for w, (_, last, back) in zip(new, self.table.run(new, lambda w: np.frombuffer(w.encode("utf-32-le"), dtype=np.uint32))):
-            self.known[w] = self._ids(w, last, back)
-            self.size += 200 + 2 * len(w) + 40 * len(self.known[w])
-
-    def forget(self) -> None:
-        if self.size > KNOWN_BYTES:
-            self.known.clear()
-            self.size = 0
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        new = self.known.unknown(words)
+        for part, _, last, back in self.table.grouped([w.encode("utf-32-le") for w in new], np.uint32):
+            pieces, number = paths(last, back)
+            packed, width = self.ids[np.minimum(pieces, len(self.ids) - 1)].astype(np.int32).tobytes(), 4 * pieces.shape[1]
+            odd = (pieces == self.table.unknown).any(axis=1).tolist()
+            for m, (i, n) in enumerate(zip(part, number.tolist())):
+                end = (m + 1) * width
+                self.known.add(new[i], self._with_bytes(new[i], pieces[m, pieces.shape[1] - n :].tolist()) if odd[m] else packed[end - 4 * n : end])
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.words(t) for t in texts]
         self.learn(chain.from_iterable(cut))
-        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in cut]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32) for words in cut]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids) -> str:
-        out, pending = [], bytearray()
-
-        def flush() -> None:
-            # Valid runs become characters; every byte that belongs to none becomes U+FFFD.
-            data = bytes(pending)
-            while data:
-                for n in (1, 2, 3, 4):
-                    try:
-                        out.append(data[:n].decode())
-                        data = data[n:]
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                else:
-                    out.append("�")
-                    data = data[1:]
-            pending.clear()
-
-        for i in ids:
-            if i in self.byte_of:
-                pending.append(self.byte_of[i])
-                continue
-            if pending:
-                flush()
-            out.append(self.names[i])
-        flush()
-        text = "".join(out).replace(MARK, " ")
+        """Pieces put together as UTF-8 bytes; every byte that belongs to no character becomes U+FFFD."""
+        data = b"".join(map(self.parts.__getitem__, ids if isinstance(ids, list) else np.asarray(ids).tolist()))
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            text = data.decode(errors="pieces-fffd")
+        text = text.replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
+def _one_by_one(error: UnicodeDecodeError) -> tuple[str, int]:
+    return "\ufffd", error.start + 1
+
+
+codecs.register_error("pieces-fffd", _one_by_one)
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
@@ -175,9 +170,9 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 ids = pieces.encode_all(texts)
                 # A literal word mark in a text reads as a space, as in the model.
                 same = [pieces.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
-                pieces.forget()
+                pieces.known.turn()
                 ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(k, STEP), pa.array([len(i) for i in ids], pa.int64()),

@@ -11,7 +11,7 @@ many has its prefix" and "where must it be cut to fit a budget" without encoding
 Defined cases: null text is empty and has 0 tokens; special strings inside texts count as the library counts
 them by default (one token each); a text of any length is counted whole; rows and their other columns are
 independent, so repeated rows and extra columns need no rule; an empty table gives an empty result.
-Memory: the tables of known pre-tokens are dropped whenever they exceed ``KNOWN_BYTES``.
+Memory: of known pre-tokens, those not met again are dropped before their tables exceed ``KNOWN_BYTES``.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalgrid.llm.merge_prefix import MergeTable
+from vocalgrid.llm.merge_prefix import Known, MergeTable
 
 LIMIT = 1024
-KNOWN_BYTES = 120_000_000
+KNOWN_BYTES = 64_000_000
 # Fixed value: the byte-level pre-token pattern that the tokenizer file's "ByteLevel" stands for.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -66,8 +66,8 @@ class PrefixCounter:
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.special_set = frozenset(special)
         self.pattern = regex.compile(PRE_TOKEN)
-        self.known: dict[str, bytes | tuple] = {}
-        self.size = 0
+        # Per pre-token: counts of all its prefixes as packed 32-bit numbers.
+        self.known = Known(KNOWN_BYTES)
 
     def pre_tokens(self, text: str) -> list[str]:
         if self.special is None or not self.special.search(text):
@@ -79,30 +79,22 @@ class PrefixCounter:
 
     def learn(self, tokens) -> None:
         """Store the prefix counts of pre-tokens not yet known."""
-        new = [t for t in set(tokens) if t not in self.known]
-        if not new:
-            return
+        new = self.known.unknown(tokens)
         plain = [t for t in new if t not in self.special_set]
         for t in self.special_set.intersection(new):
-            self.known[t] = np.concatenate([np.zeros(len(t.encode()), np.int32), np.ones(1, np.int32)])
-        for t, (count, _, _) in zip(plain, self.table.run(plain, lambda w: np.frombuffer(w.encode(), dtype=np.uint8))):
-            small = count.astype(np.uint8) if count[-1] < 256 else count.copy()
-            self.known[t] = small.tobytes() if small.dtype == np.uint8 else small
-            self.size += len(t) + small.nbytes + 150
-
-    def forget(self) -> None:
-        if self.size > KNOWN_BYTES:
-            self.known.clear()
-            self.size = 0
+            self.known.add(t, np.array([0] * len(t.encode()) + [1], np.int32).tobytes())
+        for part, count, _, _ in self.table.grouped([t.encode() for t in plain], np.uint8):
+            packed, width = count.astype(np.int32).tobytes(), 4 * count.shape[1]
+            for m, i in enumerate(part):
+                self.known.add(plain[i], packed[m * width : (m + 1) * width])
 
     def totals(self, tokens: list[str]) -> np.ndarray:
         """Token count of the text up to the end of each pre-token."""
         known = self.known
-        return np.cumsum(np.fromiter((known[t][-1] for t in tokens), dtype=np.int64, count=len(tokens)))
+        return np.cumsum(np.frombuffer(b"".join([known[t][-4:] for t in tokens]), dtype=np.int32), dtype=np.int64)
 
     def inner(self, token: str) -> np.ndarray:
-        held = self.known[token]
-        return np.frombuffer(held, dtype=np.uint8).astype(np.int64) if isinstance(held, bytes) else held.astype(np.int64)
+        return np.frombuffer(self.known[token], dtype=np.int32)
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Token count of ``text[:i]`` for every i: what encoding that prefix afresh would give.
@@ -126,7 +118,7 @@ class PrefixCounter:
                     begin -= 1
                 cut = self.pre_tokens(text[begin : start + k])
                 self.learn(cut)
-                out.append(out[begin] + sum(int(self.known[c][-1]) for c in cut))
+                out.append(out[begin] + sum(int(self.inner(c)[-1]) for c in cut))
             total += int(inner[-1])
             start += len(token)
         return np.array(out, dtype=np.int64)
@@ -163,7 +155,7 @@ def _counts(path: str, budget: int):
                 totals = [table.totals(c) for c in cut]
                 n_tokens = [int(t[-1]) if len(t) else 0 for t in totals]
                 fits = [table.fitting(c, t, budget) for c, t in zip(cut, totals)]
-                table.forget()
+                table.known.turn()
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(k, step), pa.array([len(t.encode()) for t in part], pa.int64()), pa.array(n_tokens, pa.int64()),
@@ -195,7 +187,7 @@ def prefix_table(docs: DataFrame, path: str) -> DataFrame:
                     [batch.column(0).slice(k, 1), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([table.totals(tokens).tolist()], pa.list_(pa.int64()))],
                     names=["doc_id", "ends", "counts"],
                 )
-                table.forget()
+                table.known.turn()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, ends array<long>, counts array<long>")

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from vocalgrid.llm.merge_prefix import Known, MergeTable, paths
 
 MARK = "▁"
-KNOWN_BYTES = 64_000_000
-STEP = 256
+KNOWN_BYTES = 128_000_000
+STEP = 500
 # Marks that may end a word early, where no piece holds a letter followed by them.
 STOPS = ".,;:!?|%*&$#"
 

@@ -6,7 +6,7 @@ the last; attention pools a window's states into one logit. All overlapping wind
 scored, and the text's score is the highest.
 
 Training: at most ``PER_CLASS`` labelled documents of each class, of at most ``TRAIN_CHARS`` characters, chosen by the hash of
-their id among rows whose crc32(doc_id) mod 5 is not 0: a bounded sample, fitted on the driver. A document's label
+their id among rows whose crc32(doc_id) mod 5 is not 0: a bounded sample, fitted in one task. A document's label
 holds for some window only, so the windows that score highest, looked up anew after some epochs, learn it. Labels, language,
 source and id are no inputs.
 
@@ -17,6 +17,7 @@ is one padded window; other columns are carried along; with no labelled rows of
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -246,12 +247,21 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ne
     drawn = [agreed.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for k in (0, 1)]
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
     sample = sample.where((F.length("text") <= TRAIN_CHARS) & (F.length("text") > 0)).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
-    rows = sample.select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("draw")).collect()
-    rows.sort(key=lambda row: (row["draw"], row["doc_id"]))
+    drawn_rows = sample.select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("draw"))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda row: (row["draw"], row["doc_id"]))
+        picked = [row for k in (0, 1) for row in [x for x in rows if x["toxic"] == k][:per_class]]
+        if len({row["toxic"] for row in picked}) == 2:
+            made = Network()
+            made.fit([row["text"] for row in picked], np.array([row["toxic"] for row in picked], dtype=np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made.p)], pa.binary())], names=["weights"])
+
+    # The sample is bounded, so one task fits it; a lost executor repeats it with the same result.
+    weights = drawn_rows.repartition(1).mapInArrow(train, "weights binary").collect()
     network = Network()
-    picked = [row for k in (0, 1) for row in [x for x in rows if x["toxic"] == k][:per_class]]
-    if len({row["toxic"] for row in picked}) == 2:
-        network.fit([row["text"] for row in picked], np.array([row["toxic"] for row in picked], dtype=np.float32))
+    if weights:
+        network.p, network.trained = pickle.loads(bytes(weights[0]["weights"])), True
     return network
 
 

@@ -158,3 +158,28 @@ def test_block_correlation_both_ways(lag):
     a, b = np.split(rows, 2, axis=1)
     want = np.stack([np.correlate(x, y[lag:-lag], "valid") for x, y in zip(a, b)])
     assert np.allclose(kernels.block_correlation(rows, lag), want)
+
+
+def test_frames_of_mixed_sizes_and_nulls_keep_their_own_rows(spark):
+    from vocalgrid.functions.arrow import batch_kernel
+
+    data = [(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0, 4.0]), (2, None), (3, [5.0, 6.0]), (4, [])]
+    df = spark.createDataFrame(data, "i int, a array<double>").coalesce(1)
+    doubled = batch_kernel(lambda rows: rows * 2)
+    got = {r["i"]: r["b"] for r in df.select("i", doubled("a").alias("b")).collect()}
+    assert got == {0: [2.0, 4.0], 1: [2.0, 4.0, 6.0, 8.0], 2: None, 3: [10.0, 12.0], 4: []}
+    packed = batch_kernel(lambda rows: rows, "int")
+    bins = spark.createDataFrame([(0, bytearray(b"\x01\x02")), (1, bytearray(b"\x01\x02\x03\x04"))], "i int, a binary").coalesce(1)
+    assert {r["i"]: r["b"] for r in bins.select("i", packed("a").alias("b")).collect()} == {0: [1, 2], 1: [1, 2, 3, 4]}
+
+
+def test_nan_is_never_good(spark):
+    from pyspark.sql import functions as F
+
+    from vocalgrid.functions import columns as C
+
+    row = spark.range(1).select(
+        C.quality_tier(F.lit(float("nan"))).alias("tier"), C.fixed_point(F.lit(float("nan")), 3).alias("nan"), C.fixed_point(F.lit(float("-inf")), 2).alias("inf"),
+        C.alignment_is_valid(F.lit(float("nan")), F.lit(0.0), F.lit(100), 0.1).alias("ok"),
+    ).first()
+    assert tuple(row) == (C.fixed.LOWEST_TIER, "nan", "-inf", False)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
@@ -20,17 +21,38 @@ _DTYPES = {"double": np.float64, "int": np.int32, "boolean": np.bool_, "bytes":
 
 
 def _rows(values: pa.Array) -> np.ndarray:
-    """Arrow list or binary array without nulls to (rows, width)."""
+    """Arrow list or binary array of equally long values without nulls to (rows, width)."""
     if pa.types.is_binary(values.type):
         offsets = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1]
         flat = np.frombuffer(values.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     else:
         flat = np.asarray(values.flatten().to_numpy(zero_copy_only=False))
-    if values.null_count or flat.size % len(values):
-        raise ValueError("frames of one batch must be set and equally long")
+    if values.null_count or flat.size % len(values) or flat.size and (_lengths(values) != flat.size // len(values)).any():
+        raise ValueError("frames of one kernel call must be set and equally long")
     return flat.reshape(len(values), -1)
 
 
+def _lengths(values: pa.Array) -> np.ndarray:
+    """Length of every value; -1 for null."""
+    measured = pc.binary_length(values) if pa.types.is_binary(values.type) else pc.list_value_length(values)
+    return measured.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _by_length(values: pa.Array, run: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``run`` on the values of each length on their own, put back in their order; null stays null."""
+    lengths = _lengths(values)
+    kinds = np.unique(lengths)
+    if len(kinds) <= 1 and not (kinds == -1).any():
+        return run(values)
+    places = [np.flatnonzero(lengths == k) for k in kinds]
+    parts = [run(values.take(pa.array(at))) for k, at in zip(kinds, places) if k >= 0]
+    kind = parts[0].type if parts else run(values.slice(0, 0)).type
+    made = pa.concat_arrays([pa.nulls(len(at), kind) if k < 0 else parts.pop(0) for k, at in zip(kinds, places)])
+    back = np.empty(len(values), dtype=np.int64)
+    back[np.concatenate(places)] = np.arange(len(values))
+    return made.take(pa.array(back))
+
+
 def batch_kernel(fn: Callable[[np.ndarray], np.ndarray], element: str = "double") -> Callable[[Column], Column]:
     """Column function applying ``fn`` (rows, width) -> (rows, other width) to a frame column.
 
@@ -40,8 +62,7 @@ def batch_kernel(fn: Callable[[np.ndarray], np.ndarray], element: str = "double"
     dtype = _DTYPES[element]
     packed, nested = element == "bytes", element == "rows"
 
-    @arrow_udf("binary" if packed else "array<array<double>>" if nested else f"array<{element}>")
-    def run(values: pa.Array) -> pa.Array:
+    def equal(values: pa.Array) -> pa.Array:
         if len(values) == 0:
             plain = pa.list_(pa.from_numpy_dtype(dtype))
             return pa.array([], type=pa.binary() if packed else pa.list_(plain) if nested else plain)
@@ -60,6 +81,10 @@ def batch_kernel(fn: Callable[[np.ndarray], np.ndarray], element: str = "double"
             flat = pa.ListArray.from_arrays(pa.array(inner), flat)
         return pa.ListArray.from_arrays(offsets, flat)
 
+    @arrow_udf("binary" if packed else "array<array<double>>" if nested else f"array<{element}>")
+    def run(values: pa.Array) -> pa.Array:
+        return _by_length(values, equal)
+
     return run
 
 

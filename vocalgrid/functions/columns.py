@@ -45,7 +45,8 @@ def fps_fallback(metadata: Column) -> Column:
 
 
 def quality_tier(correlation: Column) -> Column:
-    rule = F
+    """The first tier whose bound is met; NaN meets none (Spark orders it above all numbers, so it is told apart)."""
+    rule = F.when(F.isnan(correlation.cast("double")), fixed.LOWEST_TIER)
     for name, bound in fixed.QUALITY_TIERS:
         rule = rule.when(correlation >= bound, name)
     return rule.otherwise(fixed.LOWEST_TIER)
@@ -55,8 +56,16 @@ def half_duration(n_frames: Column) -> Column:
     return n_frames / F.lit(fixed.DEFAULT_FPS) * 0.5
 
 
+def _not_a_number(*values: Column) -> Column:
+    found = F.lit(False)
+    for value in values:
+        found = found | F.coalesce(F.isnan(value.cast("double")), F.lit(False))
+    return found
+
+
 def alignment_is_valid(correlation: Column, offset: Column, n_frames: Column, minimum: float) -> Column:
-    return ~(correlation < minimum) & ~(F.abs(offset) > half_duration(n_frames))
+    """NaN in either value is never valid."""
+    return ~_not_a_number(correlation, offset) & ~(correlation < minimum) & ~(F.abs(offset) > half_duration(n_frames))
 
 
 def alignment_message(correlation: Column, offset: Column, n_frames: Column, minimum: float) -> Column:
@@ -67,7 +76,7 @@ def alignment_message(correlation: Column, offset: Column, n_frames: Column, min
         F.lit("Large offset: "), fixed_point(F.abs(offset), 2), F.lit("s (>"), fixed_point(half, 2), F.lit("s)")
     )
     good = F.concat(F.lit("Valid alignment: correlation="), fixed_point(correlation, 3))
-    return F.when(correlation < minimum, low).when(F.abs(offset) > half, far).otherwise(good)
+    return F.when(_not_a_number(correlation, offset), F.lit("Not finite")).when(correlation < minimum, low).when(F.abs(offset) > half, far).otherwise(good)
 
 
 def duration_matches(n_frames: Column, fps: Column, n_samples: Column, rate: Column) -> Column:
@@ -102,7 +111,9 @@ def fixed_point(value: Column, digits: int) -> Column:
     whole = F.floor(units / scale).cast("long").cast("string")
     part = F.lpad((units % scale).cast("string"), digits, "0")
     sign = F.when(double < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, whole, F.lit("."), part)
+    number = F.concat(sign, whole, F.lit("."), part)
+    infinite = F.when(double > 0, F.lit("inf")).otherwise(F.lit("-inf"))
+    return F.when(F.isnan(double), F.lit("nan")).when(a == F.lit(float("inf")), infinite).otherwise(number)
 
 
 def human_count(count: Column) -> Column:

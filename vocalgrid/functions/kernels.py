@@ -83,12 +83,12 @@ def multi_otsu_thresholds(rows: np.ndarray, classes: int, bins: int) -> np.ndarr
 
     Dynamic programming over the histogram: the best value of k classes ending at bin b extends the
     best of k - 1 classes, so all combinations are never listed. Ties (to 9 decimals) take the
-    smallest thresholds. Rows with fewer distinct values than classes get uniform thresholds.
+    smallest thresholds. Rows that occupy fewer bins than classes get uniform thresholds.
     """
     counts, low, high = histograms(rows, bins)
     out = np.empty((len(rows), classes - 1))
     for r in range(len(rows)):
-        if len(np.unique(rows[r])) < classes:
+        if (counts[r] > 0).sum() < classes:
             out[r] = np.linspace(low[r], high[r], classes + 1)[1:-1]
             continue
         weight = np.concatenate([[0.0], counts[r].cumsum()])

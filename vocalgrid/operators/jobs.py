@@ -132,16 +132,25 @@ def preprocess(
 ) -> DataFrame:
     """Denoise the images, align the audio and judge the result, one row per utterance.
 
-    Every utterance of the images is reported: those without audio or under the least length carry
-    an error instead of a result, and the run goes on.
+    Every utterance of the images is reported: those without audio, under the least length, or with a frame or
+    sample that no kernel may see (null, of another size, not finite) carry an error instead of a result, and
+    the run goes on. The ledger comes first, so kernels meet good utterances only.
     """
     on = list(keys)
-    counts = scale.group_size(images, on, "n_frames").join(scale.group_size(audio, on, "n_samples"), on, "left")
+    bad_pixel = F.exists(pixels, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    bad_frame = F.coalesce((F.size(pixels) != height * width) | bad_pixel, F.lit(True))
+    sample = F.col(value).cast("double")
+    bad_sample = F.coalesce(F.isnan(sample) | (F.abs(sample) == float("inf")), F.lit(True))
+    shown = images.groupBy(*on).agg(F.count(F.lit(1)).alias("n_frames"), F.max(bad_frame).alias("bad_frames"))
+    heard = audio.groupBy(*on).agg(F.count(F.lit(1)).alias("n_samples"), F.max(bad_sample).alias("bad_audio"))
+    counts = shown.join(heard, on, "left")
     ledger = failure_ledger(
         counts,
         {
             "no audio": F.col("n_samples").isNull(),
             "audio too short": F.col("n_samples") < F.lit(rate * 0.1),
+            "frames not usable": F.col("bad_frames"),
+            "audio not finite": F.col("bad_audio"),
         },
     )
     good = succeeded(ledger).select(*on)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,10 +30,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh temporary one only where none is set (tests)."""
+    """The shared folder the cluster names; a fresh temporary one only for a local session without one (tests)."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
         return folder
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="vocalgrid-")

@@ -126,7 +126,7 @@ def _verified(threshold: float):
         kinds, column = np.unique(flat, return_inverse=True)
         order = np.argsort(column, kind="stable")
         rows_of, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(column, minlength=len(kinds)))])
-        two = side.max() > side.min()
+        two = bool(unit["low"].iloc[0] != unit["high"].iloc[0])  # a block of the two may be empty
         left = np.flatnonzero(side == 0) if two else np.arange(len(sets))
         links = np.zeros(len(sets), np.int64)
         parent = np.arange(len(sets))

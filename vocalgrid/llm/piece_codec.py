@@ -24,6 +24,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -187,8 +188,6 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids", name: str = "text") -> DataFrame:
     """Add the text of an id column (null ids: null)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
         pieces = codec(path)

@@ -5,7 +5,7 @@ and hashed. A line's frequency is its number of distinct documents within one ho
 in more than ``max_documents`` documents of their host are removed; a document of which more than
 ``max_removed`` of its words stand in removed lines is depleted and rejected.
 
-Copies of one document are one document here: a document's identity is its smallest line hash, so thousands
+Copies of one document are one document here: beside a line, a document is known by the smallest hash of its other lines, so thousands
 of exact or near copies do not turn their own lines into boilerplate, while a menu line under thousands of
 different articles counts each of them.
 
@@ -41,7 +41,7 @@ _LOWER[65:91] += 32
 
 PARSED = (
     "row_key long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "sketch long, line_hashes array<long>, line_words array<long>"
+    "line_hashes array<long>, line_words array<long>"
 )
 
 
@@ -107,10 +107,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             summed = np.add.reduceat(w, firsts) if len(firsts) else w
             t, h = t[firsts], h[firsts]
             offsets = np.searchsorted(t, np.arange(texts + 1)).astype(np.int32)
-            # Sorted inside a text, so its first line hash is its smallest: the sketch.
-            filled = np.diff(offsets) > 0
-            sketch = np.zeros(texts, dtype=np.uint64)
-            sketch[filled] = h[offsets[:-1][filled]]
+            # Sorted inside a text, so its first line hash is its smallest.
             hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))
             counts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(summed.astype(np.int64)))
             part = batch.slice(i, texts)
@@ -120,9 +117,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(per_text(code_point & ~ASCII_SPACE[data], text_of_byte, texts)),
                     pa.array(per_text(_SYMBOL[data], text_of_byte, texts)),
                     pa.array(_exact_line_duplicates(data, ends, texts).astype(np.int64)),
-                    pa.array(_repeated_window_words(words, texts)), pa.array(sketch.view(np.int64)), hashes, counts,
+                    pa.array(_repeated_window_words(words, texts)), hashes, counts,
                 ],
-                names=["row_key", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sketch", "line_hashes", "line_words"],
+                names=["row_key", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hashes", "line_words"],
             )
 
 
@@ -136,7 +133,10 @@ def parsed(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def frequent_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(host, line) found in more than ``max_documents`` different documents of the host."""
-    lines = rows.select("host", "sketch", F.explode("line_hashes").alias("line"))
+    hashes = F.col("line_hashes")
+    lines = rows.select("host", F.get(hashes, F.lit(0)).alias("_first"), F.get(hashes, F.lit(1)).alias("_second"), F.explode(hashes).alias("line"))
+    other = F.when(F.col("line") == F.col("_first"), F.coalesce("_second", "_first")).otherwise(F.col("_first"))
+    lines = lines.select("host", "line", other.alias("sketch"))
     # Distinct first: the key holds the document's identity, so a line under a third of all documents is spread.
     return lines.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > max_documents)
 
@@ -156,7 +156,7 @@ def judged(rows: DataFrame, max_documents: int = MAX_DOCUMENTS, max_removed: flo
     """Base counts, removed words and the verdict, for ``parsed`` rows that are kept (checkpointed)."""
     gone = removed_lines(rows, max_documents)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    joined = rows.drop("line_hashes", "line_words", "sketch").join(gone, "row_key", "left")
+    joined = rows.drop("line_hashes", "line_words").join(gone, "row_key", "left")
     lost = F.coalesce("removed_words", F.lit(0))
     return joined.select(
         "row_key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),

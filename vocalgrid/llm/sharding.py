@@ -34,30 +34,28 @@ def grid(n: int) -> tuple[int, int]:
     return a, max(-(-n // a), 1)
 
 
+def _rounds(x: Column, a: int, b: int, seed: int, order: Sequence[int], sign: int) -> Column:
+    """The rounds in ``order``; even ones move the left half, odd ones the right, forth (sign 1) or back (-1)."""
+    base = seed * ROUNDS
+
+    def moved(p: Column, key: Column) -> Column:
+        even = F.pmod(key - F.lit(base), F.lit(2)) == 0
+        drawn = F.xxhash64(F.when(even, p["r"]).otherwise(p["l"]), key)
+        left = F.when(even, F.pmod(p["l"] + F.lit(sign) * F.pmod(drawn, F.lit(a)), F.lit(a))).otherwise(p["l"])
+        right = F.when(even, p["r"]).otherwise(F.pmod(p["r"] + F.lit(sign) * F.pmod(drawn, F.lit(b)), F.lit(b)))
+        return F.struct(left.alias("l"), right.alias("r"))
+
+    pair = F.struct(F.floor(x / F.lit(b)).cast("long").alias("l"), F.pmod(x, F.lit(b)).alias("r"))
+    keys = F.array(*[F.lit(base + k) for k in order])
+    return F.aggregate(keys, pair, moved, lambda p: p["l"] * F.lit(b) + p["r"])
+
+
 def _forward(x: Column, a: int, b: int, seed: int) -> Column:
-    left, right = F.floor(x / F.lit(b)).cast("long"), F.pmod(x, F.lit(b))
-    pair = F.struct(left.alias("l"), right.alias("r"))
-    for k in range(ROUNDS):
-        # One transform per round names the pair, so its halves are not expanded again and again.
-        if k % 2 == 0:
-            pair = F.transform(F.array(pair), lambda p, k=k: F.struct(
-                F.pmod(p["l"] + F.pmod(F.xxhash64(p["r"], F.lit(seed * ROUNDS + k)), F.lit(a)), F.lit(a)).alias("l"), p["r"].alias("r")))[0]
-        else:
-            pair = F.transform(F.array(pair), lambda p, k=k: F.struct(
-                p["l"].alias("l"), F.pmod(p["r"] + F.pmod(F.xxhash64(p["l"], F.lit(seed * ROUNDS + k)), F.lit(b)), F.lit(b)).alias("r")))[0]
-    return F.transform(F.array(pair), lambda p: p["l"] * F.lit(b) + p["r"])[0]
+    return _rounds(x, a, b, seed, range(ROUNDS), 1)
 
 
 def _backward(x: Column, a: int, b: int, seed: int) -> Column:
-    pair = F.struct(F.floor(x / F.lit(b)).cast("long").alias("l"), F.pmod(x, F.lit(b)).alias("r"))
-    for k in reversed(range(ROUNDS)):
-        if k % 2 == 0:
-            pair = F.transform(F.array(pair), lambda p, k=k: F.struct(
-                F.pmod(p["l"] - F.pmod(F.xxhash64(p["r"], F.lit(seed * ROUNDS + k)), F.lit(a)), F.lit(a)).alias("l"), p["r"].alias("r")))[0]
-        else:
-            pair = F.transform(F.array(pair), lambda p, k=k: F.struct(
-                p["l"].alias("l"), F.pmod(p["r"] - F.pmod(F.xxhash64(p["l"], F.lit(seed * ROUNDS + k)), F.lit(b)), F.lit(b)).alias("r")))[0]
-    return F.transform(F.array(pair), lambda p: p["l"] * F.lit(b) + p["r"])[0]
+    return _rounds(x, a, b, seed, range(ROUNDS - 1, -1, -1), -1)
 
 
 def _walked(x: Column, n: int, step) -> Column:

@@ -151,15 +151,6 @@ def test_sliding_dot_both_ways(taps):
     assert np.allclose(kernels.sliding_dot(rows, w), want)
 
 
-@pytest.mark.parametrize("lag", [4, 90])
-def test_block_correlation_both_ways(lag):
-    rng = np.random.default_rng(7)
-    rows = rng.normal(size=(3, 2 * (200 + 2 * lag)))
-    a, b = np.split(rows, 2, axis=1)
-    want = np.stack([np.correlate(x, y[lag:-lag], "valid") for x, y in zip(a, b)])
-    assert np.allclose(kernels.block_correlation(rows, lag), want)
-
-
 def test_frames_of_mixed_sizes_and_nulls_keep_their_own_rows(spark):
     from vocalgrid.functions.arrow import batch_kernel
 

@@ -149,7 +149,8 @@ def test_spectrum_equals_numpy_over_blocks(spark):
 
 def align_by_numpy(energy, sound):
     """Offset and peak of two series on one clock, restated on whole arrays (sigma: one sample)."""
-    from vocalgrid.functions.kernels import analytic_magnitude, gaussian
+    from tests.brute import analytic_magnitude
+    from vocalgrid.functions.kernels import gaussian
 
     def smooth(x):
         place = np.arange(-4, len(x) + 4) % (2 * len(x))
@@ -173,17 +174,34 @@ def test_late_audio_has_positive_offset(spark):
     images = frame_table(spark, data)
     sound = np.concatenate([np.zeros(7), energy]) * np.cos(np.pi * 0.5 * np.arange(127))
     df = spark.createDataFrame([("u", i, float(v)) for i, v in enumerate(sound)], "utt string, frame_idx long, v double")
-    got = jobs.align(images, df, ["utt"], "frame_idx", "px", "v", 50.0, 50.0, 20.0, 70).first()
+    got = jobs.align(images, df, ["utt"], "frame_idx", "px", "v", 50.0, 50.0, 20.0).first()
     offset, peak = align_by_numpy(energy, sound)
     assert got["offset_samples"] == offset == 7 and np.isclose(got["correlation"], peak)
     moved = jobs.aligned_audio(df, spark.createDataFrame([got]), ["utt"], "frame_idx", "v", 50.0, 50.0)
     assert [r["v"] for r in moved.orderBy("frame_idx").collect()] == [float(v) for v in sound[7:127]]
 
 
+def test_offset_near_half_the_length_and_region(spark):
+    rng = np.random.default_rng(9)
+    energy = rng.random(300)
+    energy[0] = 0.0
+    data = np.zeros((300, 2, 2))
+    data[:, 0, 0] = np.cumsum(energy)
+    data[:, 1, 1] = rng.random(300) * 100
+    images = frame_table(spark, data)
+    sound = np.concatenate([np.zeros(290), energy]) * np.cos(np.pi * 0.5 * np.arange(590))
+    df = spark.createDataFrame([("u", i, float(v)) for i, v in enumerate(sound)], "utt string, frame_idx long, v double")
+    got = jobs.align(images, df, ["utt"], "frame_idx", "px", "v", 50.0, 50.0, 20.0, width=2, roi=(0, 1, 0, 1)).first()
+    offset, peak = align_by_numpy(energy, sound)
+    assert got["offset_samples"] == offset == 290 and np.isclose(got["correlation"], peak)
+    times = jobs.frame_times(images, ["utt"], "frame_idx", 50.0).orderBy("frame_idx").collect()
+    assert [r["timestamp"] for r in times[:3]] == [0.0, 0.02, 0.04] and len(times) == 300
+
+
 def test_static_and_silent_input(spark):
     images = frame_table(spark, np.full((30, 2, 2), 0.5))
     silent = spark.createDataFrame([("u", i, 0.0) for i in range(40)], "utt string, frame_idx long, v double")
-    got = jobs.align(images, silent, ["utt"], "frame_idx", "px", "v", 10.0, 13.0, 50.0, 20).first()
+    got = jobs.align(images, silent, ["utt"], "frame_idx", "px", "v", 10.0, 13.0, 50.0).first()
     assert got["correlation"] == 0.0
 
 
@@ -192,7 +210,7 @@ def test_ledger_keeps_the_run_going(spark):
         frame_table(spark, np.zeros((3, 8, 8))).withColumn("utt", F.lit("lonely"))
     )
     sound = spark.createDataFrame([("u", i, float(i % 5)) for i in range(20)], "utt string, frame_idx long, v double")
-    got = {r["utt"]: r for r in jobs.preprocess(images, sound, ["utt"], "frame_idx", "px", "v", 8, 8, 10.0, 13.0, 50.0, 20).collect()}
+    got = {r["utt"]: r for r in jobs.preprocess(images, sound, ["utt"], "frame_idx", "px", "v", 8, 8, 10.0, 13.0, 50.0).collect()}
     assert got["lonely"]["error"] == "no audio" and got["u"]["error"] is None and got["u"]["n_frames"] == 12
 
 

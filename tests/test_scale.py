@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.brute import analytic_magnitude
 from vocalgrid import scale
-from vocalgrid.operators import frames, hilbert, ordering, series
+from vocalgrid.operators import frames, hilbert, ordering, series, spread_fft
 
 
 @pytest.fixture(scope="module")
@@ -80,16 +81,25 @@ def test_smoothing_over_blocks(spark, block):
         assert np.allclose(got[u], np.convolve(padded, weights, "valid"))
 
 
-@pytest.mark.parametrize("block", [5, 1024])
-def test_lag_products_over_blocks(spark, block):
-    data, df = series_df(spark, {1: 40, 2: 6})
+def test_lag_products_over_tiles(spark):
+    data, df = series_df(spark, {1: 40, 2: 6, 3: 5000, 4: 1})
     both = df.withColumn("b", F.col("v") * F.col("v"))
-    rows = series.lag_products(both, ["utt"], "i", "v", "b", 8, block=block).collect()
-    for r in rows:
-        a = data[r["utt"]]
-        want = sum(a[n + r["lag"]] * a[n] ** 2 for n in range(len(a)) if 0 <= n + r["lag"] < len(a))
-        assert np.isclose(r["total"], want)
-    assert len(rows) == 2 * 17
+    rows = series.lag_products(both, ["utt"], "i", "v", "b").orderBy("utt", "lag").collect()
+    for u, a in data.items():
+        got = [(r["lag"], r["total"]) for r in rows if r["utt"] == u]
+        assert [g[0] for g in got] == list(range(1 - len(a), len(a)))
+        assert np.allclose([g[1] for g in got], np.correlate(a, a * a, "full"))
+    near = series.lag_products(both, ["utt"], "i", "v", "b", 8).groupBy("utt").count().collect()
+    assert {r["utt"]: r["count"] for r in near} == {1: 17, 2: 11, 3: 17, 4: 1}
+
+
+def test_best_correlation_takes_the_smallest_tied_lag(spark):
+    spikes = [float(i in (100, 300)) for i in range(400)]
+    df = spark.createDataFrame([("u", i, v, float(i == 200)) for i, v in enumerate(spikes)], "utt string, i long, a double, b double")
+    counted = spread_fft.sized(df, ["utt"], "i")
+    sides = [spread_fft.blocks(counted, ["utt"], "i", v, "_n", k) for k, v in enumerate("ab")]
+    assert spread_fft.best_correlation(*sides, ["utt"]).collect() == [("u", -100, 1 / 400)]
+    assert spread_fft.best_correlation(*[s.where("false") for s in sides], ["utt"]).count() == 0
 
 
 def test_next_and_previous_over_blocks(spark):
@@ -112,12 +122,9 @@ def test_interpolation_equals_numpy(spark):
             assert np.allclose(got[u], np.interp(np.arange(n) / 4.5, t, data[u], **ends))
 
 
-@pytest.mark.parametrize("limit", [0, 40, 10**6])
-def test_hilbert_spread_equals_whole(spark, limit):
-    data, df = series_df(spark, {1: 101, 2: 64, 3: 2, 4: 37})
-    got = by_utt(hilbert.magnitude(df, ["utt"], "i", "v", "m", group_limit=limit), "i", "m")
-    from vocalgrid.functions.kernels import analytic_magnitude
-
+def test_hilbert_over_tiles_equals_whole(spark):
+    data, df = series_df(spark, {1: 101, 2: 64, 3: 2, 4: 37, 5: 5001, 6: 1})
+    got = by_utt(hilbert.magnitude(df, ["utt"], "i", "v", "m"), "i", "m")
     for u, xs in data.items():
         assert np.allclose(got[u], analytic_magnitude(xs)), u
 

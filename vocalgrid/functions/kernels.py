@@ -195,34 +195,13 @@ def close_disk(masks: np.ndarray, radius: int) -> np.ndarray:
 
 # Series blocks ----------------------------------------------------------------------------------
 
-# Longer kernels go through the FFT.
-DIRECT_TAPS = 128
-
-
 def sliding_dot(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Dot product of the weights with every full window of each row."""
+    """Dot product of the weights with every full window of each row, summed in the same order at every place."""
     taps, width = len(weights), rows.shape[1]
-    if taps <= DIRECT_TAPS:
-        out = np.zeros((len(rows), width - taps + 1))
-        for k, w in enumerate(weights):
-            out += w * rows[:, k : k + width - taps + 1]
-        return out
-    size = 1 << int(width + taps - 1).bit_length()
-    product = np.fft.rfft(rows, size, axis=1) * np.fft.rfft(weights[::-1], size)
-    return np.fft.irfft(product, size, axis=1)[:, taps - 1 : width]
-
-
-def block_correlation(rows: np.ndarray, max_lag: int) -> np.ndarray:
-    """Rows hold a and b over a block and a halo of ``max_lag`` on both sides: sums of a[n + lag] b[n]
-    over the block's own n, for every lag."""
-    width = rows.shape[1] // 2
-    a, b = rows[:, :width], rows[:, width + max_lag : 2 * width - max_lag]
-    own = b.shape[1]
-    if 2 * max_lag + 1 <= DIRECT_TAPS:
-        return np.stack([(a[:, k : k + own] * b).sum(axis=1) for k in range(2 * max_lag + 1)], axis=1)
-    size = 1 << int(width + own).bit_length()
-    product = np.fft.rfft(a, size, axis=1) * np.conj(np.fft.rfft(b, size, axis=1))
-    return np.fft.irfft(product, size, axis=1)[:, : 2 * max_lag + 1]
+    out = np.zeros((len(rows), width - taps + 1))
+    for k, w in enumerate(weights):
+        out += w * rows[:, k : k + width - taps + 1]
+    return out
 
 
 # Audio ------------------------------------------------------------------------------------------
@@ -276,20 +255,6 @@ def spectrum_rows(n_fft: int, hop: int, frames: int, power: float, filters: np.n
     return run
 
 
-def analytic_magnitude(values: np.ndarray) -> np.ndarray:
-    """Magnitude of the analytic signal of a whole series."""
-    n = len(values)
-    gain = np.zeros(n)
-    gain[0] = 1.0
-    gain[1 : (n + 1) // 2] = 2.0
-    if n % 2 == 0:
-        gain[n // 2] = 1.0
-    return np.abs(np.fft.ifft(np.fft.fft(values) * gain))
-
-
-# Mask geometry: everything follows from how many pixels of a class each row and column holds ------
-
-
 def _mean_place(counts: np.ndarray, size: int) -> np.ndarray:
     """Mean index weighted by counts (batch, size), as a share of the size; 0 without pixels."""
     n = counts.sum(axis=1)

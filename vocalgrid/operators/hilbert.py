@@ -1,115 +1,24 @@
 """Magnitude of the analytic signal of whole series.
 
-A series that one task can hold is transformed there. A longer one is spread: its Hilbert transform
-is a circular convolution, done by FFTs that are cut into rows and columns of about the square root
-of its length, so no task ever sees more than one row or column.
+The Hilbert transform of a series is a circular convolution; it runs as a Fourier transform spread over tasks, in
+blocks of 64 values, and meets its series block by block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalgrid import scale
-from vocalgrid.functions.arrow import series_kernel
-from vocalgrid.functions.kernels import analytic_magnitude
+from vocalgrid.operators import spread_fft
 
 
-def magnitude(
-    df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str = "magnitude", group_limit: int | None = None
-) -> DataFrame:
+def magnitude(df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str = "magnitude") -> DataFrame:
     """Returns keys, idx, out. ``idx`` must be the dense 0-based position."""
-    narrow = df.select(*keys, F.col(idx).cast("long").alias(idx), F.col(value).cast("double").alias("_x"))
-    limit = scale.max_group_rows(df) if group_limit is None else group_limit
-    if scale.largest_group(narrow, keys) <= limit:
-        return _in_one_task(narrow, keys, idx, out)
-    sized = scale.with_group_size(narrow, keys, [idx], "_n")
-    short = _in_one_task(sized.where(F.col("_n") <= limit).drop("_n"), keys, idx, out)
-    return short.unionByName(_spread(sized.where(F.col("_n") > limit), keys, idx, out))
-
-
-def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
-    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-
-
-def _in_one_task(df: DataFrame, keys: Sequence[str], idx: str, out: str) -> DataFrame:
-    """Each series as one array of at most the group limit, transformed by an Arrow kernel."""
-    rows = F.array_sort(F.collect_list(F.struct(idx, "_x")))
-    held = df.groupBy(*keys).agg(rows.alias("_rows"))
-    whole = held.select(*keys, series_kernel(analytic_magnitude)(F.col("_rows._x")).alias("_m"))
-    return whole.select(*keys, F.posexplode("_m").alias(idx, out)).withColumn(idx, F.col(idx).cast("long"))
-
-
-def _grid(n: int) -> tuple[int, int]:
-    """Rows and columns, powers of two, with rows * columns >= 2n - 1."""
-    bits = max(int(2 * n - 2).bit_length(), 2)
-    return 1 << (bits // 2), 1 << (bits - bits // 2)
-
-
-def _hilbert_weights(n: int, lag: np.ndarray) -> np.ndarray:
-    """Circular Hilbert kernel of length n at the given lags."""
-    k = np.mod(lag, n)
-    angle = np.pi * np.where(k == 0, 1, k) / n
-    if n % 2 == 0:
-        return np.where(k % 2 == 1, 2.0 / n / np.tan(angle), 0.0)
-    return np.where(k == 0, 0.0, (np.cos(angle) - np.where(k % 2 == 0, 1.0, -1.0)) / np.sin(angle) / n)
-
-
-def _spread(df: DataFrame, keys: Sequence[str], idx: str, out: str) -> DataFrame:
-    """Convolution with the Hilbert kernel by column FFT, row FFT and product, column inverse FFT."""
-    names = list(keys)
-    typed = _key_schema(df, keys)
-
-    def first(pdf: pd.DataFrame, n: int, column: int):
-        rows, columns = _grid(n)
-        place = np.arange(rows, dtype=np.int64) * columns + column
-        x = np.zeros(rows)
-        x[(pdf[idx].to_numpy() - column) // columns] = pdf["_x"].to_numpy()
-        g = np.where(place < 2 * n - 1, _hilbert_weights(n, place - (n - 1)), 0.0)
-        turn = np.exp(-2j * np.pi * np.arange(rows) * column / (rows * columns))
-        return rows, np.fft.fft(x) * turn, np.fft.fft(g) * turn
-
-    def columns_fft(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, column = int(pdf["_n"].iloc[0]), int(pdf["_column"].iloc[0])
-        rows, fx, fg = first(pdf, n, column)
-        held = pd.DataFrame({k: [pdf[k].iloc[0]] * rows for k in names})
-        return held.assign(_n=n, _row=np.arange(rows), _column=column, xr=fx.real, xi=fx.imag, gr=fg.real, gi=fg.imag)
-
-    def rows_fft(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, row = int(pdf["_n"].iloc[0]), int(pdf["_row"].iloc[0])
-        rows, columns = _grid(n)
-        x, g = np.zeros(columns, complex), np.zeros(columns, complex)
-        at = pdf["_column"].to_numpy()
-        x[at] = pdf["xr"].to_numpy() + 1j * pdf["xi"].to_numpy()
-        g[at] = pdf["gr"].to_numpy() + 1j * pdf["gi"].to_numpy()
-        turn = np.exp(2j * np.pi * np.arange(columns) * row / (rows * columns))
-        back = np.fft.ifft(np.fft.fft(x) * np.fft.fft(g)) * turn
-        held = pd.DataFrame({k: [pdf[k].iloc[0]] * columns for k in names})
-        return held.assign(_n=n, _row=row, _column=np.arange(columns), yr=back.real, yi=back.imag)
-
-    def columns_back(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, column = int(pdf["_n"].iloc[0]), int(pdf["_column"].iloc[0])
-        rows, columns = _grid(n)
-        y = np.zeros(rows, complex)
-        y[pdf["_row"].to_numpy()] = pdf["yr"].to_numpy() + 1j * pdf["yi"].to_numpy()
-        place = column + columns * np.arange(rows, dtype=np.int64) - (n - 1)
-        real = np.fft.ifft(y).real
-        wanted = (place >= 0) & (place < n)
-        held = pd.DataFrame({k: [pdf[k].iloc[0]] * int(wanted.sum()) for k in names})
-        return held.assign(**{idx: place[wanted], "_y": real[wanted]})
-
-    bits = F.greatest(F.length(F.bin(2 * F.col("_n") - 2)), F.lit(2))
-    columns = F.expr("shiftleft(1L, _bits - _bits div 2)")
-    placed = df.withColumn("_bits", bits.cast("int")).withColumn("_column", F.col(idx) % columns).drop("_bits")
-    grouped = ", _n long, _row long, _column long"
-    step1 = placed.groupBy(*keys, "_column").applyInPandas(
-        columns_fft, f"{typed}{grouped}, xr double, xi double, gr double, gi double"
-    )
-    step2 = step1.groupBy(*keys, "_row").applyInPandas(rows_fft, f"{typed}{grouped}, yr double, yi double")
-    step3 = step2.groupBy(*keys, "_column").applyInPandas(columns_back, f"{typed}, `{idx}` long, _y double")
-    joined = df.select(*keys, idx, "_x").join(step3, [*keys, idx])
-    return joined.select(*keys, idx, F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y")).alias(out))
+    narrow = df.select(*keys, F.col(idx).cast("long").alias(idx), F.col(value).cast("double").alias("_v"))
+    parts = spread_fft.blocks(spread_fft.sized(narrow, keys, idx), keys, idx, "_v", "_n")
+    turned = spread_fft.hilbert_blocks(parts, keys)
+    size = F.zip_with("_x", F.slice("_y", F.lit(1), F.size("_x")), lambda x, y: F.sqrt(x * x + y * y))
+    met = parts.join(turned, [*keys, "_q"]).select(*keys, "_q", F.posexplode(size).alias("_p", out))
+    return met.select(*keys, (F.col("_q") * spread_fft.TILE + F.col("_p")).cast("long").alias(idx), out)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vocalgrid import fixed, scale
 from vocalgrid.functions import columns as C
-from vocalgrid.operators import frames, geometry, hilbert, ordering, pca, selection, series, summaries
+from vocalgrid.operators import frames, geometry, hilbert, ordering, pca, selection, series, spread_fft, summaries
 from vocalgrid.session import pinned
 
 
@@ -43,11 +43,19 @@ def audio_envelope(
 
 
 def motion_signal(
-    df: DataFrame, keys: Sequence[str], idx: str, pixels: str, smooth_ms: float, fps: float, out: str = "energy"
+    df: DataFrame,
+    keys: Sequence[str],
+    idx: str,
+    pixels: str,
+    smooth_ms: float,
+    fps: float,
+    out: str = "energy",
+    width: int | None = None,
+    roi: tuple[int, int, int, int] | None = None,
 ) -> DataFrame:
-    """Summed frame difference, smoothed and scaled to 0..1 per utterance."""
+    """Summed frame difference (of a region, where given), smoothed and scaled to 0..1 per utterance."""
     # One number per frame is kept; the pixels are read once.
-    raw = pinned(frames.motion_energy(df, keys, idx, pixels, "l1", out="_e"))
+    raw = pinned(frames.motion_energy(df, keys, idx, pixels, "l1", width, roi, out="_e"))
     smooth = pinned(series.gaussian_smooth(raw, keys, idx, "_e", smooth_ms, fps, out="_e"))
     return series.group_minmax(smooth, keys, idx, "_e", out=out).drop("_e")
 
@@ -62,12 +70,14 @@ def align(
     fps: float,
     rate: float,
     smooth_ms: float,
-    max_lag: int,
+    width: int | None = None,
+    roi: tuple[int, int, int, int] | None = None,
 ) -> DataFrame:
-    """Offset and correlation of each utterance's audio against its image motion.
+    """Offset and correlation of each utterance's audio against its image motion, over all lags.
 
-    Motion is brought to the audio clock (0 outside), both are standardised over their own length
-    and multiplied at every lag up to ``max_lag``. A positive offset means the audio is late.
+    Motion (of the region ``roi`` of frames of that ``width``, where given) is brought to the audio clock (0
+    outside), both are standardised over their own length, padded to the longer one and multiplied at every lag
+    from minus half of that length to plus half. A positive offset means the audio is late.
     """
     on = list(keys)
     both = scale.group_size(images, on, "n_frames").join(scale.group_size(audio, on, "n_samples"), on)
@@ -77,7 +87,7 @@ def align(
     plan = pinned(
         both.withColumn("n_targets", n_targets).withColumn("length", F.greatest("n_targets", "n_samples"))
     )
-    motion = motion_signal(_having(images, plan, on, idx), on, idx, pixels, smooth_ms, fps)
+    motion = motion_signal(_having(images, plan, on, idx), on, idx, pixels, smooth_ms, fps, width=width, roi=roi)
     timed = motion.withColumn("_time", F.col(idx) / F.lit(float(fps)))
     clocked = pinned(
         series.interpolate(timed, on, idx, "_time", ["energy"], plan, rate, mode="zero", out_idx="sample")
@@ -86,23 +96,27 @@ def align(
     heard = _having(audio, plan, on, idx)
     envelope = pinned(audio_envelope(heard, on, idx, value, smooth_ms, rate).withColumnRenamed(idx, "sample"))
     a = series.group_zscore(envelope, on, "sample", "envelope", out="a")
-    padded = m.join(a.select(*on, "sample", "a"), [*on, "sample"], "full")
-    padded = padded.select(*on, "sample", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("m", F.lit(0.0)).alias("m"))
-    products = series.lag_products(padded, on, "sample", "a", "m", max_lag)
-    # Lags run from -floor(N/2) to N-1-floor(N/2), as a centred correlation of N samples has them.
-    half = F.floor(F.col("length") / 2)
-    centred = products.join(plan, on).where((F.col("lag") >= -half) & (F.col("lag") <= F.col("length") - 1 - half))
-    best = series.best_lag(centred, on).join(plan, on)
+    lengths = plan.select(*on, F.col("length").alias("_n"))
+    sides = [
+        spread_fft.blocks(scale.attach(side.select(*on, "sample", v), lengths, on, ["sample"]), on, "sample", v, "_n", k)
+        for k, (side, v) in enumerate(((a, "a"), (m, "m")))
+    ]
+    best = spread_fft.best_correlation(*sides, on).join(plan, on)
     return best.select(
         *on,
         "n_frames",
         "n_samples",
         F.col("lag").alias("offset_samples"),
         (F.col("lag") / F.lit(float(rate))).alias("offset_seconds"),
-        (F.col("total") / F.col("length")).alias("correlation"),
+        "correlation",
     )
 
 
+def frame_times(images: DataFrame, keys: Sequence[str], idx: str, fps: float, out: str = "timestamp") -> DataFrame:
+    """Time of each frame in seconds from the utterance's start."""
+    return images.select(*keys, idx, (F.col(idx) / F.lit(float(fps))).alias(out))
+
+
 def aligned_audio(
     audio: DataFrame, aligned: DataFrame, keys: Sequence[str], idx: str, value: str, fps: float, rate: float, compat: bool = False
 ) -> DataFrame:
@@ -127,8 +141,8 @@ def preprocess(
     fps: float,
     rate: float,
     smooth_ms: float,
-    max_lag: int,
     minimum: float = fixed.BATCH_MIN_CORRELATION,
+    roi: tuple[int, int, int, int] | None = None,
 ) -> DataFrame:
     """Denoise the images, align the audio and judge the result, one row per utterance.
 
@@ -156,7 +170,7 @@ def preprocess(
     good = succeeded(ledger).select(*on)
     clean = frames.denoise(_having(images, good, on, idx), on, idx, pixels, height, width)
     found = pinned(
-        align(clean, _having(audio, good, on, idx), on, idx, pixels, value, fps, rate, smooth_ms, max_lag)
+        align(clean, _having(audio, good, on, idx), on, idx, pixels, value, fps, rate, smooth_ms, width, roi)
     )
     judged = selection.validate_alignment(found, minimum)
     tiered = judged.withColumn("tier", C.quality_tier(F.col("correlation")))

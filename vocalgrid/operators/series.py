@@ -14,6 +14,7 @@ from vocalgrid import scale
 from vocalgrid.fixed import POWER_FLOOR, SCALE_EPSILON, TOP_DB
 from vocalgrid.functions import kernels
 from vocalgrid.functions.arrow import batch_kernel
+from vocalgrid.operators import spread_fft
 
 BLOCK = 1024
 
@@ -170,28 +171,17 @@ def lag_products(
     idx: str,
     a: str,
     b: str,
-    max_lag: int,
-    block: int = BLOCK,
+    max_lag: int | None = None,
 ) -> DataFrame:
-    """sum over n of a[n+lag] * b[n] for every lag in [-max_lag, max_lag]; zero beyond the ends.
+    """sum over n of a[n+lag] * b[n] for every lag at which the series meet; zero beyond the ends.
 
-    Each block multiplies its own ``b`` samples with a halo of ``a`` samples, so only one partial
-    sum per (block, lag) reaches the shuffle. Returns keys, lag, total.
+    All lags of a series come from one spread transform. A caller who wants near lags only may name ``max_lag``.
+    Returns keys, lag, total.
     """
-    narrow = df.select(*keys, idx, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
-    blocks = scale.halo_blocks(narrow, keys, idx, ["_a", "_b"], block, max_lag, max_lag)
-    width = block + 2 * max_lag
-    lead = (F.col("first") - (F.col("block") * block - max_lag)).cast("int")
-
-    def filled(name: str) -> Column:
-        rest = (F.lit(width) - F.size(name) - lead).cast("int")
-        return F.concat(F.array_repeat(F.lit(0.0), lead), name, F.array_repeat(F.lit(0.0), rest))
-
-    both = F.concat(filled("_a"), filled("_b"))
-    products = batch_kernel(lambda rows: kernels.block_correlation(rows, max_lag))(both)
-    partial = blocks.select(*keys, products.alias("_p"))
-    rows = partial.select(*keys, F.posexplode("_p").alias("_l", "_v"))
-    return rows.groupBy(*keys, (F.col("_l") - max_lag).cast("long").alias("lag")).agg(F.sum("_v").alias("total"))
+    counted = spread_fft.sized(df.select(*keys, F.col(idx).cast("long").alias(idx), a, b), keys, idx)
+    sides = [spread_fft.blocks(counted, keys, idx, v, "_n", side) for side, v in enumerate((a, b))]
+    rows = spread_fft.correlations(*sides, keys)
+    return rows if max_lag is None else rows.where(F.abs("lag") <= max_lag)
 
 
 def best_lag(products: DataFrame, keys: Sequence[str]) -> DataFrame:

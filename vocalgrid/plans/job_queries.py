@@ -25,7 +25,7 @@ from vocalgrid.sources import stores
 from vocalgrid.streaming.progress import run_progress
 
 UTT = ["utt"]
-AUDIO_FPS, AUDIO_RATE, SMOOTH_MS, MAX_LAG = 10.0, 13.0, 50.0, 256
+AUDIO_FPS, AUDIO_RATE, SMOOTH_MS = 10.0, 13.0, 50.0
 
 
 # Alignment: label n's frames are the images of user n's samples -----------------------------------
@@ -49,7 +49,7 @@ pad AS (SELECT coalesce(zm.utt, za.utt) AS utt, coalesce(zm.i, za.i) AS i, coale
 padn AS (SELECT utt, count(*) AS n FROM pad GROUP BY utt),
 lags AS (SELECT utt, n, unnest(range(-(n // 2), n - n // 2)) AS lag FROM padn),
 cc AS (SELECT l.utt, l.n, l.lag, sum(coalesce(q.a, 0) * p.m) AS total FROM lags l JOIN pad p ON p.utt = l.utt
-  LEFT JOIN pad q ON q.utt = p.utt AND q.i = p.i + l.lag WHERE l.lag BETWEEN -{MAX_LAG} AND {MAX_LAG} GROUP BY l.utt, l.n, l.lag),
+  LEFT JOIN pad q ON q.utt = p.utt AND q.i = p.i + l.lag GROUP BY l.utt, l.n, l.lag),
 aligned AS (SELECT utt, lag AS offset_samples, lag / {AUDIO_RATE!r}::DOUBLE AS offset_seconds, total / n AS correlation, n_frames, n_samples
   FROM (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY total DESC, lag) AS r FROM cc) JOIN lens USING (utt) WHERE r = 1)"""
 
@@ -63,7 +63,7 @@ def images_and_audio(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
   SELECT utt, n_frames, n_samples, CAST(offset_samples AS BIGINT) AS offset_samples, {d6('offset_seconds')} AS offset_seconds, {d6('correlation')} AS correlation FROM aligned""")
 def align(spark: SparkSession, sf_dir: str) -> DataFrame:
     images, audio = images_and_audio(spark, sf_dir)
-    out = jobs.align(images, audio, UTT, "frame_idx", "pixels", "value", AUDIO_FPS, AUDIO_RATE, SMOOTH_MS, MAX_LAG)
+    out = jobs.align(images, audio, UTT, "frame_idx", "pixels", "value", AUDIO_FPS, AUDIO_RATE, SMOOTH_MS)
     return rounded(out, ["offset_seconds", "correlation"])
 
 
@@ -73,7 +73,7 @@ def align(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT g.utt, CAST(g.i AS BIGINT) AS frame_idx, coalesce(h.v, 0) AS value FROM g LEFT JOIN heard h ON h.utt = g.utt AND h.i = g.i + g.o""")
 def aligned_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     images, audio = images_and_audio(spark, sf_dir)
-    found = jobs.align(images, audio, UTT, "frame_idx", "pixels", "value", AUDIO_FPS, AUDIO_RATE, SMOOTH_MS, MAX_LAG)
+    found = jobs.align(images, audio, UTT, "frame_idx", "pixels", "value", AUDIO_FPS, AUDIO_RATE, SMOOTH_MS)
     return jobs.aligned_audio(audio, found, UTT, "frame_idx", "value", AUDIO_FPS, AUDIO_RATE)
 
 
@@ -102,7 +102,7 @@ clean AS (SELECT utt, frame_idx, y, x, CASE WHEN n < 3 THEN v ELSE list_sort([a,
   FROM every e LEFT JOIN judged j USING (utt)""")
 def preprocess_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     images, audio = images_and_audio(spark, sf_dir)
-    out = jobs.preprocess(images, audio, UTT, "frame_idx", "pixels", "value", S, S, AUDIO_FPS, AUDIO_RATE, SMOOTH_MS, MAX_LAG)
+    out = jobs.preprocess(images, audio, UTT, "frame_idx", "pixels", "value", S, S, AUDIO_FPS, AUDIO_RATE, SMOOTH_MS)
     return rounded(out, ["offset_seconds", "correlation"])
 
 

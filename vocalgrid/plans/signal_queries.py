@@ -114,13 +114,13 @@ def interp_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("lag_join", f"""WITH {B.SIGNAL_SQL}, ab AS (SELECT utt, frame_idx AS i, value AS a, CAST(json_extract(props, '$.k') AS DOUBLE) AS b FROM signal),
-  lags AS (SELECT unnest(range(-5, 6)) AS lag),
-  s AS (SELECT p.utt, lag, sum(coalesce(q.a, 0) * p.b) AS total FROM ab p, lags LEFT JOIN ab q ON q.utt = p.utt AND q.i = p.i + lag GROUP BY p.utt, lag),
+  lags AS (SELECT utt, unnest(range(1 - count(*), count(*))) AS lag FROM ab GROUP BY utt),
+  s AS (SELECT p.utt, lag, sum(coalesce(q.a, 0) * p.b) AS total FROM ab p JOIN lags USING (utt) LEFT JOIN ab q ON q.utt = p.utt AND q.i = p.i + lag GROUP BY p.utt, lag),
   r AS (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY total DESC, lag) = 1 AS is_best FROM s)
   SELECT utt, CAST(lag AS BIGINT) AS lag, {d6('total')} AS total, is_best FROM r""")
 def lag_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = B.signal(spark, sf_dir).withColumn("b", F.get_json_object("props", "$.k").cast("double"))
-    products = series.lag_products(df, UTT, "frame_idx", "value", "b", 5)
+    products = series.lag_products(df, UTT, "frame_idx", "value", "b")
     best = series.best_lag(products, UTT).select("utt", F.col("lag").alias("best"))
     marked = products.join(best, "utt").withColumn("is_best", F.col("lag") == F.col("best"))
     return rounded(marked.drop("best"), "total")

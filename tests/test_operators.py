@@ -1,5 +1,7 @@
 """Known cases and invariants of the operators."""
 
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -226,7 +228,7 @@ def test_pca_equals_svd(spark):
     assert np.allclose(model.explained_ratio, (s**2 / (s**2).sum())[:6])
     rows = df.select("frame_idx", pca.transform(model, F.col("px")).alias("z")).orderBy("frame_idx").collect()
     assert np.allclose([r["z"] for r in rows], centred @ model.components.T)
-    white = pca.MaskPCA(model.scaler, model.model, 4, 5, True)
+    white = dataclasses.replace(model, whiten=True)
     rows = df.select(pca.transform(white, F.col("px")).alias("z")).collect()
     assert np.allclose(np.std([r["z"] for r in rows], axis=0, ddof=1), 1.0)
     full = pca.fit(df, "px", 4, 5, 20)
@@ -237,6 +239,33 @@ def test_pca_equals_svd(spark):
         df.select(pca.transform(model, F.slice("px", 1, 10))).collect()
 
 
+def test_pca_of_large_frames_in_few_directions(spark):
+    """256 x 256 pixels: four patterns under noise, packed masks, a null mask left out."""
+    rng = np.random.default_rng(8)
+    side, n = 256, 60
+    patterns = rng.random((4, side * side)) < 0.5
+    data = (rng.random((n, 4)) < 0.5).astype(np.uint8) @ patterns.astype(np.uint8)
+    rows = [(i, bytearray(m.tobytes())) for i, m in enumerate(data)] + [(n, None)]
+    df = spark.createDataFrame(rows, "frame_idx long, px binary").repartition(4)
+    centred = data.astype(float) - data.mean(axis=0)
+    s = np.linalg.svd(centred, compute_uv=False)
+    model = pca.fit(df, "px", side, side, 4)
+    assert np.allclose(model.variances, s[:4] ** 2 / (n - 1))
+    assert np.isclose(model.total, (s**2).sum() / (n - 1))
+    got = {r["frame_idx"]: r["z"] for r in df.select("frame_idx", pca.transform(model, F.col("px")).alias("z")).collect()}
+    assert got.pop(n) is None
+    assert np.allclose([got[i] for i in range(n)], centred @ model.components.T, atol=1e-6)
+
+
+def test_pca_of_equal_masks(spark):
+    model = pca.fit(frame_table(spark, np.full((5, 2, 2), 2), "int"), "px", 2, 2, 3, whiten=True)
+    assert np.allclose(model.explained_ratio, 0) and np.allclose(model.mean, 2)
+    df = frame_table(spark, np.full((1, 2, 2), 2), "int").select(pca.transform(model, F.col("px")).alias("z"))
+    assert np.allclose(df.first()["z"], 0)
+    with pytest.raises(ValueError, match="no masks"):
+        pca.fit(frame_table(spark, np.full((1, 2, 2), 2), "int").where("false"), "px", 2, 2, 1)
+
+
 def test_vocal_tract_of_nothing_is_everything(spark):
     df = frame_table(spark, np.zeros((1, 6, 6)), "int")
     assert df.select(segmentation.vocal_tract_mask(6, 6)(F.col("px")).alias("t")).first()["t"] == [1] * 36

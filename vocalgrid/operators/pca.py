@@ -1,84 +1,172 @@
-"""PCA parameters of label masks with Spark ML: mean, covariance and projection run distributed.
+"""PCA parameters of label masks by block Lanczos steps: the covariance is applied to a few directions, never formed.
 
-What reaches the driver depends on the pixel count only, never on the number of frames: the
-covariance of a frame of P pixels is P * P doubles.
+Each step is one pass over the frames: centred rows times a thin block, summed inside a task and then over tasks. What
+reaches the driver is a basis of (steps * block) directions of P pixels, never P * P values and never a frame.
+The steps end when the wanted components satisfy their equation to ``tolerance``, or span everything.
+
+Defined cases: null masks are left out of the fit and have null scores; masks of another size raise; constant masks give
+components of no variance, whose shares are 0 and which whitening leaves as they are; no masks at all raise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
+
+from vocalgrid.functions.arrow import SLICE, _rows, batch_kernel, unpack
 
-from vocalgrid.functions.arrow import batch_kernel, project
+OVERSAMPLE = 10
+MAX_STEPS = 12
+TOLERANCE = 1e-8
+# Values of one summed piece, and the number of first sums per piece: both bound what a task holds.
+PIECE = 1 << 14
+SPREAD = 64
 
 
 @dataclass
 class MaskPCA:
-    """A fitted model: Spark ML stages, the frame shape, and whether scores are whitened."""
+    """A fitted model: mean (P), components (k, P), variance of each and of all pixels, frame shape, whitening."""
 
-    scaler: StandardScalerModel
-    model: PCAModel
+    mean: np.ndarray
+    components: np.ndarray
+    variances: np.ndarray
+    total: float
     height: int
     width: int
     whiten: bool = False
 
-    @property
-    def mean(self) -> np.ndarray:
-        return np.array(self.scaler.mean.toArray())
-
-    @property
-    def components(self) -> np.ndarray:
-        """(k, pixels); the largest loading of each component is positive."""
-        rows = self.model.pc.toArray().T
-        lead = np.abs(rows).argmax(axis=1)
-        return rows * np.sign(rows[np.arange(len(rows)), lead])[:, None]
-
     @property
     def explained_ratio(self) -> np.ndarray:
-        return np.array(self.model.explainedVariance.toArray())
-
-    @property
-    def variances(self) -> np.ndarray:
-        """Variance of each component."""
-        return self.explained_ratio * float((np.array(self.scaler.std.toArray()) ** 2).sum())
-
-
-def fit(df: DataFrame, mask: str, height: int, width: int, k: int = 10, whiten: bool = False) -> MaskPCA:
-    vectors = df.select(array_to_vector(F.col(mask).cast("array<double>")).alias("x"))
-    scaler = StandardScaler(inputCol="x", outputCol="c", withMean=True, withStd=False).fit(vectors)
-    model = PCA(k=k, inputCol="c", outputCol="p").fit(scaler.transform(vectors))
-    return MaskPCA(scaler, model, height, width, whiten)
+        return self.variances / self.total if self.total > 0 else np.zeros_like(self.variances)
+
+
+def _shape_text(height: int, width: int) -> str:
+    return f"masks must hold {height} x {width} pixels"
+
+
+def _summed(pieces: DataFrame) -> np.ndarray:
+    """Sum of vectors given as rows (piece, values), first by ``SPREAD`` parts of each piece and then over these."""
+
+    def add(group):
+        total = group["values"].iloc[0].copy()
+        for more in group["values"].iloc[1:]:
+            total += more
+        return pd.DataFrame({"piece": group["piece"].iloc[:1], "values": [total]})
+
+    kind = "piece int, values array<double>"
+    first = pieces.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
+    parts = first.groupBy("piece", "part").applyInPandas(add, kind)
+    rows = parts.groupBy("piece").applyInPandas(add, kind).orderBy("piece").toPandas()
+    return np.concatenate(rows["values"].to_list())
+
+
+def _applied(frames: DataFrame, mean: np.ndarray, block: np.ndarray, shape: str) -> np.ndarray:
+    """Sum over frames of centred frame times (centred frame times ``block``): pixels x block width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros_like(block)
+        for batch in batches:
+            if len(batch):
+                rows = _rows(batch.column(0))
+                if rows.shape[1] != len(mean):
+                    raise ValueError(shape)
+                step = max(SLICE // len(mean), 1)
+                for at in range(0, len(rows), step):
+                    part = rows[at : at + step] - mean
+                    total += part.T @ (part @ block)
+        flat = total.ravel()
+        for piece, at in enumerate(range(0, len(flat), PIECE)):
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([flat[at : at + PIECE]], pa.list_(pa.float64()))], names=["piece", "values"])
+
+    return _summed(frames.mapInArrow(run, "piece int, values array<double>")).reshape(block.shape)
+
+
+def _orthonormal(block: np.ndarray, basis: np.ndarray, floor: float) -> np.ndarray:
+    """What ``block`` adds to the span of ``basis``: orthonormal columns, those under ``floor`` left out."""
+    for _ in range(2):
+        block = block - basis @ (basis.T @ block)
+    left, size, _ = np.linalg.svd(block, full_matrices=False)
+    fresh = left[:, size > floor]
+    fresh = fresh - basis @ (basis.T @ fresh)
+    return np.linalg.qr(fresh)[0]
+
+
+def fit(
+    df: DataFrame, mask: str, height: int, width: int, k: int = 10, whiten: bool = False,
+    max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE, seed: int = 5,
+) -> MaskPCA:
+    """The ``k`` components of greatest variance; the largest loading of each is positive."""
+    pixels, shape = height * width, _shape_text(height, width)
+    if k > pixels:
+        raise ValueError(f"{k} components of {pixels} pixels")
+    column = unpack()(F.col(mask)) if isinstance(df.schema[mask].dataType, BinaryType) else F.col(mask)
+    frames = df.where(F.col(mask).isNotNull()).select(column.cast("array<double>").alias("x"))
+    if frames.isEmpty():
+        raise ValueError("no masks to fit")
+    found = frames.select(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("x")).alias("s")).select("s.*").first()
+    mean, count = found["mean"].toArray(), found["count"]
+    if len(mean) != pixels:
+        raise ValueError(shape)
+    total = float(found["variance"].toArray().sum()) if count > 1 else 0.0
+
+    start = np.random.default_rng(seed).standard_normal((pixels, min(pixels, k + OVERSAMPLE)))
+    block = np.linalg.qr(start)[0]
+    basis, images = np.zeros((pixels, 0)), np.zeros((pixels, 0))
+    for _ in range(max_steps):
+        image = _applied(frames, mean, block, shape) / max(count - 1, 1)
+        basis, images = np.hstack([basis, block]), np.hstack([images, image])
+        inner = basis.T @ images
+        values, turns = np.linalg.eigh((inner + inner.T) / 2)
+        values, turns = values[::-1][:k], turns[:, ::-1][:, :k]
+        gap = np.linalg.norm(images @ turns - (basis @ turns) * values, axis=0).max()
+        floor = tolerance * max(values[0], 0.0)
+        if gap <= floor:
+            break
+        block = _orthonormal(image, basis, floor)
+        if not block.shape[1]:
+            break
+    rows = (basis @ turns).T
+    lead = np.abs(rows).argmax(axis=1)
+    rows = rows * np.where(rows[np.arange(k), lead] < 0, -1.0, 1.0)[:, None]
+    return MaskPCA(mean, rows, np.maximum(values, 0.0), total, height, width, whiten)
 
 
 def _scale(model: MaskPCA) -> np.ndarray:
-    return np.sqrt(model.variances) if model.whiten else np.ones(len(model.variances))
+    kept = model.variances > TOLERANCE * max(model.total, 0.0)
+    return np.sqrt(np.where(kept, model.variances, 1.0)) if model.whiten else np.ones(len(model.variances))
 
 
 def transform(model: MaskPCA, mask: Column) -> Column:
     """Component scores of a mask column: centred, projected, optionally whitened."""
-    matrix = model.components / _scale(model)[:, None]
-    shift = matrix @ model.mean
-    pixels, turned = model.height * model.width, matrix.T.copy()
-    shape = f"masks must hold {model.height} x {model.width} pixels"
+    turned, mean = (model.components / _scale(model)[:, None]).T.copy(), model.mean
+    shape = _shape_text(model.height, model.width)
 
     def run(rows: np.ndarray) -> np.ndarray:
-        if rows.shape[1] != pixels:
+        if rows.shape[1] != len(mean):
             raise ValueError(shape)
-        return rows @ turned - shift
+        return (rows - mean) @ turned
 
     return batch_kernel(run)(mask)
 
 
-def inverse(model: MaskPCA, scores: Column) -> Column:
-    """Masks from scores: projected back, clipped to 0..3 and truncated to whole classes."""
-    back = project((model.components * _scale(model)[:, None]).T)(scores)
-    mean = F.array(*[F.lit(float(v)) for v in model.mean])
-    return F.zip_with(back, mean, lambda a, b: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(3.0), a + b))).cast("int"))
+def inverse(model: MaskPCA, scores: Column, classes: bool = True) -> Column:
+    """Masks from scores: projected back; with ``classes`` clipped to 0..3 and truncated to whole classes."""
+    back, mean = model.components * _scale(model)[:, None], model.mean
+
+    def run(rows: np.ndarray) -> np.ndarray:
+        made = rows @ back + mean
+        return np.floor(np.clip(made, 0.0, 3.0)) if classes else made
+
+    return batch_kernel(run, "int" if classes else "double")(scores)
 
 
 def explained_variance(spark: SparkSession, model: MaskPCA) -> DataFrame:
@@ -89,15 +177,17 @@ def explained_variance(spark: SparkSession, model: MaskPCA) -> DataFrame:
 
 
 def save(spark: SparkSession, model: MaskPCA, path: str) -> None:
-    """Spark ML stages plus one row with the shape and the whitening flag."""
-    model.scaler.write().overwrite().save(f"{path}/scaler")
-    model.model.write().overwrite().save(f"{path}/pca")
-    shape = spark.createDataFrame([(model.height, model.width, model.whiten)], "height int, width int, whiten boolean")
-    shape.write.mode("overwrite").parquet(f"{path}/shape")
+    """One row for the mean (component null) and one per component; every row carries shape, whitening and total."""
+    shared = (float(model.total), model.height, model.width, model.whiten)
+    rows = [(None, None, model.mean.tolist(), *shared)]
+    rows += [(i, float(v), c.tolist(), *shared) for i, (v, c) in enumerate(zip(model.variances, model.components))]
+    kind = "component int, variance double, loadings array<double>, total double, height int, width int, whiten boolean"
+    spark.createDataFrame(rows, kind).write.mode("overwrite").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> MaskPCA:
-    row = spark.read.parquet(f"{path}/shape").first()
+    mean, *rows = spark.read.parquet(path).orderBy(F.col("component").asc_nulls_first()).collect()
     return MaskPCA(
-        StandardScalerModel.load(f"{path}/scaler"), PCAModel.load(f"{path}/pca"), row["height"], row["width"], row["whiten"]
+        np.array(mean["loadings"]), np.array([r["loadings"] for r in rows]), np.array([r["variance"] for r in rows]),
+        mean["total"], mean["height"], mean["width"], mean["whiten"],
     )

@@ -122,17 +122,38 @@ def failure_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.failure_ledger(events, checks).select("utt", "n", "error")
 
 
-@query("parameter_job", f"WITH {GEOMETRY_SQL} SELECT utt, frame_id, {geometry_columns_sql()}, CAST(10 AS BIGINT) AS n_components FROM geo")
+@query("parameter_job", f"""WITH {GEOMETRY_SQL}, m AS (SELECT y, x, avg(cls) AS v FROM mask GROUP BY y, x),
+  e AS (SELECT utt, frame_id, {d6('sum((cls - v) * (cls - v))')} AS pca_energy FROM mask JOIN m USING (y, x) GROUP BY utt, frame_id)
+  SELECT utt, frame_id, {geometry_columns_sql()}, CAST({S * S} AS BIGINT) AS n_components, pca_energy FROM geo JOIN e USING (utt, frame_id)""")
 def parameter_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both kinds, stored by kind and read back."""
-    both = jobs.parameters(B.masks(spark, sf_dir), ["utt", "frame_id"], "mask", S, S, "both", 10)
+    """Both kinds, stored by kind and read back; all components, so that their squares can be checked against the masks."""
+    geometric, scored = _stored_parameters(spark, sf_dir)
+    energy = F.aggregate("pca", F.lit(0.0), lambda a, v: a + v * v)
+    components = scored.select("utt", "frame_id", F.size("pca").cast("long").alias("n_components"), energy.alias("pca_energy"))
+    joined = geometric.join(components, ["utt", "frame_id"]).withColumn("utt", F.col("utt").cast("long"))
+    return rounded(joined, [*fixed.GEOMETRIC_FEATURES, "pca_energy"])
+
+
+@query("parameter_stats", f"""WITH f AS (SELECT CAST(label AS BIGINT) AS utt, count(*) AS n FROM embeddings GROUP BY label), kinds AS (
+    SELECT * FROM (VALUES ('geometric', CAST({len(fixed.GEOMETRIC_FEATURES)} AS BIGINT)), ('pca', CAST({S * S} AS BIGINT))) k(kind, n_params))
+  SELECT kind, utt, CAST(count(*) AS BIGINT) AS n_utterances, CAST(sum(n) AS BIGINT) AS n_frames, max(n_params) AS n_params FROM f, kinds GROUP BY GROUPING SETS ((kind, utt), (kind))""")
+def parameter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the parameter job stored, per utterance and in total."""
+    geometric, scored = _stored_parameters(spark, sf_dir)
+    sizes = {"geometric": (geometric, F.lit(len(fixed.GEOMETRIC_FEATURES))), "pca": (scored, F.size("pca"))}
+    parts = [
+        summaries.extraction_stats(df.withColumn("utt", F.col("utt").cast("long")), "utt", width).withColumn("kind", F.lit(kind))
+        for kind, (df, width) in sizes.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _stored_parameters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    both = jobs.parameters(B.masks(spark, sf_dir), ["utt", "frame_id"], "mask", S, S, "both", S * S)
     where = new_location(spark, "parameters")
     stores.write_features(both.drop("pca"), where, "geometric", "utt", ["frame_id"])
     stores.write_features(both.select("utt", "frame_id", "pca"), where, "pca", "utt", ["frame_id"])
-    geometric = stores.read_features(spark, where, "geometric")
-    components = stores.read_features(spark, where, "pca").select("utt", "frame_id", F.size("pca").cast("long").alias("n_components"))
-    joined = geometric.join(components, ["utt", "frame_id"]).withColumn("utt", F.col("utt").cast("long"))
-    return rounded(joined, fixed.GEOMETRIC_FEATURES)
+    return stores.read_features(spark, where, "geometric"), stores.read_features(spark, where, "pca")
 
 
 @query("training_table_job", f"""WITH {FEATURES_SQL}, {B.PARAMETERS_SQL}, {MISMATCH_SQL}, {SUBJECT_SPLIT_SQL},

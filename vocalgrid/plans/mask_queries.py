@@ -299,36 +299,72 @@ def macro_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 # PCA --------------------------------------------------------------------------------------------
 
 COMPONENTS = 10
+# The mask's pixels in page order, as rows.
+FLAT_SQL = f"{B.MASK_SQL}, flat AS (SELECT utt, frame_id, y * {S} + x AS pixel, cls FROM mask)"
 
 
-def fitted(spark: SparkSession, sf_dir: str, whiten: bool = False) -> tuple[DataFrame, pca.MaskPCA]:
+def fitted(spark: SparkSession, sf_dir: str, k: int = COMPONENTS, whiten: bool = False) -> tuple[DataFrame, pca.MaskPCA]:
     masks = B.masks(spark, sf_dir)
-    return masks, pca.fit(masks, "mask", S, S, COMPONENTS, whiten)
+    return masks, pca.fit(masks, "mask", S, S, k, whiten)
 
 
-@query("pca_fit")
+@query("pca_fit", f"""SELECT 'product' AS part, i AS component, j AS other, CASE WHEN i = j THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS value
+  FROM range({COMPONENTS}) a(i), range({COMPONENTS}) b(j)
+  UNION ALL SELECT 'residual', i, j, CAST(0 AS DOUBLE) FROM range({COMPONENTS}) a(i), range({S * S}) b(j)
+  UNION ALL SELECT 'mean', NULL, pixel, value FROM (WITH {FLAT_SQL} SELECT pixel, {d6('avg(cls)')} AS value FROM flat GROUP BY pixel)""")
 def pca_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, model = fitted(spark, sf_dir)
-    rows = [(c, p, round(float(v), 6)) for c, row in enumerate(model.components) for p, v in enumerate(row)]
-    return spark.createDataFrame(rows, "component long, pixel long, loading double")
+    """What makes a vector a component: products of components, and covariance times component less variance times component.
 
+    The covariance of each pixel with a score is summed over the table by Spark, apart from the fit.
+    """
+    masks, model = fitted(spark, sf_dir)
+    kind = "part string, component long, other long, value double"
+    products = model.components @ model.components.T
+    rows = [("product", i, j, float(v)) for i, row in enumerate(products) for j, v in enumerate(row)]
+    rows += [("mean", None, j, float(v)) for j, v in enumerate(model.mean)]
+    sides = masks.select("mask", F.posexplode(pca.transform(model, F.col("mask"))).alias("component", "score"))
+    sides = sides.select("component", "score", F.posexplode("mask").alias("other", "cls"))
+    together = sides.groupBy("component", "other").agg(F.covar_samp("score", "cls").alias("c"))
+    wanted = [(i, j, float(v * model.variances[i])) for i, row in enumerate(model.components) for j, v in enumerate(row)]
+    named = spark.createDataFrame(wanted, "component int, other int, w double")
+    residual = together.join(named, ["component", "other"]).select(
+        F.lit("residual").alias("part"), F.col("component").cast("long").alias("component"), F.col("other").cast("long").alias("other"), (F.col("c") - F.col("w")).alias("value")
+    )
+    return rounded(spark.createDataFrame(rows, kind).unionByName(residual), ["value"])
 
-@query("pca_transform")
+
+@query("pca_transform", f"""SELECT c AS component, count(*) AS n_frames, CAST(0 AS DOUBLE) AS mean, CAST(1 AS DOUBLE) AS variance
+  FROM embeddings, range({COMPONENTS}) k(c) GROUP BY c""")
 def pca_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened scores have mean 0 and variance 1 in every component."""
     masks, model = fitted(spark, sf_dir, whiten=True)
-    scored = masks.select(*KEY, F.posexplode(pca.transform(model, F.col("mask"))).alias("component", "score"))
-    return rounded(scored.withColumn("component", F.col("component").cast("long")), ["score"])
+    scored = masks.select(F.posexplode(pca.transform(model, F.col("mask"))).alias("component", "score"))
+    out = scored.groupBy(F.col("component").cast("long").alias("component")).agg(
+        F.count("score").alias("n_frames"), F.avg("score").alias("mean"), F.var_samp("score").alias("variance")
+    )
+    return rounded(out, ["mean", "variance"])
 
 
-@query("pca_inverse")
+@query("pca_energy", f"""WITH {FLAT_SQL}, m AS (SELECT pixel, avg(cls) AS v FROM flat GROUP BY pixel)
+  SELECT utt, frame_id, {d6('sum((cls - v) * (cls - v))')} AS energy FROM flat JOIN m USING (pixel) GROUP BY utt, frame_id""")
+def pca_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With all components a frame's squared scores sum to its squared distance from the mean."""
+    masks, model = fitted(spark, sf_dir, S * S)
+    energy = F.aggregate(pca.transform(model, F.col("mask")), F.lit(0.0), lambda a, v: a + v * v)
+    return rounded(masks.select(*KEY, energy.alias("energy")), ["energy"])
+
+
+@query("pca_inverse", f"""WITH {B.MASK_SQL} SELECT utt, frame_id, y, x, CAST(cls AS DOUBLE) AS rebuilt FROM mask""")
 def pca_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks, model = fitted(spark, sf_dir)
-    scored = masks.withColumn("scores", pca.transform(model, F.col("mask")))
-    return mask_pixels(scored.withColumn("rebuilt", pca.inverse(model, F.col("scores"))), "rebuilt")
+    """With all components and before truncation the mask comes back."""
+    masks, model = fitted(spark, sf_dir, S * S)
+    back = masks.withColumn("rebuilt", pca.inverse(model, pca.transform(model, F.col("mask")), classes=False))
+    return rounded(frames.pixel_rows(back, KEY, "rebuilt", S, "rebuilt"), ["rebuilt"])
 
 
-@query("pca_model_io")
+@query("pca_model_io", "SELECT CAST(label AS BIGINT) AS utt, vec_id AS frame_id, CAST(0 AS DOUBLE) AS gap FROM embeddings")
 def pca_model_io(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a fitted model and of the same model stored and read again."""
     masks, model = fitted(spark, sf_dir)
     where = new_location(spark, "pca")
     pca.save(spark, model, where)
@@ -339,7 +375,15 @@ def pca_model_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(masks.select(*KEY, F.array_max(gap).alias("gap")), ["gap"])
 
 
-@query("explained_variance")
+@query("explained_variance", f"""WITH {FLAT_SQL}, v AS (SELECT pixel, var_samp(cls) AS v FROM flat GROUP BY pixel)
+  SELECT CAST({S * S} AS BIGINT) AS components, CAST(1 AS DOUBLE) AS share, true AS falling, {d6('sum(v)')} AS variance FROM v""")
 def explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, model = fitted(spark, sf_dir)
-    return rounded(pca.explained_variance(spark, model), ["share"])
+    """All components together explain all there is; their variances sum to those of the pixels."""
+    _, model = fitted(spark, sf_dir, S * S)
+    shares = pca.explained_variance(spark, model)
+    out = shares.where("component is not null").agg(
+        F.count(F.lit(1)).alias("components"), F.sum("share").alias("share"),
+        F.array_sort(F.collect_list(F.struct("component", "share"))).alias("s"), F.lit(float(model.variances.sum())).alias("variance"),
+    )
+    falling = F.col("s.share") == F.reverse(F.array_sort("s.share"))
+    return rounded(out.select("components", "share", falling.alias("falling"), "variance"), ["share", "variance"])

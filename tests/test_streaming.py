@@ -13,10 +13,22 @@ def test_stream_equals_batch(spark, max_files):
     where = new_location(spark, "incoming")
     events.repartitionByRange(4, "ts").write.parquet(where)
     done = (F.col("event_type") != "error").cast("long")
-    got = run_progress(spark, where, events.schema, "ts", "6 hours", "365 days", done, F.lit(1), max_files=max_files)
+    got = run_progress(spark, where, events.schema, "ts", "6 hours", done, F.lit(1), max_files=max_files)
     want = events.groupBy(F.window(F.col("ts").cast("timestamp"), "6 hours").alias("w")).agg(
         F.count(F.lit(1)).alias("expected"), F.sum(done).alias("done")
     )
     left = sorted((r["window_start"], r["expected"], r["done"]) for r in got.collect())
     right = sorted((r["w"]["start"], r["expected"], r["done"]) for r in want.collect())
     assert left == right and len(left) > 3
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_table_as_file_or_folder(spark, folder, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    place = tmp_path / "events.parquet"
+    if folder:
+        events.repartition(3).write.parquet(str(place))
+    else:
+        place.symlink_to("/root/testdata/sf0.001/events.parquet")
+    got = run_progress(spark, f"{tmp_path}/[e]vents.parquet", events.schema, "ts", "1 day", F.lit(1), F.lit(1))
+    assert got.agg(F.sum("done")).first()[0] == events.count()

@@ -84,10 +84,11 @@ def shard_manifest(assigned: DataFrame, name: str, shards: int, page: int = 1000
     )
     counts = assigned.groupBy("shard").agg(F.count(F.lit(1)).alias("num_files"))
     every = assigned.sparkSession.range(shards).withColumnRenamed("id", "shard")
-    listed = every.join(counts, "shard", "left").join(
-        pages.select("shard", "page", "files_in_page", F.col("_f.f").alias("files")), "shard", "left"
-    )
-    return listed.withColumn("num_files", F.coalesce("num_files", F.lit(0)).cast("long"))
+    # Counts go to the pages, salted, so that a large shard's pages are not drawn into one task.
+    named = pages.select("shard", "page", "files_in_page", F.col("_f.f").alias("files"))
+    listed = scale.attach(named, counts, ["shard"], ["page"])
+    empty = every.join(counts, "shard", "left_anti").withColumn("num_files", F.lit(0).cast("long"))
+    return listed.unionByName(empty, allowMissingColumns=True)
 
 
 def sequence_chunks(

@@ -1,49 +1,24 @@
-"""Thresholds, regions and rule labels for frames. Frames are independent: no operator shuffles
-pixels, except ``otsu_threshold`` which folds them to histograms first."""
+"""Thresholds, regions and rule labels for frames. Frames are independent: no operator shuffles pixels."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocalgrid import fixed
+from vocalgrid.functions import columns as C
 from vocalgrid.functions import kernels
 from vocalgrid.functions.arrow import batch_kernel
 from vocalgrid.operators.frames import smoothing_kernel
 
 
 def otsu_threshold(df: DataFrame, keys: Sequence[str], pixels: str, bins: int = 256) -> DataFrame:
-    """Threshold with the greatest between-class variance per frame; 0.5 for a uniform frame.
-
-    Pixels fold to (frame, bin) counts before the shuffle; the window sees at most ``bins`` rows.
-    """
-    ranged = df.select(
-        *keys, F.array_min(pixels).alias("lo"), F.array_max(pixels).alias("hi"), F.explode(pixels).alias("v")
-    )
-    share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    counts = ranged.groupBy(*keys, "lo", "hi", place.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    frame = Window.partitionBy(*keys)
-    below = frame.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    c, m = F.col("c").cast("double"), (F.col("c") * F.col("bin")).cast("double")
-    sums = counts.select(
-        *keys, "lo", "hi", "bin",
-        F.sum(c).over(below).alias("w1"), F.sum(m).over(below).alias("s1"),
-        F.sum(c).over(frame).alias("w"), F.sum(m).over(frame).alias("s"),
-    )
-    w2, s2 = F.col("w") - F.col("w1"), F.col("s") - F.col("s1")
-    gap = F.col("s1") * w2 - s2 * F.col("w1")
-    scored = sums.withColumn("between", F.when(w2 > 0, gap * gap / (F.col("w1") * w2)))
-    best = scored.groupBy(*keys).agg(
-        F.max_by("bin", F.struct(F.coalesce("between", F.lit(-1.0)), -F.col("bin"))).alias("bin"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-    )
-    centre = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins
-    return best.select(*keys, F.when(F.col("hi") > F.col("lo"), centre).otherwise(0.5).alias("threshold"))
+    """Threshold with the greatest between-class variance per frame; 0.5 for a uniform frame, null for a null one."""
+    found = batch_kernel(lambda rows: kernels.otsu_thresholds(rows, bins)[:, None])(F.col(pixels))
+    return df.select(*keys, F.get(found, 0).alias("threshold"))
 
 
 def _smoothed(height: int, width: int, sigma: float) -> Callable[[np.ndarray], np.ndarray]:
@@ -171,3 +146,10 @@ def pseudo_labels(
         classed = multi_otsu(held, pixels, height, width, 3, bins, sigma)
         return classed.withColumnRenamed("classes", "label").drop("thresholds")
     raise ValueError(f"unknown method {method}")
+
+
+def label_counts(df: DataFrame, keys: Sequence[str], label: str, n_classes: int) -> DataFrame:
+    """Pixels of each class that a label frame holds, one row per class present; counted inside the row."""
+    counts = F.array(*[C.count_value(F.col(label), c) for c in range(n_classes)])
+    rows = df.select(*keys, F.posexplode(counts).alias("class", "pixels"))
+    return rows.where("pixels > 0").select(*keys, F.col("class").cast("long").alias("class"), F.col("pixels").cast("long").alias("pixels"))

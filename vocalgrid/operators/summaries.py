@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vocalgrid import scale
+
 from vocalgrid import fixed, scale
 from vocalgrid.functions import columns as C
 
@@ -259,3 +261,11 @@ def split_info(assigned: DataFrame, subject: str, utt: str, ratios: dict[str, fl
         F.col("_t.s").alias("total_subjects"), F.col("_t.u").alias("total_utterances"),
         asked.alias("asked_ratio"), (F.col("num_subjects") / F.col("_t.s")).alias("actual_ratio"),
     )
+
+
+def split_members(assigned: DataFrame, subject: str, page: int = 1000) -> DataFrame:
+    """The sorted subjects of each split, in pages of bounded length."""
+    distinct = assigned.select("split", subject).distinct()
+    placed = scale.with_position(distinct, ["split"], [subject], "_pos").withColumn("page", F.floor(F.col("_pos") / page).cast("long"))
+    held = placed.groupBy("split", "page").agg(F.array_sort(F.collect_list(subject)).alias("subjects"))
+    return held.select("split", "page", "subjects")

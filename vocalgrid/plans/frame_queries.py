@@ -92,6 +92,16 @@ def motion_energy_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("energy", C.r6(F.col("energy")))
 
 
+@query("motion_energy_mixed", f"""WITH {B.PIXELS_SQL}, kept AS (SELECT * FROM px WHERE utt % 3 <> 0 OR y < 4),
+  d AS (SELECT utt, frame_idx, v - lag(v) OVER (PARTITION BY utt, y, x ORDER BY frame_idx) AS d FROM kept)
+  SELECT utt, CAST(frame_idx AS BIGINT) AS frame_idx, {d6('sqrt(avg(d * d))')} AS energy FROM d WHERE frame_idx > 0 GROUP BY utt, frame_idx""")
+def motion_energy_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of two sizes in one table: every third utterance holds the upper half only."""
+    half = F.when(F.col("utt") % 3 == 0, F.slice("pixels", 1, B.PIXELS // 2)).otherwise(F.col("pixels"))
+    out = frames.motion_energy(B.indexed_frames(spark, sf_dir).withColumn("pixels", half), ["utt"], "frame_idx", "pixels", "rms")
+    return out.withColumn("energy", C.r6(F.col("energy")))
+
+
 @query("temporal_median", f"""WITH {B.PIXELS_SQL}, near AS (SELECT utt, frame_idx, y, x, v,
     coalesce(lag(v) OVER w, v) AS a, coalesce(lead(v) OVER w, v) AS b, count(*) OVER (PARTITION BY utt, y, x) AS n
     FROM px WINDOW w AS (PARTITION BY utt, y, x ORDER BY frame_idx))

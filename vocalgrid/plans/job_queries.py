@@ -11,7 +11,9 @@ from vocalgrid.functions import kernels
 from vocalgrid.operators import frames, jobs, ordering, scores, segmentation, series, summaries
 from vocalgrid.plans import binding as B
 from vocalgrid.plans.catalog import d6, query
-from vocalgrid.plans.mask_queries import GEOMETRY_SQL, PSEUDO_SQL, S, geometry_columns_sql, mask_pixels, rounded
+from vocalgrid.plans.mask_queries import (
+    GEOMETRY_SQL, PSEUDO_BINS, PSEUDO_OTSU_SQL, PSEUDO_SQL, S, geometry_columns_sql, mask_pixels, rounded,
+)
 from vocalgrid.plans.signal_queries import hilbert_sql, interpolate_sql, minmax_sql, smooth_sql, zscore_sql
 from vocalgrid.plans.table_queries import (
     FEATURES_SQL,
@@ -106,6 +108,30 @@ def preprocess_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, ["offset_seconds", "correlation"])
 
 
+FAULTY_SQL = "utt % 5 IN (1, 2, 3)"
+
+
+@query("preprocess_faults", f"""WITH {B.PIXELS_SQL}, {_blur_sql()}, {align_sql('clean')},
+  every AS (SELECT utt, count(DISTINCT frame_idx) AS n FROM px GROUP BY utt)
+  SELECT e.utt, CASE WHEN NOT {FAULTY_SQL} THEN CAST(offset_samples AS BIGINT) END AS offset_samples,
+    CASE WHEN NOT {FAULTY_SQL} THEN {d6('correlation')} END AS correlation,
+    CASE WHEN NOT {FAULTY_SQL} AND correlation IS NOT NULL THEN {B.TIER_SQL} END AS tier,
+    CASE WHEN correlation IS NULL THEN 'no audio' WHEN {FAULTY_SQL} THEN 'frames not usable' END AS error
+  FROM every e LEFT JOIN aligned j USING (utt)""")
+def preprocess_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job with a null frame, a NaN pixel or a frame of another size in some utterances; the others are unchanged."""
+    images, audio = images_and_audio(spark, sf_dir)
+    kind, hit = F.pmod("utt", F.lit(5)), F.col("frame_idx") == 3
+    pixels = (
+        F.when(hit & (kind == 1), F.lit(None).cast("array<double>"))
+        .when(hit & (kind == 2), F.transform("pixels", lambda v, i: F.when(i == 7, float("nan")).otherwise(v)))
+        .when(hit & (kind == 3), F.slice("pixels", 1, S * S - 1))
+        .otherwise(F.col("pixels"))
+    )
+    out = jobs.preprocess(images.withColumn("pixels", pixels), audio, UTT, "frame_idx", "pixels", "value", S, S, AUDIO_FPS, AUDIO_RATE, SMOOTH_MS)
+    return rounded(out.select("utt", "offset_samples", "correlation", "tier", "error"), ["correlation"])
+
+
 @query("failure_ledger", """WITH s AS (SELECT user_id AS utt, count(*) AS n, bool_or(event_id % 997 = 0) AS bad,
     min(try_cast(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY user_id)
   SELECT utt, n, CASE WHEN n < 60 THEN 'too short' WHEN bad THEN 'not finite' WHEN k IS NULL OR k > 2 THEN 'bad metadata' END AS error FROM s""")
@@ -180,14 +206,31 @@ def training_table_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pseudo_label_job", f"""WITH {PSEUDO_SQL}
   SELECT utt, frame_id, sample, {d6('threshold')} AS threshold, y, x, CAST(label AS BIGINT) AS label FROM pseudo""")
 def pseudo_label_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = segmentation.pseudo_labels(_pseudo_frames(spark, sf_dir), "pixels", S, S, "combined")
+    return rounded(mask_pixels(labelled, "label", ["utt", "frame_id", "sample", "threshold"]), ["threshold"])
+
+
+@query("pseudo_label_counts", f"""WITH {PSEUDO_SQL}
+  SELECT utt, sample, CAST(label AS BIGINT) AS class, count(*) AS pixels FROM pseudo GROUP BY ALL""")
+def pseudo_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = segmentation.pseudo_labels(_pseudo_frames(spark, sf_dir), "pixels", S, S, "combined")
+    return segmentation.label_counts(labelled, ["utt", "sample"], "label", 5)
+
+
+@query("pseudo_label_otsu", f"""WITH {PSEUDO_OTSU_SQL}
+  SELECT utt, sample, CAST((v >= t1)::INT + (v >= t2)::INT AS BIGINT) AS class, count(*) AS pixels FROM picked JOIN thr USING (frame_id) GROUP BY ALL""")
+def pseudo_label_otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = segmentation.pseudo_labels(_pseudo_frames(spark, sf_dir), "pixels", S, S, "otsu", bins=PSEUDO_BINS)
+    return segmentation.label_counts(labelled, ["utt", "sample"], "label", 3)
+
+
+def _pseudo_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = B.indexed_frames(spark, sf_dir)
     utts = df.groupBy("utt").agg(F.count(F.lit(1)).alias("n"), F.avg(F.get("pixels", 0)).alias("correlation"))
     utts = utts.withColumn("subject", F.floor(F.col("utt") / 2).cast("long"))
     best = ordering.best_per_subject(utts, "subject", "utt", "correlation")
     picks = series.linspace_positions(best, "n", 10).select("utt", "frame_idx", F.col("sample").cast("long").alias("sample"))
-    chosen = picks.join(df, ["utt", "frame_idx"])
-    labelled = segmentation.pseudo_labels(chosen, "pixels", S, S, "combined")
-    return rounded(mask_pixels(labelled, "label", ["utt", "frame_id", "sample", "threshold"]), ["threshold"])
+    return picks.join(df, ["utt", "frame_idx"])
 
 
 # Logs and streams -------------------------------------------------------------------------------
@@ -217,9 +260,9 @@ def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT strftime(d, '%Y-%m-%d') AS day, expected, done, {d6('done / expected * 100')} AS percent, {d6('(expected - done) * 3.5::DOUBLE / 60')} AS eta_minutes FROM w""")
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = B.table(spark, sf_dir, "events").schema
+    # A pattern, as a stream takes a plain path for a folder only, and the table may be one file or a folder of parts.
     out = run_progress(
-        spark, sf_dir, schema, "ts", "1 day", "7 days",
-        (F.col("event_type") != "error").cast("long"), F.lit(1), pattern="events.parquet",
+        spark, f"{sf_dir}/[e]vents.parquet", schema, "ts", "1 day", (F.col("event_type") != "error").cast("long"), F.lit(1),
     )
     named = out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start")
     return rounded(named, ["percent", "eta_minutes"])

@@ -223,6 +223,26 @@ pseudo AS (SELECT k.utt, f.frame_id, k.sample, t.threshold, t.y, t.x, {RULE_SQL}
   FROM picks k JOIN frames f USING (utt, frame_idx) JOIN tract t ON t.frame_id = f.frame_id)"""
 
 
+PSEUDO_BINS = 64
+# The same frames by three intensity classes of the smoothed frame.
+PSEUDO_OTSU_SQL = f"""{SMOOTH_SQL},
+utts AS (SELECT utt, utt // 2 AS subject, count(*) AS n, avg(pixels[1]) AS correlation FROM frames GROUP BY utt),
+chosen AS (SELECT utt, n FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY correlation DESC, utt) AS r FROM utts) WHERE r = 1),
+picks AS (SELECT utt, sample, sample * (n - 1) // 9 AS frame_idx FROM (SELECT utt, n, unnest(range(0, 10)) AS sample FROM chosen)),
+picked AS (SELECT k.utt, k.sample, f.frame_id, s.y, s.x, s.v FROM picks k JOIN frames f USING (utt, frame_idx) JOIN smooth s USING (frame_id)),
+seen AS (SELECT DISTINCT frame_id, y, x, v FROM picked), {histogram_sql('seen', PSEUDO_BINS)},
+grid AS (SELECT f.frame_id, b.bin, coalesce(h.c, 0) AS c FROM ends f, (SELECT unnest(range(0, {PSEUDO_BINS})) AS bin) b
+  LEFT JOIN hist h ON h.frame_id = f.frame_id AND h.bin = b.bin),
+cum AS (SELECT frame_id, bin, sum(c) OVER w AS n, sum(c * bin) OVER w AS s FROM grid WINDOW w AS (PARTITION BY frame_id ORDER BY bin)),
+tot AS (SELECT frame_id, n, s FROM cum WHERE bin = {PSEUDO_BINS - 1}),
+cuts AS (SELECT a.frame_id, a.bin AS b1, b.bin AS b2,
+    round(a.s * a.s / a.n + round((b.s - a.s) ** 2 / (b.n - a.n) + (t.s - b.s) ** 2 / (t.n - b.n), 9), 9) AS v
+  FROM cum a JOIN cum b ON b.frame_id = a.frame_id AND b.bin > a.bin JOIN tot t ON t.frame_id = a.frame_id
+  WHERE a.n > 0 AND b.n > a.n AND t.n > b.n),
+pick AS (SELECT frame_id, b1, b2 FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY v DESC, b1, b2) AS r FROM cuts) WHERE r = 1),
+thr AS (SELECT frame_id, lo + (b1 + 0.5::DOUBLE) * (hi - lo) / {PSEUDO_BINS} AS t1, lo + (b2 + 0.5::DOUBLE) * (hi - lo) / {PSEUDO_BINS} AS t2 FROM pick JOIN ends USING (frame_id))"""
+
+
 @query("tissue_mask_min_area", f"""WITH RECURSIVE {B.PIXELS_SQL}, {region_sql('px', 'v > 0.05', 'r4', 4)},
   sizes AS (SELECT frame_id, region, count(*) AS n FROM r4 GROUP BY frame_id, region)
   SELECT p.utt, p.frame_id, p.y, p.x, CAST(coalesce(s.n >= 4, false) AS BIGINT) AS tissue

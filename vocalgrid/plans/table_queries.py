@@ -53,6 +53,23 @@ def corpus_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.corpus_registry(page_listing(spark, sf_dir))
 
 
+@query("registry_metadata", f"""WITH {LISTING_SQL},
+  m AS (SELECT subject, min(page_id) AS page_id FROM listing WHERE rel = 'metadata.json' AND subject NOT LIKE '.%' GROUP BY subject),
+  seen AS (SELECT subject FROM listing WHERE subject NOT LIKE '.%' GROUP BY subject
+    HAVING bool_or(rel LIKE '2drt/video/%.mp4' OR (rel NOT LIKE '%/%' AND rel LIKE '%.avi') OR rel LIKE 'frames/%.png'))
+  SELECT subject AS subject_id, subject AS directory, CASE WHEN page_id % 2 = 0 THEN page_id ELSE 83.28 END::DOUBLE AS fps,
+    CASE WHEN page_id IS NOT NULL THEN 'page ' || page_id END AS note FROM seen LEFT JOIN m USING (subject)""")
+def registry_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with the metadata texts of its subjects parsed; here every second text names no rate."""
+    files = page_listing(spark, sf_dir)
+    first = files.where("rel = 'metadata.json'").groupBy("subject", "rel").agg(F.min("page_id").alias("i"))
+    note = F.concat(F.lit("page "), F.col("i"))
+    text = F.when(F.col("i") % 2 == 0, F.to_json(F.struct(F.col("i").alias("fps"), note.alias("note")))).otherwise(F.to_json(F.struct(note.alias("note"))))
+    texts = first.select(F.concat_ws("/", "subject", "rel").alias("path"), text.alias("text"))
+    held = listing.with_metadata(listing.corpus_registry(files), texts)
+    return held.select("subject_id", "directory", "fps", F.col("metadata")["note"].alias("note"))
+
+
 @query("file_listing")
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = listing.file_listing(spark, sf_dir, "*.parquet", recursive=True)
@@ -118,7 +135,7 @@ def shard_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = ordering.shard_assign(B.table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
     pages = ordering.shard_manifest(assigned, "doc_id", SHARDS)
     start = assigned.groupBy("shard").agg(F.min("position").alias("_start"))
-    files = pages.join(start, "shard", "left").select(
+    files = scale.attach(pages, start, ["shard"], ["page"], "left").select(
         "shard", "num_files", "page", "_start", F.posexplode_outer("files").alias("i", "file")
     )
     # The first page of a shard may begin inside the shard's own range of positions.
@@ -214,6 +231,19 @@ def quality_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.scores(spark, sf_dir).select("utt", C.quality_tier(F.col("correlation")).alias("tier"))
 
 
+@query("nan_alignment", f"""WITH {B.SCORES_SQL}, v AS (SELECT *, utt % 11 = 0 AS lost, n_frames / CAST(83.28 AS DOUBLE) * 0.5 AS half FROM scores)
+  SELECT utt, NOT lost AND correlation >= 0.3 AND abs(offset_seconds) <= half AS is_valid, CASE WHEN lost THEN 'POOR' ELSE {B.TIER_SQL} END AS tier,
+    CASE WHEN lost THEN 'Not finite' WHEN correlation < 0.3 THEN 'Low correlation: ' || printf('%.3f', correlation) || ' < 0.3'
+         WHEN abs(offset_seconds) > half THEN 'Large offset: ' || printf('%.2f', abs(offset_seconds)) || 's (>' || printf('%.2f', half) || 's)'
+         ELSE 'Valid alignment: correlation=' || printf('%.3f', correlation) END AS message
+  FROM v""")
+def nan_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgement and tier where some correlations are not a number."""
+    correlation = F.when(F.col("utt") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("correlation"))
+    judged = selection.validate_alignment(B.scores(spark, sf_dir).withColumn("correlation", correlation), 0.3)
+    return judged.select("utt", "is_valid", C.quality_tier(F.col("correlation")).alias("tier"), "message")
+
+
 SUBJECT_QUALITY_SQL = """subjects AS (SELECT DISTINCT source AS subject FROM documents),
 quality AS (SELECT source AS subject, CAST(3 + count(*) FILTER (quality = 1) * 2 // greatest(count(*), 1) AS BIGINT) AS video_snr,
     CAST(5 - count(*) FILTER (toxic = 1) * 4 // greatest(count(*), 1) AS BIGINT) AS audio_snr, avg(quality) AS quality_score
@@ -356,6 +386,14 @@ def split_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return info.withColumn("actual_ratio", C.r6(F.col("actual_ratio")))
 
 
+@query("split_members", f"""WITH {SUBJECT_SPLIT_SQL}, s AS (SELECT DISTINCT split, subject FROM orders JOIN splits ON o_custkey = subject)
+  SELECT split, row_number() OVER (PARTITION BY split ORDER BY subject) - 1 AS place, subject FROM s""")
+def split_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = summaries.split_members(split_utterances(spark, sf_dir), "subject", 100)
+    rows = pages.select("split", "page", F.posexplode("subjects").alias("i", "subject"))
+    return rows.select("split", (F.col("page") * 100 + F.col("i")).alias("place"), "subject")
+
+
 def expected_and_done(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     scores = B.scores(spark, sf_dir)
     expected = scores.groupBy("subject").agg(F.count(F.lit(1)).alias("n_expected"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalgrid import fixed
+from vocalgrid.functions import columns as C
 
 
 def file_listing(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
@@ -58,3 +59,15 @@ def corpus_registry(listing: DataFrame) -> DataFrame:
     return found.select(
         "subject_id", "mri_path", "mri_format", audio.alias("audio_path"), F.lit(True).alias("audio_embedded"), "metadata_path"
     )
+
+
+def with_metadata(registry: DataFrame, texts: DataFrame) -> DataFrame:
+    """Add ``directory``, the parsed ``metadata`` map and ``fps`` to the registry; ``texts`` holds path and text, one per path.
+
+    A subject without a readable text has a null map and the default rate.
+    """
+    known = texts.select(F.col("path").alias("metadata_path"), F.col("text").alias("_text"))
+    parsed = F.from_json("_text", "map<string,string>")
+    return registry.join(known, "metadata_path", "left").select(
+        *registry.columns, F.col("subject_id").alias("directory"), parsed.alias("metadata"), C.fps_fallback(F.col("_text")).alias("fps")
+    )

@@ -12,10 +12,10 @@ from vocalgrid.session import new_location
 
 
 def windowed_progress(
-    stream: DataFrame, ts: str, width: str, delay: str, done: Column, expected: Column, by: Sequence[str] = ()
+    stream: DataFrame, ts: str, width: str, done: Column, expected: Column, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Done and expected counts per tumbling window; rows later than ``delay`` may be dropped."""
-    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    """Done and expected counts per tumbling window. No watermark: two counts per window are kept, so no row comes too late."""
+    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp"))
     return timed.groupBy(F.window("_ts", width).alias("w"), *by).agg(
         F.sum(expected).cast("long").alias("expected"), F.sum(done).cast("long").alias("done")
     )
@@ -27,7 +27,6 @@ def run_progress(
     schema,
     ts: str,
     width: str,
-    delay: str,
     done: Column,
     expected: Column,
     by: Sequence[str] = (),
@@ -44,7 +43,7 @@ def run_progress(
     reader = spark.readStream.format(source_format).schema(schema).option("pathGlobFilter", pattern)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
-    report = windowed_progress(reader.load(path), ts, width, delay, done, expected, by)
+    report = windowed_progress(reader.load(path), ts, width, done, expected, by)
     sink = new_location(spark, "progress")
 
     def keep(batch: DataFrame, number: int) -> None:

@@ -143,6 +143,17 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert made[3]["text"] == own(3) and 100 not in made and made[101]["text"].startswith("menu home")
 
 
+@pytest.mark.parametrize("shared", [2, 5])
+def test_shared_lines_count_every_different_document(spark, shared):
+    menu = "\n".join(f"Menu entry {k}" for k in range(shared))
+    own = lambda k: " ".join(f"own{k}w{j}" for j in range(60))
+    copies = [(500 + k, "copied line one\n" + own("c") + "\n" + own("d"), "h") for k in range(40)]
+    rows = [(k, f"{menu}\n{own(k)}", "h") for k in range(21)] + [(100, "\n".join([menu] * 20) + "\ntwo words", "h")]
+    rows += [(k, f"Rare entry\n{own(k)}", "h") for k in range(200, 220)] + copies
+    made = {r["doc_id"]: r["text"] for r in quality.quality_filtered(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert made == {i: own(i) if i < 100 else t for i, t, _ in rows if i != 100}
+
+
 def test_leaks(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi"
     changed = item.replace("zeta", "other").split()

@@ -5,9 +5,9 @@ and hashed. A line's frequency is its number of distinct documents within one ho
 in more than ``max_documents`` documents of their host are removed; a document of which more than
 ``max_removed`` of its words stand in removed lines is depleted and rejected.
 
-Copies of one document are one document here: beside a line, a document is known by the smallest hash of its other lines, so thousands
-of exact or near copies do not turn their own lines into boilerplate, while a menu line under thousands of
-different articles counts each of them.
+Copies of one document are one document here: a document is known by the hash of its whole set of line hashes, so thousands of
+copies of equal lines do not turn their own lines into boilerplate. Any other document counts, however many lines it shares: a menu
+under thousands of different articles counts each of them, and near copies that differ in a line are different documents.
 
 Base rules (contract): too few words, or too many words in repeated 3-word windows.
 
@@ -133,10 +133,8 @@ def parsed(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def frequent_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(host, line) found in more than ``max_documents`` different documents of the host."""
-    hashes = F.col("line_hashes")
-    lines = rows.select("host", F.get(hashes, F.lit(0)).alias("_first"), F.get(hashes, F.lit(1)).alias("_second"), F.explode(hashes).alias("line"))
-    other = F.when(F.col("line") == F.col("_first"), F.coalesce("_second", "_first")).otherwise(F.col("_first"))
-    lines = lines.select("host", "line", other.alias("sketch"))
+    # The hashes of a document are distinct and sorted, so equal sets have equal keys.
+    lines = rows.select("host", F.xxhash64("line_hashes").alias("document"), F.explode("line_hashes").alias("line"))
     # Distinct first: the key holds the document's identity, so a line under a third of all documents is spread.
     return lines.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > max_documents)
 

@@ -2,6 +2,7 @@
 
 import collections
 import html
+import itertools
 import re
 import struct
 
@@ -162,6 +163,23 @@ def test_leaks(spark):
     assert sorted((r["doc_id"], r["item_id"], r["doc_word"], r["n_equal"]) for r in made) == [(1, 7, 2, 16), (1, 8, 2, 16), (2, 7, 1, 15), (2, 8, 1, 15)]
 
 
+def test_leaks_wherever_the_substituted_words_stand(spark):
+    def planted(n, k, step=1):
+        for c in list(itertools.combinations(range(n), k))[::step]:
+            yield n, n - k, "x y " + " ".join(f"z{j}" if j in c else f"i{n}w{j}" for j in range(n)) + " u v"
+
+    texts = [*planted(15, 2), *planted(15, 3), *planted(16, 3), *planted(20, 5, 31), *planted(19, 6, 53), *planted(5, 1), *planted(6, 1), *planted(3, 0), *planted(2, 0), *planted(1, 0)]
+    clean = [*planted(15, 4, 13), *planted(16, 4, 17), *planted(20, 8, 997), *planted(5, 2), *planted(4, 1), *planted(3, 1)]
+    docs = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(texts + clean)], "doc_id long, text string")
+    items = spark.createDataFrame([(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in (1, 2, 3, 4, 5, 6, 15, 16, 19, 20)], "item_id long, text string")
+    made = decontaminate.leaks(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in made) == [(k, n) for k, (n, _, _) in enumerate(texts)]
+    for r in made:
+        n, same, text = texts[r["doc_id"]]
+        found = text.split()[r["doc_word"] : r["doc_word"] + r["n_words"]]
+        assert r["doc_word"] == r["item_word"] + 2 and min(13, 0.8 * n) <= r["n_equal"] <= same and sum(w[0] == "i" for w in found) == r["n_equal"]
+
+
 def test_page_text(spark):
     got = {r["page_id"]: r["text"] for r in run(spark, "op7_html_text")}
     for page, text in connect(SF).execute("SELECT page_id, html FROM pages").fetchall():

@@ -189,6 +189,19 @@ def test_page_text(spark):
     assert html_text.main_text(None, {}) == "" and html_text.main_text("<p>a<b>b</b>\n c&amp;</p><nav>no</nav>", {}) == "ab c&"
 
 
+@pytest.mark.parametrize("wrapped", [
+    '<div class="content has-sidebar">%s</div>', '<div id="page" class="with-header">%s</div>', '<form action="/"><input>%s</form>', '<div class="page no-menu widget">%s</div>',
+    "<div><div class=ad>Buy<p></p>%s</div>", "<div><nav><ul><li><a href=x>Home</a></ul>%s</div>", "<html><head><meta><body>%s",
+])
+@pytest.mark.parametrize("mark", ["<article>%s</article>", "%s"])
+def test_wrappers_and_unclosed_elements_keep_the_article(wrapped, mark):
+    body = " ".join(f"word{k}" for k in range(40))
+    page = "<nav><a href=x>Away</a></nav>" + wrapped % (mark % f"<p>{body}</p><div class='ad'>Advert text</div><p>{body}</p>") + "<footer>Imprint</footer>"
+    for shares in ({}, {"outside": 0.0, "a": 0.0}):
+        got = html_text.main_text(page, shares)
+        assert f"{body} {body}" in got and not re.search("Advert|Away|Imprint", got)
+
+
 def test_shards(spark, odd):
     import xxhash
 

@@ -4,8 +4,10 @@ Method: a page is a row of words and tags in page order. Words score positive, t
 from labelled pages, those that mark their article themselves (one ``article`` or ``main`` element): a word weighs the
 share of such words that stand inside the mark, a tag costs what such tags stand outside it. One linear scan
 finds the contiguous region with the highest sum; it is widened to whole blocks and its text is returned.
-Elements that hold no article text by their kind (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments) give no words.
+Scripts, styles and comments give no words. Elements that hold no article text by their kind or their whole class token (menus,
+headers, footers, sidebars, notices, adverts, forms) give none either, unless they wrap the page (an ``article`` or ``main``
+stands in them, or most of the page's words) or were never closed. Words that stand directly in one of these weigh the share of such words
+inside the mark; everything below them counts as usual.
 
 The weights are counted on every labelled page in one aggregation; their number is bounded by the fixed list of
 kinds. Without any labelled page the prior weights hold.
@@ -37,8 +39,8 @@ BLOCKS = frozenset(
 )
 KINDS = BLOCKS | frozenset("a abbr b cite code em i img q s small span strong sub sup time u".split())
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav\w*|newsletter|"
-    r"notices?|popup|promo\w*|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|\s)(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav\w*|newsletter|"
+    r"notices?|popup|promo\w*|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|\s)",
     re.I,
 )
 
@@ -51,18 +53,42 @@ TAG_COST = 6.0
 LEAST_COST = 0.05
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """(kind, name or text, context, inside a mark, closing tag): kind is 'tag' or 'text'; dropped elements give tags only."""
-    stack: list[tuple[str, bool]] = []  # name, and whether it is what starts a dropped part
-    dropped = marked = linked = 0
+class Doubtful:
+    """An element that holds no article text by its kind, with what was seen inside it."""
+
+    def __init__(self) -> None:
+        self.words, self.marks, self.closed = 0, False, False
+
+    def dropped(self, words: int) -> bool:
+        return self.closed and not self.marks and 2 * self.words <= words
+
+
+def _events(page: str) -> Iterator[tuple[str, str, str, bool, bool, tuple[Doubtful, ...]]]:
+    """The tokens with the doubtful elements around each text; these are complete only when the page has been read."""
+    stack: list[tuple[str, Doubtful | None]] = []
+    around: list[Doubtful] = []
+    marked = linked = 0
     at, size = 0, len(page)
+
+    def close(closed: bool) -> None:
+        nonlocal marked, linked
+        top, doubt = stack.pop()
+        if doubt:
+            around.pop().closed = closed
+        marked -= top in MARKS
+        linked -= top == "a"
+
     while at < size:
         found = _TOKEN.match(page, at)
         token = found[0]
         at = found.end()
         if token[0] != "<" or token == "<":
-            if not dropped:
-                yield "text", token, "a" if linked else (stack[-1][0] if stack else "body"), bool(marked), False
+            if around:
+                n = len(token.split())
+                for doubt in around:
+                    doubt.words += n
+            direct = bool(stack) and stack[-1][1] is not None
+            yield "text", token, "a" if linked else "outside" if direct else (stack[-1][0] if stack else "body"), bool(marked), False, tuple(around)
             continue
         named = _NAME.match(token)
         if not named:
@@ -70,44 +96,51 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         name = named[1].lower()
         if token[1] == "/":
             if any(n == name for n, _ in stack):
-                while True:
-                    top, starts = stack.pop()
-                    dropped -= starts
-                    marked -= top in MARKS
-                    linked -= top == "a"
-                    if top == name:
-                        break
-            yield "tag", name, "", bool(marked), True
+                while stack[-1][0] != name:
+                    close(False)
+                close(True)
+            yield "tag", name, "", bool(marked), True, ()
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
             if not token.endswith("/>"):
                 closing = page.find(">", end.start()) if end else -1
                 at = closing + 1 if closing >= 0 else size
-            yield "tag", name, "", bool(marked), False
+            yield "tag", name, "", bool(marked), False, ()
             continue
         if name in ("p", "li", "a") and stack and stack[-1][0] == name:
-            top, starts = stack.pop()
-            dropped -= starts
-            linked -= top == "a"
-        yield "tag", name, "", bool(marked), False
+            close(True)  # its end tag may be left out
+        yield "tag", name, "", bool(marked), False, ()
         if name in VOID or token.endswith("/>"):
             continue
         plain = name in ("html", "body") or name in MARKS
-        hints = "" if plain else " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(token))
-        off = not plain and ((name in OUTSIDE and not (name == "header" and marked)) or bool(hints and HINT.search(hints)))
-        stack.append((name, off))
-        dropped += off
+        hints = [] if plain else [a or b or c for a, b, c in _ATTRIBUTE.findall(token)]
+        off = not plain and ((name in OUTSIDE and not (name == "header" and marked)) or any(HINT.search(h) for h in hints))
+        if name in MARKS:
+            for doubt in around:
+                doubt.marks = True
+        stack.append((name, Doubtful() if off else None))
+        if off:
+            around.append(stack[-1][1])
         marked += name in MARKS
         linked += name == "a"
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
+    """(kind, name or text, context, inside a mark, closing tag): kind is 'tag', 'text', or 'dropped' for texts of dropped elements."""
+    events = list(_events(page))
+    words = sum(len(value.split()) for kind, value, *_ in events if kind == "text")
+    for kind, value, context, inside, closing, around in events:
+        gone = any(d.dropped(words) for d in around)
+        yield "dropped" if gone else kind, value, context, inside, closing
+
+
 def _tag(name: str) -> str:
     return f"<{name if name in KINDS else 'other'}>"
 
 
 def _word(context: str) -> str:
-    return context if context in KINDS else "other"
+    return context if context in KINDS or context == "outside" else "other"
 
 
 def observed(page: str) -> Counter:
@@ -119,7 +152,7 @@ def observed(page: str) -> Counter:
         if kind == "tag":
             if value not in MARKS:
                 counts[_tag(value), inside] += 1
-        else:
+        elif kind == "text" or context == "outside":
             counts[_word(context), inside] += len(value.split())
     return counts
 
@@ -152,7 +185,7 @@ def main_text(page: str | None, shares: dict[str, float]) -> str:
         if kind == "tag":
             scores.append(-LEAST_COST - TAG_COST * (1 - shares.get(_tag(value), 0.5)) if value not in MARKS else -LEAST_COST)
             parts.append(None if value in BLOCKS else "")
-        else:
+        elif kind == "text":
             text = html.unescape(value)
             scores.append(len(text.split()) * shares.get(_word(context), 0.5))
             parts.append(text)

@@ -78,7 +78,8 @@ def stale_answer_pairs(conversations: DataFrame) -> DataFrame:
 
     Chosen is the conversation up to its last assistant turn. Rejected ends in a stale answer instead: the text of
     the assistant turn before it, or, where there is none, an echo of the turn before it (empty if none).
-    Turns are gathered per conversation, as one row holds one conversation in the result too.
+    A conversation without an assistant turn gives no pair, turns after the last answer are left out, and turns with a null
+    ``conv_id`` are one conversation. Turns are gathered per conversation, as one row holds one conversation in the result too.
     """
     turn = F.struct("turn", "role", "text")
     whole = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

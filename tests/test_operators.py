@@ -239,6 +239,17 @@ def test_pca_equals_svd(spark):
         df.select(pca.transform(model, F.slice("px", 1, 10))).collect()
 
 
+def test_pca_goes_on_until_the_components_hold(spark):
+    r = np.random.default_rng(3)
+    turned = np.linalg.qr(r.standard_normal((100, 100)))[0]
+    data = (r.standard_normal((400, 100)) * np.exp(-np.arange(100) / 100)) @ turned
+    df = spark.createDataFrame([(x.tolist(),) for x in data], "px array<double>")
+    model = pca.fit(df, "px", 10, 10, 3, max_steps=3)
+    values, vectors = np.linalg.eigh(np.cov(data.T))
+    assert np.allclose(model.variances, values[::-1][:3], rtol=1e-10)
+    assert np.allclose(np.abs((model.components * vectors[:, ::-1][:, :3].T).sum(axis=1)), 1, atol=1e-10)
+
+
 def test_pca_of_large_frames_in_few_directions(spark):
     """256 x 256 pixels: four patterns under noise, packed masks, a null mask left out."""
     rng = np.random.default_rng(8)

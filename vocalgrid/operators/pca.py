@@ -1,8 +1,10 @@
 """PCA parameters of label masks by block Lanczos steps: the covariance is applied to a few directions, never formed.
 
 Each step is one pass over the frames: centred rows times a thin block, summed inside a task and then over tasks. What
-reaches the driver is a basis of (steps * block) directions of P pixels, never P * P values and never a frame.
-The steps end when the wanted components satisfy their equation to ``tolerance``, or span everything.
+reaches the driver is a basis of (steps * block) directions of P pixels, at most P * P values (as with k = P), and never a frame.
+The steps end when the wanted components satisfy their equation to ``tolerance``, or span everything. When ``max_steps``
+blocks are held, the basis is cut to its leading directions and the steps go on (thick restart); without an end after
+``MAX_PASSES`` passes the fit raises.
 
 Defined cases: null masks are left out of the fit and have null scores; masks of another size raise; constant masks give
 components of no variance, whose shares are 0 and which whitening leaves as they are; no masks at all raise.
@@ -26,6 +28,7 @@ from vocalgrid.functions.arrow import SLICE, _rows, batch_kernel, unpack
 
 OVERSAMPLE = 10
 MAX_STEPS = 12
+MAX_PASSES = 2000
 TOLERANCE = 1e-8
 # Values of one summed piece, and the number of first sums per piece: both bound what a task holds.
 PIECE = 1 << 14
@@ -121,12 +124,13 @@ def fit(
     start = np.random.default_rng(seed).standard_normal((pixels, min(pixels, k + OVERSAMPLE)))
     block = np.linalg.qr(start)[0]
     basis, images = np.zeros((pixels, 0)), np.zeros((pixels, 0))
-    for _ in range(max_steps):
+    for _ in range(MAX_PASSES):
         image = _applied(frames, mean, block, shape) / max(count - 1, 1)
         basis, images = np.hstack([basis, block]), np.hstack([images, image])
         inner = basis.T @ images
         values, turns = np.linalg.eigh((inner + inner.T) / 2)
-        values, turns = values[::-1][:k], turns[:, ::-1][:, :k]
+        values, every = values[::-1][:k], turns[:, ::-1]
+        turns = every[:, :k]
         gap = np.linalg.norm(images @ turns - (basis @ turns) * values, axis=0).max()
         floor = tolerance * max(values[0], 0.0)
         if gap <= floor:
@@ -134,6 +138,12 @@ def fit(
         block = _orthonormal(image, basis, floor)
         if not block.shape[1]:
             break
+        if basis.shape[1] + block.shape[1] > max(max_steps, 3) * start.shape[1]:
+            # The residuals of all kept directions lie in the new block, so nothing that was found is lost.
+            kept = every[:, : 2 * start.shape[1]]
+            basis, images = basis @ kept, images @ kept
+    else:
+        raise RuntimeError(f"components not found to {tolerance:g} in {MAX_PASSES} passes")
     rows = (basis @ turns).T
     lead = np.abs(rows).argmax(axis=1)
     rows = rows * np.where(rows[np.arange(k), lead] < 0, -1.0, 1.0)[:, None]

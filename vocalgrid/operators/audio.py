@@ -161,7 +161,7 @@ def noise_subtract(
 
     The profile is the mean power per bin of the frames that start in the first ``noise_seconds`` or
     the first quarter of the series, whichever ends first. Series under ``least_seconds`` are left
-    out; ``failure_ledger`` reports them.
+    out; no job reports them yet.
     """
     in_blocks = isinstance(df.schema[value].dataType, ArrayType)
     size = F.sum(F.size(value)) if in_blocks else F.count(F.lit(1))

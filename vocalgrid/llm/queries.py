@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, each over its whole table, with SQL where SQL can say it."""
+"""The queries of the operators and of the pipeline, each over its whole table, with SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vocalgrid.llm import (
-    chat_pairs, decontaminate, html_text, jaccard_join, license_scan, piece_codec, quality, sharding, token_counts, toxicity,
+    chat_pairs, cross_align, decontaminate, fill_middle, html_text, jaccard_join, license_scan, piece_codec, quality, sharding, token_counts, toxicity,
 )
 from vocalgrid.llm.common import ORACLES, QUERIES, query, table
 from vocalgrid.llm.vocabulary import vocabulary
@@ -114,6 +114,48 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"))
 
 
+@query("op11_cross_align")
+def op11_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    rows = cross_align.aligned(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    made = cross_align.with_link_counts(rows.withColumn("groups_sha256", digest).drop("groups"), cross_align.sides(*paths).width)
+    return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+_FILL_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents
+), h AS (
+  SELECT doc_id, t, string_split(t, chr(10)) AS parts,
+    CAST('0x' || substr(s, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(s, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(s, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(s, 25, 8) AS BIGINT) AS h4 FROM d
+), u AS (
+  SELECT *, CAST(len(parts) - CASE WHEN parts[-1] = '' THEN 1 ELSE 0 END AS BIGINT) AS n,
+    t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 AS plain FROM h
+), k AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS k1, greatest(h1 % (n + 1), h2 % (n + 1)) AS k2 FROM u
+), c AS (
+  SELECT *, CASE WHEN k1 = 0 THEN 0 WHEN k1 = n THEN length(t) ELSE length(array_to_string(parts[1:k1], chr(10))) + 1 END AS a,
+    CASE WHEN k2 = 0 THEN 0 WHEN k2 = n THEN length(t) ELSE length(array_to_string(parts[1:k2], chr(10))) + 1 END AS b FROM k
+), o AS (
+  SELECT *, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c
+)
+SELECT doc_id, n, form, CAST(CASE WHEN NOT plain THEN a END AS BIGINT) AS prefix_chars, CAST(CASE WHEN NOT plain THEN b - a END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
+
+@query("op12_fill_middle", _FILL_SQL)
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tests.oracle import connect
-from vocalgrid.llm import cross_align, fill_middle, queries
+from vocalgrid.llm import boosted, cross_align, fill_middle, personal_data, queries
 from vocalgrid.llm.vocabulary import vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -133,3 +133,92 @@ def test_fill_in_the_middle(spark, odd):
     assert {r["form"] for r in left_out} == {"plain"}
     words = fill_middle.fill_in_middle(odd, unit=r"\s+|\S+").collect()
     assert {r["n"] for r in words if r["doc_id"] == 5} == {1} and {r["n"] for r in words if r["doc_id"] is None} == {5}
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_base(text):
+    def luhn(d):
+        return sum(v if k % 2 == 0 else v * 2 - 9 * (v > 4) for k, v in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    good = {
+        "email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.split(".")),
+        "card": lambda m: 14 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m)), "phone": lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    }
+    return sorted((m.start(), k, m.end()) for k, name in enumerate(personal_data.KINDS) for m in re.finditer(BASE[name], text) if good[name](m[0]))
+
+
+@pytest.mark.parametrize("letters", ["01. -+", "4 -0", "a@b.-", "+1() .-", "12.a:@ ", "25.60"])
+def test_base_spans_equal_the_patterns(letters):
+    r = np.random.default_rng(3)
+    for _ in range(3000):
+        text = "".join(r.choice(list(letters), int(r.integers(0, 40))))
+        assert personal_data.base_spans(text) == brute_base(text), text
+
+
+def test_passes_are_linear():
+    long = 300_000
+    for text in ("a" * long, "1" * long, "a@" * long, "1." * long, "1 " * long, "+1" * long, "a-" * long + "@", "@" + "a." * long, ":1" * long):
+        personal_data.base_spans(text)
+    assert personal_data.Detector().spans(["1" * long]) == [[]]
+
+
+@pytest.fixture(scope="module")
+def detector(spark):
+    return personal_data.fitted(spark.read.parquet(f"{SF}/documents.parquet"))
+
+
+def test_held_out_spans_are_found(detector, docs):
+    x, y, _ = personal_data.training_rows([t for _, t in docs if t][:80], seed=99)
+    chosen = detector.trees.score(x) >= np.array(detector.thresholds)[x[:, 0].astype(int)]
+    for kind in range(4):
+        own = x[:, 0] == kind
+        assert (chosen & own & (y > 0)).sum() >= 0.9 * (own & (y > 0)).sum() and (chosen & own & (y > 0)).sum() >= 0.95 * (chosen & own).sum()
+
+
+@pytest.mark.parametrize("text,kind,span", [
+    ("Call us at (415) 555-0132 today", "phone", "(415) 555-0132"), ("by +1 (310) 555-4510 190.137.223.204 or", "phone", "+1 (310) 555-4510"), ("pay with 4417744280351547 4417744280351547 now", "card", "4417744280351547"),
+    ("mail jane [at] example [dot] org please", "email", "jane [at] example [dot] org"), ("host 2001:db8::ff00:42:8329 is up", "ip", "2001:db8::ff00:42:8329"),
+])
+def test_the_method_adds_spans(detector, text, kind, span):
+    (found,) = detector.spans([text])
+    assert (kind, span, False) in [(personal_data.KINDS[k], text[s:e], b) for s, k, e, _, b in found]
+
+
+def test_look_alikes_stay(detector):
+    texts = ["on 2024-05-17 at 12:30:45 the", "order 9807915762804490 was", "ISBN 978-3-16-148410-0 here", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', "follow @someone now", "1 2 3 4 5 6 7 8 9 10 11 12", "from 1,234,567.89 to 3.14159265"]
+    assert detector.spans(texts) == [[] for _ in texts]
+
+
+def test_personal_data_query_and_cases(spark, detector, odd, docs):
+    made = {r["doc_id"]: r for r in queries.QUERIES["op13_personal_data"](spark, SF).collect()}
+    assert set(made) == {i for i, _ in docs}
+    for i, text in docs:
+        base = brute_base(text or "")
+        shown = [f"{personal_data.KINDS[k]}:{s}:{e}" for s, k, e in base]
+        assert made[i]["base_sha256"] == hashlib.sha256(",".join(shown).encode()).hexdigest()
+        assert [made[i][f"n_{k}"] for k in personal_data.KINDS] == [sum(b[1] == j for b in base) for j in range(4)]
+        assert set(shown) <= set(made[i]["spans"].split(","))
+    assert personal_data.personal_spans(odd, detector).count() == len(ODD) and personal_data.personal_spans(odd.limit(0), detector).collect() == []
+    again = personal_data.fitted(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert again.thresholds == detector.thresholds
+    mail = spark.createDataFrame([(1, "to a.b@c.org, +1 (310) 555-4510 or 4417744280351547.", "kept"), (2, None, "kept")], "doc_id long, text string, spans string")
+    rows = {r["doc_id"]: r for r in personal_data.redacted(mail, detector).collect()}
+    assert rows[1]["text"] == "to [EMAIL], [PHONE] or [CARD]." and rows[2]["text"] is None and rows[1]["spans"] == "kept"
+    assert personal_data.fitted(odd.limit(0)).trees is not None
+
+
+def test_boosted_trees_fit_and_calibrate():
+    r = np.random.default_rng(0)
+    x = r.standard_normal((4000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    trees = boosted.BoostedTrees(rounds=30)
+    trees.fit(x[:3000], y[:3000])
+    assert ((trees.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
+    trees.calibrate(x[3000:], y[3000:])
+    score = trees.score(x)
+    assert (np.diff(trees.steps_to) >= -0.51).all() and abs(score.mean() - y.mean()) < 0.05 and trees.score(x[:0]).shape == (0,)

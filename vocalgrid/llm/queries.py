@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vocalgrid.llm import (
-    chat_pairs, cross_align, decontaminate, fill_middle, html_text, jaccard_join, license_scan, piece_codec, quality, sharding, token_counts, toxicity,
+    chat_pairs, cross_align, decontaminate, fill_middle, html_text, jaccard_join, license_scan, personal_data, piece_codec, quality, sharding, token_counts, toxicity,
 )
 from vocalgrid.llm.common import ORACLES, QUERIES, query, table
 from vocalgrid.llm.vocabulary import vocabulary
@@ -156,6 +156,16 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+@query("op13_personal_data")
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = personal_data.personal_spans(docs, personal_data.fitted(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal_data.listed(base), 256).alias("base_sha256"), personal_data.listed(F.col("spans")).alias("spans"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

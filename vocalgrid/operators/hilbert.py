@@ -1,24 +1,15 @@
-"""Magnitude of the analytic signal of whole series.
-
-The Hilbert transform of a series is a circular convolution; it runs as a Fourier transform spread over tasks, in
-blocks of 64 values, and meets its series block by block.
-"""
+"""Magnitude of the analytic signal of whole series, in blocks (``blocks.magnitude``)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from vocalgrid.operators import spread_fft
+from vocalgrid.operators import blocks
 
 
 def magnitude(df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str = "magnitude") -> DataFrame:
     """Returns keys, idx, out. ``idx`` must be the dense 0-based position."""
-    narrow = df.select(*keys, F.col(idx).cast("long").alias(idx), F.col(value).cast("double").alias("_v"))
-    parts = spread_fft.blocks(spread_fft.sized(narrow, keys, idx), keys, idx, "_v", "_n")
-    turned = spread_fft.hilbert_blocks(parts, keys)
-    size = F.zip_with("_x", F.slice("_y", F.lit(1), F.size("_x")), lambda x, y: F.sqrt(x * x + y * y))
-    met = parts.join(turned, [*keys, "_q"]).select(*keys, "_q", F.posexplode(size).alias("_p", out))
-    return met.select(*keys, (F.col("_q") * spread_fft.TILE + F.col("_p")).cast("long").alias(idx), out)
+    held = blocks.from_rows(df, keys, idx, [value])
+    return blocks.to_rows(blocks.magnitude(held, keys, value), keys, idx, value, out)

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from vocalgrid import fixed, scale
 from vocalgrid.functions import columns as C
-from vocalgrid.operators import frames, geometry, hilbert, ordering, pca, selection, series, spread_fft, summaries
+from vocalgrid.operators import blocks, frames, geometry, ordering, pca, selection, series, summaries
 from vocalgrid.session import pinned
 
 
@@ -32,32 +33,41 @@ def _having(df: DataFrame, utterances: DataFrame, keys: list[str], idx: str) ->
     return scale.attach(df, utterances.select(*keys), keys, [idx], "left_semi")
 
 
+def envelope_blocks(heard: DataFrame, keys: Sequence[str], value: str, smooth_ms: float, rate: float, span: int) -> DataFrame:
+    """Block table of the envelope: magnitude of the analytic signal, smoothed and scaled to 0..1 per utterance."""
+    smooth = blocks.smoothed(blocks.magnitude(heard, keys, value, span), keys, value, series.smoothing_weights(smooth_ms, rate))
+    # Read for the ends and for the values.
+    return blocks.minmax(pinned(smooth), keys, value)
+
+
 def audio_envelope(
     df: DataFrame, keys: Sequence[str], idx: str, value: str, smooth_ms: float, rate: float, out: str = "envelope"
 ) -> DataFrame:
     """Magnitude of the analytic signal, smoothed and scaled to 0..1 per utterance."""
-    # Both later steps read their input twice (for group sizes, for group ends), so it is pinned.
-    raw = pinned(hilbert.magnitude(df, keys, idx, value, out="_mag"))
-    smooth = pinned(series.gaussian_smooth(raw, keys, idx, "_mag", smooth_ms, rate, out="_mag"))
-    return series.group_minmax(smooth, keys, idx, "_mag", out=out).drop("_mag")
+    span = blocks.span_for(len(series.smoothing_weights(smooth_ms, rate)) // 2)
+    heard = blocks.from_rows(df, keys, idx, [value], span)
+    return blocks.to_rows(envelope_blocks(heard, keys, value, smooth_ms, rate, span), keys, idx, value, out, span)
 
 
-def motion_signal(
-    df: DataFrame,
-    keys: Sequence[str],
-    idx: str,
-    pixels: str,
-    smooth_ms: float,
-    fps: float,
-    out: str = "energy",
-    width: int | None = None,
-    roi: tuple[int, int, int, int] | None = None,
+def motion_blocks(
+    df: DataFrame, keys: Sequence[str], idx: str, pixels: str, smooth_ms: float, fps: float, span: int,
+    width: int | None = None, roi: tuple[int, int, int, int] | None = None,
 ) -> DataFrame:
-    """Summed frame difference (of a region, where given), smoothed and scaled to 0..1 per utterance."""
+    """Block table of the summed frame difference (of a region, where given), smoothed and scaled to 0..1 per utterance."""
+    raw = frames.motion_energy(df, keys, idx, pixels, "l1", width, roi, out="energy")
+    held = blocks.from_rows(raw, keys, idx, ["energy"], span)
     # One number per frame is kept; the pixels are read once.
-    raw = pinned(frames.motion_energy(df, keys, idx, pixels, "l1", width, roi, out="_e"))
-    smooth = pinned(series.gaussian_smooth(raw, keys, idx, "_e", smooth_ms, fps, out="_e"))
-    return series.group_minmax(smooth, keys, idx, "_e", out=out).drop("_e")
+    smooth = pinned(blocks.smoothed(held, keys, "energy", series.smoothing_weights(smooth_ms, fps)))
+    return blocks.minmax(smooth, keys, "energy")
+
+
+def motion_signal(
+    df: DataFrame, keys: Sequence[str], idx: str, pixels: str, smooth_ms: float, fps: float, out: str = "energy",
+    width: int | None = None, roi: tuple[int, int, int, int] | None = None,
+) -> DataFrame:
+    """The same with a row per frame."""
+    span = blocks.span_for(len(series.smoothing_weights(smooth_ms, fps)) // 2)
+    return blocks.to_rows(motion_blocks(df, keys, idx, pixels, smooth_ms, fps, span, width, roi), keys, idx, "energy", out, span)
 
 
 def align(
@@ -80,28 +90,22 @@ def align(
     from minus half of that length to plus half. A positive offset means the audio is late.
     """
     on = list(keys)
-    both = scale.group_size(images, on, "n_frames").join(scale.group_size(audio, on, "n_samples"), on)
+    frame_span, span = (blocks.span_for(len(series.smoothing_weights(smooth_ms, r)) // 2) for r in (fps, rate))
+    heard = audio_blocks(audio, on, idx, value, span)
+    n_samples = heard.groupBy(*on).agg(F.max("_n").alias("n_samples"))
+    both = scale.group_size(images, on, "n_frames").join(n_samples, on)
     seconds = F.greatest(F.col("n_frames") / F.lit(float(fps)), F.col("n_samples") / F.lit(float(rate)))
     n_targets = F.ceil(seconds * F.lit(float(rate))).cast("long")
     # One row per utterance; N is the length both series are padded to.
     plan = pinned(
         both.withColumn("n_targets", n_targets).withColumn("length", F.greatest("n_targets", "n_samples"))
     )
-    motion = motion_signal(_having(images, plan, on, idx), on, idx, pixels, smooth_ms, fps, width=width, roi=roi)
-    timed = motion.withColumn("_time", F.col(idx) / F.lit(float(fps)))
-    clocked = pinned(
-        series.interpolate(timed, on, idx, "_time", ["energy"], plan, rate, mode="zero", out_idx="sample")
-    )
-    m = series.group_zscore(clocked, on, "sample", "energy", out="m").select(*on, "sample", "m")
-    heard = _having(audio, plan, on, idx)
-    envelope = pinned(audio_envelope(heard, on, idx, value, smooth_ms, rate).withColumnRenamed(idx, "sample"))
-    a = series.group_zscore(envelope, on, "sample", "envelope", out="a")
-    lengths = plan.select(*on, F.col("length").alias("_n"))
-    sides = [
-        spread_fft.blocks(scale.attach(side.select(*on, "sample", v), lengths, on, ["sample"]), on, "sample", v, "_n", k)
-        for k, (side, v) in enumerate(((a, "a"), (m, "m")))
-    ]
-    best = spread_fft.best_correlation(*sides, on).join(plan, on)
+    moved = motion_blocks(_having(images, plan, on, idx), on, idx, pixels, smooth_ms, fps, frame_span, width, roi)
+    clocked = pinned(blocks.resampled(moved, on, "energy", fps, rate, plan, frame_span, span))
+    m = blocks.zscore(clocked, on, "energy")
+    envelope = pinned(envelope_blocks(_having(heard, plan, on, "_q"), on, value, smooth_ms, rate, span))
+    a = blocks.zscore(envelope, on, value)
+    best = blocks.best_correlation(a, m, on, value, "energy", plan, span).join(plan, on)
     return best.select(
         *on,
         "n_frames",
@@ -112,6 +116,16 @@ def align(
     )
 
 
+def audio_blocks(audio: DataFrame, keys: Sequence[str], idx: str, value: str, span: int = blocks.SPAN) -> DataFrame:
+    """Audio as a block table: given as one, as rows of samples, or as rows of arrays with the position of their first sample."""
+    if "_q" in audio.columns and "_n" in audio.columns:
+        return audio
+    if isinstance(audio.schema[value].dataType, ArrayType):
+        typed = audio.select(*keys, idx, F.col(value).cast("array<double>").alias(value))
+        return blocks.sized(blocks.reblocked(typed, keys, idx, [value], span), keys, value)
+    return blocks.from_rows(audio, keys, idx, [value], span)
+
+
 def frame_times(images: DataFrame, keys: Sequence[str], idx: str, fps: float, out: str = "timestamp") -> DataFrame:
     """Time of each frame in seconds from the utterance's start."""
     return images.select(*keys, idx, (F.col(idx) / F.lit(float(fps))).alias(out))

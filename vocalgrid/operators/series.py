@@ -5,16 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from vocalgrid import scale
 from vocalgrid.fixed import POWER_FLOOR, SCALE_EPSILON, TOP_DB
-from vocalgrid.functions import kernels
-from vocalgrid.functions.arrow import batch_kernel
-from vocalgrid.operators import spread_fft
+from vocalgrid.operators import blocks
 
 BLOCK = 1024
 
@@ -44,32 +41,28 @@ def reflect_ends(df: DataFrame, keys: Sequence[str], idx: str, radius: int, name
 
 
 def weighted_neighbours(
-    df: DataFrame, keys: Sequence[str], idx: str, value: str, weights: Sequence[float], out: str, block: int = BLOCK
+    df: DataFrame, keys: Sequence[str], idx: str, value: str, weights: Sequence[float], out: str, block: int | None = None
 ) -> DataFrame:
     """Sum of weights times neighbours at offsets -r..r, ends reflected; returns keys, idx, out."""
-    radius = len(weights) // 2
-    ends = reflect_ends(df.select(*keys, idx, F.col(value).cast("double").alias("_x")), keys, idx, radius)
-    real = (F.col("pos") >= 0) & (F.col("pos") < F.col("n"))
-    keep = scale.in_own_block("pos", block) & real
-    blocks = scale.halo_blocks(ends, keys, "pos", ["_x", "n"], block, radius, radius, keep=keep)
-    # Reflection gives every block its full halo on the left; the last one is filled up on the right.
-    width = block + 2 * radius
-    filled = F.concat("_x", F.array_repeat(F.lit(0.0), width - F.size("_x")))
-    sums = batch_kernel(lambda rows: kernels.sliding_dot(rows, np.array(weights)))(filled)
-    wanted = F.least(F.lit(block), F.col("n")[0] - F.col("block") * block).cast("int")
-    held = blocks.select(*keys, "block", wanted.alias("_m"), sums.alias("_s"))
-    rows = held.select(*keys, "block", F.posexplode(F.slice("_s", F.lit(1), F.col("_m"))).alias("_j", out))
-    return rows.select(*keys, (F.col("block") * block + F.col("_j")).cast("long").alias(idx), out)
+    span = max(block or 0, len(weights) // 2) if block else blocks.span_for(len(weights) // 2)
+    held = blocks.from_rows(df, keys, idx, [value], span)
+    return blocks.to_rows(blocks.smoothed(held, keys, value, weights), keys, idx, value, out, span)
 
 
 def gaussian_smooth(
     df: DataFrame, keys: Sequence[str], idx: str, value: str, sigma_ms: float, rate: float, out: str = "smoothed"
 ) -> DataFrame:
     """Gaussian smoothing with sigma in milliseconds; nothing is done for sigma <= 0."""
-    sigma = sigma_ms / 1000.0 * rate
-    if sigma_ms <= 0 or int(4.0 * sigma + 0.5) == 0:
+    weights = smoothing_weights(sigma_ms, rate)
+    if len(weights) == 1:
         return df.select(*keys, idx, F.col(value).cast("double").alias(out))
-    return weighted_neighbours(df, keys, idx, value, gaussian_weights(sigma), out)
+    return weighted_neighbours(df, keys, idx, value, weights, out)
+
+
+def smoothing_weights(sigma_ms: float, rate: float) -> list[float]:
+    """Weights of a Gaussian of ``sigma_ms`` milliseconds; one weight where it does nothing."""
+    sigma = sigma_ms / 1000.0 * rate
+    return [1.0] if sigma_ms <= 0 or int(4.0 * sigma + 0.5) == 0 else gaussian_weights(sigma)
 
 
 def group_minmax(df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str = "scaled") -> DataFrame:
@@ -175,12 +168,10 @@ def lag_products(
 ) -> DataFrame:
     """sum over n of a[n+lag] * b[n] for every lag at which the series meet; zero beyond the ends.
 
-    All lags of a series come from one spread transform. A caller who wants near lags only may name ``max_lag``.
+    All lags of a series come from one transform. A caller who wants near lags only may name ``max_lag``.
     Returns keys, lag, total.
     """
-    counted = spread_fft.sized(df.select(*keys, F.col(idx).cast("long").alias(idx), a, b), keys, idx)
-    sides = [spread_fft.blocks(counted, keys, idx, v, "_n", side) for side, v in enumerate((a, b))]
-    rows = spread_fft.correlations(*sides, keys)
+    rows = blocks.lag_products(blocks.from_rows(df, keys, idx, [a, b]), keys, a, b)
     return rows if max_lag is None else rows.where(F.abs("lag") <= max_lag)
 
 

@@ -12,6 +12,7 @@ from vocalgrid.functions import kernels
 from vocalgrid.operators import audio, hilbert, jobs, series
 from vocalgrid.plans import binding as B
 from vocalgrid.plans.catalog import d6, query
+from vocalgrid.session import pinned
 
 UTT = ["utt"]
 
@@ -120,7 +121,8 @@ def interp_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT utt, CAST(lag AS BIGINT) AS lag, {d6('total')} AS total, is_best FROM r""")
 def lag_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = B.signal(spark, sf_dir).withColumn("b", F.get_json_object("props", "$.k").cast("double"))
-    products = series.lag_products(df, UTT, "frame_idx", "value", "b")
+    # Read for the best lag and for all of them.
+    products = pinned(series.lag_products(df, UTT, "frame_idx", "value", "b"))
     best = series.best_lag(products, UTT).select("utt", F.col("lag").alias("best"))
     marked = products.join(best, "utt").withColumn("is_best", F.col("lag") == F.col("best"))
     return rounded(marked.drop("best"), "total")

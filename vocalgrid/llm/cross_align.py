@@ -317,7 +317,9 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, piece: int = PIECE, size:
     long = F.coalesce(F.length("text") > piece, F.lit(False))
     short = rows.where(~long).mapInArrow(whole, ALIGNED)
     cut_up = rows.where(long).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInArrow(parts, "key long, doc_id long, start long, part string")
-    spread = cut_up.repartition("key", "start").mapInArrow(encode, _FRAGMENT)
+    # A stated number of partitions, as the parts are small in bytes but dear to encode.
+    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = cut_up.repartition(wide, "key", "start").mapInArrow(encode, _FRAGMENT)
     for _ in range(ROUNDS):
         spread = spread.withColumn("node", F.floor(F.col("no") / fan).cast("long")).groupBy("key", "node").applyInArrow(node, _FRAGMENT)
     return short.unionByName(spread.mapInArrow(finish, ALIGNED))

@@ -4,17 +4,24 @@ Method: a page is a row of words and tags in page order. Words score positive, t
 from labelled pages, those that mark their article themselves (one ``article`` or ``main`` element): a word weighs the
 share of such words that stand inside the mark, a tag costs what such tags stand outside it. One linear scan
 finds the contiguous region with the highest sum; it is widened to whole blocks and its text is returned.
-Scripts, styles and comments give no words. Elements that hold no article text by their kind or their whole class token (menus,
-headers, footers, sidebars, notices, adverts, forms) give none either, unless they wrap the page (an ``article`` or ``main``
-stands in them, or most of the page's words) or were never closed. Words that stand directly in one of these weigh the share of such words
-inside the mark; everything below them counts as usual.
+Scripts, styles and comments give no words.
 
-The weights are counted on every labelled page in one aggregation; their number is bounded by the fixed list of
-kinds. Without any labelled page the prior weights hold.
+Elements that seldom hold article text by their kind (menus, headers, footers, asides, forms) or by a part of their class, id, role
+or label (``comment-list`` and ``CommentThread`` have the part *comment*) are doubtful. How doubtful is learned: each such kind and part
+has the share of its words that stand inside the mark, drawn to a prior. The words of a doubtful element do not count, unless it
+was never closed, an ``article`` or ``main`` stands in it, or the page has too little text besides: the more doubtful the element, the
+less other text is enough. So a wrapper or a page-wide form keeps its words, and a long list of reader comments does not. A part behind a word like *has* or *no*
+says nothing of the element itself.
 
-Defined cases: null or empty html gives the empty text; broken markup (open tags, cut entities, cut pages) is
-read as far as it goes; ties go to the first region; pages are independent of each other and of other columns; an
-empty table gives an empty result.
+The weights are counted on every labelled page in one aggregation; their number is bounded by the fixed lists of
+kinds and parts. Without any labelled page the prior weights hold. Reading a page takes time in proportion to its length, however deep its elements nest.
+
+Tags are read by the states of the HTML standard: a quote opens a value only right behind ``=``, elsewhere it is a plain
+character. A quoted value that never ends is read up to the tag's end.
+
+Defined cases: null or empty html gives the empty text; broken markup (open tags, stray end tags, cut entities, cut pages) is
+read as far as it goes; ties go to the first region; pages are independent of each other and of other columns; a null ``page_id`` or
+``url`` is carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,109 +38,177 @@ from pyspark.sql import functions as F
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg iframe select option button".split())
-OUTSIDE = frozenset("nav header footer aside form head dialog menu object canvas audio video".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 MARKS = frozenset(("article", "main"))
 BLOCKS = frozenset(
     "address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 KINDS = BLOCKS | frozenset("a abbr b cite code em i img q s small span strong sub sup time u".split())
-HINT = re.compile(
-    r"(?:^|\s)(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav\w*|newsletter|"
-    r"notices?|popup|promo\w*|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|\s)",
-    re.I,
+# Prior share of article text in doubtful kinds, and in elements with a doubtful part in class, id, role or label.
+DOUBTFUL = {
+    "nav": 0.02, "footer": 0.02, "aside": 0.05, "form": 0.2, "head": 0.01, "header": 0.1, "dialog": 0.05, "menu": 0.05, "object": 0.05, "canvas": 0.05,
+    "audio": 0.05, "video": 0.05, "button": 0.01, "select": 0.01, "option": 0.01, "svg": 0.01, "template": 0.01, "noscript": 0.02,
+}
+PARTS = frozenset(
+    "ad ads adsense advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commenting complementary consent contentinfo "
+    "cookie cookies disqus discussion footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination "
+    "paywall popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
+    "taboola toolbar widget widgets".split()
+)
+PART_SHARE, PRIOR_WORDS = 0.02, 50.0
+# Words that make the part behind them a statement about something else, and words that make a header the article's own.
+NOT_ITSELF = frozenset("has with no without is show hide".split())
+OWN_HEADER = frozenset("entry post article story content chapter section".split())
+
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
+    r"|</?[a-zA-Z][^\s/>]*+(?:[\s/]*+(?:[^\s/>=]|=)[^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))?+)*+[\s/]*+(?:>|\Z)|[^<]+|<",
+    re.S,
 )
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:>|\Z)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=]|=)([^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(?![\"'])([^\s>]*+)))?+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 PRIOR = 2.0
 TAG_COST = 6.0
 LEAST_COST = 0.05
+LEAST_OTHER = 1
 
 
-class Doubtful:
-    """An element that holds no article text by its kind, with what was seen inside it."""
-
-    def __init__(self) -> None:
-        self.words, self.marks, self.closed = 0, False, False
+def doubtful_parts(tag: str) -> set[str]:
+    """The doubtful parts of a start tag's class, id, role and label."""
+    found = set()
+    for first, rest, *values in _ATTRIBUTE.findall(tag, _NAME.match(tag).end()):
+        if (first + rest).lower() in ("class", "id", "role", "aria-label"):
+            for token in "".join(values).split():
+                parts = [p.lower() for p in _PART.findall(token)]
+                for before, part in zip([None, *parts], parts):
+                    if part in PARTS and before not in NOT_ITSELF and not (part == "header" and OWN_HEADER.intersection(parts)):
+                        found.add(part)
+    return found
 
-    def dropped(self, words: int) -> bool:
-        return self.closed and not self.marks and 2 * self.words <= words
 
-
-def _events(page: str) -> Iterator[tuple[str, str, str, bool, bool, tuple[Doubtful, ...]]]:
-    """The tokens with the doubtful elements around each text; these are complete only when the page has been read."""
-    stack: list[tuple[str, Doubtful | None]] = []
-    around: list[Doubtful] = []
-    marked = linked = 0
+@dataclass
+class Doubtful:
+    """A doubtful element: its features, the doubtful element around it, and what was seen inside it."""
+
+    features: list[str]
+    parent: int
+    inside: bool
+    words: int
+    marks: int
+    closed: bool = False
+    own: int = 0  # words with no doubtful element between
+
+
+def _read(page: str) -> tuple[list[tuple[str, str, str, bool, int]], list[Doubtful]]:
+    """Events (kind, name or text, context, inside a mark, innermost doubtful element) and the doubtful elements; element 0 is the page."""
+    elements = [Doubtful([], 0, False, 0, 0, True)]
+    events: list[tuple[str, str, str, bool, int]] = []
+    stack: list[tuple[str, int]] = []
+    around = [0]
+    open_names: Counter = Counter()
+    unclosed: set[str] = set()
+    words = marks = 0
     at, size = 0, len(page)
 
     def close(closed: bool) -> None:
-        nonlocal marked, linked
-        top, doubt = stack.pop()
-        if doubt:
-            around.pop().closed = closed
-        marked -= top in MARKS
-        linked -= top == "a"
+        name, number = stack.pop()
+        open_names[name] -= 1
+        if number:
+            around.pop()
+            element = elements[number]
+            element.closed, element.words, element.marks = closed, words - element.words, marks - element.marks
 
     while at < size:
         found = _TOKEN.match(page, at)
         token = found[0]
         at = found.end()
         if token[0] != "<" or token == "<":
-            if around:
-                n = len(token.split())
-                for doubt in around:
-                    doubt.words += n
-            direct = bool(stack) and stack[-1][1] is not None
-            yield "text", token, "a" if linked else "outside" if direct else (stack[-1][0] if stack else "body"), bool(marked), False, tuple(around)
+            n = len(token.split())
+            words += n
+            elements[around[-1]].own += n
+            direct = bool(stack) and stack[-1][1] > 0
+            context = "a" if open_names["a"] else "outside" if direct else stack[-1][0] if stack else "body"
+            events.append(("text", token, context, bool(open_names["article"] or open_names["main"]), around[-1]))
             continue
         named = _NAME.match(token)
         if not named:
             continue  # comments, declarations
         name = named[1].lower()
+        marked = bool(open_names["article"] or open_names["main"])
+        events.append(("tag", name, "", marked, around[-1]))
         if token[1] == "/":
-            if any(n == name for n, _ in stack):
+            if open_names[name]:
                 while stack[-1][0] != name:
                     close(False)
                 close(True)
-            yield "tag", name, "", bool(marked), True, ()
             continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
-            if not token.endswith("/>"):
+        if name in RAW and not token.endswith("/>"):
+            # Where one is never closed, none behind it is.
+            end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+            if not end:
+                unclosed.add(name)
+            if end or name in ("script", "style"):
                 closing = page.find(">", end.start()) if end else -1
                 at = closing + 1 if closing >= 0 else size
-            yield "tag", name, "", bool(marked), False, ()
             continue
-        if name in ("p", "li", "a") and stack and stack[-1][0] == name:
+        if name == "body" and open_names["head"]:
+            while stack[-1][0] != "head":
+                close(False)
+            close(True)
+        if name in ("p", "li", "a", "option") and stack and stack[-1][0] == name:
             close(True)  # its end tag may be left out
-        yield "tag", name, "", bool(marked), False, ()
-        if name in VOID or token.endswith("/>"):
+        if name in VOID or name in RAW or token.endswith("/>"):
             continue
-        plain = name in ("html", "body") or name in MARKS
-        hints = [] if plain else [a or b or c for a, b, c in _ATTRIBUTE.findall(token)]
-        off = not plain and ((name in OUTSIDE and not (name == "header" and marked)) or any(HINT.search(h) for h in hints))
-        if name in MARKS:
-            for doubt in around:
-                doubt.marks = True
-        stack.append((name, Doubtful() if off else None))
-        if off:
-            around.append(stack[-1][1])
-        marked += name in MARKS
-        linked += name == "a"
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """(kind, name or text, context, inside a mark, closing tag): kind is 'tag', 'text', or 'dropped' for texts of dropped elements."""
-    events = list(_events(page))
-    words = sum(len(value.split()) for kind, value, *_ in events if kind == "text")
-    for kind, value, context, inside, closing, around in events:
-        gone = any(d.dropped(words) for d in around)
-        yield "dropped" if gone else kind, value, context, inside, closing
+        features = []
+        if name not in ("html", "body") and name not in MARKS:
+            if name in DOUBTFUL and not (name == "header" and marked):
+                features.append(f"is:{name}")
+            if len(token) > len(name) + 2:
+                features += [f"has:{p}" for p in sorted(doubtful_parts(token))]
+        if features:
+            elements.append(Doubtful(features, around[-1], marked, words, marks))
+            around.append(len(elements) - 1)
+        marks += name in MARKS
+        open_names[name] += 1
+        stack.append((name, len(elements) - 1 if features else 0))
+    while stack:
+        close(False)
+    elements[0].words = words
+    return events, elements
+
+
+def _share(feature: str, shares: dict[str, float]) -> float:
+    return shares.get(feature, DOUBTFUL.get(feature[3:], PART_SHARE) if feature.startswith("is:") else PART_SHARE)
+
+
+def dropped(elements: list[Doubtful], shares: dict[str, float]) -> list[bool]:
+    """Whether the words of each doubtful element count for nothing. The least doubtful ones are settled first.
+
+    Words of an element count as other text once it is kept, so never for itself.
+    """
+    doubt = [min((_share(f, shares) for f in e.features), default=1.0) for e in elements]
+    gone = [False] * len(elements)
+    settled = [not e.closed or e.marks > 0 or d >= 0.5 for e, d in zip(elements, doubt)]
+    other = sum(e.own for e, kept in zip(elements, settled) if kept)
+    for k in sorted((k for k, kept in enumerate(settled) if not kept), key=lambda k: (-doubt[k], -elements[k].words, k)):
+        e = elements[k]
+        gone[k] = other >= max(LEAST_OTHER, 5 * doubt[k] * e.words)
+        if not gone[k]:
+            other += e.own
+    for k in range(1, len(elements)):
+        gone[k] = gone[k] or gone[elements[k].parent]
+    return gone
+
+
+def tokens(page: str, shares: dict[str, float]) -> Iterator[tuple[str, str, str, bool]]:
+    """(kind, name or text, context, inside a mark): kind is 'tag', 'text', or 'dropped' for texts of dropped elements."""
+    events, elements = _read(page)
+    gone = dropped(elements, shares)
+    for kind, value, context, inside, element in events:
+        yield "dropped" if kind == "text" and gone[element] else kind, value, context, inside
 
 
 def _tag(name: str) -> str:
@@ -148,7 +224,11 @@ def observed(page: str) -> Counter:
     if len(re.findall(r"<(?:article|main)\b", page, re.I)) != 1:
         return Counter()
     counts: Counter = Counter()
-    for kind, value, context, inside, _ in tokens(page):
+    for element in _read(page)[1][1:]:
+        if element.closed and not element.marks:
+            for feature in element.features:
+                counts[feature, element.inside] += element.words
+    for kind, value, context, inside in tokens(page, {}):
         if kind == "tag":
             if value not in MARKS:
                 counts[_tag(value), inside] += 1
@@ -158,7 +238,7 @@ def observed(page: str) -> Counter:
 
 
 def fitted(pages: DataFrame) -> dict[str, float]:
-    """Share of each feature's occurrences inside the mark, over all labelled pages, smoothed towards a half."""
+    """Share of each feature's occurrences inside the mark, over all labelled pages, drawn to a half, or to the prior of a doubtful feature."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -172,7 +252,11 @@ def fitted(pages: DataFrame) -> dict[str, float]:
 
     rows = pages.select("html").where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).mapInArrow(count, "feature string, inside boolean, n long")
     sums = rows.groupBy("feature").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"), F.sum("n").alias("n")).collect()
-    return {r["feature"]: (r["inside"] + PRIOR / 2) / (r["n"] + PRIOR) for r in sums}
+    doubtful = lambda f: f.startswith(("is:", "has:"))
+    return {
+        r["feature"]: (r["inside"] + PRIOR_WORDS * _share(r["feature"], {})) / (r["n"] + PRIOR_WORDS) if doubtful(r["feature"]) else (r["inside"] + PRIOR / 2) / (r["n"] + PRIOR)
+        for r in sums
+    }
 
 
 def main_text(page: str | None, shares: dict[str, float]) -> str:
@@ -181,7 +265,7 @@ def main_text(page: str | None, shares: dict[str, float]) -> str:
         return ""
     scores: list[float] = []
     parts: list[str | None] = []  # None: a block ends here
-    for kind, value, context, _, _ in tokens(page):
+    for kind, value, context, _ in tokens(page, shares):
         if kind == "tag":
             scores.append(-LEAST_COST - TAG_COST * (1 - shares.get(_tag(value), 0.5)) if value not in MARKS else -LEAST_COST)
             parts.append(None if value in BLOCKS else "")

@@ -33,6 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vocalgrid.llm.textkit import ASCII_SPACE
 from vocalgrid.llm.token_counts import PRE_TOKEN, _byte_symbols
 from vocalgrid.scale import attach
 from vocalgrid.session import new_location
@@ -44,8 +45,8 @@ HEAD = 250_000
 STEP_CHARS = 1 << 19
 MARK = "▁"
 _SAFE = regex.compile(r"(?<=[\p{L}\p{N}]) (?=[\p{L}\p{N}])")
-# The fast encoder's merging is quadratic in one run without white space; longer runs go to the other one.
-_LONG_RUN = regex.compile(r"\S{300}|\s{300}")
+# The fast encoder's merging is quadratic in one run without (or of) white space; texts with runs of more bytes go to the other one.
+LONG_RUN = 300
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups string, pairs array<long>, times array<int>"
 _FRAGMENT = (
@@ -99,8 +100,10 @@ class Sides:
             table[i] = b
         return table
 
-    def ids_a(self, text: str) -> np.ndarray:
-        if _LONG_RUN.search(text):
+    def ids_a(self, text: str, data: bytes) -> np.ndarray:
+        space = ASCII_SPACE[np.frombuffer(data, np.uint8)]
+        turns = np.flatnonzero(space[1:] != space[:-1])
+        if np.diff(turns, prepend=0, append=len(data)).max(initial=0) > LONG_RUN:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.int64)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
@@ -108,7 +111,8 @@ class Sides:
         """Token ids of texts that start with a space; None where the joined bytes are not the text's."""
         out = []
         for text, b in zip(padded, self.b.encode([t[1:] for t in padded], num_threads=1)):
-            a, b, data = self.ids_a(text), np.array(b, dtype=np.int64), text.encode()
+            data = text.encode()
+            a, b = self.ids_a(text, data), np.array(b, dtype=np.int64)
             same = b"".join(self.bytes_a[a].tolist()) == data and b"".join(self.bytes_b[b].tolist()) == data
             out.append((a, b) if same else None)
         return out
@@ -117,6 +121,16 @@ class Sides:
         """One closed group, with its end mark."""
         return ",".join(map(str, a)) + "|" + ",".join(map(str, b)) + ";"
 
+    def laid_out(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
+        """The texts of all tokens of closed groups, group by group, side a first; ``last_*`` mark the tokens that end a group."""
+        at_a, at_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        codes = np.empty(len(a) + len(b), dtype=np.int64)
+        # A token's place counts the other side's tokens before it.
+        codes[np.arange(len(a)) + np.concatenate([[0], at_b + 1])[group_a]] = 2 * a + last_a
+        codes[np.arange(len(b)) + (at_a + 1)[group_b]] = 2 * (len(self.bytes_a) + b) + last_b
+        return self.shown[codes].tolist()
+
 
 @lru_cache(maxsize=2)
 def sides(path_a: str, path_b: str) -> Sides:
@@ -159,10 +173,11 @@ def fragment(table: Sides, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, end
     if not len(at_a):
         return Fragment(head_a=a, head_b=b, n_a=len(a), n_b=len(b))
     cuts_a, cuts_b = at_a + 1, at_b + 1
-    inner = [(a[i:j], b[k:m]) for i, j, k, m in zip(cuts_a[:-1], cuts_a[1:], cuts_b[:-1], cuts_b[1:])]
+    inner = [x[c[0] : c[-1]] for x, c in ((a, cuts_a), (b, cuts_b))]
+    marks = [np.isin(np.arange(c[0], c[-1]), c[1:] - 1, assume_unique=True) for c in (cuts_a, cuts_b)]
     pairs, times = _tally(a[at_a[1:]] * table.width + b[at_b[1:]])
     return Fragment(
-        True, a[: cuts_a[0]], b[: cuts_b[0]], "".join(table.group_text(x, y) for x, y in inner), len(inner), pairs, times, a[cuts_a[-1] :], b[cuts_b[-1] :], len(a), len(b)
+        True, a[: cuts_a[0]], b[: cuts_b[0]], "".join(table.laid_out(*inner, *marks)), len(at_a) - 1, pairs, times, a[cuts_a[-1] :], b[cuts_b[-1] :], len(a), len(b)
     )
 
 
@@ -211,13 +226,7 @@ def align_texts(table: Sides, texts: list[str]) -> list[pa.Array]:
     flag_a[ends_a], flag_b[ends_b] = True, True
     last_a, last_b = flag_b[ends_a], flag_a[ends_b]
     at_a, at_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
-    # A group's tokens stand together, side a first: a token's place counts the other side's tokens before it.
-    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-    before_b = np.concatenate([[0], at_b + 1])
-    codes = np.empty(len(a) + len(b), dtype=np.int64)
-    codes[np.arange(len(a)) + before_b[group_a]] = 2 * a + last_a
-    codes[np.arange(len(b)) + (at_a + 1)[group_b]] = 2 * (len(table.bytes_a) + b) + last_b
-    shown = table.shown[codes].tolist()
+    shown = table.laid_out(a, b, last_a, last_b)
     ends = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
     groups = ["".join(shown[i:j])[:-1] for i, j in zip(ends[:-1], ends[1:])]
     owner = np.repeat(np.arange(len(kept)), n_a)[at_a]

@@ -10,7 +10,8 @@ up by a space, so no text can forge a turn.
 
 Defined cases: a null role or text equals only another null and renders as empty; equal conversations have an empty
 completion on both sides; no turn in common gives an empty prompt; a null side counts as an empty conversation;
-ties of turn numbers are ordered by role and text; other columns are carried along; empty tables stay empty.
+ties of turn numbers are ordered by role and text; other columns are carried along (one that bears the name of a result column
+with ``_in`` behind its name); repeated rows are formatted each; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vocalgrid.llm.common import spare_names
 from vocalgrid.llm.words import let
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -61,16 +63,28 @@ def mask_spans(turns: Column) -> Column:
 
 
 def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
-    """Replace the two turn arrays by ``n_prompt_turns``, ``prompt``, ``chosen``/``rejected`` texts and their masks."""
+    """Replace the two turn arrays by ``n_prompt_turns``, ``prompt``, ``chosen``/``rejected`` texts and their masks.
+
+    Any other column whose name the result needs is kept under that name with ``_in`` behind it.
+    """
     empty = F.array().cast(TURNS)
-    sides = pairs.withColumns({"_c": F.coalesce(F.col(chosen), empty), "_r": F.coalesce(F.col(rejected), empty)})
-    sides = sides.drop(chosen, rejected).withColumn("n_prompt_turns", common_turns(F.col("_c"), F.col("_r")))
-    rest = lambda side: F.slice(F.col(side), F.col("n_prompt_turns") + 1, F.size(side))
-    cut = sides.withColumns({"_prompt": F.slice("_c", 1, F.col("n_prompt_turns")), "_c": rest("_c"), "_r": rest("_r")})
-    return cut.withColumns({
-        "prompt": rendered(F.col("_prompt")), "chosen": rendered(F.col("_c")), "rejected": rendered(F.col("_r")),
-        "chosen_mask": mask_spans(F.col("_c")), "rejected_mask": mask_spans(F.col("_r")),
-    }).drop("_c", "_r", "_prompt")
+    made = ("n_prompt_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
+    others = [c for c in pairs.columns if c.lower() not in (chosen.lower(), rejected.lower())]
+    kept = {c: c for c in others if c.lower() not in made}
+    for c in others:
+        if c not in kept:
+            (kept[c],) = spare_names(pairs, f"{c}_in")
+    own = [F.col("`" + c.replace("`", "``") + "`").alias(name) for c, name in kept.items()]
+    turns = F.struct(F.coalesce(F.col(chosen), empty).alias("c"), F.coalesce(F.col(rejected), empty).alias("r"))
+    # The turns ride in one struct of a name of their own, so no caller's column meets them.
+    (inner,) = spare_names(pairs, "_turns")
+    sides = pairs.select(*own, turns.alias(inner))
+    c, r = F.col(f"{inner}.c"), F.col(f"{inner}.r")
+    sides = sides.withColumn(inner, F.struct(c.alias("c"), r.alias("r"), common_turns(c, r).alias("n")))
+    c, r, n = (F.col(f"{inner}.{x}") for x in "crn")
+    rest = lambda side: F.slice(side, n + 1, F.size(side))
+    result = (n, rendered(F.slice(c, 1, n)), rendered(rest(c)), rendered(rest(r)), mask_spans(rest(c)), mask_spans(rest(r)))
+    return sides.select(*[F.col("`" + name.replace("`", "``") + "`") for name in kept.values()], *[x.alias(name) for x, name in zip(result, made)])
 
 
 def stale_answer_pairs(conversations: DataFrame) -> DataFrame:

@@ -36,6 +36,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    made = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        made.append(name)
+    return made
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by their exact names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def row_key(*columns: str | Column) -> Column:
     """64-bit key of a row's values, nulls told apart by their places; equal rows share it and all results."""
     parts = [F.col(c) if isinstance(c, str) else c for c in columns]

@@ -13,7 +13,7 @@ words have masks of their own, which are used only if the benchmark holds such i
 
 Defined cases: null or empty texts have no seeds and no leaks; items with equal
 texts share one search and all are reported; repeated documents are reported once; a null ``doc_id`` is
-carried as it is; other columns are ignored; empty tables give an empty result.
+carried as it is; other columns are ignored or carried, whatever their names; empty tables give an empty result.
 Sides: the item seeds are broadcast only if counted at most ``BROADCAST_SEEDS``; otherwise Spark joins by shuffle
 and may split hot seeds. Hits are summed per diagonal before they are shuffled.
 """
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocalgrid.llm.common import row_key
+from vocalgrid.llm.common import own_columns, row_key, spare_names
 from vocalgrid.llm.words import let, windows, word_hashes
 from vocalgrid.session import pinned
 
@@ -140,6 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
     """``docs`` without the documents that hold a leak; columns unchanged."""
-    bad = leaks(docs, benchmark, min_words, min_share).select(F.col("row_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id").cast("long"), "text"))
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+    (key,) = spare_names(docs, "_key")
+    bad = leaks(docs, benchmark, min_words, min_share).select(F.col("row_key").alias(key)).distinct()
+    keyed = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), "text"))
+    return keyed.join(bad, key, "left_anti").select(*own_columns(docs))

@@ -15,7 +15,7 @@ Result per document: ``class_id``, ``n_links`` (other different texts at the thr
 ``n_copies`` (documents with the same set, itself included).
 
 Defined cases: null and empty texts are similar to nothing and are their own class; repeated rows are copies; a
-null ``doc_id`` takes part, a class of only such has a null id; other columns are ignored; empty tables stay empty.
+null ``doc_id`` takes part, a class of only such has a null id; other columns are ignored or carried, whatever their names; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalgrid.llm.common import components, row_key
+from vocalgrid.llm.common import components, own_columns, row_key, spare_names
 from vocalgrid.llm.textkit import mix, slices, windows_of, words_of
 from vocalgrid.session import pinned
 
@@ -223,8 +223,9 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, target: float =
     Among repeated rows of that document one stays, chosen without gathering: the copies' counter breaks the tie.
     """
     judged = _classes(docs, threshold, target)
+    key, text = spare_names(docs, "_key", "_text")
     standing = judged.where((F.col("member").isNull()) | ((F.col("set_key") == F.col("member")) & (F.col("doc_id").eqNullSafe(F.col("class_id")))))
-    keys = standing.groupBy("row_key").agg(F.first("set_key").alias("set_key")).select(F.col("row_key").alias("_key"), "set_key")
-    kept = docs.withColumn("_key", row_key("doc_id", "text")).join(keys, "_key")
-    single = kept.where("set_key is not null").dropDuplicates(["set_key"])
-    return kept.where("set_key is null").select(*docs.columns).unionByName(single.select(*docs.columns))
+    keys = standing.groupBy("row_key").agg(F.first("set_key").alias("set_key")).select(F.col("row_key").alias(key), F.col("set_key").alias(text))
+    kept = docs.withColumn(key, row_key("doc_id", "text")).join(keys, key)
+    single = kept.where(F.col(text).isNotNull()).dropDuplicates([text])
+    return kept.where(F.col(text).isNull()).select(*own_columns(docs)).union(single.select(*own_columns(docs)))

@@ -17,14 +17,19 @@ from vocalgrid.llm.textkit import BASE, mix, powers
 
 _BASE = np.uint64(BASE)
 _NONE = np.iinfo(np.int64).max
+_LENGTH = np.uint64(0x2545F4914F6CDD1D)
+_INVERSE = pow(BASE, -1, 1 << 64)
 CELLS = 1 << 19
+# Words beyond this many symbols are settled on their own.
+LONG = 1 << 12
+SHORT = 12
 
 
 def _span_hash(prefix: np.ndarray, start: np.ndarray, end: int) -> np.ndarray:
     """Hashes of the substrings from each ``start`` to ``end``, of every row."""
     length = end - start
-    shift = powers(BASE, end + 1)[length]
-    return mix(prefix[:, end, None] - prefix[:, start] * shift + length.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    shift = powers(BASE, int(length.max(initial=0)) + 1)[length]
+    return mix(prefix[:, end, None] - prefix[:, start] * shift + length.astype(np.uint64) * _LENGTH)
 
 
 class MergeTable:
@@ -47,6 +52,9 @@ class MergeTable:
         ids = np.flatnonzero(usable)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
+        self.sizes = {len(s) for s, ok in zip(symbols, usable) if ok} | {1}
+        ends = [i for i in np.flatnonzero(usable) if len(symbols[i]) > SHORT]
+        self.tails = np.unique(self._tails([symbols[i][-SHORT:] for i in ends]))
         width = self.unknown + 1
         pair_keys = np.fromiter((a * width + b for a, b in pairs), dtype=np.int64, count=len(pairs))
         ranks = np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))
@@ -70,6 +78,13 @@ class MergeTable:
             keys[at] = _span_hash(cls._prefix(rows), np.array([0]), int(length))[:, 0]
         return keys
 
+    @staticmethod
+    def _tails(rows) -> np.ndarray:
+        total = np.zeros(len(rows), np.uint64)
+        for k in range(SHORT):
+            total = total * _BASE + np.array([r[k] for r in rows], np.uint64) + np.uint64(1)
+        return mix(total)
+
     def _probe(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, self.ids[at], -1)
@@ -125,6 +140,73 @@ class MergeTable:
             count[r, end] = count[r, starts[c]] + 1
         return count, last, back
 
+    def long_prefixes(self, word: np.ndarray, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``prefixes`` of one long word: its candidate pieces are probed for many ends at once, then ends are settled in a row.
+
+        Pieces of more than ``SHORT`` symbols are looked for only where one with the same last ``SHORT`` symbols ends.
+        """
+        n = len(word)
+        count, last, back = np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int32)
+        for begin in range(0, n, chunk):
+            low = max(begin - self.longest, 0)
+            own = word[low : begin + chunk]
+            # Polynomial prefix hashes of the chunk and what reaches into it, modulo 2^64.
+            up = powers(BASE, len(own) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((own.astype(np.uint64) + np.uint64(1)) * powers(_INVERSE, len(own) + 1)[1:], dtype=np.uint64)]) * up
+            ends = np.arange(begin + 1, min(begin + chunk, n) + 1) - low
+            at, length, piece = [], [], []
+            for size in range(1, min(self.longest, int(ends[-1])) + 1):
+                places = ends[ends >= size]
+                if size == SHORT + 1 and len(places):
+                    tail = mix(sums[places] - sums[places - SHORT] * powers(BASE, SHORT + 1)[SHORT])
+                    ends = places = places[np.isin(tail, self.tails)]
+                if not len(places):
+                    break
+                if size not in self.sizes:
+                    continue
+                made = self._probe(mix(sums[places] - sums[places - size] * powers(BASE, size + 1)[size] + np.array([size], np.uint64) * _LENGTH))
+                hit = made >= 0
+                at.append(places[hit])
+                length.append(np.full(hit.sum(), size))
+                piece.append(made[hit])
+            # A symbol without a piece of its own stands alone.
+            first = np.arange(begin + 1, min(begin + chunk, n) + 1) - low
+            single = np.zeros(int(first[-1]) + 1, dtype=bool)
+            single[at[0][length[0] == 1] if length else []] = True
+            alone = first[~single[first]]
+            at, length, piece = (np.concatenate([*x, y]) for x, y in ((at, alone), (length, np.ones(len(alone), np.int64)), (piece, np.full(len(alone), self.unknown))))
+            order = np.argsort(at, kind="stable")
+            at, length, piece = at[order], length[order], piece[order]
+            fits = self._neighbours(at, length, piece, last[low : begin + 1])
+            width = self.unknown + 1
+            lasts, counts, backs = last[low : begin + 1].tolist(), count[low : begin + 1].tolist(), []
+            bounds = np.searchsorted(at, first).tolist() + [len(at)]
+            length, piece = length.tolist(), piece.tolist()
+            for i, end in enumerate(first.tolist()):
+                # Exactly one candidate is admissible.
+                for k in range(bounds[i], bounds[i + 1]):
+                    before = end - length[k]
+                    if before + low == 0 or lasts[before] * width + piece[k] in fits:
+                        lasts.append(piece[k])
+                        backs.append(length[k])
+                        counts.append(counts[before] + 1)
+                        break
+            stop = begin + len(backs) + 1
+            last[low:stop], count[low:stop], back[begin + 1 : stop] = lasts, counts, backs
+        return count, last, back
+
+    def _neighbours(self, at: np.ndarray, length: np.ndarray, piece: np.ndarray, settled: np.ndarray) -> set[int]:
+        """Keys of the admissible pairs among candidates that meet: of one that ends where the other starts, or the settled last piece there."""
+        width, start = self.unknown + 1, at - length
+        early = start < len(settled)
+        keys = [(settled[start[early]] * width + piece[early])[settled[start[early]] >= 0]]
+        first, behind = np.searchsorted(at, start[~early]), np.searchsorted(at, start[~early], side="right")
+        counts = behind - first
+        k = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        keys.append(piece[k] * width + np.repeat(piece[~early], counts))
+        keys = np.unique(np.concatenate(keys))
+        return set(keys[self.admissible(keys // width, keys % width)].tolist())
+
     def grouped(self, encoded: list[bytes], dtype) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
         """(places in ``encoded``, counts, last pieces, backpointers) of words given as packed symbols of ``dtype``.
 
@@ -135,6 +217,11 @@ class MergeTable:
             by_length.setdefault(len(word), []).append(i)
         for size, members in by_length.items():
             length = size // np.dtype(dtype).itemsize
+            if length > LONG:
+                for i in members:
+                    made = self.long_prefixes(np.frombuffer(encoded[i], dtype=dtype).astype(np.int64))
+                    yield [i], *(x[None, :] for x in made)
+                continue
             step = max(CELLS // max(length * min(length, self.longest), 1), 1)
             for k in range(0, len(members), step):
                 part = members[k : k + step]

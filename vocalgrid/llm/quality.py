@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalgrid.llm.common import row_key
+from vocalgrid.llm.common import own_columns, row_key, spare_names
 from vocalgrid.llm.textkit import ASCII_SPACE, BASE, mix, per_text, powers, slices, windows_of, words_of
 from vocalgrid.session import pinned
 
@@ -184,11 +184,10 @@ def quality_filtered(docs: DataFrame, host: str = "source", max_documents: int =
     """Kept documents with their frequent lines removed, in the columns of ``docs``; ``n_chars`` follows the text."""
     verdicts = judged(pinned(parsed(docs, host)), max_documents, max_removed).where("kept").select("row_key", "removed").dropDuplicates(["row_key"])
     strip = F.pandas_udf(_without, "string")
-    kept = docs.withColumn("_key", row_key("doc_id", host, "text")).join(
-        verdicts.select(F.col("row_key").alias("_key"), F.col("removed").alias("_removed")), "_key"
-    )
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(strip("text", "_removed"))
+    key, removed = spare_names(docs, "_key", "_removed")
+    kept = docs.withColumn(key, row_key("doc_id", host, "text")).join(verdicts.select(F.col("row_key").alias(key), F.col("removed").alias(removed)), key)
+    text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(strip("text", removed))
     out = kept.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*own_columns(docs))

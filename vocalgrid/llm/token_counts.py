@@ -31,6 +31,7 @@ from vocalgrid.llm.merge_prefix import Known, MergeTable
 
 LIMIT = 1024
 KNOWN_BYTES = 64_000_000
+_SPACE = regex.compile(r"\s+")
 # Fixed value: the byte-level pre-token pattern that the tokenizer file's "ByteLevel" stands for.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -97,44 +98,73 @@ class PrefixCounter:
         return np.frombuffer(self.known[token], dtype=np.int32)
 
     def prefix_counts(self, text: str) -> np.ndarray:
-        """Token count of ``text[:i]`` for every i: what encoding that prefix afresh would give.
-
-        Cutting can change only the last pre-token: a cut contraction falls apart, a cut white space run is no
-        longer followed by a word. So the piece at the cut is pre-tokenised again, never the text before it.
+        """Token count of ``text[:i]`` for every i: what encoding that prefix afresh would give."""
+        laid = self.laid_out(text)
+        return np.concatenate([[0], *(self.counts_inside(text, laid, i) for i in range(len(laid[0])))]).astype(np.int64)
+
+    def laid_out(self, text: str, tokens: list[str] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The pre-tokens of a text, the characters up to the end of each, and the tokens up to there."""
+        tokens = self.pre_tokens(text) if tokens is None else tokens
+        self.learn(tokens)
+        return tokens, np.cumsum([len(t) for t in tokens], dtype=np.int64), self.totals(tokens)
+
+    def counts_inside(self, text: str, laid: tuple[list[str], np.ndarray, np.ndarray], i: int) -> np.ndarray:
+        """Token counts of the prefixes that end inside or right behind pre-token ``i``.
+
+        Cutting can change only the last pre-tokens: a cut contraction or special string falls apart, and a cut white space run is one
+        pre-token, as no word follows it. Such an end is pre-tokenised again from the last place that no cut behind it can move;
+        everything else is read from the inner table.
         """
-        out, total, start = [0], 0, 0
-        for token in self.pre_tokens(text):
-            plain = token not in self.special_set and not token.startswith("'") and not (token.isspace() or token[:1] == " ")
-            self.learn([token])
-            inner = self.inner(token)
-            ends = np.cumsum([len(c.encode()) for c in token])
-            for k in range(1, len(token) + 1):
-                if plain:
-                    out.append(total + int(inner[ends[k - 1]]))
-                    continue
-                # White space before the cut joins the piece: it may have been split off only for the next word.
-                begin = start
-                while begin > 0 and text[begin - 1].isspace():
-                    begin -= 1
-                cut = self.pre_tokens(text[begin : start + k])
-                self.learn(cut)
-                out.append(out[begin] + sum(int(self.inner(c)[-1]) for c in cut))
-            total += int(inner[-1])
-            start += len(token)
-        return np.array(out, dtype=np.int64)
-
-    def fitting(self, tokens: list[str], totals: np.ndarray, budget: int) -> int:
-        """Most characters, ending inside or after one of ``tokens``, that have at most ``budget`` tokens."""
-        whole = int(np.searchsorted(totals, budget, side="right"))
-        chars = sum(map(len, tokens[:whole]))
-        if whole == len(tokens):
-            return chars
-        room = budget - (int(totals[whole - 1]) if whole else 0)
-        token = tokens[whole]
+        tokens, ends, totals = laid
+        token, start = tokens[i], int(ends[i - 1]) if i else 0
+        before = int(totals[i - 1]) if i else 0
+
+        def again(first: int, lengths: range) -> np.ndarray:
+            """Counts of prefixes cut after ``lengths`` characters of the token, pre-tokenised from pre-token ``first`` on."""
+            begin, base = (int(ends[first - 1]), int(totals[first - 1])) if first else (0, 0)
+            cuts = [self.pre_tokens(text[begin : start + k]) for k in lengths]
+            self.learn(chain.from_iterable(cuts))
+            return np.array([base + sum(int(self.inner(c)[-1]) for c in cut) for cut in cuts], dtype=np.int64)
+
+        def spaces() -> int:
+            """First of the white space pre-tokens right before this one."""
+            k = i
+            while k and _SPACE.fullmatch(tokens[k - 1]):
+                k -= 1
+            return k
+
         if token in self.special_set:
-            return chars
-        fits = int(np.searchsorted(self.inner(token), room, side="right")) - 1
-        return chars + len(token.encode()[: max(fits, 0)].decode("utf-8", errors="ignore"))
+            first = spaces()
+            return np.append(again(first - 1 if first else 0, range(1, len(token))), totals[i])
+        if token.startswith("'") and len(token) > 1 and token[1].isalpha():
+            return np.append(again(i, range(1, len(token))), totals[i])
+        at = np.cumsum([len(c.encode()) for c in token])
+        if _SPACE.fullmatch(token):
+            first = spaces()
+            begin, base = (int(ends[first - 1]), int(totals[first - 1])) if first else (0, 0)
+            run = text[begin : int(ends[i])]
+            self.learn([run])
+            return base + self.inner(run)[len(text[begin:start].encode()) + at].astype(np.int64)
+        counts = before + self.inner(token)[at].astype(np.int64)
+        if _SPACE.match(token):
+            counts[0] = again(spaces(), range(1, 2))[0]
+        return counts
+
+    def fitting(self, text: str, laid: tuple[list[str], np.ndarray, np.ndarray], budget: int) -> int:
+        """Most characters of the text whose prefix has at most ``budget`` tokens.
+
+        Counts of prefixes do not rise steadily, so the last fitting place is looked for. It lies at most two pre-tokens behind the first
+        one that ends beyond the budget: white space there may be counted anew, what stands before it may not.
+        """
+        tokens, ends, totals = laid
+        beyond = int(np.searchsorted(totals, budget, side="right"))
+        if beyond == len(tokens):
+            return len(text)
+        for i in range(min(beyond + 2, len(tokens) - 1), -1, -1):
+            fits = np.flatnonzero(self.counts_inside(text, laid, i) <= budget)
+            if len(fits):
+                return int(ends[i] - len(tokens[i]) + fits[-1]) + 1
+        return 0
 
 
 @lru_cache(maxsize=2)
@@ -154,7 +184,8 @@ def _counts(path: str, budget: int):
                 table.learn(chain.from_iterable(cut))
                 totals = [table.totals(c) for c in cut]
                 n_tokens = [int(t[-1]) if len(t) else 0 for t in totals]
-                fits = [table.fitting(c, t, budget) for c, t in zip(cut, totals)]
+                # Only texts beyond the budget are looked into.
+                fits = [len(t) if n <= budget else table.fitting(t, table.laid_out(t, c), budget) for t, c, n in zip(part, cut, n_tokens)]
                 table.known.turn()
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -6,7 +6,7 @@ the last; attention pools a window's states into one logit. All overlapping wind
 scored, and the text's score is the highest.
 
 Training: at most ``PER_CLASS`` labelled documents of each class, of at most ``TRAIN_CHARS`` characters, chosen by the hash of
-their id among rows whose crc32(doc_id) mod 5 is not 0: a bounded sample, fitted in one task. A document's label
+their id among rows with such a text whose crc32(doc_id) mod 5 is not 0: a bounded sample, fitted in one task. A document's label
 holds for some window only, so the windows that score highest, looked up anew after some epochs, learn it. Labels, language,
 source and id are no inputs.
 
@@ -49,6 +49,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """The one form in which texts are trained on and scored: lower case, null as empty."""
+    return pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
+
+
 class Features:
     """Hashed inputs of all words of some lowered texts, and the windows over them."""
 
@@ -214,7 +219,7 @@ class Network:
     def fit(self, texts: list[str], labels: np.ndarray, seed: int = 5) -> None:
         """Adam over windows; each epoch takes a text's best windows by the current scores, and one at random."""
         r = np.random.default_rng(seed)
-        f = Features.of([t.lower() for t in texts])
+        f = Features.of(lowered(pa.array(texts, pa.string())).to_pylist())
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step = 0
         first = np.searchsorted(f.text, np.arange(len(texts) + 1))
@@ -243,10 +248,11 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ne
     """The network trained on the bounded sample."""
     clean = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     agreed = clean.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
-    # Some labelled documents may be missing or too long: twice the number is drawn, still a bounded list.
-    drawn = [agreed.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for k in (0, 1)]
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
-    sample = sample.where((F.length("text") <= TRAIN_CHARS) & (F.length("text") > 0)).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    # Drawn among the ids that have a text to train on, so that a draw never comes to nothing.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, TRAIN_CHARS))
+    able = agreed.join(texts.select("doc_id").distinct(), "doc_id")
+    drawn = [able.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    sample = texts.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
     drawn_rows = sample.select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("draw"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,21 +271,24 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ne
     return network
 
 
+def scores(network: Network, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, scores, windows) of bounded slices of a column of texts."""
+    for i, j, data, ends in slices(lowered(texts), 1 << 19):
+        f = Features(data, ends)
+        best = np.full(j - i, -np.inf, np.float32)
+        if network.trained:
+            np.maximum.at(best, f.text, network.logits(f))
+        yield i, j, 1 / (1 + np.exp(-best.astype(np.float64))), np.bincount(f.text, minlength=j - i).astype(np.int64)
+
+
 def scored(docs: DataFrame, network: Network) -> DataFrame:
     """``docs`` with ``score``, ``predicted`` and ``n_windows``; only doc_id is kept of the other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lowered = pc.utf8_lower(batch.column(1).cast(pa.large_string()).fill_null(""))
-            for i, j, data, ends in slices(lowered, 1 << 19):
-                f = Features(data, ends)
-                best = np.full(j - i, -np.inf, np.float32)
-                if network.trained:
-                    np.maximum.at(best, f.text, network.logits(f))
-                score = 1 / (1 + np.exp(-best.astype(np.float64)))
-                windows = np.bincount(f.text, minlength=j - i)
+            for i, j, score, windows in scores(network, batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(windows.astype(np.int64))],
+                    [batch.column(0).slice(i, j - i), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(windows)],
                     names=["doc_id", "score", "predicted", "n_windows"],
                 )
 
@@ -290,18 +299,8 @@ def scored(docs: DataFrame, network: Network) -> DataFrame:
 def filtered(docs: DataFrame, network: Network) -> DataFrame:
     """``docs`` without the texts scored as toxic; every other column stays."""
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        out = np.zeros(len(texts))
-        lowered = pa.array([("" if t is None else t.lower()) for t in texts], pa.large_string())
-        for i, j, data, ends in slices(lowered, 1 << 19):
-            f = Features(data, ends)
-            best = np.full(j - i, -np.inf, np.float32)
-            if network.trained:
-                np.maximum.at(best, f.text, network.logits(f))
-            out[i:j] = 1 / (1 + np.exp(-best.astype(np.float64)))
-        return pd.Series(out)
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(s for _, _, s, _ in scores(network, texts))]))
 
     return docs.where(score("text") < 0.5)

@@ -118,8 +118,9 @@ def test_budget_answers_equal_brute_force(text):
     table = token_counts.counter(JSON)
     counts = [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
     assert table.prefix_counts(text).tolist() == counts
+    laid = table.laid_out(text)
     for budget in range(max(counts) + 2):
-        assert table.fitting(text, table.laid_out(text), budget) == max(k for k, n in enumerate(counts) if n <= budget), budget
+        assert table.fitting(text, laid[0], laid[2], budget) == max(k for k, n in enumerate(counts) if n <= budget), budget
 
 
 def test_budget_answers_over_documents():
@@ -127,7 +128,7 @@ def test_budget_answers_over_documents():
     for (text,) in connect(SF).execute("SELECT text FROM documents WHERE length(text) BETWEEN 1 AND 600 LIMIT 50").fetchall():
         counts, laid = table.prefix_counts(text), table.laid_out(text)
         for budget in range(0, int(counts.max()) + 2, 3):
-            assert table.fitting(text, laid, budget) == np.flatnonzero(counts <= budget)[-1]
+            assert table.fitting(text, laid[0], laid[2], budget) == np.flatnonzero(counts <= budget)[-1]
 
 
 @pytest.mark.parametrize("table", [token_counts.counter(JSON).table, piece_codec.codec(MODEL).table])

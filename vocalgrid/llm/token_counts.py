@@ -102,9 +102,9 @@ class PrefixCounter:
         laid = self.laid_out(text)
         return np.concatenate([[0], *(self.counts_inside(text, laid, i) for i in range(len(laid[0])))]).astype(np.int64)
 
-    def laid_out(self, text: str, tokens: list[str] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def laid_out(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The pre-tokens of a text, the characters up to the end of each, and the tokens up to there."""
-        tokens = self.pre_tokens(text) if tokens is None else tokens
+        tokens = self.pre_tokens(text)
         self.learn(tokens)
         return tokens, np.cumsum([len(t) for t in tokens], dtype=np.int64), self.totals(tokens)
 
@@ -150,17 +150,19 @@ class PrefixCounter:
             counts[0] = again(spaces(), range(1, 2))[0]
         return counts
 
-    def fitting(self, text: str, laid: tuple[list[str], np.ndarray, np.ndarray], budget: int) -> int:
-        """Most characters of the text whose prefix has at most ``budget`` tokens.
+    def fitting(self, text: str, tokens: list[str], totals: np.ndarray, budget: int) -> int:
+        """Most characters of the text whose prefix has at most ``budget`` tokens; the pre-tokens are known and counted.
 
         Counts of prefixes do not rise steadily, so the last fitting place is looked for. It lies at most two pre-tokens behind the first
         one that ends beyond the budget: white space there may be counted anew, what stands before it may not.
         """
-        tokens, ends, totals = laid
         beyond = int(np.searchsorted(totals, budget, side="right"))
         if beyond == len(tokens):
             return len(text)
-        for i in range(min(beyond + 2, len(tokens) - 1), -1, -1):
+        tokens = tokens[: beyond + 3]
+        ends = np.cumsum([len(t) for t in tokens], dtype=np.int64)
+        laid = tokens, ends, totals[: len(tokens)]
+        for i in range(len(tokens) - 1, -1, -1):
             fits = np.flatnonzero(self.counts_inside(text, laid, i) <= budget)
             if len(fits):
                 return int(ends[i] - len(tokens[i]) + fits[-1]) + 1
@@ -185,7 +187,7 @@ def _counts(path: str, budget: int):
                 totals = [table.totals(c) for c in cut]
                 n_tokens = [int(t[-1]) if len(t) else 0 for t in totals]
                 # Only texts beyond the budget are looked into.
-                fits = [len(t) if n <= budget else table.fitting(t, table.laid_out(t, c), budget) for t, c, n in zip(part, cut, n_tokens)]
+                fits = [len(t) if n <= budget else table.fitting(t, c, s, budget) for t, c, s, n in zip(part, cut, totals, n_tokens)]
                 table.known.turn()
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -16,6 +16,9 @@ LOWEST_TIER = "POOR"
 MIN_CORRELATION = 0.5
 BATCH_MIN_CORRELATION = 0.3
 
+# Share of the noise power that the batch job takes out of the audio.
+NOISE_SHARE = 0.8
+
 # Seconds of processing assumed per utterance in the progress report.
 SECONDS_PER_UTTERANCE = 3.5
 

@@ -53,19 +53,19 @@ def _by_length(values: pa.Array, run: Callable[[pa.Array], pa.Array]) -> pa.Arra
     return made.take(pa.array(back))
 
 
-def batch_kernel(fn: Callable[[np.ndarray], np.ndarray], element: str = "double") -> Callable[[Column], Column]:
-    """Column function applying ``fn`` (rows, width) -> (rows, other width) to a frame column.
+def _result_type(element: str) -> pa.DataType:
+    plain = pa.list_(pa.from_numpy_dtype(_DTYPES[element]))
+    return pa.binary() if element == "bytes" else pa.list_(plain) if element == "rows" else plain
 
-    ``element`` names the result: ARRAY of double, int or boolean, packed ``bytes``, or ``rows`` for
-    ARRAY<ARRAY<DOUBLE>> from a three-dimensional result.
-    """
+
+def _on_equal_lengths(fn: Callable[[np.ndarray], np.ndarray], element: str) -> Callable[[pa.Array], pa.Array]:
+    """``fn`` on an Arrow array of equally long values."""
     dtype = _DTYPES[element]
     packed, nested = element == "bytes", element == "rows"
 
     def equal(values: pa.Array) -> pa.Array:
         if len(values) == 0:
-            plain = pa.list_(pa.from_numpy_dtype(dtype))
-            return pa.array([], type=pa.binary() if packed else pa.list_(plain) if nested else plain)
+            return pa.array([], type=_result_type(element))
         rows = _rows(values)
         step = max(SLICE // max(rows.shape[1], 1), 1)
         parts = [np.asarray(fn(rows[i : i + step]), dtype=dtype) for i in range(0, len(rows), step)]
@@ -81,13 +81,57 @@ def batch_kernel(fn: Callable[[np.ndarray], np.ndarray], element: str = "double"
             flat = pa.ListArray.from_arrays(pa.array(inner), flat)
         return pa.ListArray.from_arrays(offsets, flat)
 
-    @arrow_udf("binary" if packed else "array<array<double>>" if nested else f"array<{element}>")
+    return equal
+
+
+def _sql_type(element: str) -> str:
+    return {"bytes": "binary", "rows": "array<array<double>>"}.get(element, f"array<{element}>")
+
+
+def batch_kernel(fn: Callable[[np.ndarray], np.ndarray], element: str = "double") -> Callable[[Column], Column]:
+    """Column function applying ``fn`` (rows, width) -> (rows, other width) to a frame column.
+
+    ``element`` names the result: ARRAY of double, int or boolean, packed ``bytes``, or ``rows`` for
+    ARRAY<ARRAY<DOUBLE>> from a three-dimensional result.
+    """
+    equal = _on_equal_lengths(fn, element)
+
+    @arrow_udf(_sql_type(element))
     def run(values: pa.Array) -> pa.Array:
         return _by_length(values, equal)
 
     return run
 
 
+def guarded_kernel(fn: Callable[[np.ndarray], np.ndarray], element: str = "double") -> Callable[[Column], Column]:
+    """``batch_kernel`` whose failures stay with the rows that cause them: a struct of ``value`` and ``error``.
+
+    A batch on which ``fn`` fails is halved until the bad rows are alone; such a row has a null value and the failure's
+    text, all others have what they would have without it. A null frame has a null struct.
+    """
+    equal, kind = _on_equal_lengths(fn, element), _result_type(element)
+
+    def attempt(values: pa.Array) -> tuple[list[pa.Array], list[str | None]]:
+        try:
+            return [equal(values)], [None] * len(values)
+        except Exception as e:  # noqa: BLE001 whatever a kernel raises is the row's
+            if len(values) == 1:
+                return [pa.nulls(1, kind)], [f"{type(e).__name__}: {e}"]
+        half = len(values) // 2
+        left, right = attempt(values.slice(0, half)), attempt(values.slice(half))
+        return left[0] + right[0], left[1] + right[1]
+
+    def both(values: pa.Array) -> pa.Array:
+        parts, errors = attempt(values)
+        return pa.StructArray.from_arrays([pa.concat_arrays(parts).cast(kind), pa.array(errors, pa.string())], names=["value", "error"])
+
+    @arrow_udf(f"struct<value:{_sql_type(element)},error:string>")
+    def run(values: pa.Array) -> pa.Array:
+        return _by_length(values, both)
+
+    return run
+
+
 def series_kernel(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
     """Column function applying ``fn`` to each ARRAY<DOUBLE> on its own; lengths may differ."""
 

@@ -184,16 +184,36 @@ def resampled(blocks: DataFrame, keys: Sequence[str], value: str, source_rate: f
     met = scale.attach(met, targets.select(*keys, "n_targets"), keys, ["_q"])
     pieces = met.select(*keys, run(value, "_tail", "_q", "n_targets").alias("_p"))
     held = reblocked(pieces.select(*keys, F.col("_p.start").alias("_start"), F.col("_p.x").alias(value)), keys, "_start", [value], out_span)
-    # Blocks that lie behind the last value, wholly or in part, are filled.
     known = blocks.select(*keys).distinct()
     wanted = targets.select(*keys, F.col("n_targets").cast("long").alias("_n")).join(known, list(keys), "left_semi")
-    every = scale.explode_range(wanted, F.lit(0), F.ceil(F.col("_n") / out_span), "_q")
-    filled = every.join(held, [*keys, "_q"], "left")
-    length = F.least(F.lit(out_span), F.col("_n") - F.col("_q") * out_span).cast("int")
+    return _filled(held, wanted, keys, value, out_span)
+
+
+def _filled(held: DataFrame, sizes: DataFrame, keys: Sequence[str], value: str, span: int) -> DataFrame:
+    """Blocks whose ends are missing, or all of them, filled with zeros to the series' length ``_n`` in ``sizes``."""
+    every = scale.explode_range(sizes.select(*keys, "_n"), F.lit(0), F.ceil(F.col("_n") / span), "_q")
+    filled = every.join(held.select(*keys, "_q", value), [*keys, "_q"], "left")
+    length = F.least(F.lit(span), F.col("_n") - F.col("_q") * span).cast("int")
     have = F.coalesce(value, F.array().cast("array<double>"))
     return filled.select(*keys, "_q", "_n", F.concat(have, F.array_repeat(F.lit(0.0), length - F.size(have))).alias(value))
 
 
+def shifted(blocks: DataFrame, keys: Sequence[str], value: str, plan: DataFrame, span: int = SPAN) -> DataFrame:
+    """out[n] = in[n + offset] for n < out_len, zero where there is no such value; ``plan`` holds keys, offset and out_len."""
+    known = plan.select(*keys, F.col("offset").cast("long").alias("_o"), F.col("out_len").cast("long").alias("_len"))
+    held = scale.attach(blocks.select(*keys, "_q", value), known, keys, ["_q"])
+    start = F.col("_q") * span - F.col("_o")
+    begin, end = F.greatest(start, F.lit(0)), F.least(start + F.size(value), F.col("_len"))
+    moved = held.where(end > begin).select(*keys, begin.alias("_s"), F.slice(value, (begin - start + 1).cast("int"), (end - begin).cast("int")).alias(value))
+    # What lies ahead of the series is filled here, what lies behind it by ``_filled``.
+    gap = F.least(F.greatest(-F.col("_o"), F.lit(0)), F.col("_len"))
+    ahead = scale.explode_range(known.withColumn("_gap", gap), F.lit(0), F.ceil(F.col("_gap") / span), "_q")
+    size = F.least(F.lit(span), F.col("_gap") - F.col("_q") * span).cast("int")
+    zeros = ahead.select(*keys, (F.col("_q") * span).alias("_s"), F.array_repeat(F.lit(0.0), size).alias(value))
+    pieces = moved.unionByName(zeros)
+    return _filled(reblocked(pieces, keys, "_s", [value], span), known.select(*keys, F.col("_len").alias("_n")), keys, value, span)
+
+
 # Work over whole series -------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vocalgrid import scale
 from vocalgrid.functions import columns as C
 from vocalgrid.functions import kernels
-from vocalgrid.functions.arrow import batch_kernel
+from vocalgrid.functions.arrow import batch_kernel, guarded_kernel
 from vocalgrid.operators import series
 
 BLOCK = 64
@@ -59,12 +59,12 @@ def motion_energy(
     return pairs.select(*keys, idx, energy[0].alias(out))
 
 
-def temporal_median(df: DataFrame, keys: Sequence[str], idx: str, pixels: str, window: int = 3) -> DataFrame:
-    """Per-pixel median over ``window`` frames, ends repeated; shorter utterances stay unchanged."""
+def temporal_median(df: DataFrame, keys: Sequence[str], idx: str, pixels: str, window: int = 3, carry: Sequence[str] = ()) -> DataFrame:
+    """Per-pixel median over ``window`` frames, ends repeated; shorter utterances stay unchanged. ``carry`` names columns that go along."""
     if window % 2 == 0 or window < 1:
         raise ValueError("the window must be odd")
     half = window // 2
-    ends = series.reflect_ends(df.select(*keys, idx, pixels), keys, idx, half)
+    ends = series.reflect_ends(df.select(*keys, idx, pixels, *carry), keys, idx, half)
     copied = scale.halo_copies(ends, "pos", BLOCK, half, half)
     order = Window.partitionBy(*keys, "block").orderBy("pos")
     for k in range(window):
@@ -79,16 +79,12 @@ def temporal_median(df: DataFrame, keys: Sequence[str], idx: str, pixels: str, w
         return F.array_sort(F.array(*near))[half]
 
     median = F.when(F.col("n") >= window, F.transform(pixels, middle)).otherwise(F.col(pixels))
-    return copied.where(real).select(*keys, idx, median.alias(pixels))
+    return copied.where(real).select(*keys, idx, median.alias(pixels), *carry)
 
 
 def spatial_gaussian(height: int, width: int, sigma: float) -> Callable[[Column], Column]:
     """Separable blur of size 2 * ceil(3 sigma) + 1, ends mirrored without repeating the edge."""
-    weights = kernels.gaussian(math.ceil(3 * sigma), sigma)
-    left, right = (kernels.mirror_matrix(n, weights, repeat_edge=False) for n in (height, width))
-    return batch_kernel(
-        lambda rows: kernels.smooth_frames(rows.reshape(-1, height, width), left, right).reshape(len(rows), -1)
-    )
+    return batch_kernel(blur_kernel(height, width, sigma))
 
 
 def smoothing_kernel(height: int, width: int, sigma: float) -> Callable[[np.ndarray], np.ndarray]:
@@ -108,6 +104,22 @@ def denoise(
     return temporal_median(df.withColumn(pixels, blur(F.col(pixels))), keys, idx, pixels, window)
 
 
+def blur_kernel(height: int, width: int, sigma: float) -> Callable[[np.ndarray], np.ndarray]:
+    """The spatial blur as a kernel of frame rows, or of rows that hold several channels one after the other."""
+    weights = kernels.gaussian(math.ceil(3 * sigma), sigma)
+    left, right = (kernels.mirror_matrix(n, weights, repeat_edge=False) for n in (height, width))
+    return lambda rows: kernels.smooth_frames(rows.reshape(-1, height, width), left, right).reshape(len(rows), -1)
+
+
+def denoise_guarded(
+    df: DataFrame, keys: Sequence[str], idx: str, pixels: str, blur: Callable[[np.ndarray], np.ndarray], window: int = 3
+) -> DataFrame:
+    """``denoise`` with any kernel of frame rows; a frame on which it fails has no pixels and the reason in ``error``."""
+    made = df.select(*keys, idx, guarded_kernel(blur)(F.col(pixels)).alias("_g"))
+    held = made.select(*keys, idx, F.col("_g.value").alias(pixels), F.when(F.col("_g").isNull(), "no frame").otherwise(F.col("_g.error")).alias("error"))
+    return temporal_median(held, keys, idx, pixels, window, carry=["error"])
+
+
 def turn_pair(height: int, width: int) -> Callable[[Column], Column]:
     """(flip, degrees, image, mask) as one array to (image, mask), mirrored if flip is 1, then turned.
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from vocalgrid import fixed, scale
 from vocalgrid.functions import columns as C
+from vocalgrid.operators import audio as spectra
 from vocalgrid.operators import blocks, frames, geometry, ordering, pca, selection, series, summaries
 from vocalgrid.session import pinned
+from vocalgrid.sources import stores
 
 
 def failure_ledger(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -143,37 +147,18 @@ def aligned_audio(
     return series.shift_series(audio, keys, idx, value, plan, compat=compat)
 
 
-def preprocess(
-    images: DataFrame,
-    audio: DataFrame,
-    keys: Sequence[str],
-    idx: str,
-    pixels: str,
-    value: str,
-    height: int,
-    width: int,
-    fps: float,
-    rate: float,
-    smooth_ms: float,
-    minimum: float = fixed.BATCH_MIN_CORRELATION,
-    roi: tuple[int, int, int, int] | None = None,
-) -> DataFrame:
-    """Denoise the images, align the audio and judge the result, one row per utterance.
-
-    Every utterance of the images is reported: those without audio, under the least length, or with a frame or
-    sample that no kernel may see (null, of another size, not finite) carry an error instead of a result, and
-    the run goes on. The ledger comes first, so kernels meet good utterances only.
-    """
-    on = list(keys)
+def _checked(images: DataFrame, audio: DataFrame, on: list[str], pixels: str, value: str, width_of_frame: int, rate: float) -> DataFrame:
+    """One row per utterance of the images: counts, and the first reason why no kernel may see it."""
     bad_pixel = F.exists(pixels, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    bad_frame = F.coalesce((F.size(pixels) != height * width) | bad_pixel, F.lit(True))
-    sample = F.col(value).cast("double")
-    bad_sample = F.coalesce(F.isnan(sample) | (F.abs(sample) == float("inf")), F.lit(True))
+    bad_frame = F.coalesce((F.size(pixels) != width_of_frame) | bad_pixel, F.lit(True))
+    infinite = lambda v: F.coalesce(F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")), F.lit(True))
+    in_arrays = isinstance(audio.schema[value].dataType, ArrayType)
+    bad_sample = F.coalesce(F.exists(value, infinite), F.lit(True)) if in_arrays else infinite(F.col(value))
+    samples = F.sum(F.coalesce(F.size(value), F.lit(0))).cast("long") if in_arrays else F.count(F.lit(1))
     shown = images.groupBy(*on).agg(F.count(F.lit(1)).alias("n_frames"), F.max(bad_frame).alias("bad_frames"))
-    heard = audio.groupBy(*on).agg(F.count(F.lit(1)).alias("n_samples"), F.max(bad_sample).alias("bad_audio"))
-    counts = shown.join(heard, on, "left")
-    ledger = failure_ledger(
-        counts,
+    heard = audio.groupBy(*on).agg(samples.alias("n_samples"), F.max(bad_sample).alias("bad_audio"))
+    return failure_ledger(
+        shown.join(heard, on, "left"),
         {
             "no audio": F.col("n_samples").isNull(),
             "audio too short": F.col("n_samples") < F.lit(rate * 0.1),
@@ -181,15 +166,116 @@ def preprocess(
             "audio not finite": F.col("bad_audio"),
         },
     )
+
+
+def _keep(df: DataFrame, name: str, place: str | None) -> DataFrame:
+    """The rows, kept so that they can be read more than once: as Parquet below ``place``, or checkpointed."""
+    if place is None:
+        return pinned(df)
+    df.write.mode("overwrite").parquet(f"{place}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{place}/{name}")
+
+
+def processed(
+    images: DataFrame, audio: DataFrame, keys: Sequence[str], idx: str, pixels: str, value: str, height: int, width: int, fps: float, rate: float, smooth_ms: float,
+    minimum: float = fixed.BATCH_MIN_CORRELATION, roi: tuple[int, int, int, int] | None = None, noise_share: float | None = None,
+    n_fft: int = 512, hop: int = 160, blur: Callable[[np.ndarray], np.ndarray] | None = None, place: str | None = None, channels: int = 1,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Manifest, denoised frames and denoised audio (a block table) of every utterance of the images.
+
+    Images are blurred and put through the temporal median; the audio loses ``noise_share`` of its noise, if one is named; both are
+    aligned and the result is judged. Failures are the manifest's, never the run's: utterances without audio, under the least length, or with
+    a frame or sample that no kernel may see never reach a kernel, and a kernel that fails on a frame or block takes out that
+    utterance alone (``guarded_kernel``). Frames with ``channels`` hold them one after the other. With a ``place``, frames and audio are written there once and read back.
+    """
+    on = list(keys)
+    ledger = pinned(_checked(images, audio, on, pixels, value, height * width * channels, rate))
     good = succeeded(ledger).select(*on)
-    clean = frames.denoise(_having(images, good, on, idx), on, idx, pixels, height, width)
-    found = pinned(
-        align(clean, _having(audio, good, on, idx), on, idx, pixels, value, fps, rate, smooth_ms, width, roi)
+    kernel = blur or frames.blur_kernel(height, width, 1.0)
+    clean = _keep(frames.denoise_guarded(_having(images, good, on, idx), on, idx, pixels, kernel), "frames", place)
+    span = blocks.span_for(len(series.smoothing_weights(smooth_ms, rate)) // 2)
+    sound = audio_blocks(_having(audio, good, on, idx), on, idx, value, span)
+    if noise_share is not None:
+        sound = spectra.noise_reduced(sound, on, value, rate, noise_share, n_fft, hop, span=span)
+    else:
+        sound = sound.select(*on, "_q", "_n", value, F.lit(False).alias("reduced"), F.lit(None).cast("string").alias("error"))
+    heard = _keep(sound, "audio", place)
+    raised = clean.select(*on, F.lit("frames").alias("_what"), "error").unionByName(heard.select(*on, F.lit("audio").alias("_what"), "error")).where(F.col("error").isNotNull())
+    faults = raised.groupBy(*on).agg(F.min(F.concat_ws(": ", "_what", "error")).alias("fault"))
+    sane = good.join(faults, on, "left_anti")
+    found = align(
+        _having(clean.select(*on, idx, pixels), sane, on, idx), _having(heard.select(*on, "_q", "_n", value), sane, on, "_q"), on, idx, pixels, value, fps, rate, smooth_ms, width, roi
     )
-    judged = selection.validate_alignment(found, minimum)
-    tiered = judged.withColumn("tier", C.quality_tier(F.col("correlation")))
-    missing = failed(ledger).select(*on, "error")
-    return tiered.withColumn("error", F.lit(None).cast("string")).unionByName(missing, allowMissingColumns=True)
+    judged = selection.validate_alignment(pinned(found), minimum)
+    tiered = judged.withColumn("tier", C.quality_tier(F.col("correlation"))).withColumn("error", F.lit(None).cast("string"))
+    missing = failed(ledger).select(*on, "error").unionByName(faults.select(*on, F.col("fault").alias("error")))
+    return tiered.unionByName(missing, allowMissingColumns=True), clean, heard
+
+
+def preprocess(
+    images: DataFrame, audio: DataFrame, keys: Sequence[str], idx: str, pixels: str, value: str, height: int, width: int, fps: float, rate: float, smooth_ms: float,
+    minimum: float = fixed.BATCH_MIN_CORRELATION, roi: tuple[int, int, int, int] | None = None, noise_share: float | None = None,
+    n_fft: int = 512, hop: int = 160, blur: Callable[[np.ndarray], np.ndarray] | None = None, channels: int = 1,
+) -> DataFrame:
+    """Denoise the images and, with a ``noise_share``, the audio; align them and judge the result: one row per utterance (``processed``)."""
+    return processed(images, audio, keys, idx, pixels, value, height, width, fps, rate, smooth_ms, minimum, roi, noise_share, n_fft, hop, blur, channels=channels)[0]
+
+
+def preprocess_store(
+    images: DataFrame, audio: DataFrame, place: str, subject: Column, keys: Sequence[str], idx: str, pixels: str, value: str, height: int, width: int, fps: float, rate: float,
+    smooth_ms: float, minimum: float = fixed.BATCH_MIN_CORRELATION, roi: tuple[int, int, int, int] | None = None, noise_share: float = fixed.NOISE_SHARE,
+    n_fft: int = 512, hop: int = 160, blur: Callable[[np.ndarray], np.ndarray] | None = None, parts: int = 1, channels: int = 1,
+) -> DataFrame:
+    """The batch job as one that can be started again: stores frames, aligned audio and a manifest below ``place``, returns the manifest.
+
+    Utterances are done in ``parts`` by the hash of their key. A part writes its frames and audio below a name of its own and then
+    its manifest rows, which commit its utterances: readers see only what the manifest names. A run leaves out every utterance that the
+    manifest lists without an error, so one that was cut off goes on where it stopped, and failed utterances are tried again.
+    ``subject`` is computed from the keys.
+    """
+    on, spark = list(keys), images.sparkSession
+    before = stores.read_manifest(spark, place, on)
+    attempt = 1 if before is None else (before.agg(F.max("attempt")).first()[0] or 0) + 1
+    for part in range(parts):
+        mine = lambda df: df.where(F.pmod(F.xxhash64(*on), F.lit(parts)) == part)
+        todo = mine(images.select(*on).distinct())
+        done = stores.read_manifest(spark, place, on)
+        if done is not None:
+            todo = todo.join(done.where(F.col("error").isNull()).select(*on), on, "left_anti")
+        todo = pinned(todo)
+        if todo.isEmpty():
+            continue
+        name = f"part-{uuid.uuid4().hex}"
+        manifest, _, heard = processed(
+            _having(images, todo, on, idx), _having(audio, todo, on, idx), on, idx, pixels, value, height, width, fps, rate, smooth_ms, minimum, roi,
+            noise_share, n_fft, hop, blur, f"{place}/{name}", channels,
+        )
+        manifest = pinned(manifest)
+        plan = manifest.where(F.col("error").isNull()).select(
+            *on, F.col("offset_samples").alias("offset"), F.floor(F.col("n_frames") / F.lit(float(fps)) * F.lit(float(rate))).cast("long").alias("out_len")
+        )
+        span = blocks.span_for(len(series.smoothing_weights(smooth_ms, rate)) // 2)
+        lined_up = blocks.shifted(heard, on, value, plan, span)
+        lined_up.select(*on, (F.col("_q") * span).alias("start"), value).write.mode("overwrite").parquet(f"{place}/{name}/aligned_audio")
+        rows = manifest.select("*", subject.alias("subject"), F.lit(float(fps)).alias("fps"), F.lit(float(rate)).alias("rate"), F.lit(name).alias("part"), F.lit(attempt).alias("attempt"))
+        stores.append_manifest(rows, place)
+    return stores.read_manifest(spark, place, on)
+
+
+def stored(manifest: DataFrame, place: str, what: str, keys: Sequence[str]) -> DataFrame:
+    """The ``frames`` or the ``aligned_audio`` that the manifest commits; rows of parts that were cut off are not seen."""
+    spark = manifest.sparkSession
+    whole = manifest.where(F.col("error").isNull()).select(*keys, "part")
+    # Folders of parts, as many as runs were made.
+    names = [r["part"] for r in whole.select("part").distinct().collect()]
+    rows = spark.read.option("basePath", place).parquet(*[f"{place}/{n}/{what}" for n in names])
+    named = rows.withColumn("part", F.regexp_extract(F.col("_metadata.file_path"), r"(part-[0-9a-f]{32})/", 1))
+    return scale.attach(named, whole, [*keys, "part"], ["start" if what == "aligned_audio" else "frame_idx"], "left_semi").drop("part", "error")
+
+
+def batch_summary(manifest: DataFrame) -> DataFrame:
+    """Utterances, processed, failed and the success rate per subject and, with a null subject, of the whole corpus."""
+    return summaries.batch_rollup(manifest.withColumn("ok", F.col("error").isNull()), "subject", F.col("ok"))
 
 
 def parameters(
@@ -222,7 +308,23 @@ def training_table(
     ``stats_from='train'`` standardises every split with the training statistics; ``'split'`` gives
     each split its own. ``splits`` holds (utt, split).
     """
-    joined = selection.feature_param_join(features, params, utt, idx)
+    return training_tables(features, params, splits, param_names, utt, idx, length, stats_from)[0]
+
+
+def training_tables(
+    features: DataFrame,
+    params: DataFrame,
+    splits: DataFrame,
+    param_names: Sequence[str],
+    utt: str = "utt",
+    idx: str = "frame_idx",
+    length: int | None = None,
+    stats_from: str = "train",
+) -> tuple[DataFrame, DataFrame]:
+    """The training table, and one row with an ``error`` for every utterance of either side that is not in it."""
+    joined, counts = selection.feature_param_report(features, params, utt, idx)
+    named = counts.join(splits.select(utt, "split"), utt, "left")
+    faults = named.withColumn("error", F.coalesce("error", F.when(F.col("split").isNull(), "no split"))).where(F.col("error").isNotNull()).drop("split")
     # Statistics, scaling and sequence counts each read the joined table: it is joined once.
     held = pinned(scale.attach(joined, splits.select(utt, "split"), [utt], [idx]))
     if stats_from == "train":
@@ -238,4 +340,4 @@ def training_table(
             std = F.when(F.col(f"std_{p}") < fixed.SCALE_EPSILON, 1.0).otherwise(F.col(f"std_{p}"))
             scaled = scaled.withColumn(f"{p}_z", (F.col(p) - F.col(f"mean_{p}")) / std)
         scaled = scaled.drop(*[f"{s}_{p}" for p in param_names for s in ("mean", "std")])
-    return scaled if length is None else ordering.sequence_chunks(scaled, utt, idx, length)
+    return (scaled if length is None else ordering.sequence_chunks(scaled, utt, idx, length)), faults

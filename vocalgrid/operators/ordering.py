@@ -19,14 +19,19 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -
 
 
 def best_per_subject(df: DataFrame, subject: str, utt: str, correlation: str) -> DataFrame:
-    """Utterance with the highest correlation (missing counts as 0), the first one on ties."""
+    """Utterance with the highest correlation (missing counts as 0, NaN comes after all numbers), the first one on ties."""
     score = F.coalesce(F.col(correlation), F.lit(0.0))
-    return top_n(df, [subject], [score.desc(), F.col(utt).asc()], 1).drop("rank")
+    return top_n(df, [subject], [*descending(score), F.col(utt).asc()], 1).drop("rank")
+
+
+def descending(value: Column) -> list[Column]:
+    """Order from the highest number down, NaN after all numbers (Spark alone takes NaN for the highest), null last."""
+    return [F.isnan(value.cast("double")).asc(), value.desc_nulls_last()]
 
 
 def rank_best_worst(df: DataFrame, correlation: str, utt: str, k: int = 1) -> DataFrame:
-    """First and last k of the descending order; two top-k scans, no full sort."""
-    best = df.orderBy(F.col(correlation).desc(), F.col(utt).asc()).limit(k).withColumn("kind", F.lit("best"))
+    """First and last k of the descending order, NaN in neither before all numbers are used up; two top-k scans, no full sort."""
+    best = df.orderBy(*descending(F.col(correlation)), F.col(utt).asc()).limit(k).withColumn("kind", F.lit("best"))
     worst = df.orderBy(F.col(correlation).asc(), F.col(utt).desc()).limit(k).withColumn("kind", F.lit("worst"))
     return best.unionByName(worst)
 
@@ -35,10 +40,10 @@ def tier_representatives(df: DataFrame, utt: str, correlation: str) -> DataFrame
     """Best, one from the middle of each tier, the first POOR one, and the worst."""
     c = F.col(correlation)
     band = (
-        F.when(c >= 0.3, "GOOD").when(c >= 0.2, "MODERATE").when(c >= 0.1, "ACCEPTABLE").otherwise("POOR")
+        F.when(F.isnan(c.cast("double")), "POOR").when(c >= 0.3, "GOOD").when(c >= 0.2, "MODERATE").when(c >= 0.1, "ACCEPTABLE").otherwise("POOR")
     )
     narrow = df.select(F.col(utt).alias("utt"), c.alias("correlation"), band.alias("kind"))
-    placed = scale.with_position(narrow, ["kind"], [F.col("correlation").desc(), F.col("utt").asc()], "_pos")
+    placed = scale.with_position(narrow, ["kind"], [*descending(F.col("correlation")), F.col("utt").asc()], "_pos")
     sizes = scale.group_size(narrow, ["kind"], "_n")
     # Five bands at most, so the wanted place of each band is a five-row table.
     wanted = sizes.where((F.col("kind") != "GOOD") | (F.col("_n") > 1)).select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vocalgrid import fixed, scale
 from vocalgrid.functions import columns as C
+from vocalgrid.session import pinned
 
 
 def select_subjects(
@@ -83,17 +84,31 @@ def frame_count_mismatch(features: DataFrame, params: DataFrame, utt: str = "utt
     return a.join(b, utt).where("n_features <> n_params")
 
 
+def feature_param_report(features: DataFrame, params: DataFrame, utt: str = "utt", idx: str = "frame_idx") -> tuple[DataFrame, DataFrame]:
+    """Joined frames of the utterances whose frame counts agree, and every utterance's counts with an ``error`` for the others.
+
+    Each side is read once, in one full outer join whose key includes the frame, so a long utterance spreads over the
+    partitions; the verdict of each utterance is counted from its rows and comes back by a salted lookup.
+    """
+    a = features.withColumn("_f", F.lit(True))
+    b = params.withColumn("_p", F.lit(True))
+    both = pinned(a.join(b, [utt, idx], "full"))
+    n, m = F.count("_f"), F.count("_p")
+    differ = F.format_string("frame counts differ: %d features, %d parameters", "n_features", "n_params")
+    counts = both.groupBy(utt).agg(n.alias("n_features"), m.alias("n_params")).withColumn("error", (
+        F.when(F.col("n_features") == 0, "no features").when(F.col("n_params") == 0, "no parameters").when(F.col("n_features") != F.col("n_params"), differ)
+    ))
+    good = counts.where(F.col("error").isNull()).select(utt)
+    kept = scale.attach(both.where("_f and _p").drop("_f", "_p"), good, [utt], [idx], "left_semi")
+    return kept, counts
+
+
 def feature_param_join(features: DataFrame, params: DataFrame, utt: str = "utt", idx: str = "frame_idx") -> DataFrame:
     """Frames of both sides by (utterance, frame), for utterances whose frame counts agree.
 
-    The join key includes the frame, so a long utterance spreads over the partitions. Utterances
-    with differing counts are reported by ``frame_count_mismatch`` and left out here; their list is
-    joined after the frame join by a salted lookup.
+    The others are reported by ``feature_param_report``, whose rows these are.
     """
-    wrong = frame_count_mismatch(features, params, utt).select(utt, F.lit(True).alias("_wrong"))
-    joined = features.join(params, [utt, idx])
-    marked = scale.attach(joined, wrong, [utt], spread_on=[idx], how="left")
-    return marked.where(F.col("_wrong").isNull()).drop("_wrong")
+    return feature_param_report(features, params, utt, idx)[0]
 
 
 def split_membership(df: DataFrame, splits: DataFrame, split: str, key: str, spread_on: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from vocalgrid.plans.catalog import d6, query
 from vocalgrid.plans.mask_queries import (
     GEOMETRY_SQL, PSEUDO_BINS, PSEUDO_OTSU_SQL, PSEUDO_SQL, S, geometry_columns_sql, mask_pixels, rounded,
 )
-from vocalgrid.plans.signal_queries import hilbert_sql, interpolate_sql, minmax_sql, smooth_sql, zscore_sql
+from vocalgrid.plans.signal_queries import hilbert_sql, interpolate_sql, minmax_sql, noise_reduce_sql, smooth_sql, zscore_sql
 from vocalgrid.plans.table_queries import (
     FEATURES_SQL,
     MISMATCH_SQL,
@@ -33,15 +33,16 @@ AUDIO_FPS, AUDIO_RATE, SMOOTH_MS = 10.0, 13.0, 50.0
 # Alignment: label n's frames are the images of user n's samples -----------------------------------
 
 
-def align_sql(pixels: str) -> str:
-    """aligned: offset and correlation per utterance, from a table (utt, frame_idx, y, x, v)."""
+def align_sql(pixels: str, heard: str = "") -> str:
+    """aligned: offset and correlation per utterance, from a table (utt, frame_idx, y, x, v); ``heard`` makes heard from heard0."""
     frame_weights = series.gaussian_weights(SMOOTH_MS / 1000 * AUDIO_FPS)
     sample_weights = series.gaussian_weights(SMOOTH_MS / 1000 * AUDIO_RATE)
     return f"""diff AS (SELECT utt, frame_idx AS i, abs(v - lag(v) OVER (PARTITION BY utt, y, x ORDER BY frame_idx)) AS d FROM {pixels}),
 moved AS (SELECT utt, i, coalesce(sum(d), 0) AS v FROM diff GROUP BY utt, i),
 {smooth_sql('moved', 'moved_s', frame_weights)}, {minmax_sql('moved_s', 'energy0')},
 energy AS (SELECT utt, i, i / {AUDIO_FPS!r}::DOUBLE AS t, v FROM energy0),
-{B.SIGNAL_SQL}, heard AS (SELECT utt, frame_idx AS i, value AS v FROM signal WHERE utt IN (SELECT utt FROM energy)),
+{B.SIGNAL_SQL}, {"heard0" if heard else "heard"} AS (SELECT utt, frame_idx AS i, value AS v FROM signal WHERE utt IN (SELECT utt FROM energy)),
+{heard + "," if heard else ""}
 lens AS (SELECT utt, f.n AS n_frames, a.n AS n_samples, CAST(ceil(greatest(f.n / {AUDIO_FPS!r}::DOUBLE, a.n / {AUDIO_RATE!r}::DOUBLE) * {AUDIO_RATE!r}::DOUBLE) AS BIGINT) AS m
   FROM (SELECT utt, count(*) AS n FROM energy GROUP BY utt) f JOIN (SELECT utt, count(*) AS n FROM heard GROUP BY utt) a USING (utt)),
 {interpolate_sql('energy', 'clocked', 'lens', AUDIO_RATE, 'zero')}, {zscore_sql('clocked', 'zm')},
@@ -108,6 +109,66 @@ def preprocess_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, ["offset_seconds", "correlation"])
 
 
+STORE_FFT, STORE_HOP = 8, 2
+STORE_SQL = f"""{B.PIXELS_SQL}, {_blur_sql()}, {align_sql('clean', noise_reduce_sql('heard0', 'heard', AUDIO_RATE, STORE_FFT, STORE_HOP, fixed.NOISE_SHARE))},
+  every AS (SELECT utt, count(DISTINCT frame_idx) AS n FROM px GROUP BY utt),
+  kept AS (SELECT utt, count(*) AS n_pixels, sum(v) AS pixel_sum FROM clean WHERE utt IN (SELECT utt FROM aligned) GROUP BY utt),
+  plan AS (SELECT utt, offset_samples AS o, CAST(floor(n_frames / {AUDIO_FPS!r}::DOUBLE * {AUDIO_RATE!r}::DOUBLE) AS BIGINT) AS len FROM aligned),
+  slots AS (SELECT utt, o, unnest(range(0, len)) AS i FROM plan),
+  said AS (SELECT s.utt, count(*) AS n_audio, sum(coalesce(h.v, 0) * (s.i + 1)) AS audio_sum FROM slots s LEFT JOIN heard h ON h.utt = s.utt AND h.i = s.i + s.o GROUP BY s.utt)"""
+
+
+def _stored_job(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    images, audio = images_and_audio(spark, sf_dir)
+    place = new_location(spark, "preprocessed")
+    subject = F.floor(F.col("utt") / 4).cast("long")
+    manifest = jobs.preprocess_store(
+        images, audio, place, subject, UTT, "frame_idx", "pixels", "value", S, S, AUDIO_FPS, AUDIO_RATE, SMOOTH_MS, n_fft=STORE_FFT, hop=STORE_HOP
+    )
+    return manifest, place
+
+
+@query("preprocess_store", f"""WITH {STORE_SQL}
+  SELECT e.utt, CAST(offset_samples AS BIGINT) AS offset_samples, {d6('correlation')} AS correlation, CASE WHEN a.utt IS NULL THEN 'no audio' END AS error,
+    CAST(n_pixels AS BIGINT) AS n_pixels, {d6('pixel_sum')} AS pixel_sum, CAST(n_audio AS BIGINT) AS n_audio, {d6('audio_sum')} AS audio_sum
+  FROM every e LEFT JOIN aligned a USING (utt) LEFT JOIN kept USING (utt) LEFT JOIN said USING (utt)""")
+def preprocess_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored job: its manifest beside sums over the frames and the aligned audio read back from the store."""
+    manifest, place = _stored_job(spark, sf_dir)
+    frames_kept, said = (jobs.stored(manifest, place, what, UTT) for what in ("frames", "aligned_audio"))
+    pixels = frames_kept.groupBy("utt").agg(F.sum(F.size("pixels")).alias("n_pixels"), F.sum(F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v)).alias("pixel_sum"))
+    weighted = F.aggregate(F.transform("value", lambda v, i: v * (F.col("start") + i + 1)), F.lit(0.0), lambda a, v: a + v)
+    sounds = said.groupBy("utt").agg(F.sum(F.size("value")).alias("n_audio"), F.sum(weighted).alias("audio_sum"))
+    out = manifest.select("utt", "offset_samples", "correlation", "error").join(pixels, "utt", "left").join(sounds, "utt", "left")
+    return rounded(out, ["correlation", "pixel_sum", "audio_sum"])
+
+
+@query("batch_summary", f"""WITH {STORE_SQL}, judged AS (SELECT e.utt // 4 AS subject, a.utt IS NOT NULL AS ok FROM every e LEFT JOIN aligned a USING (utt))
+  SELECT CAST(subject AS BIGINT) AS subject, grouping_id(subject) AS level, count(*) AS total, count(*) FILTER (ok) AS processed, count(*) FILTER (NOT ok) AS failed,
+    {d6('count(*) FILTER (ok) / count(*)')} AS success_rate FROM judged GROUP BY ROLLUP (subject)""")
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of what the stored job's manifest says."""
+    return rounded(jobs.batch_summary(_stored_job(spark, sf_dir)[0]), ["success_rate"])
+
+
+@query("kernel_faults", f"""WITH {B.PIXELS_SQL}, {_blur_sql()}, {align_sql('clean')},
+  every AS (SELECT utt, count(DISTINCT frame_idx) AS n, max(v) > 0.37 AS loud FROM px GROUP BY utt)
+  SELECT e.utt, CASE WHEN NOT loud THEN CAST(offset_samples AS BIGINT) END AS offset_samples, CASE WHEN NOT loud THEN {d6('correlation')} END AS correlation,
+    CASE WHEN j.utt IS NULL THEN 'no audio' WHEN loud THEN 'frames: ValueError: too bright' END AS error FROM every e LEFT JOIN aligned j USING (utt)""")
+def kernel_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job with a kernel that fails on bright frames: their utterances are reported, the others are unchanged."""
+    images, audio = images_and_audio(spark, sf_dir)
+    blur = frames.blur_kernel(S, S, 1.0)
+
+    def strict(rows):
+        if (rows > 0.37).any():
+            raise ValueError("too bright")
+        return blur(rows)
+
+    out = jobs.preprocess(images, audio, UTT, "frame_idx", "pixels", "value", S, S, AUDIO_FPS, AUDIO_RATE, SMOOTH_MS, blur=strict)
+    return rounded(out.select("utt", "offset_samples", "correlation", "error"), ["correlation"])
+
+
 FAULTY_SQL = "utt % 5 IN (1, 2, 3)"
 
 
@@ -200,6 +261,16 @@ def training_table_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kept, ["feature", "l_quantity_z", "l_extendedprice_z"])
 
 
+@query("training_table_faults", f"""WITH {FEATURES_SQL}, {B.PARAMETERS_SQL}, f AS (SELECT utt, count(*) AS n FROM features GROUP BY utt), p AS (SELECT utt, count(*) AS n FROM parameters GROUP BY utt)
+  SELECT coalesce(f.utt, p.utt) AS utt, coalesce(f.n, 0) AS n_features, coalesce(p.n, 0) AS n_params, CASE WHEN f.n IS NULL THEN 'no features' WHEN p.n IS NULL THEN 'no parameters'
+    WHEN f.n <> p.n THEN 'frame counts differ: ' || f.n || ' features, ' || p.n || ' parameters' ELSE 'no split' END AS error
+  FROM f FULL JOIN p ON f.utt = p.utt WHERE f.n IS DISTINCT FROM p.n OR coalesce(f.utt, p.utt) NOT IN (SELECT o_orderkey FROM orders)""")
+def training_table_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every utterance that the training table leaves out, with the reason."""
+    params = B.parameters(spark, sf_dir).select("utt", "frame_idx", "l_quantity", "l_extendedprice")
+    return jobs.training_tables(order_features(spark, sf_dir), params, split_utterances(spark, sf_dir), ["l_quantity", "l_extendedprice"], length=2)[1]
+
+
 # Pseudo labels: ten frames of each subject's best utterance -----------------------------------------
 
 

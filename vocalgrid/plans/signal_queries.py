@@ -257,14 +257,42 @@ def mfcc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins(out, ["utt", "frame_idx"], "mfcc", "coefficient", "value")
 
 
-@query("noise_subtract", f"""WITH {spectrum_sql()}, e AS (SELECT utt, least(50, n // 4) AS e FROM sized WHERE n >= 10),
-  noise AS (SELECT utt, b, avg(p) AS q FROM spec JOIN e USING (utt) WHERE t * {HOP} < e OR t = 0 GROUP BY utt, b)
-  SELECT utt, CAST(t AS BIGINT) AS frame, CAST(b AS BIGINT) AS bin, {d6('greatest(p - 0.8 * q, 0)')} AS power FROM spec JOIN noise USING (utt, b)""")
+@query("noise_subtract", f"""WITH {spectrum_sql()}, e AS (SELECT utt, least(50, n // 4) AS e, CASE WHEN n >= 10 THEN 0.8::DOUBLE ELSE 0 END AS share FROM sized),
+  noise AS (SELECT utt, b, share, avg(p) AS q FROM spec JOIN e USING (utt) WHERE t * {HOP} < e OR t = 0 GROUP BY utt, b, share)
+  SELECT utt, CAST(t AS BIGINT) AS frame, CAST(b AS BIGINT) AS bin, {d6('greatest(p - share * q, 0)')} AS power FROM spec JOIN noise USING (utt, b)""")
 def noise_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audio.noise_subtract(sound(spark, sf_dir), UTT, "frame_idx", "value", 100.0, 0.8, N_FFT, HOP)
     return bins(out, ["utt", "frame"], "spectrum", "bin", "power")
 
 
+def noise_reduce_sql(source: str, out: str, rate: float, n_fft: int, hop: int, share: float = 0.8) -> str:
+    """out(utt, i, v, reduced) from source(utt, i, v): spectral subtraction and windowed overlap-add by direct sums."""
+    half, hann = n_fft // 2, f"(0.5 - 0.5 * cos(2 * pi() * k.k / {n_fft}))"
+    turn = f"2 * pi() * k.k * b.b / {n_fft}"
+    return f"""{out}_n AS (SELECT utt, count(*) AS n, least({int(0.5 * rate)}, count(*) // 4) AS e FROM {source} GROUP BY utt),
+{out}_t AS (SELECT utt, unnest(range(0, n // {hop} + 1)) AS t FROM {out}_n WHERE n >= {rate * 0.1!r}),
+{out}_k AS (SELECT unnest(range(0, {n_fft})) AS k), {out}_b AS (SELECT unnest(range(0, {half + 1})) AS b),
+{out}_x AS (SELECT f.utt, f.t, b.b, sum(s.v * {hann} * cos({turn})) AS re, sum(s.v * {hann} * sin({turn})) AS im
+  FROM {out}_t f, {out}_k k, {out}_b b JOIN {source} s ON s.utt = f.utt AND s.i = f.t * {hop} - {half} + k.k GROUP BY f.utt, f.t, b.b),
+{out}_q AS (SELECT utt, b, avg(re * re + im * im) AS q FROM {out}_x JOIN {out}_n USING (utt) WHERE t * {hop} < e OR t = 0 GROUP BY utt, b),
+{out}_g AS (SELECT utt, t, b, re, im, CASE WHEN re * re + im * im > 0 THEN sqrt(greatest(re * re + im * im - {share!r} * q, 0) / (re * re + im * im)) ELSE 0 END
+  * CASE WHEN b IN (0, {half}) THEN 1 ELSE 2 END / {n_fft} AS g FROM {out}_x JOIN {out}_q USING (utt, b)),
+{out}_y AS (SELECT b.utt, b.t * {hop} - {half} + k.k AS i, {hann} * sum(g * (re * cos({turn}) + im * sin({turn}))) AS y, {hann} ** 2 AS w
+  FROM {out}_g b, {out}_k k GROUP BY b.utt, b.t, k.k),
+{out}_a AS (SELECT utt, i, sum(y) AS y, sum(w) AS w FROM {out}_y GROUP BY utt, i),
+{out} AS (SELECT s.utt, s.i, CASE WHEN a.w > 1e-10 THEN a.y / a.w ELSE s.v END AS v, a.utt IS NOT NULL AS reduced FROM {source} s LEFT JOIN {out}_a a ON a.utt = s.utt AND a.i = s.i)"""
+
+
+# A rate at which some series are under a tenth of a second.
+REDUCE_RATE = 600.0
+
+
+@query("noise_reduce", f"""WITH {B.SIGNAL_SQL}, sound AS (SELECT utt, frame_idx AS i, value / 7 AS v FROM signal), {noise_reduce_sql('sound', 'quiet', REDUCE_RATE, N_FFT, HOP)}
+  SELECT utt, CAST(i AS BIGINT) AS frame_idx, {d6('v')} AS value, reduced FROM quiet""")
+def noise_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(audio.noise_reduce(sound(spark, sf_dir), UTT, "frame_idx", "value", REDUCE_RATE, 0.8, N_FFT, HOP), "value")
+
+
 @query("analytic_magnitude", f"WITH {SERIES_SQL}, {hilbert_sql('series', 'm')} SELECT utt, CAST(i AS BIGINT) AS frame_idx, {d6('v')} AS magnitude FROM m")
 def analytic_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hilbert.magnitude(B.samples(spark, sf_dir), UTT, "frame_idx", "value"), "magnitude")

@@ -585,6 +585,23 @@ def tier_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("correlation", C.r6(F.col("correlation")))
 
 
+NAN_SQL = f"{B.SCORES_SQL}, odd AS (SELECT subject, utt, CASE WHEN utt % 3 = 0 THEN 'NaN'::DOUBLE ELSE correlation END AS c FROM scores)"
+
+
+@query("nan_ranking", f"""WITH {NAN_SQL}, banded AS (SELECT utt, c, CASE WHEN isnan(c) THEN 'POOR' WHEN c >= 0.3 THEN 'GOOD' WHEN c >= 0.2 THEN 'MODERATE' WHEN c >= 0.1 THEN 'ACCEPTABLE' ELSE 'POOR' END AS kind FROM odd),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY isnan(c), c DESC, utt) - 1 AS pos, count(*) OVER (PARTITION BY kind) AS n FROM banded),
+  found AS (SELECT 'of subject' AS kind, utt, c FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY isnan(c), c DESC, utt) AS r FROM odd) WHERE r = 1
+    UNION ALL SELECT kind, utt, c FROM placed WHERE (kind <> 'GOOD' OR n > 1) AND pos = CASE WHEN kind = 'POOR' THEN 0 ELSE n // 2 END
+    UNION ALL (SELECT 'BEST', utt, c FROM odd ORDER BY isnan(c), c DESC, utt LIMIT 1) UNION ALL (SELECT 'WORST', utt, c FROM odd ORDER BY isnan(c), c, utt DESC LIMIT 1))
+  SELECT kind, utt, isnan(c) AS is_nan, {d6('CASE WHEN isnan(c) THEN 0 ELSE c END')} AS correlation FROM found""")
+def nan_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best of each subject, tier representatives, best and worst where a third of the correlations is NaN."""
+    odd = B.scores(spark, sf_dir).withColumn("correlation", F.when(F.col("utt") % 3 == 0, float("nan")).otherwise(F.col("correlation")))
+    best = ordering.best_per_subject(odd.select("subject", "utt", "correlation"), "subject", "utt", "correlation")
+    found = best.select(F.lit("of subject").alias("kind"), "utt", "correlation").unionByName(ordering.tier_representatives(odd, "utt", "correlation"))
+    return found.select("kind", "utt", F.isnan("correlation").alias("is_nan"), C.r6(F.nanvl("correlation", F.lit(0.0))).alias("correlation"))
+
+
 @query("ecdf", f"""WITH {B.SCORES_SQL} SELECT utt, {d6('correlation')} AS correlation,
   {d6('row_number() OVER (ORDER BY correlation, utt) / count(*) OVER () * 100')} AS percent FROM scores""")
 def ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:

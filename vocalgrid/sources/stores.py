@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,23 @@ def read_features(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/kind={kind}").drop("kind")
 
 
+def append_manifest(rows: DataFrame, place: str) -> None:
+    """Manifest rows of one part of a batch job; once written, its utterances are committed. One job writes at a time."""
+    rows.write.mode("append").parquet(f"{place}/manifest")
+
+
+def read_manifest(spark: SparkSession, place: str, keys: Sequence[str]) -> DataFrame | None:
+    """One row per utterance: that of its success, else that of its last attempt; None before the first part was written."""
+    try:
+        rows = spark.read.parquet(f"{place}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    last = F.max_by(F.struct(*rows.columns), F.struct(F.col("error").isNull(), "attempt")).alias("_last")
+    return rows.groupBy(*keys).agg(last).select("_last.*")
+
+
 def write_split_lists(splits: DataFrame, path: str, name: str) -> None:
     """Sorted text lists, one folder per split."""
     lines = splits.select("split", F.col(name).cast("string").alias("value"))

@@ -12,6 +12,8 @@ from vocalgrid.session import pinned
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+# Rows of two longs or less: 16 MB before Spark hashes them.
+BROADCAST_KEYS = 1_000_000
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -59,6 +61,14 @@ def row_key(*columns: str | Column) -> Column:
     return F.xxhash64(*[x for c in parts for x in (c.isNull(), c)])
 
 
+def small_side(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A table of few narrow rows that is kept (``pinned``), marked for broadcast if counted at most ``most``.
+
+    So the wide rows it is joined with stay where they are; beyond the bound Spark joins both sides by shuffle, with the same result.
+    """
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node of each node's connected component: columns ``node`` and ``root`` (longs).
 

@@ -14,8 +14,8 @@ words have masks of their own, which are used only if the benchmark holds such i
 Defined cases: null or empty texts have no seeds and no leaks; items with equal
 texts share one search and all are reported; repeated documents are reported once; a null ``doc_id`` is
 carried as it is; other columns are ignored or carried, whatever their names; empty tables give an empty result.
-Sides: the item seeds are broadcast only if counted at most ``BROADCAST_SEEDS``; otherwise Spark joins by shuffle
-and may split hot seeds. Hits are summed per diagonal before they are shuffled.
+Sides: the item seeds are broadcast only if counted at most ``BROADCAST_SEEDS``, the keys of documents with a hit if at most
+``BROADCAST_KEYS``; otherwise Spark joins by shuffle and may split hot keys. Hits are summed per diagonal before they are shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocalgrid.llm.common import own_columns, row_key, spare_names
+from vocalgrid.llm.common import own_columns, row_key, small_side, spare_names
 from vocalgrid.llm.words import let, windows, word_hashes
 from vocalgrid.session import pinned
 
@@ -116,7 +116,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min
     found = _seeds(rows, "row_key", short).join(item_seeds, F.col("seed") == F.col("item_seed"))
     hits = found.select("row_key", "item_key", (F.col("place") - F.col("item_place")).alias("diagonal")).groupBy("row_key", "item_key", "diagonal").agg(F.count(F.lit(1)).alias("hits"))
     hits = pinned(hits)
-    hit_rows = rows.join(hits.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
+    # Whole texts stay where they are while the keys of those with a hit are few enough to be sent to them.
+    hit_keys = small_side(pinned(hits.select("row_key").distinct()))
+    hit_rows = rows.join(hit_keys, "row_key", "left_semi").dropDuplicates(["row_key"])
     own = hit_rows.select("row_key", "doc_id", word_hashes(F.col("text")).alias("doc_words"))
     item_words = texts.select("item_key", word_hashes(F.col("text")).alias("item_words"))
     start = F.greatest(F.col("diagonal"), F.lit(0))
@@ -141,6 +143,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
     """``docs`` without the documents that hold a leak; columns unchanged."""
     (key,) = spare_names(docs, "_key")
-    bad = leaks(docs, benchmark, min_words, min_share).select(F.col("row_key").alias(key)).distinct()
+    bad = small_side(pinned(leaks(docs, benchmark, min_words, min_share).select(F.col("row_key").alias(key)).distinct()))
     keyed = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), "text"))
     return keyed.join(bad, key, "left_anti").select(*own_columns(docs))

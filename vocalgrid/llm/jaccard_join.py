@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalgrid.llm.common import components, own_columns, row_key, spare_names
+from vocalgrid.llm.common import components, own_columns, row_key, small_side, spare_names
 from vocalgrid.llm.textkit import mix, slices, windows_of, words_of
 from vocalgrid.session import pinned
 
@@ -202,7 +202,7 @@ def _classes(docs: DataFrame, threshold: float, target: float) -> DataFrame:
     # One text stands for all copies; only texts in a group are read again.
     standing = groups.join(copies.select("node", F.coalesce("by_id", "any").alias("_key")), "node").select("node", "_key")
     keyed = docs.select(row_key(F.col("doc_id"), "text").alias("_key"), "text")
-    texts = keyed.join(standing, "_key").dropDuplicates(["node"])
+    texts = keyed.join(small_side(pinned(standing)), "_key").dropDuplicates(["node"])
     found = pinned(links(_with_shingles(texts), groups, threshold))
     classes = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     counted = found.groupBy("node").agg(F.sum("links").alias("n_links"))

@@ -244,12 +244,29 @@ def test_pca_goes_on_until_the_components_hold(spark):
     turned = np.linalg.qr(r.standard_normal((100, 100)))[0]
     data = (r.standard_normal((400, 100)) * np.exp(-np.arange(100) / 100)) @ turned
     df = spark.createDataFrame([(x.tolist(),) for x in data], "px array<double>")
-    model = pca.fit(df, "px", 10, 10, 3, max_steps=3)
+    model = pca.fit(df, "px", 10, 10, 3, max_steps=3, passes=None)
     values, vectors = np.linalg.eigh(np.cov(data.T))
     assert np.allclose(model.variances, values[::-1][:3], rtol=1e-10)
     assert np.allclose(np.abs((model.components * vectors[:, ::-1][:, :3].T).sum(axis=1)), 1, atol=1e-10)
 
 
+@pytest.mark.parametrize("decay", [5, 50, 300])
+def test_pca_takes_few_scans_and_tells_its_error(spark, monkeypatch, decay):
+    r = np.random.default_rng(4)
+    size, k = 400, 5
+    turned = np.linalg.qr(r.standard_normal((size, size)))[0]
+    data = (r.standard_normal((900, size)) * np.exp(-np.arange(size) / decay)) @ turned
+    df = spark.createDataFrame([(x.tolist(),) for x in data], "px array<double>").repartition(3)
+    scans, applied = [], pca._applied
+    monkeypatch.setattr(pca, "_applied", lambda *a: (scans.append(1), applied(*a))[1])
+    model = pca.fit(df, "px", 20, 20, k)
+    true = np.linalg.eigvalsh(np.cov(data.T))[::-1]
+    assert len(scans) <= 3 and np.isclose(model.total, true.sum())
+    off = np.abs(model.variances[:, None] - true).min(axis=1)
+    assert (off <= model.bound * model.variances[0] + 1e-9).all() and model.bound < {5: 1e-4, 50: 0.1, 300: 0.2}[decay]
+    assert np.allclose(model.variances, true[:k], rtol={5: 1e-8, 50: 1e-2, 300: 0.1}[decay])
+
+
 def test_pca_of_large_frames_in_few_directions(spark):
     """256 x 256 pixels: four patterns under noise, packed masks, a null mask left out."""
     rng = np.random.default_rng(8)

@@ -63,23 +63,33 @@ def temporal_median(df: DataFrame, keys: Sequence[str], idx: str, pixels: str, w
     """Per-pixel median over ``window`` frames, ends repeated; shorter utterances stay unchanged. ``carry`` names columns that go along."""
     if window % 2 == 0 or window < 1:
         raise ValueError("the window must be odd")
-    half = window // 2
-    ends = series.reflect_ends(df.select(*keys, idx, pixels, *carry), keys, idx, half)
-    copied = scale.halo_copies(ends, "pos", BLOCK, half, half)
-    order = Window.partitionBy(*keys, "block").orderBy("pos")
+    half, block = window // 2, max(BLOCK, window)
+    # Frames meet their neighbours in one shuffle; only those beside a block's border are copied.
+    copied = scale.halo_copies(df.select(*keys, idx, F.struct(pixels).alias("_f"), *carry), idx, block, half, half)
+    whole = Window.partitionBy(*keys, "block")
     for k in range(window):
-        copied = copied.withColumn(f"_f{k}", F.lag(pixels, half - k).over(order))
-    real = (F.col("pos") >= 0) & (F.col("pos") < F.col("n")) & scale.in_own_block("pos", BLOCK)
+        copied = copied.withColumn(f"_f{k}", F.lag("_f", half - k).over(whole.orderBy(idx)))
+    held = copied.withColumn("_m", F.count(F.lit(1)).over(whole)).where(scale.in_own_block(idx, block))
+    every = F.array(*[F.col(f"_f{k}") for k in range(window)])
+    # Places without a frame lie beyond an end; there the series is mirrored with its end frames repeated.
+    behind = sum((F.col(f"_f{k}").isNotNull().cast("int") for k in range(half + 1, window)), F.lit(0))
+    place = F.least(F.col(idx), F.lit(half)).cast("int")
+    near = [
+        F.coalesce(F.col(f"_f{k}"), F.get(every, (2 * half - 1 - k - 2 * place) if k < half else (2 * half + 1 - k + 2 * behind)))[pixels].alias(f"_n{k}")
+        for k in range(window)
+    ]
+    # A series that ends within its first block and is shorter than the window is left as it is.
+    short = (F.col("block") == 0) & (F.col("_m") < window)
+    ready = held.select(*keys, idx, *carry, short.alias("_short"), F.col("_f")[pixels].alias(pixels), *near)
 
     def middle(_: Column, i: Column) -> Column:
-        near = [F.get(f"_f{k}", i) for k in range(window)]
+        around = [F.get(f"_n{k}", i) for k in range(window)]
         if window == 3:
-            a, b, c = near
+            a, b, c = around
             return F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
-        return F.array_sort(F.array(*near))[half]
+        return F.array_sort(F.array(*around))[half]
 
-    median = F.when(F.col("n") >= window, F.transform(pixels, middle)).otherwise(F.col(pixels))
-    return copied.where(real).select(*keys, idx, median.alias(pixels), *carry)
+    return ready.select(*keys, idx, F.when(F.col("_short"), F.col(pixels)).otherwise(F.transform(pixels, middle)).alias(pixels), *carry)
 
 
 def spatial_gaussian(height: int, width: int, sigma: float) -> Callable[[Column], Column]:

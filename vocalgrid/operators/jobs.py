@@ -262,7 +262,7 @@ def preprocess_store(
     return stores.read_manifest(spark, place, on)
 
 
-def stored(manifest: DataFrame, place: str, what: str, keys: Sequence[str]) -> DataFrame:
+def stored(manifest: DataFrame, place: str, what: str, keys: Sequence[str], idx: str = "frame_idx") -> DataFrame:
     """The ``frames`` or the ``aligned_audio`` that the manifest commits; rows of parts that were cut off are not seen."""
     spark = manifest.sparkSession
     whole = manifest.where(F.col("error").isNull()).select(*keys, "part")
@@ -270,7 +270,7 @@ def stored(manifest: DataFrame, place: str, what: str, keys: Sequence[str]) -> D
     names = [r["part"] for r in whole.select("part").distinct().collect()]
     rows = spark.read.option("basePath", place).parquet(*[f"{place}/{n}/{what}" for n in names])
     named = rows.withColumn("part", F.regexp_extract(F.col("_metadata.file_path"), r"(part-[0-9a-f]{32})/", 1))
-    return scale.attach(named, whole, [*keys, "part"], ["start" if what == "aligned_audio" else "frame_idx"], "left_semi").drop("part", "error")
+    return scale.attach(named, whole, [*keys, "part"], ["start" if what == "aligned_audio" else idx], "left_semi").drop("part", "error")
 
 
 def batch_summary(manifest: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 Each step is one pass over the frames: centred rows times a thin block, summed inside a task and then over tasks. What
 reaches the driver is a basis of (steps * block) directions of P pixels, at most P * P values (as with k = P), and never a frame.
-The steps end when the wanted components satisfy their equation to ``tolerance``, or span everything. When ``max_steps``
-blocks are held, the basis is cut to its leading directions and the steps go on (thick restart); without an end after
-``MAX_PASSES`` passes the fit raises.
+
+The start is a random block of 2k + 10 directions wider than k, so ``PASSES`` passes and the one for the mean, four scans in all, are enough for
+all but flat spectra, whatever the number of frames and pixels. The steps end earlier when the wanted components satisfy their
+equation to ``tolerance``, or span everything. The model says how far it is off: ``bound`` is the largest residual of a component, as a share of the greatest variance, and
+no variance is further from a true one than that. With ``passes=None`` the steps go on until the tolerance holds: when ``max_steps`` blocks
+are held, the basis is cut to its leading directions (thick restart); without an end after ``MAX_PASSES`` passes the fit raises.
 
 Defined cases: null masks are left out of the fit and have null scores; masks of another size raise; constant masks give
 components of no variance, whose shares are 0 and which whitening leaves as they are; no masks at all raise.
@@ -27,6 +30,7 @@ from pyspark.sql.types import BinaryType
 from vocalgrid.functions.arrow import SLICE, _rows, batch_kernel, unpack
 
 OVERSAMPLE = 10
+PASSES = 3
 MAX_STEPS = 12
 MAX_PASSES = 2000
 TOLERANCE = 1e-8
@@ -46,6 +50,7 @@ class MaskPCA:
     height: int
     width: int
     whiten: bool = False
+    bound: float = 0.0
 
     @property
     def explained_ratio(self) -> np.ndarray:
@@ -105,7 +110,7 @@ def _orthonormal(block: np.ndarray, basis: np.ndarray, floor: float) -> np.ndarr
 
 def fit(
     df: DataFrame, mask: str, height: int, width: int, k: int = 10, whiten: bool = False,
-    max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE, seed: int = 5,
+    max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE, seed: int = 5, passes: int | None = PASSES,
 ) -> MaskPCA:
     """The ``k`` components of greatest variance; the largest loading of each is positive."""
     pixels, shape = height * width, _shape_text(height, width)
@@ -121,10 +126,10 @@ def fit(
         raise ValueError(shape)
     total = float(found["variance"].toArray().sum()) if count > 1 else 0.0
 
-    start = np.random.default_rng(seed).standard_normal((pixels, min(pixels, k + OVERSAMPLE)))
+    start = np.random.default_rng(seed).standard_normal((pixels, min(pixels, 3 * k + OVERSAMPLE)))
     block = np.linalg.qr(start)[0]
     basis, images = np.zeros((pixels, 0)), np.zeros((pixels, 0))
-    for _ in range(MAX_PASSES):
+    for done in range(1, MAX_PASSES + 1 if passes is None else passes + 1):
         image = _applied(frames, mean, block, shape) / max(count - 1, 1)
         basis, images = np.hstack([basis, block]), np.hstack([images, image])
         inner = basis.T @ images
@@ -133,10 +138,11 @@ def fit(
         turns = every[:, :k]
         gap = np.linalg.norm(images @ turns - (basis @ turns) * values, axis=0).max()
         floor = tolerance * max(values[0], 0.0)
-        if gap <= floor:
+        if gap <= floor or done == passes:
             break
         block = _orthonormal(image, basis, floor)
         if not block.shape[1]:
+            gap = 0.0
             break
         if basis.shape[1] + block.shape[1] > max(max_steps, 3) * start.shape[1]:
             # The residuals of all kept directions lie in the new block, so nothing that was found is lost.
@@ -147,7 +153,7 @@ def fit(
     rows = (basis @ turns).T
     lead = np.abs(rows).argmax(axis=1)
     rows = rows * np.where(rows[np.arange(k), lead] < 0, -1.0, 1.0)[:, None]
-    return MaskPCA(mean, rows, np.maximum(values, 0.0), total, height, width, whiten)
+    return MaskPCA(mean, rows, np.maximum(values, 0.0), total, height, width, whiten, float(gap / values[0]) if values[0] > 0 else 0.0)
 
 
 def _scale(model: MaskPCA) -> np.ndarray:

@@ -132,20 +132,6 @@ def guarded_kernel(fn: Callable[[np.ndarray], np.ndarray], element: str = "doubl
     return run
 
 
-def series_kernel(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
-    """Column function applying ``fn`` to each ARRAY<DOUBLE> on its own; lengths may differ."""
-
-    @arrow_udf("array<double>")
-    def run(values: pa.Array) -> pa.Array:
-        offsets = np.asarray(values.offsets)
-        flat = np.asarray(values.values.to_numpy(zero_copy_only=False))
-        parts = [fn(flat[a:b]) if b > a else flat[:0] for a, b in zip(offsets[:-1], offsets[1:])]
-        ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else flat[:0]))
-
-    return run
-
-
 def pack() -> Callable[[Column], Column]:
     """Small non-negative integers of a frame as one byte each."""
     return batch_kernel(lambda rows: rows, "bytes")

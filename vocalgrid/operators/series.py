@@ -24,22 +24,6 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [w / total for w in raw]
 
 
-def reflect_ends(df: DataFrame, keys: Sequence[str], idx: str, radius: int, name: str = "pos") -> DataFrame:
-    """Repeat rows near the ends so positions -radius..n-1+radius exist: ``c b a | a b c | c b a``.
-
-    Adds ``n`` (rows of the group) and ``pos``; rows with 0 <= pos < n are the originals.
-    """
-    sized = scale.with_group_size(df, keys, spread_on=[idx])
-    i, n = F.col(idx), F.col("n")
-    turns = F.ceil(F.lit(radius) / (2 * n)).cast("long")
-    images = F.flatten(
-        F.transform(F.sequence(-turns - 1, turns + 1), lambda k: F.array(i + 2 * n * k, 2 * n * k - 1 - i))
-    )
-    near_end = (i < radius) | (i >= n - radius)
-    places = F.when(near_end, F.filter(images, lambda p: (p >= -radius) & (p < n + radius))).otherwise(F.array(i))
-    return sized.withColumn(name, F.explode(places))
-
-
 def weighted_neighbours(
     df: DataFrame, keys: Sequence[str], idx: str, value: str, weights: Sequence[float], out: str, block: int | None = None
 ) -> DataFrame:
@@ -76,16 +60,6 @@ def group_minmax(df: DataFrame, keys: Sequence[str], idx: str, value: str, out:
     )
 
 
-def group_zscore(df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str = "z") -> DataFrame:
-    """(v - mean) / (population std + 1e-8) per group."""
-    moments = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    return (
-        scale.attach(df, moments, keys, spread_on=[idx])
-        .withColumn(out, (F.col(value) - F.col("_m")) / (F.col("_s") + F.lit(SCALE_EPSILON)))
-        .drop("_m", "_s")
-    )
-
-
 def with_next(
     df: DataFrame, keys: Sequence[str], idx: str, columns: dict[str, str], block: int = BLOCK
 ) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocalgrid import fixed, scale
-from vocalgrid.functions import columns as C
+from vocalgrid import fixed
 from vocalgrid.functions import kernels
-from vocalgrid.operators import frames, jobs, ordering, scores, segmentation, series, summaries
+from vocalgrid.operators import frames, jobs, ordering, segmentation, series, summaries
 from vocalgrid.plans import binding as B
 from vocalgrid.plans.catalog import d6, query
 from vocalgrid.plans.mask_queries import (

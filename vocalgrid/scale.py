@@ -2,7 +2,6 @@
 
 * ``with_position``    dense 0-based position inside a group; huge groups are spread by range.
 * ``attach``           join one row per group onto the rows of the group, salted.
-* ``halo_blocks``      cut a series into blocks of bounded length that also see their neighbours.
 * ``exact_quantiles``  interpolated quantiles; huge groups go through positions instead of buffers.
 * ``explode_range``    emit an integer range in two steps, so one row never builds a huge array.
 """
@@ -129,35 +128,6 @@ def in_own_block(idx: str, block: int, name: str = "block") -> Column:
     return F.floor(F.col(idx) / F.lit(block)) == F.col(name)
 
 
-def halo_blocks(
-    df: DataFrame,
-    keys: Sequence[str],
-    idx: str,
-    values: Sequence[str],
-    block: int,
-    before: int = 0,
-    after: int = 0,
-    keep: Column | None = None,
-) -> DataFrame:
-    """One row per (keys, block): the block's values and halo as arrays sorted by ``idx``.
-
-    ``first`` is the position of array element 0. Arrays hold at most block + before + after items.
-    Blocks without a row for which ``keep`` holds (by default: a row of its own) are left out.
-    """
-    copied = halo_copies(df, idx, block, before, after)
-    owned = in_own_block(idx, block) if keep is None else keep
-    gathered = copied.groupBy(*keys, "block").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(idx).alias("_i"), *values))).alias("_rows"),
-        F.max(owned).alias("_own"),
-    )
-    return gathered.where("_own").select(
-        *keys,
-        "block",
-        F.col("_rows")[0]["_i"].alias("first"),
-        *[F.col(f"_rows.{v}").alias(v) for v in values],
-    )
-
-
 def to_blocks(df: DataFrame, keys: Sequence[str], idx: str, value: str, block: int) -> DataFrame:
     """Rows of a series to one array per (keys, block) of ``block`` values, the last one shorter.
 
